@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, secrets, simhash
+from . import lines, mixing, pieces, secrets, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_quality_rules": lines.op10_quality_rules,
 }
 
 ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL}
