@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, pieces, quality, secrets, simhash
+from . import language, lines, mixing, pieces, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_language_id": language.op2_language_id,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": lines.op10_quality_rules,
