@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, pieces, quality, secrets, simhash, toxicity
+from . import language, lines, mixing, pages, pieces, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_html_extraction": pages.op7_html_extraction,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": lines.op10_quality_rules,
