@@ -1,10 +1,52 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: quality, near-duplicates, secrets, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ringwatch.llm import mixing, pieces, quality, secrets, simhash
+from ringwatch.llm.common import materialize, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, accepts."""
+    return quality.keep_good(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group: the one with the smallest doc_id. Of rows that share it and the text one stays."""
+    groups = materialize(simhash.simhash_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("least")))
+    kept = groups.distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["least"]), "left_semi")
+    return rows if kept.count() == groups.count() else rows.dropDuplicates(["doc_id", "text"])
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with what the secret scan finds replaced by a mark."""
+    return secrets.redact_secrets(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequence: documents as often as their source's target takes them, by training position."""
+    return mixing.mix_sources(docs, mixing.production_schedule)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The number of SentencePiece ids of each text, and the digests of the ids and of the decoded text."""
+    return pieces.token_digests(docs, pieces.model_path())
+
+
+STAGES = [("quality classifier", keep_quality), ("SimHash near-dedup", keep_distinct), ("secret scans", hide_secrets), ("source mixing", mix), ("SentencePiece", encode)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, pages, pieces, quality, secrets, simhash, toxicity
+from . import embeddings, language, lines, mixing, pages, pieces, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_language_id": language.op2_language_id,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op4_embedding_near_dedup": embeddings.op4_embedding_near_dedup,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_html_extraction": pages.op7_html_extraction,
