@@ -6,7 +6,6 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +32,13 @@ ALLOWED = re.compile(
 )
 
 
-@lru_cache(maxsize=8)
-def _terms(n: int) -> tuple[float, ...]:
-    return tuple(c * math.log2(c) if c else 0.0 for c in range(n + 1))
+#: c log2 c of each count in a window.
+_TERMS = tuple(c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1))
 
 
-def window_entropy(text: str, window: int = WINDOW) -> float:
+def window_entropy(text: str) -> float:
     """Largest Shannon entropy (bits per character) of a window of text, from counts kept while it slides."""
-    n, terms = min(window, len(text)), _terms(window)
+    n, terms = min(WINDOW, len(text)), _TERMS
     if not n:
         return 0.0
     counts: dict[str, int] = {}
