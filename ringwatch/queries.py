@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import event_queries, table_queries
+
+QUERIES: dict = event_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL: dict[str, str] = event_queries.ORACLE_SQL | table_queries.ORACLE_SQL
