@@ -214,9 +214,7 @@ def delta_running_total(spark, d):
 @query("split_at_restarts", f"""WITH {LF}, p AS (SELECT path, items, [a, (2 * a + z) // 3 + 1000000, (a + 2 * z) // 3 + 1000000] AS s, [(2 * a + z) // 3, (a + 2 * z) // 3, z] AS e FROM lf)
 SELECT path, i::INTEGER AS part, s[i + 1] AS used_min, e[i + 1] AS used_max, CASE WHEN i = 2 THEN items ELSE 0 END AS items FROM p, range(3) t(i)""")
 def split_at_restarts(spark, d):
-    a, z = F.unix_micros("used_min"), F.unix_micros("used_max")
     cut = lambda x, y: F.struct(F.timestamp_micros(F.expr(f"div({x} * unix_micros(used_min) + {y} * unix_micros(used_max), 3)")).alias("min"), F.timestamp_micros(F.expr(f"div({x} * unix_micros(used_min) + {y} * unix_micros(used_max), 3) + 1000000")).alias("max"))
-    del a, z
     files = D.log_files(spark, d).withColumn("restarts", F.array(cut(2, 1), cut(1, 2)))
     return rounded(Wn.split_at_restarts(files).select("path", "part", "used_min", "used_max", "items"))
 

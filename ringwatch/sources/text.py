@@ -15,6 +15,11 @@ from ..functions.columns import normalize_units
 NODE = r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})"
 
 
+def strip(text: Column | str) -> Column:
+    """Text without white space at its ends, tabs included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], node_pattern: str = NODE) -> DataFrame:
     """(path, node_id, size, block, seq, line) of text files, also gzipped. Within a file (block, seq) is the order of lines,
     however Spark splits it."""
@@ -102,7 +107,7 @@ def _file_order() -> W:
 def _long(rows: DataFrame, source: str, keys: Sequence[str], attr: Column, value: Column) -> DataFrame:
     """Statistics in long form: numbers with their normalised unit, anything else as text."""
     v = normalize_units(value)
-    return rows.select(F.lit(source).alias("source"), *keys, attr.alias("attr"), v["value"].alias("num_value"), F.when(v["value"].isNull(), F.trim(value)).alias("str_value"), F.when(v["value"].isNotNull(), v["unit"]).alias("uom"))
+    return rows.select(F.lit(source).alias("source"), *keys, attr.alias("attr"), v["value"].alias("num_value"), F.when(v["value"].isNull(), strip(value)).alias("str_value"), F.when(v["value"].isNotNull(), v["unit"]).alias("uom"))
 
 
 def read_table_stats(lines: DataFrame) -> DataFrame:
@@ -113,13 +118,13 @@ def read_table_stats(lines: DataFrame) -> DataFrame:
     mark = F.when(F.col("k").isNotNull(), F.struct(F.lit(None).cast("string").alias("t"))).when(F.col("t").isNotNull(), F.struct("t"))
     rows = rows.withColumn("table_name", F.last(mark, ignorenulls=True).over(fill)["t"])
     rows = rows.filter("k is null and t is null and keyspace is not null").filter(F.col("line").rlike(r"^\s*[^:]+:\s*\S"))
-    return _long(rows, "tablestats", ["node_id", "keyspace", "table_name"], F.trim(F.substring_index("line", ":", 1)), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)))
+    return _long(rows, "tablestats", ["node_id", "keyspace", "table_name"], strip(F.substring_index("line", ":", 1)), strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)))
 
 
 def read_pool_stats(lines: DataFrame) -> DataFrame:
     """Thread-pool statistics in three layouts, told apart by the number of columns: pools with five or more numbers, dropped
     messages with one, dropped messages with latency percentiles."""
-    w = F.split(F.trim("line"), r"\s{2,}|\s+(?=[0-9N-])")
+    w = F.split(strip("line"), r"\s{2,}|\s+(?=[0-9N-])")
     rows = lines.filter(F.col("line").rlike(r"\S\s+(?:[0-9]|N/A)")).withColumns({"name": F.element_at(w, 1), "v": F.slice(w, 2, 20)})
     n = F.size("v")
     wide, drop, late = ("Active", "Pending", "Completed", "Blocked", "All time blocked"), ("Dropped",), ("Dropped", "Queue.Latency.Waiting.50%", "Queue.Latency.Waiting.95%", "Queue.Latency.Waiting.99%", "Queue.Latency.Waiting.Max")
@@ -169,7 +174,7 @@ def read_histograms(lines: DataFrame) -> DataFrame:
     """Latency histogram: a row per percentile with the columns read, write, range, CAS read, CAS write and view write latency
     in microseconds, as long statistics in ms."""
     names = ("read", "write", "range", "cas_read", "cas_write", "view_write")
-    w = F.split(F.trim("line"), r"\s+")
+    w = F.split(strip("line"), r"\s+")
     rows = lines.filter(F.col("line").rlike(r"^\s*(?:[0-9]+%|Min|Max)\s+[0-9]")).withColumn("w", w)
     pairs = F.transform(F.sequence(F.lit(2), F.least(F.size("w"), F.lit(len(names) + 1))), lambda k: F.struct(F.concat(F.element_at(F.array(*map(F.lit, names)), k - 1), F.lit("."), F.element_at("w", 1)).alias("attr"), (F.element_at("w", k).try_cast("double") / 1000).alias("v")))
     rows = rows.select("node_id", F.explode(pairs).alias("x"))
@@ -183,7 +188,7 @@ def read_config_lines(lines: DataFrame, cfg_type: str = "yaml") -> DataFrame:
     text = F.regexp_replace("line", r"(^|\s)#.*$", "")
     item = r"^(\s*)((?:- )*)\s*(?:export\s+)?([^:=\s][^:=]*?)?\s*(?:[:=]\s*(.*?))?\s*$"
     rows = lines.withColumn("t", text).filter(F.col("t").rlike(r"\S") & ~F.col("t").rlike(r"^\s*(---|\.\.\.)\s*$"))
-    one = F.struct("block", "seq", F.length(F.regexp_extract("t", r"^(\s*)", 1)).alias("indent"), F.col("t").rlike(r"^\s*- ").alias("dash"), F.trim(F.regexp_extract("t", item, 3)).alias("key"), F.regexp_replace(F.trim(F.regexp_extract("t", item, 4)), r"^[\"']|[\"']$", "").alias("value"), F.col("t").rlike(r"[:=]").alias("pair"))
+    one = F.struct("block", "seq", F.length(F.regexp_extract("t", r"^(\s*)", 1)).alias("indent"), F.col("t").rlike(r"^\s*- ").alias("dash"), strip(F.regexp_extract("t", item, 3)).alias("key"), F.regexp_replace(strip(F.regexp_extract("t", item, 4)), r"^[\"']|[\"']$", "").alias("value"), F.col("t").rlike(r"[:=]").alias("pair"))
     rows = rows.groupBy("path", "node_id").agg(F.array_sort(F.collect_list(one)).alias("items"))
     kind = "struct<stack:array<struct<indent:int,key:string,n:int>>,out:array<struct<property:string,value:string>>>"
 
@@ -207,7 +212,7 @@ def read_config_lines(lines: DataFrame, cfg_type: str = "yaml") -> DataFrame:
 
 def read_hosts_map(lines: DataFrame) -> DataFrame:
     """A hosts file as (address, name) rows; comments and blank lines are skipped."""
-    w = F.split(F.trim(F.regexp_replace("line", r"#.*$", "")), r"\s+")
+    w = F.split(strip(F.regexp_replace("line", r"#.*$", "")), r"\s+")
     return lines.filter(F.size(w) > 1).select(F.element_at(w, 1).alias("address"), F.explode(F.slice(w, 2, 100)).alias("name"))
 
 
