@@ -45,12 +45,12 @@ def pair_sessions(events: DataFrame, keys: Sequence[str] = ("node_id", "session_
     """
     over = W.partitionBy(*keys).orderBy(*order)
     begin, end = F.col("type").bitwiseAND(F.lit(EVENT_TYPES["SessionBegin"])) != 0, F.col("type").bitwiseAND(F.lit(EVENT_TYPES["SessionEnd"])) != 0
-    mark = F.when(begin, F.struct(F.lit(True).alias("open"), F.col("event_id").alias("id"), F.col("ts").alias("ts"))).when(end, F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("timestamp").alias("ts")))
-    rows = events.withColumn("event_id", F.col("event_id").cast("string")).withColumn("mark", mark)
+    mark = F.when(begin, F.struct(F.lit(True).alias("open"), F.col("event_id").cast("string").alias("id"), F.col("ts").alias("ts"))).when(end, F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("timestamp").alias("ts")))
+    rows = events.withColumn("mark", mark)
     rows = rows.withColumn("seen", F.last("mark", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)))
     rows = rows.withColumn("next", F.first("mark", ignorenulls=True).over(over.rowsBetween(1, W.unboundedFollowing)))
     open_ = F.coalesce(F.col("seen.open"), F.lit(False))
-    session = F.when(begin, F.col("event_id")).when(open_, F.col("seen.id"))
+    session = F.when(begin, F.col("event_id").cast("string")).when(open_, F.col("seen.id"))
     started = F.when(begin, F.col("ts")).when(open_, F.col("seen.ts"))
     orphan = F.when(end, ~open_).when(begin, F.coalesce(F.col("next.open"), F.lit(True))).otherwise(~open_)
     took = F.when(end & open_, (F.unix_micros("ts") - F.unix_micros("seen.ts")) / 1000.0)
