@@ -165,22 +165,29 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15) -> tuple
     its correlations above a tenth).
     """
     said = (votes != 0).astype(float)
-    p, weight = np.clip(known, 0.05, 0.95), np.ones(votes.shape[1])
-    for _ in range(rounds):
+    p = np.clip(known, 0.05, 0.95)
+
+    def rates_given(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mass = np.array([(1 - p).sum(), p.sum()]) + 1.0
         rate = np.stack([((1 - p) @ said + 0.02) / (mass[0] + 0.04), (p @ said + 0.02) / (mass[1] + 0.04)])
-        rate = np.clip(rate, 1e-4, 1 - 1e-4)
-        rest = said - np.where(p[:, None] > 0.5, rate[1], rate[0])
-        cov = rest.T @ rest / len(p)
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-        rho = np.abs(cov / scale[:, None] / scale[None, :])
-        np.fill_diagonal(rho, 0.0)
-        weight = 1 / (1 + np.where(rho > 0.1, rho, 0.0).sum(axis=1))
-        right = np.clip([(1 - p) @ (1 - known) / mass[0], p @ known / mass[1]], 0.6, 0.98)
+        return mass, np.clip(rate, 1e-4, 1 - 1e-4)
+
+    # correlations come from the known labels: from the posterior, copies of a voter would explain each other away
+    _, rate = rates_given(p)
+    rest = said - np.where(known[:, None] == 1, rate[1], rate[0])
+    cov = rest.T @ rest / max(len(p), 1)
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-6))
+    rho = np.abs(cov / scale[:, None] / scale[None, :])
+    np.fill_diagonal(rho, 0.0)
+    weight = 1 / (1 + np.where(rho > 0.1, rho, 0.0).sum(axis=1))
+    for _ in range(rounds):
+        mass, rate = rates_given(p)
         on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
+        odds = np.log(mass[1] / mass[0]) + said @ (weight * on) + (1 - said) @ (weight * off)
+        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))  # from the other voters alone: they tell how good the known labels are
+        right = np.clip([(1 - q) @ (1 - known) / (1 - q).sum(), q @ known / q.sum()], 0.6, 0.98)
         gold = np.where(known == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
-        odds = np.log(mass[1] / mass[0]) + gold + said @ (weight * on) + (1 - said) @ (weight * off)
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(odds + gold, -30, 30)))
     accuracy = np.where(votes.sum(axis=0) >= 0, p @ said, (1 - p) @ said) / np.maximum(said.sum(axis=0), 1)
     return p, accuracy, weight
 
