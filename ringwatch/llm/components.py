@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         new = materialize(_small_star(_large_star(now)))
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(now)
         if mark == seen:
             return new.select(F.col("u").alias("node"), F.col("v").alias("component"))
         now, seen = new, mark
