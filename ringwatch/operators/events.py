@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import has_flag, prop_long, prop_non_negative, prop_number, prop_positive
 from ..schema import EVENT_CLASSES, EVENT_TYPES, ORPHANED
+from .stats import with_one_row
 
 
 def item_stats(value: Column, name: str) -> list[Column]:
@@ -132,9 +133,12 @@ def classify_events(lines: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 
 def select_rules(rules: DataFrame, versions: DataFrame) -> DataFrame:
     """The rules that hold for each node version: those without a version, and of each event class the one with the
-    highest version not above the node's. rules (tag, class, match_version int), versions (version int)."""
-    free = rules.filter("match_version is null").crossJoin(F.broadcast(versions.distinct()))
-    tied = rules.filter("match_version is not null").join(F.broadcast(versions.distinct()), F.col("match_version") <= F.col("version"))
+    highest version not above the node's. rules (tag, class, match_version int), versions (version int): a handful."""
+    every = versions.agg(F.sort_array(F.collect_set("version")).alias("every"))
+    rows = with_one_row(rules, every)
+    fits = F.when(F.col("match_version").isNull(), F.col("every")).otherwise(F.filter("every", lambda v: v >= F.col("match_version")))
+    rows = rows.withColumn("version", F.explode(fits)).drop("every")
+    free, tied = rows.filter("match_version is null"), rows.filter("match_version is not null")
     best = W.partitionBy("version", "class").orderBy(F.desc("match_version"), "tag")
     tied = tied.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
     return free.unionByName(tied)

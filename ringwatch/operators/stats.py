@@ -12,6 +12,11 @@ from ..functions.columns import THRESHOLDS, attr_weight, config_property, config
 from ..schema import EVENT_CLASSES
 
 
+def with_one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows with the columns of a one-row table, by an equi-join on a constant that broadcasts the one row."""
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def _class(name: str) -> Column:
     return has_flag(F.col("class"), EVENT_CLASSES[name])
 
@@ -21,7 +26,7 @@ def event_counts(events: DataFrame, keys: Sequence[str], classes: Sequence[str]
     a total of 0 gives 0. The totals are one row, joined by broadcast, so no key's rows meet in one task."""
     counts = [F.count_if(_class(c)).alias(c.lower()) for c in classes]
     rows, total = events.groupBy(*keys).agg(*counts), events.agg(*[c.alias(f"total_{k}") for c, k in zip([F.count_if(_class(c)) for c in classes], classes, strict=True)])
-    rows = rows.crossJoin(F.broadcast(total))
+    rows = with_one_row(rows, total)
     share = [F.when(F.col(f"total_{c}") > 0, F.col(c.lower()) / F.col(f"total_{c}")).otherwise(0.0).alias(f"{c.lower()}_share") for c in classes]
     return rows.select(*keys, *[c.lower() for c in classes], *share)
 
@@ -74,7 +79,7 @@ def percent_of_total(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each column as a share of its total over all rows, as <column>_pct; a total of 0 gives 0."""
     total = rows.agg(*[F.sum(c).alias(f"total_{c}") for c in columns])
     share = {f"{c}_pct": F.when(F.col(f"total_{c}") > 0, F.coalesce(F.col(c), F.lit(0)) / F.col(f"total_{c}")).otherwise(0.0) for c in columns}
-    return rows.crossJoin(F.broadcast(total)).withColumns(share).drop(*[f"total_{c}" for c in columns])
+    return with_one_row(rows, total).withColumns(share).drop(*[f"total_{c}" for c in columns])
 
 
 def tagged_tables(stats: DataFrame, attrs: Mapping[str, str], keys: Sequence[str] = ("dc", "keyspace", "table_name", "node_id"), rules: Mapping[str, Mapping] = THRESHOLDS) -> DataFrame:
@@ -349,6 +354,22 @@ def repair_ran(events: DataFrame) -> DataFrame:
     return events.groupBy("node_id").agg(F.coalesce(F.bool_or(_class("Repair") & F.col("status").startswith("success")), F.lit(False)).alias("repair_ran"))
 
 
+#: The columns of each flat fact table.
+FACTS = {
+    "token_ranges": ("dc", "node_id", "start", "end", "slots", "load_mib"),
+    "machines": ("dc", "node_id", "os", "cores", "memory_mib", "heap_mib", "timezone"),
+    "log_files": ("dc", "node_id", "path", "is_debug", "used_min", "used_max", "size_mib", "items"),
+    "schema_objects": ("keyspace", "name", "kind", "base_table", "compaction"),
+    "table_stats": ("source", "dc", "node_id", "keyspace", "table_name", "attr", "num_value", "str_value", "uom"),
+}
+
+
+def fact_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Flat projections of facts in fixed column order; a column that a table lacks is null."""
+    pick = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+    return {name: df.select(*[pick(df, c) for c in FACTS[name]]) for name, df in tables.items()}
+
+
 def multi_instance_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes with the multi-instance flag and a server id."""
     return nodes.filter("multi_instance and server_id is not null")

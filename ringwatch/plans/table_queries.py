@@ -402,3 +402,20 @@ def read_table_stats(spark, d):
     rows = T.read_table_stats(text)
     pick = lambda a, n: F.max(F.when(F.col("attr") == a, F.col("num_value"))).alias(n)
     return rows.groupBy("node_id", "keyspace", "table_name").agg(pick("Read Count", "reads"), pick("Space used", "space_mib"))
+
+
+@query("fact_token_ranges", ORACLE_SQL["ring_to_ranges"].replace("SELECT node_id,", "SELECT 'dc1' AS dc, node_id,").replace("token AS \"end\"", "token AS \"end\", NULL::VARCHAR AS load_mib"))
+def fact_token_ranges(spark, d):
+    return S.fact_tables({"token_ranges": Wn.ring_to_ranges(D.ring(spark, d))})["token_ranges"].drop("slots")
+
+
+@query("fact_table_stats", f"WITH {ST} SELECT dc, node_id, keyspace, table_name, attr, round(num_value, 4) AS num_value FROM st WHERE attr = 'tax' AND num_value > 0.07")
+def fact_table_stats(spark, d):
+    rows = S.fact_tables({"table_stats": D.long_stats(spark, d)})["table_stats"].drop("source", "str_value", "uom")
+    return rounded(rows.filter("attr = 'tax' and num_value > 0.07"))
+
+
+@query("multi_instance_nodes", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000 AND s_nationkey % 2 = 0")
+def multi_instance_nodes(spark, d):
+    rows = D.table(spark, d, "supplier").withColumns({"multi_instance": F.col("s_acctbal") > 5000, "server_id": F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name"))})
+    return S.multi_instance_nodes(rows).select("s_suppkey")
