@@ -323,7 +323,7 @@ def data_quality_node(spark, d):
 @query("data_quality_dc", f"""WITH {_DQ}, s AS (SELECT dc, count(*)::BIGINT AS nodes, sum(dq) AS dq, sum(CASE WHEN sys IS NULL THEN 0 ELSE 1 END) AS sf, sum(CASE WHEN deb IS NULL OR dc::INT % 4 = 0 THEN 0 ELSE 1 END) AS df, sum(reads * 40) AS e, sum(writes) AS g, sum(reads * 20) AS f, sum(reads * 15) AS c FROM q GROUP BY dc),
 t AS (SELECT *, dq - CASE WHEN (sf > 0 OR df > 0) AND e < 10000 THEN (1 - e / 10000) * nodes ELSE 0 END - CASE WHEN sf > 0 AND g < 350 THEN (1 - g / 350) * nodes ELSE 0 END - CASE WHEN df > 0 AND f < 10000 THEN (1 - f / 10000) * nodes ELSE 0 END - CASE WHEN df > 0 AND c < 5000 THEN (1 - c / 5000) * nodes ELSE 0 END AS x,
 CASE WHEN df > 0 THEN 0 ELSE 1 END + CASE WHEN sf > 0 THEN 0 ELSE 2 END + CASE WHEN df > 0 AND sf > 0 THEN 0 ELSE 1 END AS o, nodes * 3.0 AS q FROM s)
-SELECT dc, nodes, round(x, 4) AS factor, nodes * 12.0 AS best, CASE WHEN x >= 4 * q - o THEN 'Excellent' WHEN x >= 3 * q - o THEN CASE WHEN x >= 3.5 * q - o AND 4 * q - o > 0 THEN 'Good+' ELSE 'Good' END WHEN x >= 2 * q - o THEN CASE WHEN x >= 2.5 * q - o AND 3 * q - o > 0 THEN 'OK+' ELSE 'OK' END WHEN x >= q - o THEN 'Poor' ELSE 'Poor-' END AS quality FROM t""")
+SELECT dc, nodes, round(x, 4) AS factor, (nodes * 12.0)::DOUBLE AS best, CASE WHEN x >= 4 * q - o THEN 'Excellent' WHEN x >= 3 * q - o THEN CASE WHEN x >= 3.5 * q - o AND 4 * q - o > 0 THEN 'Good+' ELSE 'Good' END WHEN x >= 2 * q - o THEN CASE WHEN x >= 2.5 * q - o AND 3 * q - o > 0 THEN 'OK+' ELSE 'OK' END WHEN x >= q - o THEN 'Poor' ELSE 'Poor-' END AS quality FROM t""")
 def data_quality_dc(spark, d):
     rows = _rated(spark, d).withColumns({"system_files": F.col("system_hours").isNotNull().cast("int"), "debug_files": (F.col("debug_hours").isNotNull() & (F.col("dc").cast("int") % 4 != 0)).cast("int"), "events": F.col("reads") * 40, "gcs": F.col("writes"), "flushes": F.col("reads") * 20, "compactions": F.col("reads") * 15})
     return rounded(S.data_quality_dc(rows))
