@@ -19,7 +19,7 @@ _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Symbols above which a segment is merged with a heap instead, whose time doesn't depend on the number of rounds.
 LONG = 4_000
 #: Segments kept with their ids; texts encoded together.
-KEPT, CHUNK = 150_000, 256
+KEPT, CHUNK = 100_000, 256
 NONE = np.iinfo(np.int64).max
 
 

@@ -19,6 +19,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
+#: Texts rewritten together.
+CHUNK = 1_000
 #: Candidate strings for the entropy test, and the window over them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
@@ -139,9 +141,11 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [None if t is None else redact(t) for t in b.column("text").to_pylist()]
-        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(found, pa.string()))
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            b = batch.slice(at, CHUNK)
+            found = [None if t is None else redact(t) for t in b.column("text").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(found, pa.string()))
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
