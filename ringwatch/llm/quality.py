@@ -32,14 +32,14 @@ def features(text: str) -> list[float]:
     words = text.split() or [text]
     m = len(words)
     lines = line_measures(text) or [(1.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0)]
-    table = np.array(lines)
-    weight = table[:, 0] / table[:, 0].sum()
+    each = np.array(lines)
+    weight = each[:, 0] / each[:, 0].sum()
     letters = sum(map(str.isalpha, words))
     same = sum(1 for a, b in zip(words, words[1:]) if a == b)
-    bad = (table[:, 1] > 0.5) | (table[:, 2] > 0.6) | ((table[:, 3] < 0.3) & (table[:, 0] > 8)) | (table[:, 8] > 0)
+    bad = (each[:, 1] > 0.5) | (each[:, 2] > 0.6) | ((each[:, 3] < 0.3) & (each[:, 0] > 8)) | (each[:, 8] > 0)
     return [
-        float(np.log1p(n)), chars / n, symbols / n, text.count("|") / n, float(weight @ table[:, 2]), text.count("!") / n, len(set(words)) / m, same / m,
-        repeated / n, again / len(lines), float(np.log1p(m / len(lines))), float(weight @ table[:, 7]), float(weight @ table[:, 6]), float(weight @ bad), letters / m,
+        float(np.log1p(n)), chars / n, symbols / n, text.count("|") / n, float(weight @ each[:, 2]), text.count("!") / n, len(set(words)) / m, same / m,
+        repeated / n, again / len(lines), float(np.log1p(m / len(lines))), float(weight @ each[:, 7]), float(weight @ each[:, 6]), float(weight @ bad), letters / m,
     ]
 
 
