@@ -106,7 +106,7 @@ def _bag(name: str, items: Column) -> Column:
     return F.when(F.size(items) > 0, F.concat(F.lit(name + "{"), F.array_join(F.array_sort(F.array_distinct(items)), ","), F.lit("}")))
 
 
-def group_key(class_: Column, subclass: Column, nodes: Column, ranges: Column, bags: Mapping[str, Column]) -> Column:
+def group_key_fields(class_: Column, subclass: Column, nodes: Column, ranges: Column, bags: Mapping[str, Column]) -> Column:
     """The text that events are grouped by: class without level and orphan bits, (subclass), nodes, token ranges and named bags
     of values. Lists are sorted, so the order in which they were collected doesn't matter; empty parts are left out."""
     name = flag_names(class_, EVENT_CLASSES, LEVEL_MASK | ORPHANED)
@@ -121,7 +121,7 @@ def localize_time(local: Column, zone: Column | str) -> Column:
     return F.to_utc_timestamp(local, zone)
 
 
-def config_value(value: Column) -> Column:
+def config_value_normalize(value: Column) -> Column:
     """A configuration value for comparing: trimmed, unquoted, lower case, inner white space as one space."""
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(value, r"^\s*[\"']|[\"']\s*$", ""), r"\s+", " ")))
 
@@ -173,7 +173,7 @@ THRESHOLDS = {
 }
 
 
-def lcs_levels(text: Column) -> Column:
+def lcs_parse(text: Column) -> Column:
     """struct(actual, ideal, splits, max_level, first_split) of a level list such as '[1, 12/10, 85]'.
 
     'a/b' is a level with a tables where b would be ideal: a split level. Levels are numbered from 0; max_level is the

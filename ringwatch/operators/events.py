@@ -24,6 +24,11 @@ def bucket_start(ts: Column, minutes: int = 30) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_micros(ts) / (step * 1_000_000)) * step)
 
 
+def bucket_events(events: DataFrame, minutes: int = 30) -> DataFrame:
+    """events with the start of the one aggregation period each lies in; computed, not joined."""
+    return events.withColumn("bucket", bucket_start(F.col("ts"), minutes))
+
+
 #: What each analytics group computes from the properties of its events: output columns by group name.
 def _sum_positive(name: str, key: str) -> Column:
     return F.sum(prop_positive(F.col("props"), key)).alias(name)
@@ -92,7 +97,7 @@ def log_aggregation(events: DataFrame, keys: Sequence[str], minutes: int = 30, g
     """One row per aggregation period and key: count, first and last time, whether an event was orphaned, and the
     columns of the analytics group. Null keys form a group. One shuffle by key after partial aggregation."""
     extra = [F.array_sort(F.collect_set(sessions)).alias("sessions")] if sessions else []
-    rows = events.withColumn("bucket", bucket_start(F.col("ts"), minutes))
+    rows = bucket_events(events, minutes)
     head = [F.count(F.lit(1)).alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.bool_or(has_flag(F.col("class"), ORPHANED)).alias("has_orphan")]
     return rows.groupBy("bucket", *keys).agg(*head, *extra, *analytics_groups()[group])
 
@@ -131,7 +136,7 @@ def classify_events(lines: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     return lines.withColumns({"rule": number, **pick}).withColumn("session_key", session.cast("string"))
 
 
-def select_rules(rules: DataFrame, versions: DataFrame) -> DataFrame:
+def select_rules_for_version(rules: DataFrame, versions: DataFrame) -> DataFrame:
     """The rules that hold for each node version: those without a version, and of each event class the one with the
     highest version not above the node's. rules (tag, class, match_version int), versions (version int): a handful."""
     every = versions.agg(F.sort_array(F.collect_set("version")).alias("every"))

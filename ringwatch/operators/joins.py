@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import config_property, config_value
+from ..functions.columns import config_property, config_value_normalize
 from ..schema import EVENT_TYPES, ORPHANED
 
 
@@ -72,7 +72,7 @@ def config_changes(seen: DataFrame, current: DataFrame) -> DataFrame:
     old = seen.select("node_id", "ts", F.explode("props").alias("property", "old_value")).withColumn("p", config_property(F.col("property")))
     new = current.groupBy(F.col("node_id").alias("n"), config_property(F.col("property")).alias("q")).agg(F.min("value").alias("new_value"))
     rows = old.join(new, (old["node_id"] == new["n"]) & (old["p"] == new["q"]), "left").drop("n", "q", "p")
-    return rows.filter(~config_value(F.col("old_value")).eqNullSafe(config_value(F.col("new_value")))).distinct()
+    return rows.filter(~config_value_normalize(F.col("old_value")).eqNullSafe(config_value_normalize(F.col("new_value")))).distinct()
 
 
 def attach_common_key(tables: DataFrame, factors: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def tokens_containing(tokens: DataFrame, ranges: DataFrame, cells: int = 256) ->
     return t.join(cut, "cell").filter(inside).drop("cell", "part")
 
 
-def flagged_tables(rows: DataFrame, flag: Column) -> DataFrame:
+def flagged_tables_semi(rows: DataFrame, flag: Column) -> DataFrame:
     """All rows of the tables that are flagged in any row."""
     return rows.join(rows.filter(flag).select("keyspace", "table_name").distinct(), ["keyspace", "table_name"], "left_semi")
 

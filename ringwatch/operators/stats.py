@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import THRESHOLDS, attr_weight, config_property, config_value, has_flag, lcs_levels, weigh
+from ..functions.columns import THRESHOLDS, attr_weight, config_property, config_value_normalize, has_flag, lcs_parse, weigh
 from ..schema import EVENT_CLASSES
 
 
@@ -105,6 +105,14 @@ def tagged_tables(stats: DataFrame, attrs: Mapping[str, str], keys: Sequence[str
     return rows.withColumns({"weight_max": F.array_max(weights), "weight_avg": F.when(F.size(weights) > 0, total / F.size(weights)), "flagged": flag}).drop(*[f"{n}_n" for n in attrs])
 
 
+def tagged_tables_node(stats: DataFrame, attrs: Mapping[str, str], rules: Mapping[str, Mapping] = THRESHOLDS) -> DataFrame:
+    return tagged_tables(stats, attrs, ("dc", "keyspace", "table_name", "node_id"), rules)
+
+
+def tagged_tables_dc(stats: DataFrame, attrs: Mapping[str, str], rules: Mapping[str, Mapping] = THRESHOLDS) -> DataFrame:
+    return tagged_tables(stats, attrs, ("dc", "keyspace", "table_name"), rules)
+
+
 def tagged_rollup(tagged: DataFrame, name: str, trigger: float = 0.9, keys: Sequence[str] = ("keyspace", "table_name")) -> DataFrame:
     """An attribute's weights over nodes or data centers: (sum + max) / (n + 1), for tables with a weight of `trigger` or more."""
     w = F.col(f"{name}_weight")
@@ -234,7 +242,7 @@ def config_coverage(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     sizes = sizes.groupBy("dc").agg(F.count(F.lit(1)).alias("dc_nodes"), F.count_if(F.col("has").isNull()).alias("without"))
     whole = lines.filter("node_id is null").drop("node_id").join(nodes.select("dc", "node_id"), "dc")
     every = lines.filter("node_id is not null").unionByName(whole.select(*lines.columns))
-    every = every.select("dc", "node_id", "cfg_type", config_property(F.col("property")).alias("property"), config_value(F.col("value")).alias("value"))
+    every = every.select("dc", "node_id", "cfg_type", config_property(F.col("property")).alias("property"), config_value_normalize(F.col("value")).alias("value"))
     values = every.groupBy("dc", "cfg_type", "property", "value").agg(F.array_sort(F.collect_set("node_id")).alias("nodes")).withColumn("n", F.size("nodes"))
     group = W.partitionBy("dc", "cfg_type", "property")
     order = group.orderBy(F.desc("n"), "value")
@@ -287,7 +295,7 @@ def table_derived_ratios(wide: DataFrame) -> DataFrame:
     -1 reads as missing; a ratio without a denominator is null; the level ratio is actual / ideal tables, 1 where ideal is 0
     and 0 where actual is."""
     known = lambda c: F.when(F.col(c) != -1, F.col(c))
-    lcs = lcs_levels(F.col("lcs"))
+    lcs = lcs_parse(F.col("lcs"))
     share = lambda a, b: F.try_divide(known(a), known(a) + known(b))
     level = F.when(lcs["ideal"] == 0, 1.0).when(lcs["actual"] == 0, 0.0).otherwise(lcs["actual"] / F.nullif(lcs["ideal"], F.lit(0)))
     return wide.withColumns({"tombstone_ratio": share("tombstones", "live_cells"), "read_ratio": share("reads", "writes"), "write_ratio": share("writes", "reads"), "lcs_ratio": level})
@@ -305,7 +313,7 @@ def lcs_levels_report(tables: DataFrame) -> DataFrame:
     (keyspace, table) group, assigned over the distinct groups only."""
     groups = tables.select("keyspace", "table_name").distinct()
     groups = groups.withColumn("group_no", F.dense_rank().over(W.orderBy("keyspace", "table_name")))
-    lcs = lcs_levels(F.col("lcs"))
+    lcs = lcs_parse(F.col("lcs"))
     rows = tables.withColumn("v", lcs).filter("v is not null").join(F.broadcast(groups), ["keyspace", "table_name"])
     return rows.select("keyspace", "table_name", "node_id", "lcs", (F.col("v.splits") > 0).alias("is_split"), F.col("v.max_level"), F.col("v.first_split"), "group_no")
 
@@ -338,6 +346,16 @@ def value_lists(events: DataFrame, value: str, keys: Sequence[str], limit: int =
     return rows.groupBy(*keys).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(value)).alias("values"))
 
 
+def partition_size_list(events: DataFrame, keys: Sequence[str] = ("node_id", "keyspace", "table_name")) -> DataFrame:
+    """Large partition sizes (partition_mib) per node and table."""
+    return value_lists(events, "partition_mib", keys)
+
+
+def insufficient_space_list(events: DataFrame, keys: Sequence[str] = ("node_id", "keyspace")) -> DataFrame:
+    """Space that compactions lacked (required_mib) per node and keyspace."""
+    return value_lists(events, "required_mib", keys)
+
+
 def dropped_messages(documents: DataFrame) -> DataFrame:
     """Insight documents (node_id, ts, data.groups array<struct<name,internal,cross,mean_ms>>) as a row per message group."""
     return documents.select("node_id", "ts", F.explode("data.groups").alias("g")).select("node_id", "ts", F.col("g.name").alias("message"), F.col("g.internal").alias("internal"), F.col("g.cross").alias("cross_node"), F.col("g.mean_ms").alias("mean_ms"))

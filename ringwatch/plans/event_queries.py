@@ -332,7 +332,7 @@ def value_lists(spark, d):
 @query("event_group_keys", f"WITH {EV} SELECT CASE event_type WHEN 'error' THEN 'GC' WHEN 'click' THEN 'Compaction' WHEN 'purchase' THEN 'MemtableFlush' WHEN 'signup' THEN 'Repair' ELSE 'Tombstone' END || CASE WHEN k % 2 = 0 THEN '(even)' ELSE '' END || CASE WHEN least(node_id, dc) = greatest(node_id, dc) THEN ' [' || dc || ']' ELSE ' [' || least(node_id, dc) || ', ' || greatest(node_id, dc) || ']' END || ' Tag{{' || table_name || '}}' AS key, count(*)::BIGINT AS count FROM ev GROUP BY ALL")
 def event_group_keys(spark, d):
     empty = F.array().cast("array<string>")
-    key = C.group_key(F.col("class").bitwiseOR(F.lit(EVENT_CLASSES["Error"])), F.when(F.col("k") % 2 == 0, "even"), F.array("node_id", "dc"), empty, {"Tag": F.array("table_name"), "options": empty})
+    key = C.group_key_fields(F.col("class").bitwiseOR(F.lit(EVENT_CLASSES["Error"])), F.when(F.col("k") % 2 == 0, "even"), F.array("node_id", "dc"), empty, {"Tag": F.array("table_name"), "options": empty})
     return D.events(spark, d).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -91,13 +91,13 @@ def _tag_sql(keys: str) -> str:
 round(read_latency_weight, 4) AS read_latency_weight, round(write_latency_weight, 4) AS write_latency_weight, coalesce(read_latency_weight >= 0.65, false) OR coalesce(write_latency_weight >= 0.65, false) AS flagged,
 round(greatest(CASE WHEN read_latency_weight > 0 THEN read_latency_weight END, CASE WHEN write_latency_weight > 0 THEN write_latency_weight END), 4) AS weight_max FROM tg""")
 def tagged_tables_node(spark, d):
-    out = S.tagged_tables(D.long_stats(spark, d), _ATTRS, rules=_RULES)
+    out = S.tagged_tables_node(D.long_stats(spark, d), _ATTRS, _RULES)
     return rounded(out.select("dc", "keyspace", "table_name", "node_id", "read_latency_max", "read_latency_avg", "read_latency_weight", "write_latency_weight", "flagged", "weight_max"))
 
 
 @query("tagged_tables_dc", ORACLE_SQL["tagged_tables_node"].replace("dc, keyspace, table_name, node_id", "dc, keyspace, table_name"))
 def tagged_tables_dc(spark, d):
-    out = S.tagged_tables(D.long_stats(spark, d), _ATTRS, ["dc", "keyspace", "table_name"], _RULES)
+    out = S.tagged_tables_dc(D.long_stats(spark, d), _ATTRS, _RULES)
     return rounded(out.select("dc", "keyspace", "table_name", "read_latency_max", "read_latency_avg", "read_latency_weight", "write_latency_weight", "flagged", "weight_max"))
 
 
@@ -111,7 +111,7 @@ def tagged_rollup(spark, d):
 @query("flagged_tables", f"""WITH {ST}, {_tag_sql("dc, keyspace, table_name, node_id")} SELECT keyspace, table_name, count(*)::BIGINT AS n FROM tg WHERE (keyspace, table_name) IN (SELECT (keyspace, table_name) FROM tg WHERE read_latency_weight >= 1.95) GROUP BY ALL""")
 def flagged_tables(spark, d):
     rows = S.tagged_tables(D.long_stats(spark, d), _ATTRS, rules=_RULES)
-    return J.flagged_tables(rows, F.col("read_latency_weight") >= 1.95).groupBy("keyspace", "table_name").agg(F.count(F.lit(1)).alias("n"))
+    return J.flagged_tables_semi(rows, F.col("read_latency_weight") >= 1.95).groupBy("keyspace", "table_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("threshold_weights", f"""WITH {EV} SELECT event_id, round({_over("duration_ms", 15.0, 0.25, 0.5)}, 4) AS over_weight, round(CASE WHEN duration_ms / 15 > 1 THEN 0.25 * duration_ms / 15 ELSE 0.25 END, 4) AS under_weight,
@@ -391,7 +391,7 @@ def log_file_inventory(spark, d):
 @query("select_rules", "WITH r AS (SELECT p_partkey AS tag, p_size % 10 AS class, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 7 END AS v FROM part), n AS (SELECT DISTINCT n_nationkey % 6 AS version FROM nation), b AS (SELECT n.version, r.*, row_number() OVER (PARTITION BY n.version, class ORDER BY v DESC, tag) AS i FROM r JOIN n ON v <= n.version) SELECT version, tag FROM b WHERE i = 1 UNION ALL SELECT version, tag FROM r, n WHERE v IS NULL")
 def select_rules(spark, d):
     rules = D.table(spark, d, "part").select(F.col("p_partkey").alias("tag"), (F.col("p_size") % 10).alias("class"), F.when(F.col("p_size") % 3 != 0, F.col("p_size") % 7).alias("match_version"))
-    return E.select_rules(rules, D.table(spark, d, "nation").select((F.col("n_nationkey") % 6).alias("version"))).select("version", "tag")
+    return E.select_rules_for_version(rules, D.table(spark, d, "nation").select((F.col("n_nationkey") % 6).alias("version"))).select("version", "tag")
 
 
 @query("read_table_stats", f"WITH {EV} SELECT node_id, 'ks' || (user_id % 3) AS keyspace, 't' || user_id AS table_name, round(sum(duration_ms), 2) AS reads, count(*)::DOUBLE * 2 / 1024 AS space_mib FROM ev GROUP BY ALL")

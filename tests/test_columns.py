@@ -55,12 +55,12 @@ def test_sstable_to_table(spark):
 
 def test_group_key_is_independent_of_list_order(spark):
     df = spark.createDataFrame([(["b", "a"],), (["a", "b"],)], "n array<string>")
-    key = C.group_key(F.lit(EVENT_CLASSES["GC"] | EVENT_CLASSES["Error"] | EVENT_CLASSES["Orphaned"]), F.lit("old"), F.col("n"), F.array().cast("array<string>"), {"Tag": F.col("n")})
+    key = C.group_key_fields(F.lit(EVENT_CLASSES["GC"] | EVENT_CLASSES["Error"] | EVENT_CLASSES["Orphaned"]), F.lit("old"), F.col("n"), F.array().cast("array<string>"), {"Tag": F.col("n")})
     assert {r[0] for r in df.select(key).collect()} == {"GC(old) [a, b] Tag{a,b}"}
 
 
 def test_lcs_levels(spark):
-    v = C.lcs_levels(F.col("x"))
+    v = C.lcs_parse(F.col("x"))
     got = values(spark, "string", ["[1, 12/10, 85]", "[0, 0]", "none", None], v["actual"], v["ideal"], v["splits"], v["max_level"], v["first_split"])
     assert got == [(98, 96, 1, 2, 1), (0, 0, 0, None, None), (None,) * 5, (None,) * 5]
 
@@ -71,4 +71,4 @@ def test_token_slots(spark):
 
 
 def test_config_values(spark):
-    assert values(spark, "string", ['  "Abc  D" ', "x", None], C.config_value(F.col("x"))) == ["abc d", "x", None]
+    assert values(spark, "string", ['  "Abc  D" ', "x", None], C.config_value_normalize(F.col("x"))) == ["abc d", "x", None]
