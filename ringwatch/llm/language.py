@@ -106,7 +106,7 @@ class LanguageModel:
             self.found = np.concatenate([self.found, self.evidence(new)])
         out = []
         for w in words:
-            if not w:
+            if not any(any(map(str.isalpha, x)) for x in w):  # numerals such as a half are in words, but no letters
                 out.append(("und", 0.0))
                 continue
             total = self.found[list(map(self.at.__getitem__, w))].sum(axis=0)

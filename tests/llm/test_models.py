@@ -87,7 +87,7 @@ def test_backoff():
     logs = np.log([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]])
     model = language.LanguageModel(["a", "b"], {0: {"known": 0}, 1: {}, 2: {"un": 1}, 3: {}, 4: {"<unk": 2}}, logs - logs.max(axis=1, keepdims=True))
     assert model._rows_of("known") == [0] and model._rows_of("unk") == [2, 1] and model._rows_of("zz") == [] and model._rows_of("sun") == []
-    assert model.predict(["known known", "", "123"]) == [("a", pytest.approx(81 / 82)), ("und", 0.0), ("und", 0.0)]
+    assert model.predict(["known known", "", "123", "½ ² _"]) == [("a", pytest.approx(81 / 82)), *[("und", 0.0)] * 3]
 
 
 def brute_counts(text):
