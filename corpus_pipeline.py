@@ -18,12 +18,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
+#: Ids of dropped documents up to this size are broadcast, so that no text is shuffled; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest doc_id. Of rows that share it and the text one stays."""
-    groups = materialize(simhash.simhash_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("least")))
-    kept = groups.distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["least"]), "left_semi")
-    return rows if kept.count() == groups.count() else rows.dropDuplicates(["doc_id", "text"])
+    """One document of each SimHash group: the one with the smallest doc_id.
+
+    Where doc_ids repeat, rows with the same doc_id and fingerprint are one document; a group's smallest doc_id may
+    then stay once for each of its fingerprints."""
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    groups = materialize(simhash.simhash_groups(docs).select(F.col("doc_id").alias("id"), F.col("fp").alias("print"), first.alias("first")))
+    n = groups.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(~F.col("first")).alias("dropped")).first()
+    if n["rows"] == n["ids"]:
+        dropped = groups.filter(~F.col("first")).select("id")
+        return docs.join(F.broadcast(dropped) if 8 * n["dropped"] <= BROADCAST_BYTES else dropped, docs["doc_id"] == dropped["id"], "left_anti")
+    kept = groups.filter("first").select("id", "print").distinct()
+    rows = simhash.add_fingerprints(docs, "_print")
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["_print"] == kept["print"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_print"]).drop("_print")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Forest, materialize, table
 from .components import components
@@ -50,6 +51,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _added(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = pa.array((fingerprint((t.as_py() or "").encode()) for t in b.column("text")), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, name])
+
+    return run
+
+
+def add_fingerprints(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the fingerprint of each text as a new column."""
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_added(name), StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def _near(pdf: pd.DataFrame) -> pd.DataFrame:
     """Spanning edges of the links between tile a (side 0) and tile b (side 1), or inside a when b is a."""
     side = pdf["side"].to_numpy()

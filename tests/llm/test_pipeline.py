@@ -40,6 +40,14 @@ def test_repeated_rows_leave_one(spark, sf):
     assert [r.doc_id for r in sorted(got, key=lambda r: str(r.doc_id))] == [1, None]
 
 
+def test_dropped_ids_by_broadcast_or_shuffle(spark, sf, monkeypatch):
+    texts = ["a b c d e", "p q r s t", "a b c d e", "one two three four"]
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], KIND)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_BYTES", most)
+        assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, sf).collect()) == [0, 1, 3]
+
+
 def test_stages_take_odd_and_empty_tables(spark, odd, empty, sf):
     for start in (odd, empty):
         docs = start
