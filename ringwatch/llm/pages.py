@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -42,8 +42,7 @@ DROP_NAMES = frozenset(
 LAYOUT_NAMES = frozenset("layout has with without no".split())
 KEEP_NAMES = frozenset("article post entry story content main".split())
 ASIDE_ARTICLES = frozenset("comment comments reply replies ad ads advert promo sponsored related".split())
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tr td th figure".split())
-#: What holds a block, from nothing known to an article; the highest that a page has is its main text.
+#: What holds a block, from nothing known to an article. What is dropped is never content, whatever the template says.
 UNKNOWN, NAMED, MAIN, ARTICLE, DROP = 0, 1, 2, 3, 9
 
 
@@ -79,12 +78,11 @@ def role_of(tag: str, attributes: str, above: int) -> tuple[str, int]:
     return label, above
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, str]], dict[str, int], dict[str, tuple[int, int]]]:
-    """(blocks, counts, sizes) of a page: its blocks of text in order as (path, role, text); how often each path is
-    opened; the characters of text, and of those in links, directly in each path's blocks."""
-    blocks: list[tuple[str, int, str]] = []
+def parse(page: str) -> tuple[list[tuple[str, int, str, int]], dict[str, int]]:
+    """(blocks, counts) of a page: its blocks of text in order as (path, role, text, characters of it in links); how
+    often each path is opened."""
+    blocks: list[tuple[str, int, str, int]] = []
     counts: dict[str, int] = {}
-    sizes: dict[str, list[int]] = {}
     stack: list[tuple[str, str, int]] = [("", "", UNKNOWN)]  # tag, path, role
     pieces: list[tuple[str, str, int, bool]] = []
     links = 0
@@ -97,11 +95,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], dict[str, int], dict[s
             own = [p for p in pieces if p[2] == role]
             text = " ".join(html.unescape("".join(p[0] for p in own)).split())
             if text:
-                path = own[0][1]
-                blocks.append((path, role, text))
-                size = sizes.setdefault(path, [0, 0])
-                size[0] += len(text)
-                size[1] += min(len(text), sum(len(p[0]) for p in own if p[3]))
+                blocks.append((own[0][1], role, text, min(len(text), sum(len(p[0]) for p in own if p[3]))))
         pieces.clear()
 
     at, n = 0, len(page)
@@ -152,7 +146,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], dict[str, int], dict[s
             stack.append((tag, path, role))
             links += tag == "a"
     flush()
-    return blocks, counts, {k: (v[0], v[1]) for k, v in sizes.items()}
+    return blocks, counts
 
 
 def host_of(url: str | None) -> str:
@@ -165,18 +159,22 @@ def _mark(text: str) -> str:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each token (a path, or a text of a path without a known role) of a host, summed per partition.
+    """Occurrences of each token (a path, or a text of a path that isn't dropped) of a host, summed per partition.
 
     The occurrence vector of a token over all pages is kept as two sums of hashes of (page, count), which add up in
     any order; equal vectors have equal sums."""
     seen: dict[tuple[str, str], list[int]] = {}
     for b in batches:
         for page_id, url, page in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            blocks, counts, sizes = parse(page or "")
-            for path, role, text in blocks:
-                if role == UNKNOWN:
+            blocks, counts = parse(page or "")
+            sizes: dict[str, tuple[int, int]] = {}
+            for path, role, text, link_chars in blocks:
+                if role != DROP:
                     key = path + _mark(text)
                     counts[key] = counts.get(key, 0) + 1
+                    for token in (path, key):
+                        chars, linked = sizes.get(token, (0, 0))
+                        sizes[token] = (chars + len(text), linked + link_chars)
             host, page_key = host_of(url), f"{page_id}|{url}|"
             counts["*"] = 1
             for token, n in counts.items():
@@ -221,65 +219,71 @@ def nest(tokens: pd.DataFrame) -> tuple[set[str], dict[str, str]]:
 
 
 def _template(tokens: pd.DataFrame) -> pd.DataFrame:
-    """One host's template: its slots that hold the article where no element says so, and its fixed texts.
+    """One host's template: the paths whose slots hold content, those whose slots hold lists of links, and fixed texts.
 
-    A slot is what lies below a template path and below no deeper one. The article's slot is the one with the most
-    text outside links and fixed texts."""
+    A slot is what lies below a template path and below no deeper one, without fixed texts. It is a list of links if
+    half of its text or more is in links."""
     valid, _ = nest(tokens)
-    volume: dict[str, float] = {}
+    volume: dict[str, int] = {}
     for row in tokens.itertuples():
-        if "#" in row.token or not row.chars:
+        slot, text = row.token.partition("#")[::2]
+        if not row.chars or (text and row.token not in valid):
             continue
-        slot = row.token
         while slot and slot not in valid:
             slot = slot.rpartition("/")[0]
-        volume[slot] = volume.get(slot, 0.0) + row.chars - 2 * row.linked
+        volume[slot] = volume.get(slot, 0) + (row.chars - 2 * row.linked) * (-1 if text else 1)
+    linked = {row.token.partition("#")[0] for row in tokens.itertuples() if row.linked}
+    paths = sorted(t for t in valid if "#" not in t)
+    links = [t for t in paths if volume.get(t, 1) <= 0 and any(p == t or p.startswith(t + "/") for p in linked)]
     fixed = sorted(t for t in valid if "#" in t)
-    best = []
-    if volume and max(volume.values()) > 0:
-        slot = max(sorted(volume), key=volume.get)
-        while slot.rpartition("/")[2].partition(".")[0] in TEXT_TAGS:  # paragraphs and headings share their container
-            slot = slot.rpartition("/")[0]
-        best = [slot]
-    return pd.DataFrame({"host": [tokens["host"].iat[0]], "slots": [best], "fixed": [fixed]})
+    return pd.DataFrame({"host": [tokens["host"].iat[0]], "slots": [[t for t in paths if t not in set(links)]], "links": [links], "fixed": [fixed]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slots, fixed) of each host with PAGES pages or more.
+    """(host, slots, links, fixed) of each host with PAGES pages or more.
 
     Tokens are counted per partition and then per (host, token), so a hot host's pages are never brought together.
-    Only tokens on SUPPORT of a host's pages reach its template, at most 1 / SUPPORT times as many as a page has."""
+    Texts of few pages are left out before a host's tokens meet, and only tokens on SUPPORT of its pages reach its template, at most 1 / SUPPORT times as many as a page has."""
     kinds = "host string, token string, " + ", ".join(f"{c} long" for c in TOKEN_COLUMNS)
     tokens = pages.select("page_id", "url", F.col("html").cast("string")).mapInArrow(_tokens, kinds)
-    tokens = materialize(tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS]))
-    hosts = tokens.filter(f"token = '*' and pages >= {PAGES}").select("host", F.col("pages").alias("all"))
-    tokens = tokens.filter("token <> '*'").join(hosts, "host").filter(F.col("pages") >= F.greatest(F.lit(PAGES), F.col("all") * SUPPORT)).drop("all")
-    return tokens.groupBy("host").applyInPandas(_template, "host string, slots array<string>, fixed array<string>")
+    tokens = materialize(tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS]).filter(F.col("pages") >= PAGES))
+    hosts = tokens.filter("token = '*'").select("host", F.col("pages").alias("all"))
+    tokens = tokens.filter("token <> '*'").join(hosts, "host").filter(F.col("pages") >= F.col("all") * SUPPORT).drop("all")
+    return tokens.groupBy("host").applyInPandas(_template, "host string, slots array<string>, links array<string>, fixed array<string>")
+
 
+def main_text(page: str, slots: Collection[str], fixed: Collection[str], links: Collection[str] = ()) -> str:
+    """The article of a page: the blocks in all content slots of its host's template, without fixed texts and without
+    what an element marks as something else. Lists of links are left out unless an article or main element holds them.
 
-def main_text(page: str, slots: list[str], fixed: set[str]) -> str:
-    """The article of a page: its blocks in article elements, or in the next likelier container it has; else what fills
-    the template's article slot, without fixed texts; else every block that no element marks as something else."""
+    A page that the template leaves nothing of is read as one without a template: its blocks in article and main
+    elements and in elements named like them, or every block where it has no such element."""
     blocks = [b for b in parse(page)[0] if b[1] != DROP]
-    most = max((b[1] for b in blocks), default=UNKNOWN)
-    if most != UNKNOWN:
-        return " ".join(t for _, role, t in blocks if role == most)
-    left = [(p, t) for p, _, t in blocks if p + _mark(t) not in fixed] if fixed else [(p, t) for p, _, t in blocks]
-    own = [t for p, t in left if any(p == s or p.startswith(s + "/") for s in slots)]
-    return " ".join(own or [t for _, t in left])
+
+    def content(path: str) -> bool:
+        while path and path not in slots and path not in links:
+            path = path.rpartition("/")[0]
+        return path not in links
+
+    if slots or links:
+        own = [t for path, role, t, _ in blocks if path + _mark(t) not in fixed and (role >= MAIN or content(path))]
+        if own:
+            return " ".join(own)
+    marked = any(role >= MAIN for _, role, _, _ in blocks)
+    return " ".join(t for _, role, t, _ in blocks if role != UNKNOWN or not marked)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets: dict[str, set[str]] = {}
+    sets: dict[str, tuple[set[str], ...]] = {}
     for b in batches:
         texts = []
-        for url, page, slots, fixed in zip(*(b.column(k).to_pylist() for k in ("url", "html", "slots", "fixed")), strict=True):
+        for url, page, *template in zip(*(b.column(k).to_pylist() for k in ("url", "html", "slots", "fixed", "links")), strict=True):
             host = host_of(url)
             if host not in sets:
                 if len(sets) > 1_000:
                     sets.clear()
-                sets[host] = set(fixed or ())
-            texts.append(main_text(page or "", slots or [], sets[host]))
+                sets[host] = tuple(set(part or ()) for part in template)
+            texts.append(main_text(page or "", *sets[host]))
         columns = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
@@ -293,10 +297,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     found = materialize(templates(rows))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("slots", ",")) + F.length(F.array_join("fixed", ",")))).first()[0] or 0
+    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("slots", ",")) + F.length(F.array_join("links", ",")) + F.length(F.array_join("fixed", ",")))).first()[0] or 0
     known = found.withColumnRenamed("host", "host_of_url")
     rows = rows.withColumn("host_of_url", host).join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host_of_url", "left")
-    return rows.select("page_id", "url", "html", "slots", "fixed").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "slots", "links", "fixed").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,22 @@ def test_equal_vectors_form_classes():
 
 def test_empty_table(spark):
     assert pages.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+LISTED = (
+    "<html><body><div class='top'><p>Our site since 1990</p></div><article><h1>Title {0}</h1><p>Body {0}</p><p>Read more in our shop</p></article>"
+    "<div class='text'><p>Second part {0}</p></div><div class='more'><a href='/{0}'>Another story {0}</a></div></body></html>"
+)
+
+
+def test_template_reads_every_content_slot_of_pages_with_articles(spark):
+    rows = [(k, f"http://x.y/{k}", LISTED.format(k)) for k in range(8)]
+    rows += [(20 + k, f"http://same.y/{k}", LISTED.format(1)) for k in range(8)]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k} Body {k} Second part {k}" for k in range(8))
+    assert all(got[20 + k] == "Title 1 Body 1 Read more in our shop" for k in range(8))
+
+
+def test_all_roles_of_a_page_are_read():
+    assert pages.main_text("<h1 class=entry-title>T</h1><div class=text><p>body</p></div>", [], set()) == "T body"
+    assert pages.main_text("<main><p>intro</p><article>x</article></main><div>y</div>", [], set()) == "intro x"
