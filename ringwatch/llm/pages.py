@@ -16,6 +16,8 @@ from .common import materialize, table
 
 #: A class is valid with this share of its host's pages and at least so many pages and tokens.
 SUPPORT, PAGES, TOKENS = 0.5, 4, 2
+#: Names of an element up to so many characters stand in its path as they are; longer ones as a hash of them all.
+LABEL = 64
 #: Templates up to this size in all are broadcast to the pages; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -53,8 +55,9 @@ def role_of(tag: str, attributes: str, above: int) -> tuple[str, int]:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                words = value.split()[:4]
-                label += "".join(f".{re.sub(r'[0-9]+', '', w)}" for w in words)
+                words = value.split()
+                part = "".join(f".{re.sub(r'[0-9/#]+', '', w)}" for w in words)
+                label += part if len(part) <= LABEL else f".{xxhash.xxh64_hexdigest(part.encode())}"
                 names |= {p.lower() for w in words for p in _PART.findall(w)}
             elif name == "role":
                 role = value.lower()

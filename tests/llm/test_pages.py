@@ -64,3 +64,10 @@ def test_template_reads_every_content_slot_of_pages_with_articles(spark):
 def test_all_roles_of_a_page_are_read():
     assert pages.main_text("<h1 class=entry-title>T</h1><div class=text><p>body</p></div>", [], set()) == "T body"
     assert pages.main_text("<main><p>intro</p><article>x</article></main><div>y</div>", [], set()) == "intro x"
+
+
+def test_all_names_of_an_element_count():
+    assert pages.main_text("<p>a</p><div class='mt-4 p-3 border rounded comments'>nice!</div>", [], set()) == "a"
+    assert pages.role_of("div", " class='a b c d article-content'", pages.UNKNOWN)[1] == pages.NAMED
+    labels = {pages.role_of("div", f" class='{'w-1/2 text-[#fff] mt-4 flex ' * n}{last}'", pages.UNKNOWN)[0] for n in (1, 9) for last in ("one", "two")}
+    assert len(labels) == 4 and all(len(x) < 80 and not set("/#") & set(x) for x in labels)
