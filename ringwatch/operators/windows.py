@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -124,15 +125,33 @@ def latest_document(documents: DataFrame, as_of: str, keys: Sequence[str], ts: s
     return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*")
 
 
-def session_parent_chain(events: DataFrame, keys: Sequence[str] = ("node_id",), most: int = 32) -> DataFrame:
+def session_parent_chain(events: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
     """Events with the array of sessions that were open when they began, outermost first.
 
-    events (keys, event_id, session_id, ts_begin, ts_end). A parent began before and ended no earlier. Parents are
-    found among the `most` session begins before the event: nested sessions are that shallow."""
-    order = W.partitionBy(*keys).orderBy("ts_begin", F.desc("ts_end"), "event_id").rowsBetween(-most, -1)
-    earlier = F.collect_list(F.struct("ts_begin", "ts_end", "session_id")).over(order)
-    parents = F.filter(earlier, lambda x: (x["ts_begin"] <= F.col("ts_begin")) & (x["ts_end"] >= F.col("ts_end")))
-    return events.withColumn("parents", F.transform(parents, lambda x: x["session_id"]))
+    events (keys, event_id, session_id, ts_begin, ts_end). A parent comes before in the order of begin, latest end and
+    event_id, and ended no earlier, however many sessions lie between; a session that ends before it begins is no
+    parent. A session stands in the one or two cells of time, of a power of two not shorter than it, that it touches;
+    an event looks into the cell of its begin at each such width in use on its node: an equi-join on the cell and a
+    filter."""
+    order = lambda e: F.struct(F.col("ts_begin").alias("b"), (-F.unix_micros("ts_end")).alias("e"), F.col(e).alias("i"))
+    begin, length = F.unix_micros("ts_begin"), F.unix_micros("ts_end") - F.unix_micros("ts_begin")
+    width = F.when(length >= 0, F.greatest(F.lit(20), F.length(F.bin(length))))
+    ids = [*keys, "event_id", "ts_begin", "ts_end"]
+    open_ = events.filter(width.isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], "session_id", F.col("ts_end").alias("_end"), order("event_id").alias("_at"), width.alias("_width"), begin.alias("_from"), F.unix_micros("ts_end").alias("_to"))
+    open_ = open_.withColumn("_cell", F.explode(F.expr("array_distinct(array(shiftright(_from, _width), shiftright(_to, _width)))")))
+    same = lambda left, right: [F.col(left + k).eqNullSafe(F.col(right + k)) for k in keys]
+    every = lambda parts: reduce(lambda x, y: x & y, parts, F.lit(True))
+    widths = open_.groupBy(*[F.col(f"_{k}").alias(f"__{k}") for k in keys]).agg(F.collect_set("_width").alias("_widths"))
+    rows = events.filter("ts_begin is not null and ts_end is not null").select(*ids).distinct().join(widths, every(same("", "__")))
+    rows = rows.select(*ids, order("event_id").alias("_own"), begin.alias("_begin"), F.explode("_widths").alias("_wide"))
+    rows = rows.withColumn("_place", F.expr("shiftright(_begin, _wide)"))
+    holds = (F.col("_wide") == F.col("_width")) & (F.col("_place") == F.col("_cell")) & (F.col("_at") < F.col("_own")) & (F.col("_end") >= F.greatest("ts_begin", "ts_end"))
+    pairs = rows.join(open_, every([*same("", "_"), holds]))
+    found = pairs.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_at", "session_id"))).alias("_parents"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in ids], F.transform("_parents", lambda x: x["session_id"]).alias("_parents"))
+    out = events.join(found, every([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]), "left")
+    empty = F.filter(F.array("session_id"), lambda _: F.lit(False))
+    return out.select(*events.columns, F.coalesce("_parents", empty).alias("parents"))
 
 
 NETWORK = r"(?i)(connection (?:reset|refused|timed out)|network is unreachable|no route to host|broken pipe|unable to (?:connect|gossip))"

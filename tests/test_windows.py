@@ -90,3 +90,19 @@ def test_trim_overlaps_covers_once(spark, n):
     assert all(x[1] <= y[0] for x, y in zip(used, used[1:]))
     ms = lambda t: round((t - START).total_seconds() * 1000)
     assert {t for a, z in used for t in range(ms(a), ms(z))} == {t for _, a, z in files for t in range(a, z)}
+
+
+def test_parents_are_found_beyond_many_short_sessions(spark):
+    random.seed(4)
+    rows = [("n", 0, 0, 9_000_000), (None, 1, 5, 9_000), (None, 2, 6, 8_000)] + [("n", 10 + k, 1000 + 50 * k, 1020 + 50 * k) for k in range(200)]
+    rows += [("m", 300 + k, a := random.randrange(90_000), a + int(10 ** random.uniform(0, 5))) for k in range(150)]
+    rows += [("m", 500, 7, None), ("m", 501, 90_000, 80_000), ("m", 502, 90_000, 99_000), ("m", 503, 90_000, 99_000)]
+    df = spark.createDataFrame([(n, k, f"s{k}", at(a), None if z is None else at(z)) for n, k, a, z in rows], "node_id string, event_id long, session_id string, ts_begin timestamp, ts_end timestamp")
+    got = {r.event_id: r.parents for r in W.session_parent_chain(df).collect()}
+    key = lambda r: (r[2], -r[3], r[1])
+    whole = sorted((r for r in rows if r[3] is not None), key=key)
+    expected = {r[1]: [f"s{y[1]}" for y in whole if r[3] is not None and y[0] == r[0] and y[2] <= y[3] and key(y) < key(r) and y[3] >= r[3]] for r in rows}
+    assert expected[209] == ["s0"] and expected[2] == ["s1"]
+    # an event that ends before it begins has the parents open at its begin only
+    expected[501] = [p for p in expected[501] if next(y for y in whole if f"s{y[1]}" == p)[3] >= 90_000]
+    assert got == expected
