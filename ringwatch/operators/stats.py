@@ -310,11 +310,14 @@ def table_totals_rollup(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def lcs_levels_report(tables: DataFrame) -> DataFrame:
     """Per keyspace, table and node the level list, its split flag, maximum level, first split level, and a dense number of the
-    (keyspace, table) group, assigned over the distinct groups only."""
+    (keyspace, table) group: its number in the keyspace after the count of groups in keyspaces before it."""
     groups = tables.select("keyspace", "table_name").distinct()
-    groups = groups.withColumn("group_no", F.dense_rank().over(W.orderBy("keyspace", "table_name")))
+    sizes = groups.groupBy("keyspace").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("keyspace", (F.sum("n").over(W.orderBy("keyspace")) - F.col("n")).alias("before"))
+    groups = groups.withColumn("nth", F.row_number().over(W.partitionBy("keyspace").orderBy("table_name"))).join(sizes, "keyspace")
+    groups = groups.select("keyspace", "table_name", (F.col("before") + F.col("nth")).cast("int").alias("group_no"))
     lcs = lcs_parse(F.col("lcs"))
-    rows = tables.withColumn("v", lcs).filter("v is not null").join(F.broadcast(groups), ["keyspace", "table_name"])
+    rows = tables.withColumn("v", lcs).filter("v is not null").join(groups, ["keyspace", "table_name"])
     return rows.select("keyspace", "table_name", "node_id", "lcs", (F.col("v.splits") > 0).alias("is_split"), F.col("v.max_level"), F.col("v.first_split"), "group_no")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,34 +35,42 @@ def gc_back_to_back(events: DataFrame, keys: Sequence[str] = ("node_id",), toler
     return rows.groupBy(*keys, "run").agg(*_run_stats()).filter("occurrences > 1").drop("run")
 
 
-def gc_time_frame(events: DataFrame, keys: Sequence[str] = ("node_id",), frame_ms: float = 300_000, least_ms: float = 75_000, slice_hours: int = 24) -> DataFrame:
+def gc_time_frame(events: DataFrame, keys: Sequence[str] = ("node_id",), frame_ms: float = 300_000, least_ms: float = 75_000) -> DataFrame:
     """Windows anchored at their first event: an event belongs if it begins after the first began and at most `frame_ms`
     after the first ended. Windows with more than one event and `least_ms` of total duration are kept.
 
-    The anchor makes this a fold over ordered events, done by SQL aggregate() over sorted arrays. To keep an array
-    bounded, each key's events are first cut where no window can reach across: at gaps above the frame after the
-    latest end so far.
-    """
-    order = W.partitionBy(*keys).orderBy("ts_begin", "ts_end")
-    reach = F.max("ts_end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = events.withColumn("cut", F.when(F.col("ts_begin") <= reach + _millis(frame_ms), 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("cut").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    item = F.struct("ts_begin", "ts_end", F.col("duration_ms").alias("d"))
-    rows = rows.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = "array<struct<run_begin:timestamp,reach:timestamp,run_end:timestamp,n:bigint,total:double,high:double>>"
-
-    def start(x: Column) -> Column:
-        return F.struct(x["ts_begin"].alias("run_begin"), (x["ts_end"] + _millis(frame_ms)).alias("reach"), x["ts_end"].alias("run_end"), F.lit(1).cast("bigint").alias("n"), x["d"].cast("double").alias("total"), x["d"].cast("double").alias("high"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        inside = (F.size(acc) > 0) & (x["ts_begin"] > last["run_begin"]) & (x["ts_begin"] <= last["reach"])
-        grown = F.struct(last["run_begin"].alias("run_begin"), last["reach"].alias("reach"), x["ts_end"].alias("run_end"), (last["n"] + 1).alias("n"), (last["total"] + x["d"]).alias("total"), F.greatest(last["high"], x["d"]).alias("high"))
-        return F.when(inside, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(start(x)))).cast(kind)
-
-    runs = F.aggregate("items", F.array().cast(kind), step)
-    rows = rows.select(*keys, F.explode(runs).alias("w")).filter(f"w.n > 1 and w.total >= {float(least_ms)}")
-    return rows.select(*keys, F.col("w.run_begin").alias("run_begin"), F.col("w.run_end").alias("run_end"), F.col("w.n").alias("occurrences"), F.col("w.total").alias("duration_sum"), F.col("w.high").alias("duration_max"))
+    The anchor makes this a fold over ordered events. Each task reads its keys' sorted events as a stream and holds the
+    open window only, however many events follow each other; a key's events are sorted in one task."""
+    kept = [f"_{k}" for k in range(len(keys))]
+    rows = events.select(*[F.col(k).alias(c) for k, c in zip(keys, kept, strict=True)], F.unix_micros("ts_begin").alias("b"), F.unix_micros("ts_end").alias("e"), F.col("duration_ms").cast("double").alias("d"))
+    rows = rows.repartition(*kept).sortWithinPartitions(*kept, "b", "e", "d")
+    kinds = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept], "b long, e long, n long, total double, high double"])
+    rows = rows.mapInArrow(_anchored(len(keys), round(frame_ms * 1000)), kinds).filter(f"total >= {float(least_ms)}")
+    return rows.select(*[F.col(c).alias(k) for k, c in zip(keys, kept, strict=True)], F.timestamp_micros("b").alias("run_begin"), F.timestamp_micros("e").alias("run_end"), F.col("n").alias("occurrences"), F.col("total").alias("duration_sum"), F.col("high").alias("duration_max"))
+
+
+def _anchored(n_keys: int, frame: int):
+    """A fold of (keys, b, e, d), sorted, to the anchored windows of more than one event."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = begin = reach = window = schema = None
+        for batch in batches:
+            schema = schema or pa.schema([*list(batch.schema)[:n_keys], *[pa.field(c, pa.int64()) for c in "ben"], pa.field("total", pa.float64()), pa.field("high", pa.float64())])
+            done = []
+            for *own, b, e, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if window and own == key and None not in (b, begin, reach) and begin < b <= reach:
+                    _, _, n, total, high = window
+                    window = (begin, e, n + 1, None if total is None or d is None else total + d, d if high is None else high if d is None else max(high, d))
+                    continue
+                if window and window[2] > 1:
+                    done.append((*key, *window))
+                key, begin, reach, window = own, b, None if e is None else e + frame, (b, e, 1, d, d)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+        if window and window[2] > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*key, *window), schema, strict=True)], schema=schema)
+
+    return run
 
 
 def log_file_gaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"), gap_minutes: float = 15) -> DataFrame:

@@ -106,3 +106,21 @@ def test_parents_are_found_beyond_many_short_sessions(spark):
     # an event that ends before it begins has the parents open at its begin only
     expected[501] = [p for p in expected[501] if next(y for y in whole if f"s{y[1]}" == p)[3] >= 90_000]
     assert got == expected
+
+
+def test_time_frame_of_a_node_without_a_pause(spark):
+    pairs = [(k * 100, k * 100 + 60) for k in range(60_000)]
+    df = spark.range(60_000).selectExpr("'n' as node_id", "timestamp_micros(1704067200000000 + id * 100000) as ts_begin", "timestamp_micros(1704067200060000 + id * 100000) as ts_end", "60.0D as duration_ms")
+    rows = W.gc_time_frame(df, frame_ms=300, least_ms=100)
+    ms = lambda t: round((t - START).total_seconds() * 1000)
+    assert sorted((ms(r.run_begin), ms(r.run_end), r.occurrences, r.duration_sum) for r in rows.collect()) == fold(pairs, 300, True, 100)
+    assert "collect_list" not in rows._jdf.queryExecution().toString()
+
+
+def test_groups_are_numbered_without_one_window_over_all(spark):
+    from ringwatch.operators import stats as S
+
+    df = spark.createDataFrame([("a", "y", "n", "[1, 2/1]"), ("b", "x", "n", "[3]"), ("a", "x", "m", "[1]"), ("a", "x", "n", "[2]")], "keyspace string, table_name string, node_id string, lcs string")
+    rows = S.lcs_levels_report(df)
+    assert sorted((r.keyspace, r.table_name, r.group_no) for r in rows.collect()) == [("a", "x", 1), ("a", "x", 1), ("a", "y", 2), ("b", "x", 3)]
+    assert "dense_rank" not in rows._jdf.queryExecution().toString()
