@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from .textstats import LINE_MEASURES, base_counts, line_measures
 
 #: Labelled documents, and lines of each, that the field is fitted on at most.
 SAMPLE_DOCS, SAMPLE_LINES = 2_000, 64
+#: Lines of a longer text are sampled in stretches of so many, chosen by a hash over the whole text.
+STRETCH = 16
 #: Least share of a document's words in content lines.
 LEAST_CONTENT = 0.3
 #: Edges between the bins of each measure of a line.
@@ -110,9 +113,19 @@ def fit_field(lines: list[np.ndarray], good: np.ndarray, rounds: int = 80, rate:
     return field
 
 
+def sample_lines(text: str) -> list:
+    """The measures of a text's lines, or of SAMPLE_LINES of them at most: whole stretches, each as likely as another."""
+    found = line_measures(text)
+    if len(found) <= SAMPLE_LINES:
+        return found
+    key = xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass"))
+    starts = sorted(range(0, len(found), STRETCH), key=lambda k: xxhash.xxh64_intdigest(f"{key}|{k}"))
+    return [m for k in sorted(starts[: SAMPLE_LINES // STRETCH]) for m in found[k : k + STRETCH]]
+
+
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [[list(m) for m in line_measures(t or "")[:SAMPLE_LINES]] for t in b.column("text").to_pylist()]
+        found = [[list(m) for m in sample_lines(t or "")] for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.list_(pa.float64()))), b.column("good")], ["lines", "good"])
 
 

@@ -128,3 +128,15 @@ def test_rules_keep_clean_documents(spark, known):
         assert r.base_failed == (counts[0] < 20 or 100 * counts[4] > 30 * counts[0]) and not (r.kept and r.base_failed)
     judged = [(rows[k].kept, l.quality) for k, l in known[1].items() if not rows[k].base_failed]
     assert np.mean([a == b for a, b in judged]) > 0.9 and np.mean([a for a, b in judged if b]) > 0.97
+
+
+def test_sampled_lines_come_from_the_whole_text():
+    from ringwatch.llm import lines
+    from ringwatch.llm.textstats import line_measures
+
+    long = ["\n".join(f"line {d} {k} " + "word " * (k % 9) for k in range(200)) for d in range(40)]
+    picked = [lines.sample_lines(t) for t in long]
+    assert all(56 <= len(p) <= lines.SAMPLE_LINES for p in picked) and picked == [lines.sample_lines(t) for t in long]
+    assert any(list(p[-1]) == list(line_measures(t)[-1]) for p, t in zip(picked, long, strict=True))
+    assert all(p != line_measures(t)[: lines.SAMPLE_LINES] for p, t in zip(picked, long, strict=True))
+    assert lines.sample_lines("a b\nc d") == line_measures("a b\nc d")
