@@ -112,7 +112,7 @@ def device_utilization(nodes: DataFrame, mounts: DataFrame) -> DataFrame:
 
 def trim_overlaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug")) -> DataFrame:
     """Files (keys, path, file_min, file_max) with the part of their range no earlier file covers: status new, within
-    (skipped), trimmed, or error where the file spans earlier ones. Earlier means: starts before, or ends later on a tie."""
+    (skipped) or trimmed; a file that spans earlier ones is trimmed too. Earlier means: starts before, or ends later on a tie."""
     order = W.partitionBy(*keys).orderBy("file_min", F.desc("file_max"), "path")
     reach = F.max("file_max").over(order.rowsBetween(W.unboundedPreceding, -1))
     status = F.when(reach.isNull() | (F.col("file_min") > reach), "new").when(F.col("file_max") <= reach, "within").otherwise("trimmed")

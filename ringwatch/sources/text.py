@@ -213,7 +213,7 @@ def read_config_lines(lines: DataFrame, cfg_type: str = "yaml") -> DataFrame:
 def read_hosts_map(lines: DataFrame) -> DataFrame:
     """A hosts file as (address, name) rows; comments and blank lines are skipped."""
     w = F.split(strip(F.regexp_replace("line", r"#.*$", "")), r"\s+")
-    return lines.filter(F.size(w) > 1).select(F.element_at(w, 1).alias("address"), F.explode(F.slice(w, 2, 100)).alias("name"))
+    return lines.filter(F.size(w) > 1).select(F.element_at(w, 1).alias("address"), F.explode(F.slice(w, F.lit(2), F.size(w))).alias("name"))
 
 
 def read_describe_cluster(lines: DataFrame) -> DataFrame:

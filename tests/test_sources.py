@@ -115,3 +115,9 @@ def test_insights_and_schema(spark, tmp_path):
     assert docs.first().ts == dt.datetime(2024, 1, 1)
     assert sorted((r.kind, r.name) for r in SJ.read_schema_objects(docs).collect()) == [("index", "x"), ("keyspace", "k"), ("table", "t")]
     assert [tuple(r) for r in SJ.read_schema_columns(docs).collect()] == [("k", "t", "a", "int", "partition_key", 0)]
+
+
+def test_hosts_line_with_many_names(spark):
+    line = "10.0.0.1 " + " ".join(f"h{k}" for k in range(250)) + " # end"
+    got = T.read_hosts_map(spark.createDataFrame([(line,), ("# none",), ("10.0.0.2",)], "line string")).collect()
+    assert sorted(r["name"] for r in got) == sorted(f"h{k}" for k in range(250)) and {r.address for r in got} == {"10.0.0.1"}
