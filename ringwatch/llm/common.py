@@ -23,9 +23,11 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or a fresh local one where that is unset and the master is local."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="ringwatch-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
@@ -57,6 +59,31 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(span)) < int(span * most / n))
 
 
+#: A key is hot above this share of all rows, and above so many rows: at most 1 / HOT_SHARE keys are.
+HOT_SHARE, HOT_ROWS = 1 / 1000, 16
+
+
+def hot_limit(rows: int) -> int:
+    """Rows of a key above which it is hot in a table of so many rows."""
+    return max(HOT_ROWS, int(rows * HOT_SHARE))
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """rows joined with a table that has one row per key. The table's rows where `hot` holds are broadcast, so that the
+    rows of a hot key stay where they are; the others meet by a shuffle. The caller sees to it that few keys are hot:
+    by hot_limit at most 1 / HOT_SHARE. Rows with a null key are dropped."""
+    some = F.broadcast(table.filter(hot))
+    rest = rows.join(some.select(*keys), keys, "left_anti").join(table.filter(~hot), keys)
+    return rows.join(some, keys).unionByName(rest)
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str, n: int) -> DataFrame:
+    """The n rows with the least value of their key as a new column. Minima are combined before the shuffle, and no
+    key's rows meet in one task."""
+    least = rows.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("_rows"))
+    return join_skewed(rows, least, [key], F.col("_rows") > hot_limit(n)).drop("_rows")
+
+
 class Forest:
     """Union-find over positions 0..n-1 fed with numpy edge arrays."""
 

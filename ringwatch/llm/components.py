@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, with_least
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = with_least(both, "u", "v", "m", 2 * n).filter("v > u")
+    return moved.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = with_least(down, "u", "v", "m", n)
+    return moved.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,15 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-edges and repeated edges are allowed and change nothing; rows with a null end are ignored; nodes
     without an edge to another node get no row. Each round is written to the shared folder, so a lost executor
-    costs one round; rounds grow with the logarithm of the longest path. Minima are combined before the shuffle
-    and joins on a hub are left to AQE's skew handling.
+    costs one round; rounds grow with the logarithm of the longest path. Minima are combined before the shuffle,
+    and a hub's edges stay where they are: its minimum is broadcast to them.
     """
     now = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct())
-    seen = None
+    n, seen = now.count(), None
     while True:
-        new = materialize(_small_star(_large_star(now)))
+        star = materialize(_large_star(now, n))
+        new = materialize(_small_star(star, n))
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
+        discard(star)
         if mark == seen:
             return new.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        now, seen = new, mark
+        now, n, seen = new, mark[0], mark

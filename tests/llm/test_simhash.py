@@ -55,8 +55,8 @@ def test_tiles_of_any_size_find_all_links(spark):
     prints = sorted({0, 7, 15, *near})
     groups = brute_groups(dict(zip(prints, prints, strict=True)))
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    for tile in (2, 10_000):
-        found = {x.node: x.component for x in components.components(simhash.near_edges(df, tile=tile)).collect()}
+    for n, block in ((300, 10_000), (300, 2), (100_000, 5_000), (1 << 40, 5_000)):  # widths 8, 2, 4 and 1
+        found = {x.node: x.component for x in components.components(simhash.near_edges(df, n, block=block)).collect()}
         assert {p: found.get(p, p) for p in prints} == groups
 
 
@@ -75,6 +75,20 @@ def test_components_of_a_path_and_a_star(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_of_random_graphs_with_hubs(spark):
+    r = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2))] + [(7, k) for k in range(1000, 1300)] + [(k, 9999) for k in range(1200, 1500)]
+    label = {}
+    for a, b in edges:
+        x, y = label.setdefault(a, {a}), label.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            for k in y:
+                label[k] = x
+    found = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {k: found.get(k, k) for k in label} == {k: min(g) for k, g in label.items()}
+
+
 def test_forest():
     r = np.random.default_rng(0)
     i, j = r.integers(0, 300, 200), r.integers(0, 300, 200)
