@@ -50,17 +50,40 @@ def test_crowded_runs_are_dealt_over_blocks(spark, monkeypatch):
 
 def test_recall_at_the_threshold():
     r = np.random.default_rng(0)
-    for n in (500, 50_000):
-        bits, tables = embeddings.calibrate(n)
+    for n in (500, 50_000, 10_000_000):
+        bits, tables, count = embeddings.calibrate(n)
         u = r.standard_normal((4000, 64))
         u /= np.linalg.norm(u, axis=1, keepdims=True)
         w = r.standard_normal((4000, 64))
         w -= (w * u).sum(axis=1, keepdims=True) * u
         w /= np.linalg.norm(w, axis=1, keepdims=True)
         v = 0.95 * u + np.sqrt(1 - 0.95**2) * w
-        signs, lines = embeddings.directions(64, bits, tables)
-        same = ((u @ signs >= 0) == (v @ signs >= 0)).reshape(4000, tables, bits).all(axis=2) & (np.abs(u @ lines - v @ lines) <= embeddings.HALF)
-        assert (same.sum(axis=1) >= embeddings.COUNT).mean() > 0.985
+        known = embeddings.directions(64, bits, tables)
+        (a, x), (b, y) = (embeddings.sign(z, bits, tables, known) for z in (u, v))
+        near = np.abs(x - y) <= embeddings.WINDOW
+        met = ((a == b) & near[:, np.arange(tables) % embeddings.LINES]).any(axis=1)
+        assert (met & (near.sum(axis=1) >= count)).mean() > 0.985
+        far = np.abs(x[:-1] - x[1:]) <= embeddings.WINDOW
+        assert (far.sum(axis=1) >= count).mean() < 0.05
+
+
+def test_a_pair_is_found_in_its_first_table_only():
+    r = np.random.default_rng(1)
+    base = r.standard_normal((200, 16))
+    u = np.concatenate([base, base + 0.05 * r.standard_normal((200, 16))])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    keys, places = embeddings.sign(u, 3, 12, embeddings.directions(16, 3, 12))
+    marks, out = embeddings.marks_of(keys), embeddings._Links()
+    seen = np.zeros(400)
+    for t in range(12):
+        for key in np.unique(keys[:, t]):
+            at = np.flatnonzero(keys[:, t] == key)
+            flags = at[embeddings.flag_run(t, places[at], marks[at], None, 9)]
+            embeddings.match_run(t, flags, np.ones(len(flags)), u[flags], places[flags], marks[flags], None, 9, 0.95, out)
+    found = out.batch()
+    for a, v, n in zip(*(found.column(k).to_pylist() for k in range(3)), strict=True):
+        seen[a] += n if v < 0 else 0
+    assert (seen == (u @ u.T >= 0.95).sum(axis=1) - 1).mean() > 0.98 and (seen <= (u @ u.T >= 0.95).sum(axis=1) - 1).all()
 
 
 def test_query_on_the_driver_table(spark, sf):
