@@ -73,13 +73,16 @@ def character_class(text: str) -> str | None:
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of candidates whose window entropy reaches their class's threshold, that no taken span touches and the
-    allow-list doesn't name."""
-    out = []
+    """Spans of candidates whose window entropy reaches their class's threshold, that no taken span (sorted by start)
+    touches and the allow-list doesn't name. Candidates and taken spans are swept once, side by side."""
+    out, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
+        while at < len(taken) and taken[at][0] < e:
+            reach = max(reach, taken[at][1])
+            at += 1
         kind = character_class(m[0])
-        if kind is None or any(a < e and s < b for a, b in taken) or ALLOWED.fullmatch(m[0]):
+        if kind is None or s < reach or ALLOWED.fullmatch(m[0]):
             continue
         if window_entropy(m[0]) >= LEAST_BITS[kind]:
             out.append((s, e))

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from ringwatch.llm import secrets
@@ -44,6 +45,23 @@ def test_entropy_spans():
         assert secrets.entropy_spans(plain, []) == []
 
 
+def test_taken_spans_are_swept_once():
+    random.seed(3)
+    parts = ["q8ZxR2vLm5TtB7nKw3YpD9sH", "password=hunter22", KEY, " ", "k3j8d92hf7s1q0zm4x6v5b2n", "x", "0123456789abcdef0123456789"]
+    for _ in range(300):
+        text = "".join(random.choice(parts) for _ in range(12))
+        taken = [(s, e) for s, _, e in secrets.base_spans(text)]
+        free = [x for x in secrets.entropy_spans(text, []) if not any(a < x[1] and x[0] < b for a, b in taken)]
+        assert secrets.entropy_spans(text, taken) == free
+    seconds = []
+    for n in (2_000, 16_000):
+        text = "password=hunter2200 q8ZxR2vLm5TtB7nKw3YpD9sH " * n
+        start = time.process_time()
+        assert len(secrets.all_spans(text)[1]) == 2 * n
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 8 * 3 * seconds[0] + 0.5
+
+
 def test_query_is_brute_force(spark, sf, documents):
     for r in secrets.op3_secret_scans(spark, sf).collect():
         base = brute(documents[r.doc_id].text or "")
