@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, hot_limit, join_skewed, materialize, table
 
 #: A schedule is a list of (time, weight) knots from time 0 to time 1, linear in between.
 Schedule = Sequence[tuple[float, float]]
 #: Documents in a bucket, about: a source has as many as it needs, so a hot source's buckets are no larger than another's.
 #: The cumulative sum runs over buckets first, then inside each.
 BUCKET = 4_000
+#: Sources up to so many (some 300 bytes each) are broadcast to the documents.
+BROADCAST_SOURCES = 50_000
 
 
 def total_weight(schedule: Schedule) -> float:
@@ -23,23 +26,6 @@ def total_weight(schedule: Schedule) -> float:
     return sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:], strict=False))
 
 
-def share(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
-    """Split `total` by weight; no part exceeds `most` times its size, the excess is reshared by weight."""
-    open_, left = sorted(range(len(sizes)), key=lambda k: most * sizes[k] / weights[k]), total
-    out = [0.0] * len(sizes)
-    while open_:
-        weight = sum(weights[k] for k in open_)
-        k = open_[0]
-        if weights[k] * (left / weight) <= most * sizes[k]:
-            for k in open_:
-                out[k] = weights[k] * (left / weight)
-            break
-        out[k] = most * sizes[k]
-        left -= out[k]
-        open_.pop(0)
-    return out
-
-
 def _segments(schedule: Schedule) -> list[tuple[float, float, float, float]]:
     """(share of the demand reached, start, weight at start, slope) of each piece of the schedule."""
     whole, reached, out = total_weight(schedule), 0.0, []
@@ -58,41 +44,85 @@ def _position(y: Column, segments: Column) -> Column:
     return F.least(F.lit(1.0), s["start"] + F.when(rest > 0, 2 * rest / (s["weight"] + root)).otherwise(F.lit(0.0)))
 
 
+def _scheduled(schedule_of: Callable[[int, str | None], Schedule]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(c, pa.float64()) for c in ("reached", "start", "weight", "slope")]))
+        for b in batches:
+            found = [schedule_of(k, name) for k, name in zip(b.column("rank").to_pylist(), b.column("source").to_pylist(), strict=True)]
+            pieces = [[dict(zip(("reached", "start", "weight", "slope"), p, strict=True)) for p in _segments(s)] for s in found]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(total_weight, found), pa.float64()), pa.array(pieces, kind)], [*b.schema.names, "weight", "segments"])
+
+    return run
+
+
+SEGMENTS = "segments array<struct<reached double, start double, weight double, slope double>>"
+
+
+def plan_sources(sums: DataFrame, schedule_of: Callable[[int, str | None], Schedule], budget: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Sources (source, size, n) with rank (by code point from 0, null last), schedule segments, weight and target.
+
+    `budget` times all sizes are shared by weight; no target exceeds `most` times its source's size, and the excess is
+    reshared by weight until none does. However many sources there are, only sums over them reach the driver: ranks
+    are counted inside range partitions, and each round of resharing is an aggregate."""
+    order = F.col("source").asc_nulls_last()
+    rows = materialize(sums.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()))
+    parts = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("c"))
+    parts = F.broadcast(parts.select("part", (F.sum("c").over(W.orderBy("part")) - F.col("c")).alias("before")))  # a row per range partition
+    rows = rows.withColumn("part", F.shiftright("at", 33)).join(parts, "part")
+    rows = rows.select("source", "size", "n", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("rank"))
+    rows = materialize(rows.mapInArrow(_scheduled(schedule_of), f"source string, size long, n long, rank int, weight double, {SEGMENTS}"))
+    cap, level, seen = most * F.col("size"), 0.0, None
+    while True:
+        full = (F.col("weight") > 0) & (cap < F.col("weight") * level)
+        r = rows.agg(F.sum("size").alias("size"), F.count_if(full).alias("full"), F.sum(F.when(full, cap)).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if r["full"] == seen:
+            return rows.withColumn("target", F.when(full, cap).otherwise(F.col("weight") * level))
+        seen = r["full"]
+        left = budget * (r["size"] or 0) - (r["taken"] or 0.0)
+        level = left / r["open"] if r["open"] else level
+
+
+def _with_sources(rows: DataFrame, sources: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """rows joined with the n sources: by broadcast up to BROADCAST_SOURCES, else the hot ones only (at most a thousand) are."""
+    if n <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(sources.drop("n")), key)
+    return join_skewed(rows, sources, [key], F.col("n") > hot_limit(total)).drop("n")
+
+
 def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule], budget: float = 1.5, most: float = 2.0, bucket: int = BUCKET) -> DataFrame:
     """Add to every row of docs (doc_id, text, source, ...) what the mix takes of it and when.
 
     Sources come in code point order, null last; `schedule_of(rank, source)` gives the weight schedule, whose
     integral is the source's weight. The mix has `budget` times all words. New columns in one struct `mix`:
     size (words), source_size, target, taken (words, repeats counted), copies (array of position, words). A
-    source's documents are taken in the order of the MD5 of their doc_id, over and over; the document at which
-    its whole-word target is reached gives only its leading words, so the taken words equal the target rounded
-    down. Null texts have size 0 and are taken with 0 words. Repeated rows are mixed one by one; rows that tie in
-    every key are interchangeable. The table of sources is the only thing that goes through the driver.
+    source's documents are taken in the order of the MD5 of their doc_id (of their text where that is null), over and
+    over; the document at which its whole-word target is reached gives only its leading words, so the taken words
+    equal the target rounded down. Null texts have size 0 and are taken with 0 words. Repeated rows are mixed one by
+    one; rows that tie in every key are interchangeable. Neither sources nor documents go through the driver.
     """
-    spark = docs.sparkSession
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sums = docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    found = sorted(sums.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
-    schedules = [schedule_of(k, r["source"]) for k, r in enumerate(found)]
-    targets = share([r["size"] for r in found], [total_weight(s) for s in schedules], budget * sum(r["size"] for r in found), most)
-    plan = [(r["source"], k, max(1, math.ceil(r["n"] / bucket)), r["size"], float(t), math.floor(t), _segments(s)) for k, (r, t, s) in enumerate(zip(found, targets, schedules, strict=True))]
-    kinds = "name string, rank int, buckets int, source_size long, target double, words long, segments array<struct<reached double, start double, weight double, slope double>>"
-    sources = F.broadcast(spark.createDataFrame(plan, kinds).coalesce(1))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("name"), size.alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("h"))
-    rows = rows.join(sources.select(F.col("name").alias("name2"), "rank", "buckets"), F.col("name").eqNullSafe(F.col("name2"))).drop("name", "name2")
+    sums = materialize(docs.select(F.col("source").cast("string"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    found = plan_sources(sums, schedule_of, budget, most)
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    sources = found.select(named(F.col("source")).alias("name"), "rank", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)).cast("int").alias("buckets"), F.col("size").alias("source_size"), "target", F.floor("target").alias("words"), "segments", "n")
+    total = sums.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("rows")).first()
+    count = total["sources"], total["rows"] or 0
+    h = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.md5(F.col("text").cast("binary")), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), named(F.col("source")).alias("name"), size.alias("size"), h.alias("h"))
+    rows = _with_sources(rows, sources.select("name", "rank", "buckets", "n"), "name", *count).drop("name")
     part = F.floor(F.coalesce(F.conv(F.substring("h", 1, 8), 16, 10).cast("double"), F.lit(0.0)) / float(1 << 32) * F.col("buckets")).cast("int")
     rows = rows.withColumn("part", part).drop("buckets")
     before = rows.groupBy("rank", "part").agg(F.sum("size").alias("s"))
     before = before.select("rank", "part", (F.sum("s").over(W.partitionBy("rank").orderBy("part")) - F.col("s")).alias("before"))
     order = W.partitionBy("rank", "part").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.join(before, ["rank", "part"]).withColumn("from", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    rows = rows.join(sources.drop("name", "buckets"), "rank")
+    rows = _with_sources(rows, sources.drop("name", "buckets"), "rank", *count)
     rounds = F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1)))
 
     def copy(k: Column) -> Column:
         start = k.cast("long") * F.col("source_size") + F.col("from")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - start)).cast("long")
-        return F.struct(_position((start + words / 2) / F.col("words"), F.col("segments")).alias("position"), words.alias("words"))
+        return F.struct(_position((start + words / 2) / F.greatest(F.col("words"), F.lit(1)), F.col("segments")).alias("position"), words.alias("words"))
 
     rows = rows.withColumn("copies", F.filter(F.transform(rounds, copy), lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
@@ -128,23 +158,28 @@ def production_schedule(rank: int, _: str | None) -> Schedule:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan as rows in training order: by the position of a document's first copy, those not taken last."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = plan_mix(docs, production_schedule).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
-    return rows
+    first = F.round(F.try_element_at("mix.copies", F.lit(1))["position"], 9)
+    rows = plan_mix(docs, production_schedule).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", first.alias("first_position"), F.size("mix.copies").alias("n_copies"))
+    order = F.col("first_position").asc_nulls_last(), F.col("doc_id")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
   sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight, row_number() OVER (ORDER BY cap / weight, k) AS nth FROM w),
 f AS (SELECT min(nth) AS nth FROM o WHERE weight * (rest / open_weight) <= cap),
 g AS (SELECT o.rest / o.open_weight AS per, o.nth FROM o JOIN f USING (nth)),
-t AS (SELECT o.source, source_size, CASE WHEN o.nth >= g.nth THEN weight * g.per ELSE cap END AS target FROM o CROSS JOIN g),
-c AS (SELECT d.doc_id, size, source_size, target, floor(target)::BIGINT AS words,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c0
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, words - c0)) + greatest(0, least(size, words - source_size - c0)))::BIGINT AS taken FROM c
+t AS (SELECT o.source, source_size, k, CASE WHEN o.nth >= g.nth THEN weight * g.per ELSE cap END AS target FROM o CROSS JOIN g),
+c AS (SELECT d.doc_id, size, source_size, target, k, floor(target)::BIGINT AS words,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY coalesce(md5(d.doc_id::VARCHAR), md5(text), ''), d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c0
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, greatest(0, least(size, words - c0)) AS w0, greatest(0, least(size, words - source_size - c0)) AS w1, CASE k % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a, CASE k % 3 WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS b FROM c),
+q AS (SELECT *, CASE WHEN w0 > 0 THEN (c0 + w0 / 2.0::DOUBLE) / words END AS y FROM p)
+SELECT doc_id, size, source_size, target, (w0 + w1)::BIGINT AS taken,
+  CASE WHEN w0 > 0 THEN round(least(1.0::DOUBLE, 2 * y / (a + sqrt(greatest(0.0::DOUBLE, a * a + 2 * b * y)))), 9) END AS first_position, ((w0 > 0)::INTEGER + (w1 > 0)::INTEGER)::INTEGER AS n_copies FROM q
 """

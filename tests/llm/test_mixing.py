@@ -6,17 +6,41 @@ from ringwatch.llm import mixing
 from .conftest import KIND, row
 
 
+COLUMNS = ["doc_id", "size", "source_size", "target", "taken", "first_position", "n_copies"]
+
+
 def test_same_rows_as_sql(spark, sf):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    expected = sorted(duck.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.OP1_SQL})").fetchall())
-    assert sorted(tuple(r) for r in mixing.op1_mix_sources(spark, sf).select("doc_id", "size", "source_size", "target", "taken").collect()) == expected
+    expected = sorted(duck.execute(f"SELECT {', '.join(COLUMNS)} FROM ({mixing.OP1_SQL})").fetchall())
+    rows = mixing.op1_mix_sources(spark, sf).select(*COLUMNS).collect()
+    assert sorted(tuple(r) for r in rows) == expected
+    positions = [r.first_position if r.n_copies else 2.0 for r in rows]
+    assert positions == sorted(positions) and min(positions) < 0.1
+
+
+def targets(spark, sizes, weights, budget, **settings):
+    sums = spark.createDataFrame([(f"s{k:03}" if k or len(sizes) > 3 else None, n, 1) for k, n in enumerate(sizes)], "source string, size long, n long")
+    weights = weights if len(sizes) > 3 else [*weights[1:], weights[0]]
+    rows = mixing.plan_sources(sums, lambda k, _: [(0.0, weights[k % len(weights)]), (1.0, weights[k % len(weights)])], budget, 2.0).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(len(sizes)))
+    return [r.target for r in sorted(rows, key=lambda r: (r.source is not None, r.source))]
+
+
+def test_share_stops_at_the_limit(spark):
+    assert targets(spark, [10, 10, 10], [3, 1, 2], 1.5) == [20, pytest.approx(25 / 3), pytest.approx(50 / 3)]
+    assert targets(spark, [1, 1, 100], [3, 1, 2], 1.5) == [2, 2, 149]
+    assert targets(spark, [0, 0, 0], [1, 2, 3], 1.5) == [0, 0, 0] and targets(spark, [5, 5, 5], [1, 2, 3], 9) == [10, 10, 10]
+    many = targets(spark, [k % 7 for k in range(500)], [3, 1, 2], 1.5)
+    assert sum(many) == pytest.approx(1.5 * sum(k % 7 for k in range(500))) and all(t <= 2 * (k % 7) for k, t in enumerate(many))
 
 
-def test_share_stops_at_the_limit():
-    assert mixing.share([10, 10, 10], [3, 1, 2], 45, 2) == [20, pytest.approx(25 / 3), pytest.approx(50 / 3)]
-    assert mixing.share([1, 1, 100], [3, 1, 2], 153, 2) == [2, 2, 149]
-    assert mixing.share([], [], 0, 2) == [] and mixing.share([0, 0], [1, 2], 0, 2) == [0, 0]
+def test_many_sources_without_broadcast(spark, odd, monkeypatch):
+    docs = spark.createDataFrame([row(k, "w " * (k % 5), source=None if k % 11 == 0 else f"s{k % 60}") for k in range(600)] + [row(None, f"a b {k}") for k in range(50)], KIND)
+    get = lambda: sorted((str(r.doc_id), r.source or "", r.mix.size, r.mix.target, r.mix.taken) for r in mixing.plan_mix(docs, mixing.production_schedule).collect())
+    expected = get()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert get() == expected and len(expected) == 650
 
 
 @pytest.mark.parametrize("bucket", [1, 3, 1000])
