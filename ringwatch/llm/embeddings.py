@@ -18,7 +18,7 @@ THRESHOLD = 0.95
 RECALL = 0.995
 #: Projections that every vector is counted on, their quantum, and the half width of the query-centred window in quanta
 #: (a unit vector's projection is normal with variance 1; beyond EDGE quanta all places are one).
-LINES, STEP, WINDOW, EDGE = 16, 0.05, 9, 60
+LINES, STEP, WINDOW, EDGE = 32, 0.05, 9, 60
 #: Vectors of a sorted run, about, and the size from which a run is dealt over several tasks.
 RUN, CROWD = 500, 20_000
 SEED = 20_240_607

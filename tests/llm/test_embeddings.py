@@ -74,12 +74,12 @@ def test_a_pair_is_found_in_its_first_table_only():
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     keys, places = embeddings.sign(u, 3, 12, embeddings.directions(16, 3, 12))
     marks, out = embeddings.marks_of(keys), embeddings._Links()
-    seen = np.zeros(400)
+    seen, count = np.zeros(400), embeddings.calibrate(400)[2]
     for t in range(12):
         for key in np.unique(keys[:, t]):
             at = np.flatnonzero(keys[:, t] == key)
-            flags = at[embeddings.flag_run(t, places[at], marks[at], None, 9)]
-            embeddings.match_run(t, flags, np.ones(len(flags)), u[flags], places[flags], marks[flags], None, 9, 0.95, out)
+            flags = at[embeddings.flag_run(t, places[at], marks[at], None, count)]
+            embeddings.match_run(t, flags, np.ones(len(flags)), u[flags], places[flags], marks[flags], None, count, 0.95, out)
     found = out.batch()
     for a, v, n in zip(*(found.column(k).to_pylist() for k in range(3)), strict=True):
         seen[a] += n if v < 0 else 0
