@@ -40,17 +40,34 @@ DROP_NAMES = frozenset(
     " banner cookie cookies consent notice notices alert newsletter subscribe subscription signup share sharing social related recommended comment comments reply replies"
     " respond disqus discussion responses popup modal overlay widget toolbar topbar pagination pager login search copyright disclaimer gdpr paywall adbox adslot adsbygoogle sidenav".split()
 )
-#: Parts of names that only tell how a page is laid out, as in has-sidebar.
+#: Parts of a name that make it tell how a page is laid out, as in has-sidebar or no-margin.
 LAYOUT_NAMES = frozenset("layout has with without no".split())
+#: Of DROP_NAMES those that an article may be about, as in search-study; they count alone or with words for parts
+#: of a page only.
+WEAK_NAMES = frozenset(
+    "search share sharing social related menu login respond responses discussion notice notices alert banner signup promotion copyright consent reply replies header overlay"
+    " widget navigation subscription cookie cookies disclaimer sponsor sponsored promo recommended".split()
+)
+PAGE_PARTS = frozenset(
+    "box area bar list lists item items block section wrap wrapper container inner outer left right top bottom main site page global primary secondary content link links button"
+    " buttons btn form icon icons group row col column panel region zone slot unit holder body head title text post posts article articles story stories news entry entries js id the".split()
+)
 KEEP_NAMES = frozenset("article post entry story content main".split())
 ASIDE_ARTICLES = frozenset("comment comments reply replies ad ads advert promo sponsored related".split())
 #: What holds a block, from nothing known to an article. What is dropped is never content, whatever the template says.
 UNKNOWN, NAMED, MAIN, ARTICLE, DROP = 0, 1, 2, 3, 9
 
 
+def drops(parts: set[str], above: int) -> bool:
+    """Whether a class name or id of these parts names something that isn't the article. Inside an article a header is
+    the article's own."""
+    found = parts & DROP_NAMES - ({"header"} if above != UNKNOWN else set())
+    return bool(found) and not parts & LAYOUT_NAMES and (bool(found - WEAK_NAMES) or {p for p in parts if len(p) > 2} <= WEAK_NAMES | PAGE_PARTS | DROP_NAMES)
+
+
 def role_of(tag: str, attributes: str, above: int) -> tuple[str, int]:
     """The label of an element in a path, and its role given the role of what holds it."""
-    label, names, role = tag, set(), ""
+    label, names, role, dropped = tag, set(), "", False
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -58,7 +75,10 @@ def role_of(tag: str, attributes: str, above: int) -> tuple[str, int]:
                 words = value.split()
                 part = "".join(f".{re.sub(r'[0-9/#]+', '', w)}" for w in words)
                 label += part if len(part) <= LABEL else f".{xxhash.xxh64_hexdigest(part.encode())}"
-                names |= {p.lower() for w in words for p in _PART.findall(w)}
+                for w in words:
+                    parts = {p.lower() for p in _PART.findall(w)}
+                    names |= parts
+                    dropped |= drops(parts, above)
             elif name == "role":
                 role = value.lower()
             elif (name == "hidden" and not value) or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
@@ -72,9 +92,7 @@ def role_of(tag: str, attributes: str, above: int) -> tuple[str, int]:
     if tag in DROP_TAGS and not (tag == "header" and above != UNKNOWN) or role in DROP_ROLES:
         return label, DROP
     if tag not in ("html", "body") and names:
-        if above != UNKNOWN:
-            names.discard("header")
-        if names & DROP_NAMES and not names & LAYOUT_NAMES:
+        if dropped:
             return label, DROP
         if names & KEEP_NAMES:
             return label, max(above, NAMED)
@@ -222,11 +240,24 @@ def nest(tokens: pd.DataFrame) -> tuple[set[str], dict[str, str]]:
 
 
 def _template(tokens: pd.DataFrame) -> pd.DataFrame:
-    """One host's template: the paths whose slots hold content, those whose slots hold lists of links, and fixed texts.
+    """One host's template: the paths whose slots hold content, those whose slots hold lists of links, those of cards, and
+    fixed texts.
 
     A slot is what lies below a template path and below no deeper one, without fixed texts. It is a list of links if
-    half of its text or more is in links."""
-    valid, _ = nest(tokens)
+    half of its text or more is in links. Cards are article elements that repeat on a page beside one that stands once
+    on each and that they aren't nested in: teasers of other stories."""
+    valid, inside = nest(tokens)
+    times = {row.token: row.times / row.pages for row in tokens.itertuples()}
+    articles = [t for t in valid if "#" not in t and re.match(r"article(?![\w-])", t.rpartition("/")[2])]
+    single = {t for t in articles if times[t] == 1}
+
+    def nested(path: str) -> bool:
+        """Whether a path lies in the nest of a single article."""
+        while path and path not in single:
+            path = inside.get(path, "")
+        return bool(path)
+
+    cards = sorted(t for t in articles if single and times[t] >= 2 and not nested(t))
     volume: dict[str, int] = {}
     for row in tokens.itertuples():
         slot, text = row.token.partition("#")[::2]
@@ -239,11 +270,11 @@ def _template(tokens: pd.DataFrame) -> pd.DataFrame:
     paths = sorted(t for t in valid if "#" not in t)
     links = [t for t in paths if volume.get(t, 1) <= 0 and any(p == t or p.startswith(t + "/") for p in linked)]
     fixed = sorted(t for t in valid if "#" in t)
-    return pd.DataFrame({"host": [tokens["host"].iat[0]], "slots": [[t for t in paths if t not in set(links)]], "links": [links], "fixed": [fixed]})
+    return pd.DataFrame({"host": [tokens["host"].iat[0]], "slots": [[t for t in paths if t not in set(links)]], "links": [links], "cards": [cards], "fixed": [fixed]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slots, links, fixed) of each host with PAGES pages or more.
+    """(host, slots, links, cards, fixed) of each host with PAGES pages or more.
 
     Tokens are counted per partition and then per (host, token), so a hot host's pages are never brought together.
     Texts of few pages are left out before a host's tokens meet, and only tokens on SUPPORT of its pages reach its template, at most 1 / SUPPORT times as many as a page has."""
@@ -252,12 +283,13 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = materialize(tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS]).filter(F.col("pages") >= PAGES))
     hosts = tokens.filter("token = '*'").select("host", F.col("pages").alias("all"))
     tokens = tokens.filter("token <> '*'").join(hosts, "host").filter(F.col("pages") >= F.col("all") * SUPPORT).drop("all")
-    return tokens.groupBy("host").applyInPandas(_template, "host string, slots array<string>, links array<string>, fixed array<string>")
+    return tokens.groupBy("host").applyInPandas(_template, "host string, slots array<string>, links array<string>, cards array<string>, fixed array<string>")
 
 
-def main_text(page: str, slots: Collection[str], fixed: Collection[str], links: Collection[str] = ()) -> str:
+def main_text(page: str, slots: Collection[str], fixed: Collection[str], links: Collection[str] = (), cards: Collection[str] = ()) -> str:
     """The article of a page: the blocks in all content slots of its host's template, without fixed texts and without
-    what an element marks as something else. Lists of links are left out unless an article or main element holds them.
+    what an element marks as something else. Cards are left out, and lists of links unless an article or main element
+    holds them.
 
     A page that the template leaves nothing of is read as one without a template: its blocks in article and main
     elements and in elements named like them, or every block where it has no such element."""
@@ -268,6 +300,8 @@ def main_text(page: str, slots: Collection[str], fixed: Collection[str], links:
             path = path.rpartition("/")[0]
         return path not in links
 
+    if cards:
+        blocks = [b for b in blocks if not any(b[0] == c or b[0].startswith(c + "/") for c in cards)]
     if slots or links:
         own = [t for path, role, t, _ in blocks if path + _mark(t) not in fixed and (role >= MAIN or content(path))]
         if own:
@@ -280,7 +314,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets: dict[str, tuple[set[str], ...]] = {}
     for b in batches:
         texts = []
-        for url, page, *template in zip(*(b.column(k).to_pylist() for k in ("url", "html", "slots", "fixed", "links")), strict=True):
+        for url, page, *template in zip(*(b.column(k).to_pylist() for k in ("url", "html", "slots", "fixed", "links", "cards")), strict=True):
             host = host_of(url)
             if host not in sets:
                 if len(sets) > 1_000:
@@ -300,10 +334,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     found = materialize(templates(rows))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("slots", ",")) + F.length(F.array_join("links", ",")) + F.length(F.array_join("fixed", ",")))).first()[0] or 0
+    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("slots", ",")) + F.length(F.array_join("links", ",")) + F.length(F.array_join("cards", ",")) + F.length(F.array_join("fixed", ",")))).first()[0] or 0
     known = found.withColumnRenamed("host", "host_of_url")
     rows = rows.withColumn("host_of_url", host).join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host_of_url", "left")
-    return rows.select("page_id", "url", "html", "slots", "links", "fixed").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "slots", "links", "cards", "fixed").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,55 @@ def test_all_names_of_an_element_count():
     assert pages.role_of("div", " class='a b c d article-content'", pages.UNKNOWN)[1] == pages.NAMED
     labels = {pages.role_of("div", f" class='{'w-1/2 text-[#fff] mt-4 flex ' * n}{last}'", pages.UNKNOWN)[0] for n in (1, 9) for last in ("one", "two")}
     assert len(labels) == 4 and all(len(x) < 80 and not set("/#") & set(x) for x in labels)
+
+
+def test_names_count_one_by_one():
+    text = lambda x: pages.main_text(f"<article><p>a</p><div {x}>b</div></article>", [], set())
+    for out in ("class='ad no-margin'", "class='comments with-avatars'", "class='a b c d sidebar'", "class='search'", "class='search-form'", "class='related-posts'", "id='mainMenu'", "class='cookie-notice'", "class='promo-a1'"):
+        assert text(out) == "a", out
+    for kept in ("class='search-study'", "class='no-ads'", "class='has-sidebar'", "class='layout-comments'", "class='social-history'", "class='entry-header'"):
+        assert text(kept) == "a b", kept
+
+
+CARDS = (
+    "<html><body><article class='story'><h1>Title {0}</h1><p>Body {0}</p><article><p>Update {0}</p></article><article><p>Later {0}</p></article></article>"
+    "<div class='grid'><article><h2>Other {0}</h2><p>Teaser {0}</p></article><article><h2>Third {0}</h2><p>Short {0}</p></article></div></body></html>"
+)
+
+
+def test_cards_of_other_stories_are_no_part_of_the_article(spark):
+    rows = [(k, f"http://x.y/{k}", CARDS.format(k)) for k in range(8)]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k} Body {k} Update {k} Later {k}" for k in range(8)}
+
+
+def test_classes_are_those_of_brute_force_occurrence_vectors(spark):
+    """Random pages without article elements: classes of equal occurrence vectors, counted page by page in plain Python."""
+    import random
+    from collections import defaultdict
+
+    random.seed(7)
+    names = ["one", "two", "three", "four", "five six seven eight nine", "no-margin layout", "wide"]
+    table, vectors = [], defaultdict(lambda: defaultdict(lambda: [0] * 12))
+    for host in ("a.b", "c.d"):
+        fixed = [(random.choice(["div", "section", "p"]), random.choice(names), random.random() < 0.4) for _ in range(9)]
+        for k in range(12):
+            body = "".join(f"<{tag} class='{name}'>{'same' if same else random.randrange(10**6)}</{tag}>" * (1 if same else random.randrange(1, 3)) for tag, name, same in fixed)
+            table.append((k, f"http://{host}/{k}", f"<html><body><div class='main'>{body}</div></body></html>"))
+            blocks, counts = pages.parse(table[-1][2])
+            for path, role, text, _ in blocks:
+                counts[path + pages._mark(text)] = counts.get(path + pages._mark(text), 0) + (role != pages.DROP)
+            for token, n in counts.items():
+                vectors[host][token][k] = n
+    found = {r.host: r for r in pages.templates(spark.createDataFrame(table, "page_id long, url string, html string")).collect()}
+    for host, tokens in vectors.items():
+        common = {t: tuple(v) for t, v in tokens.items() if sum(x > 0 for x in v) >= 6 and t != "*"}
+        sizes = defaultdict(list)
+        for t, v in common.items():
+            sizes[v].append(t)
+        valid = {t for members in sizes.values() if len(members) >= 2 for t in members}
+        for t in sorted(common):
+            v = common[t]
+            if t.rpartition("/")[0] in valid and sum(v) % sum(x > 0 for x in v) == 0:
+                valid.add(t)
+        assert {t for t in valid if "#" not in t} == {*found[host].slots, *found[host].links} and {t for t in valid if "#" in t} == set(found[host].fixed)
