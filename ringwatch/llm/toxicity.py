@@ -20,6 +20,10 @@ SAMPLE_DOCS, VOTERS = 12_000, 300
 SHORTEST, LONGEST = 3, 10
 #: Occurrences in one text that count as evidence for a stem, so that a text of one repeated word doesn't make a voter.
 OFTEN = 3
+#: False alarms of a voter cost as much as so many hits when its threshold is chosen.
+FALSE_COST = 6
+#: Two voters depend on each other from this share of the smaller one's entropy on.
+LEAST_SHARED = 0.1
 KEPT, CHUNK = 200_000, 256
 _WORD = re.compile(r"[^\W\d_]+")
 #: Insults that every lexicon holds, besides what the labelled documents teach.
@@ -145,7 +149,7 @@ def thresholds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         v, t = v[order], t[order]
         good, bad = np.cumsum(t), np.cumsum(1 - t)
         ends = np.r_[v[1:] != v[:-1], True]
-        value = np.where(ends, good - 3 * bad, -np.inf)
+        value = np.where(ends, good - FALSE_COST * bad, -np.inf)
         out[k] = v[int(value.argmax())] if value.max() > 0 else v[0]
     return np.maximum(out, 1e-9)
 
@@ -156,40 +160,81 @@ def votes_of(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.concatenate([votes[:, :-1], -(votes[:, :-1].sum(axis=1, keepdims=True) == 0).astype(np.int8)], axis=1)
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expectation maximisation: (posterior of toxic, accuracy of each voter, its weight after correlations).
+def dependence(said: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The mutual information (nats) of each pair of voters given the class, with the posterior p of class 1."""
+    out, n = np.zeros((said.shape[1], said.shape[1])), max(len(p), 1)
+    for w in (1 - p, p):
+        mass = max(w.sum(), 1e-9)
+        both = (said * w[:, None]).T @ said / mass
+        one = np.clip(both.diagonal(), 1e-9, 1 - 1e-9)
+        for i, j, joint in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one[None, :] - both), (1 - one, 1 - one, 1 - one[:, None] - one[None, :] + both)):
+            joint = np.clip(joint, 1e-12, 1.0)
+            out += mass / n * joint * np.log(joint / (i[:, None] * j[None, :]))
+    np.fill_diagonal(out, 0.0)
+    return out
+
+
+def information(said: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The entropy (nats) of each voter given the class."""
+    out = np.zeros(said.shape[1])
+    for w in (1 - p, p):
+        one = np.clip(w @ said / max(w.sum(), 1e-9), 1e-12, 1 - 1e-12)
+        out -= w.sum() / max(len(p), 1) * (one * np.log(one) + (1 - one) * np.log(1 - one))
+    return out
+
 
-    Each voter has a probability of voting given the class; the known label is one more voter, which always votes and
-    whose accuracy is estimated like the others'. Voters that still agree once the class is known share evidence: the
-    residual correlations of every pair are estimated, and a voter's log likelihood counts with 1 / (1 + the sum of
-    its correlations above a tenth).
+def spanning_forest(gain: np.ndarray, least: float) -> np.ndarray:
+    """The parent of each node (-1 for a root) in a maximum spanning forest of edges with a gain above `least`."""
+    m = len(gain)
+    best, near, parent, done = np.full(m, least), np.full(m, -1), np.full(m, -1), np.zeros(m, bool)
+    for _ in range(m):
+        k = int(np.where(done, -np.inf, best).argmax())
+        done[k], parent[k] = True, near[k]
+        better = ~done & (gain[k] > best)
+        best[better], near[better] = gain[k][better], k
+    return parent
+
+
+def vote_rates(said: np.ndarray, p: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class masses, rates): the chance that voter k votes given the class c and whether its parent voted (a), as rates[k,
+    a, c]; the same for both a where it has no parent. Rare combinations lean on the chance given the class alone."""
+    w = np.stack([1 - p, p], axis=1)
+    mass = w.sum(axis=0) + 1.0
+    alone = (said.T @ w + 0.02) / (mass + 0.04)
+    rates = np.repeat(alone[:, None, :], 2, axis=1)
+    for k in np.flatnonzero(parent >= 0):
+        for a in (0, 1):
+            own = w * (said[:, parent[k]] == a)[:, None]
+            rates[k, a] = (said[:, k] @ own + 2 * alone[k]) / (own.sum(axis=0) + 2)
+    return mass, np.clip(rates, 1e-4, 1 - 1e-4)
+
+
+def log_odds(said: np.ndarray, mass: np.ndarray, rates: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The log odds of class 1 of each row of votes: the prior's, and those of each vote given the parent's."""
+    odds = np.full(len(said), np.log(mass[1] / mass[0]))
+    for k, q in enumerate(parent):
+        r = rates[k, said[:, q].astype(int) if q >= 0 else np.zeros(len(said), int)]
+        odds += np.where(said[:, k] == 1, np.log(r[:, 1] / r[:, 0]), np.log((1 - r[:, 1]) / (1 - r[:, 0])))
+    return odds
+
+
+def label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation maximisation: (posterior of toxic, accuracy of each voter, its parent among the voters or -1).
+
+    A vote depends on the class and on one other vote: the pairs that still depend on each other once the class is
+    known, by the largest mutual information, form a forest that is estimated anew in each round, together with the
+    votes' chances. The known labels (anchor) only say which class is which, where the rounds start; they have no vote.
     """
-    said = (votes != 0).astype(float)
-    p = np.clip(known, 0.05, 0.95)
-
-    def rates_given(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mass = np.array([(1 - p).sum(), p.sum()]) + 1.0
-        rate = np.stack([((1 - p) @ said + 0.02) / (mass[0] + 0.04), (p @ said + 0.02) / (mass[1] + 0.04)])
-        return mass, np.clip(rate, 1e-4, 1 - 1e-4)
-
-    # correlations come from the known labels: from the posterior, copies of a voter would explain each other away
-    _, rate = rates_given(p)
-    rest = said - np.where(known[:, None] == 1, rate[1], rate[0])
-    cov = rest.T @ rest / max(len(p), 1)
-    scale = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-    rho = np.abs(cov / scale[:, None] / scale[None, :])
-    np.fill_diagonal(rho, 0.0)
-    weight = 1 / (1 + np.where(rho > 0.1, rho, 0.0).sum(axis=1))
+    said, p = (votes != 0).astype(float), np.clip(anchor, 0.05, 0.95)
+    parent = np.full(said.shape[1], -1)
     for _ in range(rounds):
-        mass, rate = rates_given(p)
-        on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        odds = np.log(mass[1] / mass[0]) + said @ (weight * on) + (1 - said) @ (weight * off)
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))  # from the other voters alone: they tell how good the known labels are
-        right = np.clip([(1 - q) @ (1 - known) / (1 - q).sum(), q @ known / q.sum()], 0.6, 0.98)
-        gold = np.where(known == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
-        p = 1 / (1 + np.exp(-np.clip(odds + gold, -30, 30)))
+        gain = dependence(said, p)
+        own = np.maximum(information(said, p), 1e-12)
+        parent = spanning_forest(np.where(gain >= LEAST_SHARED * np.minimum(own[:, None], own[None, :]), gain, 0.0), 2.0 / max(len(p), 1))
+        odds = log_odds(said, *vote_rates(said, p, parent), parent)
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     accuracy = np.where(votes.sum(axis=0) >= 0, p @ said, (1 - p) @ said) / np.maximum(said.sum(axis=0), 1)
-    return p, accuracy, weight
+    return p, accuracy, parent
 
 
 def design(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -199,10 +244,11 @@ def design(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(z: np.ndarray, target: np.ndarray, decay: float = 3e-4, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient descent; both classes weigh the same."""
+    """Logistic regression on soft labels by accelerated gradient descent; a class weighs as the root of its mass."""
     w, b = np.zeros(z.shape[1]), 0.0
     mass = np.array([(1 - target).sum(), target.sum()]) + 1e-9
-    each = 0.5 * (target / mass[1] + (1 - target) / mass[0])
+    each = target / np.sqrt(mass[1]) + (1 - target) / np.sqrt(mass[0])
+    each /= each.sum()
     rate = 4.0 / (each @ np.square(z).sum(axis=1) + 1.0)
     vw, vb = w.copy(), b
     for k in range(rounds):
@@ -234,7 +280,8 @@ def _measure(stems: list[str]):
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Voters, label model and classifier from a bounded sample (SAMPLE_DOCS) of the labelled documents that aren't
-    held out. The known labels are one voter of the label model; the classifier learns its posterior labels only. Without
+    held out. The known labels choose stems and thresholds and say which class is which; the label model estimates how
+    good and how alike its voters are from the votes, and the classifier learns its posterior labels only. Without
     labels the model is the fixed insults' voters with a prior against toxicity."""
     known = known_labels(labels, "toxic").filter(crc_mod("doc_id", FOLDS) != HELD)
     known = F.broadcast(bounded_sample(known, "doc_id", SAMPLE_DOCS))

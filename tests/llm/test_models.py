@@ -40,6 +40,18 @@ def test_additive_model_learns_an_interaction():
     assert quality.fit_model(np.zeros((0, 3)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
 
 
+def test_scores_are_sums_of_lookups(documents):
+    texts = [r.text or "" for r in documents.values()]
+    x = np.array([quality.features(t) for t in texts])
+    model = quality.fit_model(x, np.array([len(t) % 3 == 0 for t in texts], float), rounds=10)
+    assert len(model.pairs) == quality.PAIRS
+    for row, score in zip(x.tolist(), model.score(x), strict=True):
+        total = model.bias + sum(values[sum(v >= e for e in edges)] for v, edges, values in zip(row, model.edges, model.single, strict=True))
+        for (a, b), values in model.pairs.items():
+            total += values[sum(row[a] >= e for e in model.coarse[a]), sum(row[b] >= e for e in model.coarse[b])]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0, 0), (3, 1, 0), (8, 1, 1), (8, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     for docs, marks in ((odd, labels), (odd, labels.limit(0)), (empty, labels)):
@@ -61,15 +73,58 @@ def test_toxicity_held_out(spark, known):
     assert np.mean([a == b for a, b in mine]) > 0.9
 
 
-def test_label_model_weighs_copies_of_a_voter_once():
+def test_label_model_counts_copies_of_a_voter_once():
     r = np.random.default_rng(4)
     y = r.random(3000) < 0.3
     good = [np.where(r.random(3000) < 0.85, y, ~y) for _ in range(3)]
     poor = np.where(r.random(3000) < 0.6, y, ~y)
     votes = np.stack([*good, *[poor] * 5, np.zeros(3000, bool)], axis=1).astype(np.int8)
-    p, accuracy, weight = toxicity.label_model(votes, np.where(r.random(3000) < 0.8, y, ~y).astype(float))
-    assert ((p > 0.5) == y).mean() > 0.9 and weight[3:8].max() < 0.35 < weight[:3].min()
-    assert accuracy[:3].min() > accuracy[3]
+    p, accuracy, parent = toxicity.label_model(votes, np.where(r.random(3000) < 0.8, y, ~y).astype(float))
+    assert ((p > 0.5) == y).mean() > 0.9 and accuracy[:3].min() > accuracy[3]
+    copies = [k for k in range(3, 8) if parent[k] in range(3, 8)]
+    assert len(copies) == 4 and not any(parent[k] >= 0 for k in range(3))
+
+
+def test_parts_of_the_label_model_against_brute_force():
+    """Small vote tables: mutual information, spanning forest, vote chances and posterior, each by plain enumeration."""
+    r = random.Random(2)
+    for _ in range(30):
+        n, m = r.randrange(5, 40), r.randrange(2, 5)
+        said = np.array([[r.random() < 0.4 for _ in range(m)] for _ in range(n)], float)
+        p = np.array([r.random() for _ in range(n)])
+        gain = toxicity.dependence(said, p)
+        for i, j in itertools.combinations(range(m), 2):
+            total = 0.0
+            for w in (1 - p, p):
+                for a, b in itertools.product((0, 1), repeat=2):
+                    joint = w[(said[:, i] == a) & (said[:, j] == b)].sum() / w.sum()
+                    alone = w[said[:, i] == a].sum() * w[said[:, j] == b].sum() / w.sum() ** 2
+                    total += w.sum() / n * joint * np.log(joint / alone) if joint > 0 else 0.0
+            assert gain[i, j] == pytest.approx(total, abs=1e-6) == gain[j, i]
+        parent = toxicity.spanning_forest(gain, 0.01)
+        edges = [e for e in itertools.combinations(range(m), 2) if gain[e] > 0.01]
+
+        def acyclic(chosen):
+            group = list(range(m))
+            for a, b in chosen:
+                if group[a] == group[b]:
+                    return False
+                group = [group[a] if g == group[b] else g for g in group]
+            return True
+
+        best = max(sum(gain[e] for e in c) for k in range(m) for c in itertools.combinations(edges, k) if acyclic(c))
+        assert sum(gain[k, q] for k, q in enumerate(parent) if q >= 0) == pytest.approx(best)
+        mass, rates = toxicity.vote_rates(said, p, parent)
+        odds = toxicity.log_odds(said, mass, rates, parent)
+        for row in range(n):
+            like = [mass[c] for c in (0, 1)]
+            for c, w in enumerate((1 - p, p)):
+                for k, q in enumerate(parent):
+                    alone = (w[said[:, k] == 1].sum() + 0.02) / (w.sum() + 1.04)
+                    own = said[:, q] == said[row, q]
+                    chance = alone if q < 0 else (w[own & (said[:, k] == 1)].sum() + 2 * alone) / (w[own].sum() + 2)
+                    like[c] *= chance if said[row, k] else 1 - chance
+            assert odds[row] == pytest.approx(np.log(like[1] / like[0]), abs=1e-6)
 
 
 def test_patterns():
@@ -90,6 +145,43 @@ def test_backoff():
     assert model.predict(["known known", "", "123", "½ ² _"]) == [("a", pytest.approx(81 / 82)), *[("und", 0.0)] * 3]
 
 
+def brute_language(text, docs, langs):
+    """Word-first backoff in plain Python: counts of words and n-grams of the training texts, all of them known."""
+    tables = {n: {} for n in range(language.LONGEST + 1)}
+    for lang, doc in docs:
+        for w in re.findall(r"[^\W\d_]+", doc.lower()):
+            for n in tables:
+                for g in [w] if n == 0 else [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)]:
+                    tables[n].setdefault(g, Counter())[lang] += 1
+    tables = {n: {g: c for g, c in table.items() if sum(c.values()) >= 2} for n, table in tables.items()}
+    sums = {n: [sum(c[lang] + language.SMOOTH for c in table.values()) for lang in langs] for n, table in tables.items()}
+
+    def logs(n, g):
+        found = [np.log((tables[n][g][lang] + language.SMOOTH) / total) for lang, total in zip(langs, sums[n], strict=True)]
+        return np.array(found) - max(found)
+
+    total = np.zeros(len(langs))
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in tables[0]:
+            own = logs(0, w)
+        else:
+            marked, parts = f"<{w}>", []
+            for at in range(max(1, len(marked) - language.LONGEST + 1)):
+                parts += next(([logs(n, marked[at : at + n])] for n in range(min(language.LONGEST, len(marked)), 0, -1) if marked[at : at + n] in tables[n]), [])
+            own = sum(parts) * (min(len(parts), 3) / len(parts)) if parts else np.zeros(len(langs))
+        total += np.maximum(own - own.max(), -language.MOST)
+    return langs[int(total.argmax())], 1 / np.exp(total - total.max()).sum()
+
+
+def test_language_against_brute_force(spark, sf, documents):
+    docs = [(r.lang, r.text) for r in documents.values() if r.lang is not None and r.text is not None and not held(r.doc_id, 3, 1)]
+    model = language.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    for r in [r for r in documents.values() if r.text and re.search(r"[a-z]", r.text) and len(r.text) < 3000][:5]:
+        lang, score = brute_language(r.text, docs, model.langs)
+        got = model.predict([r.text])[0]
+        assert got[0] == lang and got[1] == pytest.approx(score, abs=1e-6)
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
@@ -130,6 +222,24 @@ def test_rules_keep_clean_documents(spark, known):
     assert np.mean([a == b for a, b in judged]) > 0.9 and np.mean([a for a, b in judged if b]) > 0.97
 
 
+def test_verdict_on_documents_that_were_not_fitted(spark, known):
+    docs, marks = known
+    half = spark.read.parquet(f"{SF}/labels.parquet").filter("crc32(cast(cast(doc_id as string) as binary)) % 2 = 0")
+    field = lines.fit_on(spark.read.parquet(f"{SF}/documents.parquet"), half)
+    judged = []
+    for k, label in marks.items():
+        text = docs[k].text or ""
+        counts = brute_counts(text)
+        if zlib.crc32(str(k).encode()) % 2 and counts[0] >= 20 and 100 * counts[4] <= 30 * counts[0]:
+            measures = np.array(textstats.line_measures(text)).reshape(-1, len(textstats.LINE_MEASURES))
+            if len(measures) <= 10:  # decoding by trying every labelling
+                scores = field.scores(measures)
+                best = max(itertools.product((0, 1), repeat=len(measures)), key=lambda x: sum(a * b for a, b in zip(x, scores, strict=True)) + sum(field.step[a, b] for a, b in itertools.pairwise(x)))
+                assert lines.content_share(field, text) == pytest.approx((measures[:, 0] * best).sum() / measures[:, 0].sum())
+            judged.append((lines.content_share(field, text) >= lines.LEAST_CONTENT, label.quality))
+    assert len(judged) > 50 and np.mean([a == b for a, b in judged]) > 0.9
+
+
 def test_sampled_lines_come_from_the_whole_text():
     from ringwatch.llm import lines
     from ringwatch.llm.textstats import line_measures
