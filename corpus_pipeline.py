@@ -20,6 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 #: Ids of dropped documents up to this size are broadcast, so that no text is shuffled; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Bytes that an id takes in the relation that Spark builds of broadcast ids, at most.
+ID_BYTES = 64
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     n = groups.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(~F.col("first")).alias("dropped")).first()
     if n["rows"] == n["ids"]:
         dropped = groups.filter(~F.col("first")).select("id")
-        return docs.join(F.broadcast(dropped) if 8 * n["dropped"] <= BROADCAST_BYTES else dropped, docs["doc_id"] == dropped["id"], "left_anti")
+        return docs.join(F.broadcast(dropped) if ID_BYTES * n["dropped"] <= BROADCAST_BYTES else dropped, docs["doc_id"] == dropped["id"], "left_anti")
     kept = groups.filter("first").select("id", "print").distinct()
     rows = simhash.add_fingerprints(docs, "_print")
     rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["_print"] == kept["print"]), "left_semi")
