@@ -38,12 +38,13 @@ def _factor(unit: Column, table: Mapping[str, float]) -> Column:
 def normalize_units(text: Column) -> Column:
     """struct(value, unit) of texts such as '10 MB', '0.15 ms', '7%', 'NaN ms', '3 MB/sec'.
 
-    Sizes become MiB, times ms, sizes per time MiB/sec, percentages fractions; other units stay as written. NaN and
-    texts without a number give a null value.
+    Sizes become MiB, times ms, sizes per time MiB/sec, percentages fractions; other units stay as written. NaN,
+    texts without a number and versions such as 1.2.3 give a null value.
     """
     t = F.trim(text)
     number = F.regexp_replace(F.regexp_extract(t, r"^([+-]?[0-9][0-9,]*\.?[0-9]*(?:[eE][+-]?[0-9]+)?)", 1), ",", "").try_cast("double")
     unit = F.lower(F.trim(F.regexp_extract(t, r"^(?:NaN|[+-]?[0-9][0-9,]*\.?[0-9]*(?:[eE][+-]?[0-9]+)?)\s*(.*)$", 1)))
+    number = F.when(~unit.startswith("."), number)
     per = F.split(unit, "/")
     top, low = F.trim(F.element_at(per, 1)), F.trim(F.try_element_at(per, F.lit(2)))
     size, time = _factor(top, SIZE_MIB), _factor(unit, TIME_MS)
@@ -166,11 +167,29 @@ def attr_weight(rules: Mapping[str, Mapping[str, float] | None], high: Column, l
     return F.when((high == low) & (low == mean), add(one, std)).otherwise(add(of(high, "attr"), of(low, "min"), of(mean, "avg"), std))
 
 
-#: Rules of the attributes that are weighed, and the weight from which a table is flagged.
+#: Rules of the attributes that are weighed, and the weight from which a table is flagged. Counts of SSTables,
+#: partition sizes in MiB, tombstones as a share of cells, and deviations of tables with a common partition key.
 THRESHOLDS = {
-    "read_latency": {"trigger": 0.65, "attr": dict(threshold=1.5, factor=1.0, penalty=0.6), "min": dict(threshold=0.75, factor=0.25), "avg": dict(threshold=1.0, factor=0.5, penalty=0.1)},
-    "write_latency": {"trigger": 0.65, "attr": dict(threshold=1.0, factor=1.0, penalty=0.6), "min": dict(threshold=0.3, factor=0.25), "avg": dict(threshold=0.6, factor=0.5, penalty=0.1)},
+    "read_latency": {"trigger": 0.65, "attr": dict(threshold=1.5, factor=1.0, penalty=0.6), "max": dict(threshold=1.5, factor=0.25), "min": dict(threshold=0.75, factor=0.25), "avg": dict(threshold=1.0, factor=0.5, penalty=0.1)},
+    "write_latency": {"trigger": 0.65, "attr": dict(threshold=1.0, factor=1.0, penalty=0.6), "max": dict(threshold=1.0, factor=0.25), "min": dict(threshold=0.3, factor=0.25), "avg": dict(threshold=0.6, factor=0.5, penalty=0.1)},
+    "sstables": {"trigger": 0.6, "attr": dict(threshold=30.0, factor=1.0, penalty=0.6), "max": dict(threshold=30.0, factor=0.3), "min": dict(threshold=30.0, factor=0.4, penalty=0.1), "avg": dict(threshold=30.0, factor=0.3, penalty=0.2)},
+    "partition": {"trigger": 0.6, "attr": dict(threshold=100.0, factor=1.0, penalty=0.6), "max": dict(threshold=100.0, factor=0.3), "min": dict(threshold=100.0, factor=0.4, penalty=0.1), "avg": dict(threshold=100.0, factor=0.3, penalty=0.2)},
+    "tombstones": {"trigger": 0.6, "attr": dict(threshold=0.6, factor=1.0, penalty=0.6), "max": dict(threshold=0.6, factor=0.3), "min": dict(threshold=0.6, factor=0.4, penalty=0.1), "avg": dict(threshold=0.6, factor=0.3, penalty=0.2)},
+    "common_keys": {"trigger": 0.7, "attr": dict(threshold=70_000.0, factor=1.0, penalty=0.75), "max": dict(threshold=150_000.0, factor=0.5, penalty=0.75), "min": dict(threshold=25_000.0, factor=0.25, penalty=0.25), "avg": dict(threshold=70_000.0, factor=0.3, penalty=0.3)},
 }
+#: Names of these attributes in a thresholds file.
+THRESHOLD_NAMES = {"Local read latency": "read_latency", "Local write latency": "write_latency", "SSTable count": "sstables", "Partition large": "partition", "Tombstone/Live Percent": "tombstones", "Common Partition Keys": "common_keys"}
+
+
+def read_thresholds(text: str) -> dict[str, dict]:
+    """THRESHOLDS as a thresholds file (JSON) gives them; attributes without a name of ours keep their own, unknown kinds of
+    calculation count as 'over'."""
+    import json
+
+    kinds = {"Normal": "over", "Over": "over", "Under": "under", "RawOver": "raw over", "RawUnder": "raw under"}
+    rule = lambda v: dict(threshold=float(v["Threshold"]), weight=float(v.get("Weight", 1)), factor=float(v.get("WeightFactor", 1)), penalty=float(v.get("PenaltyFactor", 0)), kind=kinds.get(str(v.get("CalcType")), "over"))
+    parts = {"attr": "AttrValue", "max": "MaxValue", "min": "MinValue", "avg": "AvgValue", "std": "StdDevValue"}
+    return {THRESHOLD_NAMES.get(a["AttrName"], a["AttrName"]): {"trigger": float(a["MinTrigger"]), **{k: rule(a[p]) for k, p in parts.items() if a.get(p)}} for a in json.loads(text)}
 
 
 def lcs_parse(text: Column) -> Column:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import has_flag, prop_long, prop_non_negative, prop_number, prop_positive
+from ..functions.columns import has_flag, prop_non_negative, prop_number, prop_positive
 from ..schema import EVENT_CLASSES, EVENT_TYPES, ORPHANED
 from .stats import with_one_row
 
 
+#: The statistics of item_stats, in order.
+STATS = ("max", "min", "mean", "std", "sum")
+
+
 def item_stats(value: Column, name: str) -> list[Column]:
     """Max, min, mean, population standard deviation and sum of a column; all null without a value."""
     return [F.max(value).alias(f"{name}_max"), F.min(value).alias(f"{name}_min"), F.avg(value).alias(f"{name}_mean"), F.stddev_pop(value).alias(f"{name}_std"), F.sum(value).alias(f"{name}_sum")]
@@ -34,52 +39,63 @@ def _sum_positive(name: str, key: str) -> Column:
     return F.sum(prop_positive(F.col("props"), key)).alias(name)
 
 
+def two_stats(a: Column, b: Column, name: str) -> list[Column]:
+    """item_stats of the values of two columns taken together."""
+    n, m = F.count(a), F.count(b)
+    total = F.coalesce(F.sum(a), F.lit(0.0)) + F.coalesce(F.sum(b), F.lit(0.0))
+    apart = F.coalesce(F.pow(F.avg(a) - F.avg(b), 2) * n * m / F.nullif(n + m, F.lit(0)), F.lit(0.0))
+    spread = (F.coalesce(F.var_pop(a) * n, F.lit(0.0)) + F.coalesce(F.var_pop(b) * m, F.lit(0.0)) + apart) / F.nullif(n + m, F.lit(0))
+    some = lambda x: F.when(n + m > 0, x)
+    return [F.greatest(F.max(a), F.max(b)).alias(f"{name}_max"), F.least(F.min(a), F.min(b)).alias(f"{name}_min"), (total / F.nullif(n + m, F.lit(0))).alias(f"{name}_mean"), F.sqrt(spread).alias(f"{name}_std"), some(total).alias(f"{name}_sum")]
+
+
 def analytics_groups() -> dict[str, list[Column]]:
-    """Aggregate expressions of each analytics group over events with props, duration_ms and ts.
+    """Aggregate expressions of each analytics group over events with props and duration_ms.
 
-    Sentinels stay where they count: a missing number of pending gossip tasks and of GC occurrences is 0, a missing
-    discarded-statement cache and GC pause is -1.
+    Sentinels stay where they count: missing pending gossip tasks, GC occurrences and their durations and merge counts
+    are 0, a missing discarded-statement cache, GC pause and size, rate and inconsistent share of a node sync are -1.
     """
     p = F.col("props")
     pos, non = (lambda k: prop_positive(p, k)), (lambda k: prop_non_negative(p, k))
+    count = lambda k: F.when(prop_number(p, k, 0.0) >= 0, prop_number(p, k, 0.0))
     space = lambda k: F.greatest(F.max(non(f"{k}_before")), F.max(non(f"{k}_after")))
-    found, expired = pos("found_rows"), pos("expired_docs")
-    rate = lambda n, d: F.when(n.isNotNull(), F.when(d > 0, n / d).otherwise(0.0))
-    merged = F.array_sort(F.collect_list(F.when(p["merge_before"].isNotNull() & p["merge_after"].isNotNull(), F.struct("ts", prop_long(p, "merge_after").alias("a"), prop_long(p, "merge_before").alias("b")))))
+    found, expired, found_ms, expired_ms = pos("found_rows"), pos("expired_docs"), pos("found_ms"), pos("expired_ms")
+    plain = lambda name, value: item_stats(value, name)
+    on_heap = F.count(pos("onheap_mib")) > 0
+    heap = lambda name, on, off: [F.when(on_heap, x).otherwise(y).alias(f"{name}_{k}") for k, x, y in zip(STATS, item_stats(on, "x"), item_stats(off, "x"), strict=True)]
     return {
-        "DurationStats": item_stats(F.col("duration_ms"), "duration"),
+        "DurationStats": plain("duration", F.col("duration_ms")),
         "StatusLoggerPoolStats": [_sum_positive(k, k) for k in ("pending", "completed", "blocked", "all_time_blocked")],
-        "StatusLoggerMemTblOPSStats": [*item_stats(pos("memtable_ops"), "ops"), *item_stats(pos("memtable_mib"), "size")],
-        "LargePartitionRowStats": item_stats(non("partition_mib"), "size"),
+        "StatusLoggerMemTblOPSStats": [*plain("ops", pos("memtable_ops")), *plain("size", pos("memtable_mib"))],
+        "LargePartitionRowStats": plain("size", non("partition_mib")),
         "TombstoneStats": [F.sum(non("tombstones")).alias("tombstones"), F.sum(non("live_cells")).alias("live_cells")],
         "GCStats": [
             *[space(k).alias(f"{k}_max") for k in ("eden", "old", "survivor")],
             *[F.sum(non(f"{k}_after") - non(f"{k}_before")).alias(f"{k}_change") for k in ("eden", "old", "survivor")],
-            F.sum(prop_number(p, "occurrences", 0.0)).alias("occurrences"), F.greatest(F.max(non("longest_ms")), F.max(non("shortest_ms"))).alias("duration_max"), F.least(F.min(non("longest_ms")), F.min(non("shortest_ms"))).alias("duration_min"),
+            *plain("occurrences", count("occurrences")), *two_stats(count("longest_ms"), count("shortest_ms"), "duration"),
         ],
-        "GossipPendingStats": item_stats(prop_number(p, "pending_tasks", 0.0), "pending"),
-        "BatchStats": [*item_stats(pos("partitions"), "partitions"), *item_stats(pos("batch_mib"), "size")],
-        "PreparesDiscardedStats": [*item_stats(pos("discarded"), "discarded"), *item_stats(prop_number(p, "cache_mib"), "cache")],
-        "GCPauseStats": item_stats(prop_number(p, "pause_ms"), "duration"),
+        "GossipPendingStats": plain("pending", prop_number(p, "pending_tasks", 0.0)),
+        "BatchStats": [*plain("partitions", pos("partitions")), *plain("size", pos("batch_mib"))],
+        "PreparesDiscardedStats": [*plain("discarded", pos("discarded")), *plain("cache", prop_number(p, "cache_mib"))],
+        "GCPauseStats": plain("duration", prop_number(p, "pause_ms")),
         "FlushStats": [
-            *item_stats(non("flush_ops"), "ops"), *item_stats(non("serialized_mib"), "serialized"), *item_stats(non("flushed_mib"), "flushed"),
-            F.when(F.count(non("onheap_mib")) > 0, F.avg(non("onheap_mib"))).otherwise(F.avg(non("offheap_mib"))).alias("heap_mean"),
-            F.when(F.count(non("onheap_mib")) > 0, F.avg(non("onheap_pct") / 100)).otherwise(F.avg(non("offheap_pct") / 100)).alias("threshold_mean"),
+            *plain("ops", pos("flush_ops")), *plain("serialized", pos("serialized_mib")), *plain("flushed", pos("flushed_mib")),
+            *heap("heap", pos("onheap_mib"), pos("offheap_mib")), *heap("threshold", non("onheap_pct") / 100, non("offheap_pct") / 100),
         ],
         "CompactionStats": [
-            *item_stats(non("row_rate"), "rows"), *item_stats(non("old_mib"), "old"), *item_stats(non("new_mib"), "new"), *item_stats(non("read_rate"), "read"), *item_stats(non("write_rate"), "write"),
-            F.aggregate(merged, F.lit(0).cast("long"), lambda a, x: a + x["a"] - x["b"]).alias("merge_change"),
+            *plain("rows", non("row_rate")), *plain("old", non("old_mib")), *plain("new", non("new_mib")), *plain("read", pos("read_rate")), *plain("write", non("write_rate")),
+            *plain("merge_change", count("merge_after") - count("merge_before")),
         ],
-        "HintHandOffStats": item_stats(pos("hint_rows"), "hints"),
-        "MaximumMemoryUsageReachedStats": item_stats(non("max_mib"), "size"),
-        "FreeDeviceStorageStats": item_stats(non("free_mib"), "size"),
-        "CompactionInsufficientSpaceStats": item_stats(non("required_mib"), "size"),
-        "DropStats": [*item_stats(pos("dropped_internal"), "internal"), *item_stats(pos("dropped_cross_node"), "cross_node"), *item_stats(pos("latency_ms"), "latency")],
-        "SolrExpiredStats": [
-            F.sum(F.coalesce(found, F.lit(0.0)) + F.coalesce(expired, F.lit(0.0))).alias("count_sum"), F.sum(F.coalesce(non("found_ms"), F.lit(0.0)) + F.coalesce(non("expired_ms"), F.lit(0.0))).alias("duration_sum"),
-            F.greatest(F.max(rate(found, non("found_ms"))), F.max(rate(expired, non("expired_ms")))).alias("rate_max"),
+        "HintHandOffStats": plain("hints", pos("hint_rows")),
+        "MaximumMemoryUsageReachedStats": plain("size", non("max_mib")),
+        "FreeDeviceStorageStats": plain("size", non("free_mib")),
+        "CompactionInsufficientSpaceStats": plain("size", non("required_mib")),
+        "DropStats": [*plain("internal", pos("dropped_internal")), *plain("cross_node", pos("dropped_cross_node")), *plain("latency", pos("latency_ms"))],
+        "SolrExpiredStats": [*two_stats(found, expired, "count"), *two_stats(found_ms, expired_ms, "duration"), *two_stats(found / (found_ms / 1000), expired / (expired_ms / 1000), "rate")],
+        "NodeSyncStats": [
+            *plain("size", prop_number(p, "sync_mib")), *plain("rate", prop_number(p, "sync_rate")), *plain("inconsistent", prop_number(p, "inconsistent_pct")),
+            *plain("partial", pos("partial_pct")), *plain("failed", pos("failed_pct")), *plain("uncompleted", pos("uncompleted_pct")),
         ],
-        "NodeSyncStats": [*item_stats(non("sync_mib"), "size"), *item_stats(non("sync_rate"), "rate"), *item_stats(non("inconsistent_pct"), "inconsistent"), *item_stats(pos("failed_pct"), "failed")],
     }
 
 
@@ -107,33 +123,34 @@ def classify_events(lines: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 
     A rule has a tag, optional level, thread, file and message patterns, all of which must match, and parse patterns
     with named groups, one of which must match; the named groups of the first that does become `props`. Rules come in
-    the order in which they win. New columns: rule (position, null without a match), tag, type, class, subclass,
+    the order in which they win. Each pattern is matched once, until a rule holds. New columns: rule (position, null without a match), tag, type, class, subclass,
     analytics_group, session_key, props.
     """
-    import re
-
-    number, pick = F.lit(None).cast("int"), {k: F.lit(None) for k in ("tag", "type", "class", "subclass", "analytics_group", "session_key", "props")}
-    kinds = {"tag": "string", "type": "long", "class": "long", "subclass": "string", "analytics_group": "string", "session_key": "string", "props": "map<string,string>"}
-    for k in reversed(range(len(rules))):
-        rule = rules[k]
+    kinds = {"tag": "string", "type": "long", "class": "long", "subclass": "string", "analytics_group": "string"}
+    none = F.create_map().cast("map<string,string>")
+    found = []
+    for k, rule in enumerate(rules):
         hit = F.lit(True)
         for column, key in (("level", "level"), ("thread", "thread"), ("src_file", "file"), ("message", "message")):
             if rule.get(key):
                 hit &= F.coalesce(F.col(column).rlike(rule[key]), F.lit(False))
-        parsed, props = F.lit(not rule.get("parse")), F.create_map().cast("map<string,string>")
-        for pattern in reversed(rule.get("parse") or []):
+        own, parsed = lambda props, k=k: F.struct(F.lit(k).alias("rule"), props.alias("props")), None
+        for pattern in rule.get("parse") or []:
             names = list(re.compile(pattern).groupindex.items())
             java = re.sub(r"\(\?P<\w+>", "(", pattern)
-            found = F.coalesce(F.col("message").rlike(java), F.lit(False))
             pairs = [x for name, at in names for x in (F.lit(name), F.nullif(F.regexp_extract("message", java, at), F.lit("")))]
-            props = F.when(found, F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).otherwise(props)
-            parsed |= found
-        hit &= parsed
-        number = F.when(hit, F.lit(k)).otherwise(number)
-        own = {"tag": F.lit(rule["tag"]), "type": F.lit(rule.get("type", EVENT_TYPES["SingleInstance"])), "class": F.lit(rule.get("class", 0)), "subclass": F.lit(rule.get("subclass")), "analytics_group": F.lit(rule.get("analytics_group")), "session_key": F.expr(rule["session_key"]) if rule.get("session_key") else F.lit(None), "props": props}
-        pick = {c: F.when(hit, own[c].cast(kinds[c])).otherwise(pick[c].cast(kinds[c])) for c in pick}
-    session = pick.pop("session_key")
-    return lines.withColumns({"rule": number, **pick}).withColumn("session_key", session.cast("string"))
+            props = own(F.create_map(*pairs) if pairs else none)
+            parsed = F.when(F.col("message").rlike(java), props) if parsed is None else parsed.when(F.col("message").rlike(java), props)
+        found.append(F.when(hit, own(none) if parsed is None else parsed))
+    rows = lines.withColumn("_hit", F.coalesce(*found, F.lit(None).cast("struct<rule:int,props:map<string,string>>")))
+    rule, defaults = F.col("_hit.rule"), {"type": EVENT_TYPES["SingleInstance"], "class": 0}
+    pick = {c: F.try_element_at(F.array(*[F.lit(r.get(c, defaults.get(c))).cast(kind) for r in rules]), rule + 1) if rules else F.lit(None).cast(kind) for c, kind in kinds.items()}
+    session = F.lit(None).cast("string")
+    for k, r in enumerate(rules):
+        if r.get("session_key"):
+            session = F.when(rule == k, F.expr(r["session_key"]).cast("string")).otherwise(session)
+    rows = rows.withColumns({"rule": rule, **pick, "props": F.col("_hit.props")}).withColumn("session_key", F.when(F.col("rule").isNotNull(), session))
+    return rows.drop("_hit")
 
 
 def select_rules_for_version(rules: DataFrame, versions: DataFrame) -> DataFrame:
@@ -165,7 +182,7 @@ def ignore_tags(events: DataFrame, tags: DataFrame) -> DataFrame:
 
 def cap_events(events: DataFrame, most: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first `most` events of each key: a sampling limit that the caller asks for."""
-    return events.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= most).drop("nth")
+    return events.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_nth") <= most).drop("_nth")
 
 
 def event_time_range(events: DataFrame, start: str | None = None, end: str | None = None, hours_before: tuple[str, int] | None = None) -> DataFrame:

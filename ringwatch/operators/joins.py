@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,14 +22,14 @@ def resolve_names(events: DataFrame, names: DataFrame, raw: str = "raw_name") ->
     ids = names.filter("id is not null").select(F.lower("id").alias("name"), "keyspace", "table_name")
     bare = names.groupBy(F.lower("table_name").alias("name")).agg(F.min("keyspace").alias("keyspace"), F.min("table_name").alias("table_name"), F.count_distinct("keyspace").alias("n")).filter("n = 1").drop("n")
     known = full.unionByName(ids).unionByName(bare).dropDuplicates(["name"])
-    known = known.select(F.col("name"), F.col("keyspace").alias("keyspace_found"), F.col("table_name").alias("table_found"))
-    return events.join(known, clean(F.col(raw)) == F.col("name"), "left").drop("name")
+    known = known.select(F.col("name").alias("_name"), F.col("keyspace").alias("keyspace_found"), F.col("table_name").alias("table_found"))
+    return events.drop("keyspace_found", "table_found").join(known, clean(F.col(raw)) == F.col("_name"), "left").drop("_name")
 
 
 def resolve_nodes(events: DataFrame, hosts: DataFrame, raw: str = "address") -> DataFrame:
     """Attach node and data center by address or host name. hosts (name, node_id, dc), one row per name."""
-    known = hosts.select(F.lower("name").alias("host_name"), F.col("node_id").alias("node_found"), F.col("dc").alias("dc_found")).dropDuplicates(["host_name"])
-    return events.join(known, F.lower(raw) == F.col("host_name"), "left").drop("host_name")
+    known = hosts.select(F.lower("name").alias("_host"), F.col("node_id").alias("node_found"), F.col("dc").alias("dc_found")).dropDuplicates(["_host"])
+    return events.drop("node_found", "dc_found").join(known, F.lower(raw) == F.col("_host"), "left").drop("_host")
 
 
 def unknown_nodes(events: DataFrame, hosts: DataFrame, raw: str = "address") -> DataFrame:
@@ -41,20 +42,22 @@ def pair_sessions(events: DataFrame, keys: Sequence[str] = ("node_id", "session_
     duration_ms and orphaned.
 
     The open begin is the last one since the last end. An end takes its id and time; an end without one, and a begin that
-    another begin or nothing follows instead of an end, are orphaned. A window per (node, session key): no self-join.
+    another begin or nothing follows instead of an end, are orphaned. A window per (node, session key): no self-join. The
+    events' own columns of these four names are replaced.
     """
     over = W.partitionBy(*keys).orderBy(*order)
     begin, end = F.col("type").bitwiseAND(F.lit(EVENT_TYPES["SessionBegin"])) != 0, F.col("type").bitwiseAND(F.lit(EVENT_TYPES["SessionEnd"])) != 0
     mark = F.when(begin, F.struct(F.lit(True).alias("open"), F.col("event_id").cast("string").alias("id"), F.col("ts").alias("ts"))).when(end, F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("timestamp").alias("ts")))
-    rows = events.withColumn("mark", mark)
-    rows = rows.withColumn("seen", F.last("mark", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)))
-    rows = rows.withColumn("next", F.first("mark", ignorenulls=True).over(over.rowsBetween(1, W.unboundedFollowing)))
-    open_ = F.coalesce(F.col("seen.open"), F.lit(False))
-    session = F.when(begin, F.col("event_id").cast("string")).when(open_, F.col("seen.id"))
-    started = F.when(begin, F.col("ts")).when(open_, F.col("seen.ts"))
-    orphan = F.when(end, ~open_).when(begin, F.coalesce(F.col("next.open"), F.lit(True))).otherwise(~open_)
-    took = F.when(end & open_, (F.unix_micros("ts") - F.unix_micros("seen.ts")) / 1000.0)
-    return rows.select(*events.columns, session.alias("session_id"), started.alias("ts_begin"), took.alias("duration_ms"), orphan.alias("orphaned"))
+    rows = events.withColumn("_mark", mark)
+    rows = rows.withColumn("_seen", F.last("_mark", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("_next", F.first("_mark", ignorenulls=True).over(over.rowsBetween(1, W.unboundedFollowing)))
+    open_ = F.coalesce(F.col("_seen.open"), F.lit(False))
+    session = F.when(begin, F.col("event_id").cast("string")).when(open_, F.col("_seen.id"))
+    started = F.when(begin, F.col("ts")).when(open_, F.col("_seen.ts"))
+    orphan = F.when(end, ~open_).when(begin, F.coalesce(F.col("_next.open"), F.lit(True))).otherwise(~open_)
+    took = F.when(end & open_, (F.unix_micros("ts") - F.unix_micros("_seen.ts")) / 1000.0)
+    own = [c for c in events.columns if c not in ("session_id", "ts_begin", "duration_ms", "orphaned")]
+    return rows.select(*own, session.alias("session_id"), started.alias("ts_begin"), took.alias("duration_ms"), orphan.alias("orphaned"))
 
 
 def orphan_events(paired: DataFrame, keys: Sequence[str] = ("node_id", "session_key")) -> DataFrame:
@@ -62,7 +65,7 @@ def orphan_events(paired: DataFrame, keys: Sequence[str] = ("node_id", "session_
     the time of its end, is not counted: such lines are written in either order."""
     over = W.partitionBy(*keys).orderBy("ts", "event_id")
     same = F.coalesce((F.lag("ts").over(over) == F.col("ts")) | (F.lead("ts").over(over) == F.col("ts")), F.lit(False))
-    rows = paired.withColumn("same_tick", same).filter("orphaned and not same_tick").drop("same_tick")
+    rows = paired.withColumn("_same_tick", same).filter("orphaned and not _same_tick").drop("_same_tick")
     return rows.withColumn("class", F.coalesce("class", F.lit(0)).cast("long").bitwiseOR(F.lit(ORPHANED))) if "class" in paired.columns else rows
 
 
@@ -110,14 +113,31 @@ def device_utilization(nodes: DataFrame, mounts: DataFrame) -> DataFrame:
     return out
 
 
-def trim_overlaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug")) -> DataFrame:
-    """Files (keys, path, file_min, file_max) with the part of their range no earlier file covers: status new, within
-    (skipped) or trimmed; a file that spans earlier ones is trimmed too. Earlier means: starts before, or ends later on a tie."""
-    order = W.partitionBy(*keys).orderBy("file_min", F.desc("file_max"), "path")
-    reach = F.max("file_max").over(order.rowsBetween(W.unboundedPreceding, -1))
-    status = F.when(reach.isNull() | (F.col("file_min") > reach), "new").when(F.col("file_max") <= reach, "within").otherwise("trimmed")
-    used_min = F.when(status == "new", F.col("file_min")).when(status == "trimmed", reach)
-    return files.withColumns({"status": status, "used_min": used_min, "used_max": F.when(status != "within", F.col("file_max"))})
+def trim_overlaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"), order: Sequence[str] = ("file_min", "path")) -> DataFrame:
+    """Files (keys, path, file_min, file_max) in the order in which they are processed, each with the part of its range that no
+    file before it covers, as (status, used_min, used_max).
+
+    within: one file before it covers its range, so it is skipped. error: its start lies in one file before it and its end
+    in another, so it spans them and is skipped too. trimmed: only its start, or only its end, lies in a file before it,
+    and the rest counts. new: neither does, even if it holds whole files. A start on an edge lies in the file, an end on an
+    edge doesn't (our reading). A file stands in each day that it touches, and its ends look into their day: an equi-join."""
+    day = lambda c: F.floor(F.unix_micros(c) / 86_400_000_000)
+    ids = [*keys, "file_min", "file_max", *[c for c in order if c not in ("file_min", "file_max", *keys)]]
+    one = files.select(*ids).filter("file_min is not null and file_max is not null and file_min <= file_max").distinct()
+    before = one.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*order).alias("_rank"), F.col("file_min").alias("_min"), F.col("file_max").alias("_max"), F.explode(F.sequence(day("file_min"), day("file_max"))).alias("_day"))
+    ends = F.array(F.struct(F.lit(True).alias("start"), F.col("file_min").alias("at")), F.struct(F.lit(False).alias("start"), F.col("file_max").alias("at")))
+    own = one.select(*ids, F.struct(*order).alias("_own"), F.explode(ends).alias("_end")).withColumn("_at", day("_end.at"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    held = reduce(lambda x, y: x & y, [*same, F.col("_at") == F.col("_day"), F.col("_rank") < F.col("_own"), F.col("_min") <= F.col("_end.at"), F.col("_end.at") <= F.col("_max")])
+    start, inner = F.col("_end.start"), ~F.col("_end.start") & (F.col("_min") < F.col("_end.at")) & (F.col("_end.at") < F.col("_max"))
+    found = own.join(before, held).groupBy(*ids).agg(F.bool_or(start & (F.col("_max") >= F.col("file_max"))).alias("_whole"), F.max(F.when(start, F.col("_max"))).alias("_after"), F.min(F.when(inner, F.col("_min"))).alias("_before"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in ids], "_whole", "_after", F.col("_before").alias("_until"))
+    columns = [c for c in files.columns if c not in ("status", "used_min", "used_max")]
+    rows = files.join(found, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]), "left")
+    after, until = F.col("_after"), F.col("_until")
+    status = F.when(F.col("_whole"), "within").when(after.isNotNull() & until.isNotNull(), "error").when(after.isNotNull() | until.isNotNull(), "trimmed").otherwise("new")
+    used = status.isin("new", "trimmed")
+    return rows.select(*columns, status.alias("status"), F.when(used, F.coalesce(after, "file_min")).alias("used_min"), F.when(used, F.coalesce(until, "file_max")).alias("used_max"))
 
 
 def tokens_containing(tokens: DataFrame, ranges: DataFrame, cells: int = 256) -> DataFrame:
@@ -130,11 +150,11 @@ def tokens_containing(tokens: DataFrame, ranges: DataFrame, cells: int = 256) ->
     cell = lambda c: F.floor((c.cast("decimal(21,0)") - low) / width).cast("int")
     s, e = F.col("start").cast("decimal(20,0)"), F.col("end").cast("decimal(20,0)")
     parts = F.when(s < e, F.array(F.struct(s.alias("s"), e.alias("e")))).otherwise(F.array(F.struct(s.alias("s"), high.alias("e")), F.struct((low - 1).cast("decimal(20,0)").alias("s"), e.alias("e"))))
-    cut = ranges.withColumn("part", F.explode(parts))
-    cut = cut.withColumn("cell", F.explode(F.sequence(F.greatest(F.lit(0), cell(F.col("part.s"))), cell(F.col("part.e")))))
-    t = tokens.withColumn("cell", cell(F.col("token")))
-    inside = (F.col("token") > F.col("part.s")) & (F.col("token") <= F.col("part.e"))
-    return t.join(cut, "cell").filter(inside).drop("cell", "part")
+    cut = ranges.withColumn("_part", F.explode(parts))
+    cut = cut.withColumn("_cell", F.explode(F.sequence(F.greatest(F.lit(0), cell(F.col("_part.s"))), cell(F.col("_part.e")))))
+    t = tokens.withColumn("_cell", cell(F.col("token")))
+    inside = (F.col("token") > F.col("_part.s")) & (F.col("token") <= F.col("_part.e"))
+    return t.join(cut, "_cell").filter(inside).drop("_cell", "_part")
 
 
 def flagged_tables_semi(rows: DataFrame, flag: Column) -> DataFrame:
@@ -143,8 +163,9 @@ def flagged_tables_semi(rows: DataFrame, flag: Column) -> DataFrame:
 
 
 def late_name_resolution(events: DataFrame) -> DataFrame:
-    """Events of a session whose table was unknown get the one its end names. events (session_id, ts, keyspace, table_name)."""
-    over = W.partitionBy("session_id").orderBy("ts").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    """Events of a session whose table was unknown get the one its end names: the last by time, then event_id.
+    events (session_id, ts, keyspace, table_name)."""
+    over = W.partitionBy("session_id").orderBy("ts", *[c for c in ("event_id",) if c in events.columns]).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     last = lambda c: F.when(F.col("session_id").isNotNull(), F.last(c, ignorenulls=True).over(over))
     return events.withColumns({c: F.coalesce(F.col(c), last(c)) for c in ("keyspace", "table_name")})
 

@@ -77,9 +77,9 @@ def node_summary(nodes: DataFrame, stats: DataFrame, events: DataFrame, files: D
 
 def percent_of_total(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each column as a share of its total over all rows, as <column>_pct; a total of 0 gives 0."""
-    total = rows.agg(*[F.sum(c).alias(f"total_{c}") for c in columns])
-    share = {f"{c}_pct": F.when(F.col(f"total_{c}") > 0, F.coalesce(F.col(c), F.lit(0)) / F.col(f"total_{c}")).otherwise(0.0) for c in columns}
-    return with_one_row(rows, total).withColumns(share).drop(*[f"total_{c}" for c in columns])
+    total = rows.agg(*[F.sum(c).alias(f"_total_{c}") for c in columns])
+    share = {f"{c}_pct": F.when(F.col(f"_total_{c}") > 0, F.coalesce(F.col(c), F.lit(0)) / F.col(f"_total_{c}")).otherwise(0.0) for c in columns}
+    return with_one_row(rows, total).withColumns(share).drop(*[f"_total_{c}" for c in columns])
 
 
 def tagged_tables(stats: DataFrame, attrs: Mapping[str, str], keys: Sequence[str] = ("dc", "keyspace", "table_name", "node_id"), rules: Mapping[str, Mapping] = THRESHOLDS) -> DataFrame:

@@ -30,7 +30,7 @@ def gc_back_to_back(events: DataFrame, keys: Sequence[str] = ("node_id",), toler
     order = W.partitionBy(*keys).orderBy("ts_begin", "ts_end")
     before, ended = F.lag("ts_begin").over(order), F.lag("ts_end").over(order)
     joins = (F.col("ts_begin") > before) & (F.col("ts_begin") <= ended + _millis(tolerance_ms))
-    rows = events.withColumn("nth", F.row_number().over(order)).withColumn("new_run", F.when(joins, 0).otherwise(1))
+    rows = events.select(*keys, "ts_begin", "ts_end", "duration_ms").withColumn("nth", F.row_number().over(order)).withColumn("new_run", F.when(joins, 0).otherwise(1))
     rows = rows.withColumn("run", F.sum("new_run").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return rows.groupBy(*keys, "run").agg(*_run_stats()).filter("occurrences > 1").drop("run")
 
@@ -76,14 +76,17 @@ def _anchored(n_keys: int, frame: int):
 def log_file_gaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"), gap_minutes: float = 15) -> DataFrame:
     """Each log file against the one before it: kind Duplicated, OverLapping, Normal or Gap, and the gap in minutes.
 
-    files (keys, used_min, used_max). The first file of a key is Normal with no gap.
+    files (keys, used_min, used_max), in the order of their ranges. A file is Duplicated if its range equals the one before
+    or starts inside it, OverLapping if it starts on an edge of it (our reading of the edges), and else Normal or Gap by
+    the time since the one before ended. The first file of a key is Normal with a gap of 0.
     """
     order = W.partitionBy(*keys).orderBy("used_min", "used_max")
     start, end = F.lag("used_min").over(order), F.lag("used_max").over(order)
     gap = (F.unix_micros("used_min") - F.unix_micros(end)) / 60e6
     same = (F.col("used_min") == start) & (F.col("used_max") == end)
-    kind = F.when(start.isNull(), "Normal").when(same | ((F.col("used_min") < end) & (F.col("used_max") > end)), "Duplicated").when((F.col("used_min") < end) & (F.col("used_max") <= end), "OverLapping").when(gap <= gap_minutes, "Normal").otherwise("Gap")
-    return files.withColumns({"kind": kind, "gap_minutes": F.when(kind.isin("Normal", "Gap"), gap)})
+    inside = (F.col("used_min") > start) & (F.col("used_min") < end)
+    kind = F.when(start.isNull(), "Normal").when(same | inside, "Duplicated").when(F.col("used_min") <= end, "OverLapping").when(gap <= gap_minutes, "Normal").otherwise("Gap")
+    return files.withColumns({"kind": kind, "gap_minutes": F.when(start.isNull(), 0.0).when(kind.isin("Normal", "Gap"), gap)})
 
 
 def log_continuous_runs(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"), gap_minutes: float = 15, days: float = 4) -> DataFrame:
@@ -119,8 +122,8 @@ def split_at_restarts(files: DataFrame) -> DataFrame:
 
 def node_state_timeline(states: DataFrame, pause_hours: float = 4) -> DataFrame:
     """States without repeats, numbered per node by time and state; pauses above the limit get the long-pause bit.
-    states (node_id, ts, state, detected_by, duration_ms)."""
-    rows = states.dropDuplicates(["node_id", "ts", "state", "detected_by"])
+    states (node_id, ts, state, detected_by, duration_ms); a column nth of theirs is replaced."""
+    rows = states.drop("nth").dropDuplicates(["node_id", "ts", "state", "detected_by"])
     long = has_flag(F.col("state"), NODE_STATES["Paused"]) & (F.col("duration_ms") > pause_hours * 3.6e6)
     rows = rows.withColumn("state", F.when(long, F.col("state").bitwiseOR(F.lit(NODE_STATES["LongPause"]))).otherwise(F.col("state")))
     return rows.withColumn("nth", F.row_number().over(W.partitionBy("node_id").orderBy("ts", "state", F.col("detected_by").asc_nulls_first())))
@@ -163,7 +166,8 @@ def session_parent_chain(events: DataFrame, keys: Sequence[str] = ("node_id",))
     return out.select(*events.columns, F.coalesce("_parents", empty).alias("parents"))
 
 
-NETWORK = r"(?i)(connection (?:reset|refused|timed out)|network is unreachable|no route to host|broken pipe|unable to (?:connect|gossip))"
+#: Fixed value: exceptions about the network.
+NETWORK = r"(NativeIoException)|((Closed)?ChannelException)|(TimeoutException)"
 
 
 def network_state_changes(events: DataFrame, pattern: str = NETWORK) -> DataFrame:

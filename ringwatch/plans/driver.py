@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EVENT_CLASSES, EVENT_TYPES
+from ..schema import EVENT_CLASSES, EVENT_TYPES, ORPHANED
 
 #: Event classes and types that stand for the driver's five event types.
 CLASS_OF = {"click": "Compaction", "error": "GC", "purchase": "MemtableFlush", "signup": "Repair", "view": "Tombstone"}
@@ -15,7 +15,7 @@ PROPS = (
     "pending completed blocked all_time_blocked memtable_ops memtable_mib partition_mib tombstones live_cells eden_before eden_after old_before old_after survivor_before"
     " survivor_after occurrences longest_ms shortest_ms pending_tasks partitions batch_mib discarded cache_mib pause_ms flush_ops serialized_mib flushed_mib onheap_mib"
     " offheap_mib onheap_pct offheap_pct row_rate old_mib new_mib read_rate write_rate merge_before merge_after hint_rows max_mib free_mib required_mib dropped_internal"
-    " dropped_cross_node latency_ms found_rows expired_docs found_ms expired_ms sync_mib sync_rate inconsistent_pct failed_pct"
+    " dropped_cross_node latency_ms found_rows expired_docs found_ms expired_ms sync_mib sync_rate inconsistent_pct failed_pct partial_pct uncompleted_pct"
 ).split()
 
 
@@ -63,6 +63,11 @@ EV = f"""ev AS (SELECT event_id, ts, epoch_us(ts) AS us, user_id, event_type, re
  ({CLASS_SQL})::BIGINT AS class, ({TYPE_SQL})::BIGINT AS type, value AS duration_ms, user_id::VARCHAR AS session_key, 'ks' || (user_id % 3) AS keyspace, 't' || (user_id % 5) AS table_name FROM events)"""
 
 
+def orphans(rows: DataFrame) -> DataFrame:
+    """Every event whose k is a multiple of 11 as an orphan."""
+    return rows.withColumn("class", F.when(F.col("k") % 11 == 0, F.col("class").bitwiseOR(F.lit(ORPHANED))).otherwise(F.col("class")))
+
+
 def gc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).filter("event_type = 'error'")
     return rows.select("node_id", F.col("ts").alias("ts_begin"), F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("duration_ms") * 1000).cast("long")).alias("ts_end"), "duration_ms")
@@ -72,14 +77,15 @@ GC = EV + ", gc AS (SELECT node_id, us AS b, us + round(duration_ms * 1000)::BIG
 
 
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file per node and user modulo 40 and day: many per node, so that ranges overlap, touch and leave gaps."""
-    rows = events(spark, sf_dir).filter("user_id % 40 < 24").withColumn("day", F.date_trunc("day", "ts"))
-    rows = rows.groupBy("dc", "node_id", "day").agg(F.min("ts").alias("used_min"), F.max("ts").alias("used_max"), F.count(F.lit(1)).alias("items"))
-    return rows.withColumns({"is_debug": F.lit(False), "path": F.concat_ws("/", "node_id", F.unix_micros("day").cast("string"))}).drop("day")
+    """A file per node, part of its users and half day, with whole hours as range: one part on half of the nodes, three on
+    the others, so that ranges are equal, overlap, touch and leave gaps."""
+    rows = events(spark, sf_dir).withColumns({"half": F.floor(F.unix_micros("ts") / 43_200_000_000), "part": F.expr("case when user_id % 8 < 4 then 0 else user_id div 8 % 3 end")})
+    rows = rows.groupBy("dc", "node_id", "half", "part").agg(F.date_trunc("hour", F.min("ts")).alias("used_min"), F.date_trunc("hour", F.max("ts")).alias("used_max"), F.count(F.lit(1)).alias("items"))
+    return rows.withColumns({"is_debug": F.lit(False), "path": F.concat_ws("/", "node_id", "half", "part")}).drop("half", "part")
 
 
-LF = EV + """, lf AS (SELECT dc, node_id, min(us) AS a, max(us) AS z, count(*)::BIGINT AS items, node_id || '/' || epoch_us(date_trunc('day', ts)) AS path FROM ev WHERE user_id % 40 < 24
- GROUP BY dc, node_id, date_trunc('day', ts))"""
+LF = EV + """, lf AS (SELECT dc, node_id, min(us) // 3600000000 * 3600000000 AS a, max(us) // 3600000000 * 3600000000 AS z, count(*)::BIGINT AS items, node_id || '/' || half || '/' || part AS path
+ FROM (SELECT *, us // 43200000000 AS half, CASE WHEN user_id % 8 < 4 THEN 0 ELSE user_id // 8 % 3 END AS part FROM ev) GROUP BY dc, node_id, half, part)"""
 
 
 def long_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +128,8 @@ CF = """cf AS (SELECT n_regionkey::VARCHAR AS dc, n_nationkey::VARCHAR AS node_i
 
 def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ring tokens spread over the 64-bit ring from customer keys."""
-    rows = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0")
+    rows = table(spark, sf_dir, "customer")
     return rows.select(F.lit("dc1").alias("dc"), F.col("c_nationkey").cast("string").alias("node_id"), ((F.col("c_custkey") * 4_000_037 % 1_000_003 - 500_000) * 18_000_000_000_000).alias("token"))
 
 
-RG = "rg AS (SELECT 'dc1' AS dc, c_nationkey::VARCHAR AS node_id, ((c_custkey * 4000037 % 1000003 - 500000) * 18000000000000)::BIGINT AS token FROM customer WHERE c_custkey % 50 = 0)"
+RG = "rg AS (SELECT 'dc1' AS dc, c_nationkey::VARCHAR AS node_id, ((c_custkey * 4000037 % 1000003 - 500000) * 18000000000000)::BIGINT AS token FROM customer)"

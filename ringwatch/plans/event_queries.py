@@ -9,7 +9,7 @@ from ..operators import events as E
 from ..operators import joins as J
 from ..operators import stats as S
 from ..operators import windows as Wn
-from ..schema import EVENT_CLASSES, EVENT_TYPES, NODE_STATES
+from ..schema import EVENT_CLASSES, EVENT_TYPES, NODE_STATES, ORPHANED
 from . import driver as D
 from .driver import EV, GC, LF, rounded
 
@@ -27,17 +27,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+STATS_SQL = (("max", "max"), ("min", "min"), ("avg", "mean"), ("stddev_pop", "std"), ("sum", "sum"))
+
+
 def stats_sql(expr: str, name: str) -> str:
-    return ", ".join(f"round({f}({expr}), 4) AS {name}_{n}" for f, n in (("max", "max"), ("min", "min"), ("avg", "mean"), ("stddev_pop", "std"), ("sum", "sum")))
+    return ", ".join(f"round({f}({expr}), 4) AS {name}_{n}" for f, n in STATS_SQL)
 
 
 BUCKET_SQL = "(us // 1800000000) * 1800000000"
 
 
-@query("log_aggregation", f"""WITH {EV} SELECT {BUCKET_SQL} AS bucket, dc, node_id, class, count(*)::BIGINT AS count, min(us) AS first_ts, max(us) AS last_ts, false AS has_orphan, {stats_sql("duration_ms", "duration")}
-FROM ev WHERE type <> {EVENT_TYPES["SessionBegin"]} GROUP BY ALL""")
+@query("log_aggregation", f"""WITH {EV} SELECT {BUCKET_SQL} AS bucket, dc, node_id, class + CASE WHEN k % 11 = 0 THEN {ORPHANED} ELSE 0 END AS class, count(*)::BIGINT AS count, min(us) AS first_ts, max(us) AS last_ts, bool_or(k % 11 = 0) AS has_orphan, {stats_sql("duration_ms", "duration")}
+FROM ev WHERE type <> {EVENT_TYPES["SessionBegin"]} OR k % 11 = 0 GROUP BY ALL""")
 def log_aggregation(spark, d):
-    return rounded(E.log_aggregation(E.eligible(D.events(spark, d)), ["dc", "node_id", "class"]))
+    return rounded(E.log_aggregation(E.eligible(D.orphans(D.events(spark, d))), ["dc", "node_id", "class"]))
 
 
 def _pos(k):
@@ -56,7 +59,17 @@ def _many(*items):
     return ", ".join(items)
 
 
-_RATE = "CASE WHEN {n} > 0 THEN CASE WHEN {d} > 0 THEN {n} / {d} ELSE 0.0 END END"
+def _zero(k):
+    return f"CASE WHEN coalesce({k}, 0) >= 0 THEN coalesce({k}, 0) END"
+
+
+def _both(a, b, name):
+    """Statistics of the values of two columns taken together, from the list of them all."""
+    every = f"flatten(list([{a}, {b}]))"
+    return ", ".join(f"round(list_aggregate({every}, '{f}'), 4) AS {name}_{n}" for f, n in STATS_SQL)
+
+
+_RATE = "CASE WHEN {n} > 0 AND {d} > 0 THEN {n} / ({d} / 1000) END"
 GROUP_SQL = {
     "StatusLoggerPoolStats": _many(*[_sum(_pos(k), k) for k in ("pending", "completed", "blocked", "all_time_blocked")]),
     "StatusLoggerMemTblOPSStats": _many(stats_sql(_pos("memtable_ops"), "ops"), stats_sql(_pos("memtable_mib"), "size")),
@@ -65,20 +78,19 @@ GROUP_SQL = {
     "GCStats": _many(
         *[f"greatest(max({_non(k + '_before')}), max({_non(k + '_after')})) AS {k}_max" for k in ("eden", "old", "survivor")],
         *[_sum(f"CASE WHEN {k}_after >= 0 AND {k}_before >= 0 THEN {k}_after - {k}_before END", f"{k}_change") for k in ("eden", "old", "survivor")],
-        _sum("coalesce(occurrences, 0)", "occurrences"), f"greatest(max({_non('longest_ms')}), max({_non('shortest_ms')})) AS duration_max", f"least(min({_non('longest_ms')}), min({_non('shortest_ms')})) AS duration_min",
+        stats_sql(_zero("occurrences"), "occurrences"), _both(_zero("longest_ms"), _zero("shortest_ms"), "duration"),
     ),
     "GossipPendingStats": stats_sql("coalesce(pending_tasks, 0)", "pending"),
     "BatchStats": _many(stats_sql(_pos("partitions"), "partitions"), stats_sql(_pos("batch_mib"), "size")),
     "PreparesDiscardedStats": _many(stats_sql(_pos("discarded"), "discarded"), stats_sql("coalesce(cache_mib, -1)", "cache")),
     "GCPauseStats": stats_sql("coalesce(pause_ms, -1)", "duration"),
     "FlushStats": _many(
-        stats_sql(_non("flush_ops"), "ops"), stats_sql(_non("serialized_mib"), "serialized"), stats_sql(_non("flushed_mib"), "flushed"),
-        f"round(CASE WHEN count({_non('onheap_mib')}) > 0 THEN avg({_non('onheap_mib')}) ELSE avg({_non('offheap_mib')}) END, 4) AS heap_mean",
-        f"round(CASE WHEN count({_non('onheap_mib')}) > 0 THEN avg(({_non('onheap_pct')}) / 100) ELSE avg(({_non('offheap_pct')}) / 100) END, 4) AS threshold_mean",
+        stats_sql(_pos("flush_ops"), "ops"), stats_sql(_pos("serialized_mib"), "serialized"), stats_sql(_pos("flushed_mib"), "flushed"),
+        *[f"round(CASE WHEN count({_pos('onheap_mib')}) > 0 THEN {f}({on}) ELSE {f}({off}) END, 4) AS {name}_{n}" for name, on, off in (("heap", _pos("onheap_mib"), _pos("offheap_mib")), ("threshold", f"({_non('onheap_pct')}) / 100", f"({_non('offheap_pct')}) / 100")) for f, n in STATS_SQL],
     ),
     "CompactionStats": _many(
-        stats_sql(_non("row_rate"), "rows"), stats_sql(_non("old_mib"), "old"), stats_sql(_non("new_mib"), "new"), stats_sql(_non("read_rate"), "read"), stats_sql(_non("write_rate"), "write"),
-        "coalesce(sum(CASE WHEN merge_before IS NOT NULL AND merge_after IS NOT NULL THEN merge_after - merge_before END), 0)::BIGINT AS merge_change",
+        stats_sql(_non("row_rate"), "rows"), stats_sql(_non("old_mib"), "old"), stats_sql(_non("new_mib"), "new"), stats_sql(_pos("read_rate"), "read"), stats_sql(_non("write_rate"), "write"),
+        stats_sql(f"{_zero('merge_after')} - {_zero('merge_before')}", "merge_change"),
     ),
     "HintHandOffStats": stats_sql(_pos("hint_rows"), "hints"),
     "MaximumMemoryUsageReachedStats": stats_sql(_non("max_mib"), "size"),
@@ -86,10 +98,10 @@ GROUP_SQL = {
     "CompactionInsufficientSpaceStats": stats_sql(_non("required_mib"), "size"),
     "DropStats": _many(stats_sql(_pos("dropped_internal"), "internal"), stats_sql(_pos("dropped_cross_node"), "cross_node"), stats_sql(_pos("latency_ms"), "latency")),
     "SolrExpiredStats": _many(
-        _sum(f"coalesce({_pos('found_rows')}, 0) + coalesce({_pos('expired_docs')}, 0)", "count_sum"), _sum(f"coalesce({_non('found_ms')}, 0) + coalesce({_non('expired_ms')}, 0)", "duration_sum"),
-        f"round(greatest(max({_RATE.format(n='found_rows', d='found_ms')}), max({_RATE.format(n='expired_docs', d='expired_ms')})), 4) AS rate_max",
+        _both(_pos("found_rows"), _pos("expired_docs"), "count"), _both(_pos("found_ms"), _pos("expired_ms"), "duration"),
+        _both(_RATE.format(n="found_rows", d="found_ms"), _RATE.format(n="expired_docs", d="expired_ms"), "rate"),
     ),
-    "NodeSyncStats": _many(stats_sql(_non("sync_mib"), "size"), stats_sql(_non("sync_rate"), "rate"), stats_sql(_non("inconsistent_pct"), "inconsistent"), stats_sql(_pos("failed_pct"), "failed")),
+    "NodeSyncStats": _many(*[stats_sql(f"coalesce({k}, -1)", n) for k, n in (("sync_mib", "size"), ("sync_rate", "rate"), ("inconsistent_pct", "inconsistent"))], *[stats_sql(_pos(f"{k}_pct"), k) for k in ("partial", "failed", "uncompleted")]),
 }
 
 
@@ -98,9 +110,9 @@ def _group(group: str) -> None:
 
     used = tuple(p for p in D.PROPS if re.search(rf"\b{p}\b", GROUP_SQL[group]))
     columns = ", ".join(f"{D.VALUE_SQL[p]} AS {p}" for p in used)
-    sql = f"WITH {EV}, p AS (SELECT *, {columns} FROM ev) SELECT {BUCKET_SQL} AS bucket, node_id, count(*)::BIGINT AS count, min(us) AS first_ts, max(us) AS last_ts, false AS has_orphan, {GROUP_SQL[group]} FROM p GROUP BY ALL"
+    sql = f"WITH {EV}, p AS (SELECT *, {columns} FROM ev) SELECT {BUCKET_SQL} AS bucket, node_id, count(*)::BIGINT AS count, min(us) AS first_ts, max(us) AS last_ts, bool_or(k % 11 = 0) AS has_orphan, {GROUP_SQL[group]} FROM p GROUP BY ALL"
     name = "stats_" + re.sub(r"(?<=[a-z])(?=[A-Z])", "_", group).lower()
-    query(name, sql)(lambda spark, d: rounded(E.log_aggregation(D.events(spark, d, used), ["node_id"], group=group)))
+    query(name, sql)(lambda spark, d: rounded(E.log_aggregation(D.orphans(D.events(spark, d, used)), ["node_id"], group=group)))
 
 
 for _name in GROUP_SQL:
@@ -165,8 +177,8 @@ def gc_time_frame(spark, d):
 
 
 _GAPS = LF + """, g AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM lf WINDOW w AS (PARTITION BY node_id ORDER BY a, z)),
-k AS (SELECT *, CASE WHEN pa IS NULL THEN 'Normal' WHEN (a = pa AND z = pz) OR (a < pz AND z > pz) THEN 'Duplicated' WHEN a < pz AND z <= pz THEN 'OverLapping' WHEN (a - pz) / 60e6 <= 60 THEN 'Normal' ELSE 'Gap' END AS kind FROM g),
-h AS (SELECT *, CASE WHEN kind IN ('Normal', 'Gap') THEN (a - pz) / 60e6 END AS gap FROM k)"""
+k AS (SELECT *, CASE WHEN pa IS NULL THEN 'Normal' WHEN (a = pa AND z = pz) OR (pa < a AND a < pz) THEN 'Duplicated' WHEN pa <= a AND a <= pz THEN 'OverLapping' WHEN (a - pz) / 60e6 <= 60 THEN 'Normal' ELSE 'Gap' END AS kind FROM g),
+h AS (SELECT *, CASE WHEN pa IS NULL THEN 0.0 WHEN kind IN ('Normal', 'Gap') THEN (a - pz) / 60e6 END AS gap FROM k)"""
 
 
 @query("log_file_gaps", f"WITH {_GAPS} SELECT path, kind, round(gap, 4) AS gap_minutes FROM h")
@@ -174,7 +186,7 @@ def log_file_gaps(spark, d):
     return rounded(Wn.log_file_gaps(D.log_files(spark, d), gap_minutes=60).select("path", "kind", "gap_minutes"))
 
 
-@query("log_continuous_runs", f"""WITH {_GAPS}, r AS (SELECT *, sum(CASE WHEN kind = 'Gap' THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY a, z) AS run FROM h WHERE kind IN ('Normal', 'Gap')),
+@query("log_continuous_runs", f"""WITH {_GAPS}, r AS (SELECT *, sum(CASE WHEN kind = 'Gap' THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM h WHERE kind IN ('Normal', 'Gap')),
 s AS (SELECT node_id, run, count(*)::BIGINT AS files, sum(items)::BIGINT AS items, sum((z - a) / 86400e6) AS days, min(a) AS run_begin, max(z) AS run_end FROM r GROUP BY node_id, run)
 SELECT node_id, files, items, round(days, 4) AS days, run_begin, run_end, CASE WHEN days >= 1.5 THEN 'ContinuousThresholdMet' WHEN run = max(run) OVER (PARTITION BY node_id) AND files <= 2 THEN 'DurationThresholdMet' END AS kind FROM s""")
 def log_continuous_runs(spark, d):
@@ -193,13 +205,14 @@ def log_coverage_dc(spark, d):
     return rounded(S.log_coverage_dc(S.log_coverage_node(Wn.log_file_gaps(D.log_files(spark, d), gap_minutes=60))).drop("is_debug"))
 
 
-@query("trim_overlaps", f"""WITH {EV}, f AS (SELECT node_id, user_id::VARCHAR AS path, min(us) AS a, max(us) AS z FROM ev WHERE event_id % 3 = 0 GROUP BY node_id, user_id, us // 259200000000),
-g AS (SELECT *, max(z) OVER (PARTITION BY node_id ORDER BY a, z DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM f), s AS (SELECT *, CASE WHEN r IS NULL OR a > r THEN 'new' WHEN z <= r THEN 'within' ELSE 'trimmed' END AS status FROM g)
-SELECT path, a AS file_min, z AS file_max, status, CASE status WHEN 'new' THEN a WHEN 'trimmed' THEN r END::DOUBLE AS used_min, CASE WHEN status <> 'within' THEN z END::DOUBLE AS used_max FROM s""")
+@query("trim_overlaps", f"""WITH {EV}, f AS (SELECT node_id, user_id::VARCHAR AS path, min(us) AS a, max(us) AS z, count(*) AS n FROM ev GROUP BY node_id, user_id, us // 259200000000),
+j AS (SELECT f.node_id, f.path, f.a, f.z, bool_or(e.a <= f.a AND f.z <= e.z) AS whole, max(e.z) FILTER (e.a <= f.a AND f.a <= e.z) AS after, min(e.a) FILTER (e.a < f.z AND f.z < e.z) AS until FROM f LEFT JOIN f e ON e.node_id = f.node_id AND (e.path, e.a) < (f.path, f.a) GROUP BY ALL),
+s AS (SELECT *, CASE WHEN whole THEN 'within' WHEN after IS NOT NULL AND until IS NOT NULL THEN 'error' WHEN after IS NOT NULL OR until IS NOT NULL THEN 'trimmed' ELSE 'new' END AS status FROM j)
+SELECT path, a AS file_min, z AS file_max, status, CASE WHEN status IN ('new', 'trimmed') THEN coalesce(after, a) END::DOUBLE AS used_min, CASE WHEN status IN ('new', 'trimmed') THEN coalesce(until, z) END::DOUBLE AS used_max FROM s""")
 def trim_overlaps(spark, d):
-    rows = D.events(spark, d).filter("event_id % 3 = 0").withColumn("part", F.floor(F.unix_micros("ts") / 259_200_000_000))
+    rows = D.events(spark, d).withColumn("part", F.floor(F.unix_micros("ts") / 259_200_000_000))
     files = rows.groupBy("node_id", "part", F.col("session_key").alias("path")).agg(F.min("ts").alias("file_min"), F.max("ts").alias("file_max"))
-    return rounded(J.trim_overlaps(files, ["node_id"]).select("path", "file_min", "file_max", "status", *[F.unix_micros(c).cast("double").alias(c) for c in ("used_min", "used_max")]))
+    return rounded(J.trim_overlaps(files, ["node_id"], ["path", "file_min"]).select("path", "file_min", "file_max", "status", *[F.unix_micros(c).cast("double").alias(c) for c in ("used_min", "used_max")]))
 
 
 @query("delta_running_total", f"WITH {EV} SELECT event_id, k - k AS zero, round(CASE WHEN lag(c) OVER w IS NULL THEN NULL WHEN c >= lag(c) OVER w THEN c - lag(c) OVER w ELSE c END, 4) AS delta FROM (SELECT *, sum(duration_ms) OVER (PARTITION BY user_id, us // 604800000000 ORDER BY ts, event_id) AS c FROM ev) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -220,7 +233,7 @@ def split_at_restarts(spark, d):
 
 
 _STATE = {"click": NODE_STATES["Started"], "error": NODE_STATES["Paused"], "purchase": NODE_STATES["Dead"], "signup": NODE_STATES["Restarted"] | NODE_STATES["Started"], "view": NODE_STATES["TokenOwnershipChanged"]}
-_STATE_SQL = D._case(_STATE)
+_STATE_SQL = f"CASE WHEN k % 7 = 0 THEN {NODE_STATES['NotResponding']} WHEN k % 7 = 1 THEN {NODE_STATES['NetworkEvent']} WHEN k % 7 = 2 THEN {NODE_STATES['Added']} ELSE {D._case(_STATE)} END"
 
 
 def _states(spark, d):
@@ -234,8 +247,8 @@ def node_state_timeline(spark, d):
     return Wn.node_state_timeline(_states(spark, d)).select("event_id", "state", "nth")
 
 
-@query("state_counts", f"""WITH {EV} SELECT dc, count(*) FILTER (event_type = 'click')::BIGINT AS starts, count(*) FILTER (event_type = 'signup')::BIGINT AS restarts, count(*) FILTER (event_type = 'error')::BIGINT AS pauses, 0::BIGINT AS not_responding,
-count(*) FILTER (event_type = 'purchase')::BIGINT AS dead, 0::BIGINT AS network, 1::BIGINT AS others FROM ev GROUP BY dc""")
+@query("state_counts", f"""WITH {EV}, s AS (SELECT dc, event_type AS e, k % 7 AS r FROM ev) SELECT dc, count(*) FILTER (e = 'click' AND r > 2)::BIGINT AS starts, count(*) FILTER (e = 'signup' AND r > 2)::BIGINT AS restarts, count(*) FILTER (e = 'error' AND r > 2)::BIGINT AS pauses,
+count(*) FILTER (r = 0)::BIGINT AS not_responding, count(*) FILTER (e = 'purchase' AND r > 2)::BIGINT AS dead, count(*) FILTER (r = 1)::BIGINT AS network, count(DISTINCT CASE WHEN r = 2 THEN 'added' WHEN r > 2 AND e = 'view' THEN 'tokens' END)::BIGINT AS others FROM s GROUP BY dc""")
 def state_counts(spark, d):
     return Wn.state_counts(_states(spark, d))
 
@@ -277,18 +290,18 @@ def late_name_resolution(spark, d):
     return J.late_name_resolution(rows).select("event_id", "table_name")
 
 
-@query("session_parent_chain", f"""WITH {EV}, s AS (SELECT event_id, node_id, us AS b, us + round(duration_ms * 20000000)::BIGINT AS e FROM ev WHERE k % 4 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY b, e DESC, event_id) AS n FROM s)
-SELECT x.event_id, coalesce(string_agg(y.event_id::VARCHAR, ',' ORDER BY y.n) FILTER (y.event_id IS NOT NULL), '') AS parents FROM o x LEFT JOIN o y ON y.node_id = x.node_id AND y.n BETWEEN x.n - 32 AND x.n - 1 AND y.b <= x.b AND y.e >= x.e GROUP BY x.event_id""")
+@query("session_parent_chain", f"""WITH {EV}, s AS (SELECT event_id, node_id, us AS b, us + round(duration_ms * 20000000)::BIGINT AS e FROM ev), o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY b, e DESC, event_id) AS n FROM s)
+SELECT x.event_id, coalesce(string_agg(y.event_id::VARCHAR, ',' ORDER BY y.n) FILTER (y.event_id IS NOT NULL), '') AS parents FROM o x LEFT JOIN o y ON y.node_id = x.node_id AND y.n < x.n AND y.b <= x.b AND y.e >= x.e GROUP BY x.event_id""")
 def session_parent_chain(spark, d):
-    rows = D.events(spark, d).filter("k % 4 = 0").select("event_id", "node_id", F.col("event_id").cast("string").alias("session_id"), F.col("ts").alias("ts_begin"), F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("duration_ms") * 20_000_000).cast("long")).alias("ts_end"))
+    rows = D.events(spark, d).select("event_id", "node_id", F.col("event_id").cast("string").alias("session_id"), F.col("ts").alias("ts_begin"), F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("duration_ms") * 20_000_000).cast("long")).alias("ts_end"))
     return Wn.session_parent_chain(rows).select("event_id", F.array_join("parents", ",").alias("parents"))
 
 
-@query("network_state_changes", f"""WITH {EV}, x AS (SELECT us, node_id AS own, unnest(CASE WHEN k % 3 = 0 THEN [((user_id + 1) % 8)::VARCHAR, ((user_id + 2) % 8)::VARCHAR] ELSE [NULL] END) AS other FROM ev WHERE event_type = 'error' AND k % 2 = 0)
+@query("network_state_changes", f"""WITH {EV}, x AS (SELECT us, node_id AS own, unnest(CASE WHEN k % 3 = 0 THEN [((user_id + 1) % 8)::VARCHAR, ((user_id + 2) % 8)::VARCHAR] ELSE [NULL] END) AS other FROM ev WHERE event_type = 'error' AND k % 4 > 0)
 SELECT coalesce(other, own) AS node_id, us AS ts, {NODE_STATES["NetworkEvent"]}::BIGINT AS state, CASE WHEN other IS NOT NULL THEN own END AS detected_by FROM x""")
 def network_state_changes(spark, d):
     near = F.array(*[((F.col("user_id") + i) % 8).cast("string") for i in (1, 2)])
-    rows = D.events(spark, d).withColumns({"exception": F.when((F.col("event_type") == "error") & (F.col("k") % 2 == 0), "java.io.IOException: Connection reset by peer"), "assoc_nodes": F.when(F.col("k") % 3 == 0, near)})
+    rows = D.events(spark, d).withColumns({"exception": F.when(F.col("event_type") == "error", F.element_at(F.array(*map(F.lit, ("java.io.IOException: Connection reset by peer", "io.netty.channel.unix.Errors$NativeIoException: broken", "java.nio.channels.ClosedChannelException", "java.util.concurrent.TimeoutException"))), (F.col("k") % 4 + 1).cast("int"))), "assoc_nodes": F.when(F.col("k") % 3 == 0, near)})
     return rounded(Wn.network_state_changes(rows))
 
 
@@ -303,11 +316,11 @@ def repair_ran(spark, d):
     return S.repair_ran(D.events(spark, d).withColumn("status", F.when(F.col("k") == 5, "success: 0").otherwise("failed")))
 
 
-@query("dropped_messages", f"WITH {EV}, x AS (SELECT node_id, us AS ts, unnest([{{'m': 'READ', 'i': k, 'c': 2 * k, 'l': duration_ms}}, {{'m': 'MUTATION', 'i': k + 1, 'c': 0, 'l': duration_ms / 2}}]) AS g FROM ev WHERE k % 5 = 0) SELECT node_id, ts, g.m AS message, g.i::BIGINT AS internal, g.c::BIGINT AS cross_node, round(g.l, 4) AS mean_ms FROM x")
+@query("dropped_messages", f"WITH {EV}, x AS (SELECT node_id, us AS ts, unnest([{{'m': 'READ', 'i': k, 'c': 2 * k, 'l': duration_ms}}, {{'m': 'MUTATION', 'i': k + 1, 'c': 0, 'l': duration_ms / 2}}]) AS g FROM ev) SELECT node_id, ts, g.m AS message, g.i::BIGINT AS internal, g.c::BIGINT AS cross_node, round(g.l, 4) AS mean_ms FROM x")
 def dropped_messages(spark, d):
     group = lambda m, i, c, v: F.struct(F.lit(m).alias("name"), i.alias("internal"), c.cast("long").alias("cross"), v.alias("mean_ms"))
     k, v = F.col("k"), F.col("duration_ms")
-    rows = D.events(spark, d).filter("k % 5 = 0").select("node_id", "ts", F.struct(F.array(group("READ", k, 2 * k, v), group("MUTATION", k + 1, F.lit(0), v / 2)).alias("groups")).alias("data"))
+    rows = D.events(spark, d).select("node_id", "ts", F.struct(F.array(group("READ", k, 2 * k, v), group("MUTATION", k + 1, F.lit(0), v / 2)).alias("groups")).alias("data"))
     return rounded(S.dropped_messages(rows))
 
 

@@ -161,21 +161,21 @@ def attach_base_table(spark, d):
     return J.attach_base_table(rows, objects, ["reads"]).select("node_id", "keyspace", "table_name", "base_reads")
 
 
-@query("attach_dependents_count", """WITH o AS (SELECT p_type AS keyspace, p_brand AS base, CASE WHEN p_size % 3 = 0 THEN 'index' WHEN p_size % 3 = 1 THEN 'view' ELSE 'table' END AS kind FROM part WHERE p_size < 40), t AS (SELECT DISTINCT p_type AS keyspace, p_brand AS table_name FROM part)
+@query("attach_dependents_count", """WITH o AS (SELECT p_type AS keyspace, p_brand AS base, CASE WHEN p_size % 3 = 0 THEN 'index' WHEN p_size % 3 = 1 THEN 'view' ELSE 'table' END AS kind FROM part), t AS (SELECT DISTINCT p_type AS keyspace, p_brand AS table_name FROM part)
 SELECT t.keyspace, t.table_name, count(*) FILTER (kind = 'index')::BIGINT AS indexes, count(*) FILTER (kind = 'view')::BIGINT AS views FROM t LEFT JOIN o ON o.keyspace = t.keyspace AND o.base = t.table_name GROUP BY ALL""")
 def attach_dependents_count(spark, d):
     part = D.table(spark, d, "part")
     kind = F.when(F.col("p_size") % 3 == 0, "index").when(F.col("p_size") % 3 == 1, "view").otherwise("table")
-    objects = part.filter("p_size < 40").select(F.col("p_type").alias("keyspace"), F.col("p_brand").alias("base_table"), kind.alias("kind"))
+    objects = part.select(F.col("p_type").alias("keyspace"), F.col("p_brand").alias("base_table"), kind.alias("kind"))
     return J.attach_dependents_count(part.select(F.col("p_type").alias("keyspace"), F.col("p_brand").alias("table_name")).distinct(), objects)
 
 
-@query("keyspace_object_counts", """WITH o AS (SELECT p_type AS keyspace, CASE p_size % 5 WHEN 0 THEN 'index' WHEN 1 THEN 'view' WHEN 2 THEN 'type' ELSE 'table' END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'STCS' WHEN 1 THEN 'LCS' ELSE 'TWCS' END AS c, p_retailprice > 950 AS a FROM part)
-SELECT keyspace, count(*) FILTER (kind = 'table')::BIGINT AS tables, count(*) FILTER (kind = 'view')::BIGINT AS views, count(*) FILTER (kind = 'index')::BIGINT AS indexs, count(*) FILTER (kind = 'type')::BIGINT AS types, 0::BIGINT AS functions, count(*) FILTER (kind = 'table' AND c = 'STCS')::BIGINT AS stcs,
+@query("keyspace_object_counts", """WITH o AS (SELECT p_type AS keyspace, CASE p_size % 6 WHEN 0 THEN 'index' WHEN 1 THEN 'view' WHEN 2 THEN 'type' WHEN 3 THEN 'function' ELSE 'table' END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'STCS' WHEN 1 THEN 'LCS' ELSE 'TWCS' END AS c, p_retailprice > 950 AS a FROM part)
+SELECT keyspace, count(*) FILTER (kind = 'table')::BIGINT AS tables, count(*) FILTER (kind = 'view')::BIGINT AS views, count(*) FILTER (kind = 'index')::BIGINT AS indexs, count(*) FILTER (kind = 'type')::BIGINT AS types, count(*) FILTER (kind = 'function')::BIGINT AS functions, count(*) FILTER (kind = 'table' AND c = 'STCS')::BIGINT AS stcs,
 count(*) FILTER (kind = 'table' AND c = 'LCS')::BIGINT AS lcs, count(*) FILTER (kind = 'table' AND c = 'TWCS')::BIGINT AS twcs, round(count(*) FILTER (kind = 'table' AND a) / count(*) FILTER (kind = 'table'), 4) AS active_pct FROM o GROUP BY keyspace""")
 def keyspace_object_counts(spark, d):
-    size, key = F.col("p_size") % 5, F.col("p_partkey") % 3
-    rows = D.table(spark, d, "part").select(F.col("p_type").alias("keyspace"), F.when(size == 0, "index").when(size == 1, "view").when(size == 2, "type").otherwise("table").alias("kind"), F.when(key == 0, "STCS").when(key == 1, "LCS").otherwise("TWCS").alias("compaction"), (F.col("p_retailprice") > 950).alias("active"))
+    size, key = F.col("p_size") % 6, F.col("p_partkey") % 3
+    rows = D.table(spark, d, "part").select(F.col("p_type").alias("keyspace"), F.when(size == 0, "index").when(size == 1, "view").when(size == 2, "type").when(size == 3, "function").otherwise("table").alias("kind"), F.when(key == 0, "STCS").when(key == 1, "LCS").otherwise("TWCS").alias("compaction"), (F.col("p_retailprice") > 950).alias("active"))
     return rounded(S.keyspace_object_counts(rows))
 
 
@@ -235,12 +235,12 @@ def config_commonality(spark, d):
     return S.config_commonality(lines, D.config_nodes(spark, d)).select("dc", "property", "value", "n", "common")
 
 
-@query("config_changes", """WITH n AS (SELECT c_nationkey::VARCHAR AS node_id, lower(c_mktsegment) AS p, min(lower(trim(floor(c_acctbal / 100)::BIGINT::VARCHAR))) AS v FROM customer WHERE c_custkey % 4 = 0 GROUP BY ALL), o AS (SELECT c_nationkey::VARCHAR AS node_id, c_mktsegment AS property, floor(c_acctbal / 100)::BIGINT::VARCHAR AS v FROM customer WHERE c_custkey % 4 = 1)
+@query("config_changes", """WITH n AS (SELECT c_nationkey::VARCHAR AS node_id, lower(c_mktsegment) AS p, min(lower(trim(floor(c_acctbal / 100)::BIGINT::VARCHAR))) AS v FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL), o AS (SELECT c_nationkey::VARCHAR AS node_id, c_mktsegment AS property, floor(c_acctbal / 100)::BIGINT::VARCHAR AS v FROM customer WHERE c_custkey % 2 = 1)
 SELECT DISTINCT o.node_id, property, o.v AS old_value, n.v AS new_value FROM o LEFT JOIN n ON n.node_id = o.node_id AND n.p = lower(o.property) WHERE o.v IS DISTINCT FROM n.v""")
 def config_changes(spark, d):
     rows = D.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("node_id"), F.col("c_mktsegment").alias("property"), F.floor(F.col("c_acctbal") / 100).cast("string").alias("value"))
-    seen = rows.filter("c_custkey % 4 = 1").select("node_id", F.lit(None).cast("timestamp").alias("ts"), F.create_map("property", "value").alias("props"))
-    return J.config_changes(seen, rows.filter("c_custkey % 4 = 0")).select("node_id", "property", "old_value", "new_value")
+    seen = rows.filter("c_custkey % 2 = 1").select("node_id", F.lit(None).cast("timestamp").alias("ts"), F.create_map("property", "value").alias("props"))
+    return J.config_changes(seen, rows.filter("c_custkey % 2 = 0")).select("node_id", "property", "old_value", "new_value")
 
 
 @query("ring_to_ranges", f"WITH {RG} SELECT node_id, coalesce(lag(token) OVER (ORDER BY token), max(token) OVER ()) AS \"start\", token AS \"end\" FROM rg")
@@ -288,20 +288,20 @@ def keyspace_in_dc(spark, d):
     return J.keyspace_in_dc(stats, stats.filter("attr = 'quantity' and num_value > 49.5 and table_name = 'Brand#1'")).select("dc", "node_id", "keyspace", "str_value")
 
 
-@query("device_utilization", "WITH m AS (SELECT s_nationkey, min(s_acctbal) AS x, arg_min(s_acctbal, s_suppkey) AS u FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1) SELECT n_nationkey::VARCHAR AS node_id, u AS data_used_pct, u AS commit_used_pct FROM nation LEFT JOIN m ON n_nationkey = s_nationkey")
+@query("device_utilization", "WITH m AS (SELECT s_nationkey, min(s_acctbal) AS x, arg_min(s_acctbal, s_suppkey) AS u FROM supplier GROUP BY 1) SELECT n_nationkey::VARCHAR AS node_id, u AS data_used_pct, u AS commit_used_pct FROM nation LEFT JOIN m ON n_nationkey = s_nationkey")
 def device_utilization(spark, d):
-    mounts = D.table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").cast("string").alias("node_id"), F.concat(F.lit("/mnt/"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit("/sda1")).alias("mount"), F.col("s_acctbal").alias("used_pct"))
+    mounts = D.table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("node_id"), F.concat(F.lit("/mnt/"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit("/sda1")).alias("mount"), F.col("s_acctbal").alias("used_pct"))
     nodes = D.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("node_id"), F.array(F.lit("sda"), F.lit("sdb")).alias("data_devices"), F.lit("sda1").alias("commit_device"))
     return J.device_utilization(nodes, mounts).select("node_id", "data_used_pct", "commit_used_pct")
 
 
 _DQ = """w AS (SELECT s_nationkey::VARCHAR AS dc, s_suppkey::VARCHAR AS node_id, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE (s_suppkey * 7 % 50)::DOUBLE END AS up, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE (s_suppkey * 5 % 40)::DOUBLE END AS sys, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE (s_suppkey * 3 % 40)::DOUBLE END AS deb,
-s_suppkey % 4 AS configs, s_suppkey % 5 > 0 AS ver, s_suppkey % 6 > 0 AS dev, (s_suppkey * 31 % 100)::DOUBLE AS reads, (s_suppkey * 17 % 90)::DOUBLE AS writes, s_suppkey % 3 AS starts, s_suppkey % 2 AS tc, s_suppkey % 10 > 0 AS need FROM supplier),
+s_suppkey % 4 AS configs, s_suppkey % 5 > 0 AS ver, s_suppkey % 6 > 0 AS dev, (s_suppkey * 31 % 100)::DOUBLE AS reads, (s_suppkey * 17 % 90)::DOUBLE AS writes, s_suppkey % 3 AS starts, s_suppkey % 2 AS tc, s_suppkey % 10 > 0 AS need, s_suppkey % 11 > 0 AS heap, s_suppkey % 13 > 0 AS mem, CASE WHEN s_suppkey % 17 = 0 THEN 0 ELSE 1 END AS sst FROM supplier),
 a AS (SELECT *, count(*) OVER g AS n, -2.0 / count(*) OVER g AS bad, abs(up - avg(up) OVER g) AS ou, stddev_pop(up) OVER g / sqrt(count(up) OVER g) AS eu, abs(sys - avg(sys) OVER g) AS os, stddev_pop(sys) OVER g / sqrt(count(sys) OVER g) AS es, abs(deb - avg(deb) OVER g) AS od, stddev_pop(deb) OVER g / sqrt(count(deb) OVER g) AS ed,
 avg(reads) OVER g AS ar, avg(writes) OVER g AS aw FROM w WINDOW g AS (PARTITION BY dc)),
 q AS (SELECT *, greatest(0.0, CASE WHEN up IS NULL THEN 0.0 WHEN ou <= 4 OR ou <= eu THEN 1.0 ELSE bad END + CASE WHEN sys IS NULL THEN -2.0 + bad WHEN os <= 4 OR os <= es THEN 1.0 ELSE bad END
 + CASE WHEN NOT need THEN 1.0 WHEN deb IS NULL THEN -1.0 + bad WHEN od <= 4 OR od <= ed THEN 1.0 ELSE bad END + CASE WHEN NOT need THEN 1.0 WHEN sys IS NULL OR deb IS NULL THEN 0.0 WHEN (abs(deb - sys) > 4 OR deb < 4 OR sys < 4) AND deb <> sys THEN -0.5 + bad ELSE 1.0 END
-+ CASE WHEN abs(sys - up) <= 16 THEN 1.0 ELSE (-1.0 + bad) * CASE WHEN sys < up THEN (up - sys) / 16 ELSE 1.0 END END + CASE WHEN configs > 0 THEN 1 ELSE 0 END + CASE WHEN ver THEN 1 ELSE 0 END + CASE WHEN dev THEN 1 ELSE 0 END + 1 + 1 + 1
++ CASE WHEN abs(sys - up) <= 16 THEN 1.0 ELSE (-1.0 + bad) * CASE WHEN sys < up THEN (up - sys) / 16 ELSE 1.0 END END + CASE WHEN configs > 0 THEN 1 ELSE 0 END + CASE WHEN ver THEN 1 ELSE 0 END + CASE WHEN dev THEN 1 ELSE 0 END + CASE WHEN heap THEN 1 ELSE 0 END + CASE WHEN mem THEN 1 ELSE 0 END + CASE WHEN writes > 0 OR reads > 0 OR sst > 0 THEN 1 ELSE -1.5 END
 + CASE WHEN reads = 0 AND writes = 0 THEN 0.25 WHEN abs(reads - ar) <= ar * 0.15 THEN 0.5 ELSE 0.25 END + CASE WHEN reads = 0 AND writes = 0 THEN 0.25 WHEN abs(writes - aw) <= aw * 0.15 THEN 0.5 ELSE 0.25 END + starts * -0.1 + tc * -0.25) AS dq FROM a)"""
 
 
@@ -310,7 +310,7 @@ def _rated(spark, d):
     hours = lambda skip, a, b: F.when(k % skip != 0, (k * a % b).cast("double"))
     nodes = D.table(spark, d, "supplier").select(
         F.col("s_nationkey").cast("string").alias("dc"), k.cast("string").alias("node_id"), hours(9, 7, 50).alias("uptime_hours"), hours(8, 5, 40).alias("system_hours"), hours(7, 3, 40).alias("debug_hours"), (k % 4).alias("configs"), (k % 5 > 0).alias("has_version"), (k % 6 > 0).alias("has_device"),
-        F.lit(True).alias("has_heap"), F.lit(True).alias("has_memory"), (k * 31 % 100).cast("double").alias("reads"), (k * 17 % 90).cast("double").alias("writes"), F.lit(1).alias("sstables"), (k % 3).alias("starts"), (k % 2).alias("token_changes"), (k % 10 > 0).alias("debug_required"),
+        (k % 11 > 0).alias("has_heap"), (k % 13 > 0).alias("has_memory"), (k * 31 % 100).cast("double").alias("reads"), (k * 17 % 90).cast("double").alias("writes"), F.when(k % 17 == 0, 0).otherwise(1).alias("sstables"), (k % 3).alias("starts"), (k % 2).alias("token_changes"), (k % 10 > 0).alias("debug_required"),
     )
     return S.data_quality_node(nodes)
 
@@ -409,10 +409,10 @@ def fact_token_ranges(spark, d):
     return S.fact_tables({"token_ranges": Wn.ring_to_ranges(D.ring(spark, d))})["token_ranges"].drop("slots")
 
 
-@query("fact_table_stats", f"WITH {ST} SELECT dc, node_id, keyspace, table_name, attr, round(num_value, 4) AS num_value FROM st WHERE attr = 'tax' AND num_value > 0.07")
+@query("fact_table_stats", f"WITH {ST} SELECT dc, node_id, keyspace, table_name, attr, round(num_value, 4) AS num_value FROM st")
 def fact_table_stats(spark, d):
     rows = S.fact_tables({"table_stats": D.long_stats(spark, d)})["table_stats"].drop("source", "str_value", "uom")
-    return rounded(rows.filter("attr = 'tax' and num_value > 0.07"))
+    return rounded(rows)
 
 
 @query("multi_instance_nodes", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000 AND s_nationkey % 2 = 0")

@@ -2,33 +2,63 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import NODE
 
 
-def read_json_facts(spark: SparkSession, paths: str | Sequence[str], source: str = "facts", node_pattern: str = NODE) -> DataFrame:
-    """Per-node JSON documents (cpu, memory, disks, heap, index sizes) as long statistics: a row per leaf of up to three
-    levels, named by its path."""
-    rows = spark.read.text(paths, wholetext=True).select(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), node_pattern, 1), F.lit("")).alias("node_id"), F.col("value").alias("v"), F.lit("").alias("attr"))
-    done = None
-    for _ in range(3):
-        inner = F.from_json("v", "map<string,string>")
-        rows = rows.select("node_id", "attr", F.explode(inner).alias("k", "v")).select("node_id", F.concat_ws(".", F.nullif(F.col("attr"), F.lit("")), "k").alias("attr"), "v")
-        leaf = rows.filter(~F.col("v").startswith("{") | F.col("v").isNull())
-        done = leaf if done is None else done.unionByName(leaf)
-        rows = rows.filter(F.col("v").startswith("{"))
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per leaf of each document: (node_id, attr, v), attr being the path with dots."""
+
+    def walk(path: str, v: object) -> Iterator[tuple[str, str | None]]:
+        if isinstance(v, dict) and (v or not path):
+            for k, x in v.items():
+                yield from walk(f"{path}.{k}" if path else k, x)
+        else:
+            yield path, v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+    for b in batches:
+        out: list[tuple[str | None, str, str | None]] = []
+        for node, text in zip(b.column("node_id").to_pylist(), b.column("v").to_pylist(), strict=True):
+            try:
+                document = json.loads(text or "null")
+            except ValueError:
+                continue
+            if isinstance(document, dict):
+                out += [(node, path, v) for path, v in walk("", document)]
+        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["node_id", "attr", "v"])
+
+
+def json_facts(documents: DataFrame, source: str = "facts") -> DataFrame:
+    """Documents (node_id, v) as long statistics: a row per leaf, however deep, named by its path. Lists are leaves and
+    stay JSON text, so does an empty object; null leaves have neither number nor text. A text that is no JSON object
+    gives no row."""
+    rows = documents.select(F.col("node_id").cast("string"), F.col("v").cast("string")).mapInArrow(_leaves, "node_id string, attr string, v string")
     number = F.col("v").try_cast("double")
-    return done.select(F.lit(source).alias("source"), "node_id", "attr", number.alias("num_value"), F.when(number.isNull(), F.col("v")).alias("str_value"))
+    return rows.select(F.lit(source).alias("source"), "node_id", "attr", number.alias("num_value"), F.when(number.isNull(), F.col("v")).alias("str_value"))
+
+
+def read_json_facts(spark: SparkSession, paths: str | Sequence[str], source: str = "facts", node_pattern: str = NODE) -> DataFrame:
+    """json_facts of per-node files (cpu, memory, disks, heap, index sizes); the node is read from the path."""
+    rows = spark.read.text(paths, wholetext=True)
+    return json_facts(rows.select(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), node_pattern, 1), F.lit("")).alias("node_id"), F.col("value").alias("v")), source)
+
+
+def node_info(documents: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """Cluster-wide documents (value) keyed by node as a row per node. fields: column name -> JSON path below the node."""
+    rows = documents.select(F.explode(F.from_json("value", "map<string,string>")).alias("node_id", "_v"))
+    return rows.select("node_id", *[F.get_json_object("_v", p).alias(c) for c, p in fields.items()])
 
 
 def read_node_info(spark: SparkSession, paths: str | Sequence[str], fields: Mapping[str, str]) -> DataFrame:
-    """A cluster-wide document keyed by node as a row per node. fields: column name -> JSON path below the node."""
-    rows = spark.read.text(paths, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("node_id", "v"))
-    return rows.select("node_id", *[F.get_json_object("v", p).alias(c) for c, p in fields.items()])
+    """node_info of files."""
+    return node_info(spark.read.text(paths, wholetext=True), fields)
 
 
 SCHEMA_DOCUMENT = (

@@ -125,7 +125,7 @@ def read_pool_stats(lines: DataFrame) -> DataFrame:
     """Thread-pool statistics in three layouts, told apart by the number of columns: pools with five or more numbers, dropped
     messages with one, dropped messages with latency percentiles."""
     w = F.split(strip("line"), r"\s{2,}|\s+(?=[0-9N-])")
-    rows = lines.filter(F.col("line").rlike(r"\S\s+(?:[0-9]|N/A)")).withColumns({"name": F.element_at(w, 1), "v": F.slice(w, 2, 20)})
+    rows = lines.filter(F.col("line").rlike(r"\S\s+(?:[0-9]|N/A)")).withColumns({"name": F.element_at(w, 1), "v": F.slice(w, F.lit(2), F.size(w))})
     n = F.size("v")
     wide, drop, late = ("Active", "Pending", "Completed", "Blocked", "All time blocked"), ("Dropped",), ("Dropped", "Queue.Latency.Waiting.50%", "Queue.Latency.Waiting.95%", "Queue.Latency.Waiting.99%", "Queue.Latency.Waiting.Max")
     names = lambda prefix, cols: F.array(*[F.concat(F.lit(prefix), F.col("name"), F.lit("." + c)) for c in cols])

@@ -47,10 +47,10 @@ def test_runs_are_the_folds(spark, found):
 
 def test_log_file_gaps(spark):
     h = lambda x: START + dt.timedelta(hours=x)
-    files = [(0, 10), (0, 10), (10.1, 20), (15, 18), (21, 30)]
+    files = [(0, 10), (0, 10), (2, 4), (4, 20), (15, 18), (15, 19), (21, 30), (30, 30.5), (30.6, 31)]
     df = spark.createDataFrame([("n", False, h(a), h(b)) for a, b in files], "node_id string, is_debug boolean, used_min timestamp, used_max timestamp")
     got = [(r.kind, None if r.gap_minutes is None else round(r.gap_minutes)) for r in W.log_file_gaps(df).orderBy("used_min", "used_max").collect()]
-    assert got == [("Normal", None), ("Duplicated", None), ("Normal", 6), ("OverLapping", None), ("Gap", 180)]
+    assert got == [("Normal", 0), ("Duplicated", None), ("Duplicated", None), ("OverLapping", None), ("Duplicated", None), ("OverLapping", None), ("Gap", 120), ("OverLapping", None), ("Normal", 6)]
 
 
 def test_delta_after_restart(spark):
