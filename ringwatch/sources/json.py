@@ -37,7 +37,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def json_facts(documents: DataFrame, source: str = "facts") -> DataFrame:
     """Documents (node_id, v) as long statistics: a row per leaf, however deep, named by its path. Lists are leaves and
-    stay JSON text, so does an empty object; null leaves have neither number nor text. A text that is no JSON object
+    stay JSON text, so does an empty object inside another; null leaves have neither number nor text. A text that is no JSON object
     gives no row."""
     rows = documents.select(F.col("node_id").cast("string"), F.col("v").cast("string")).mapInArrow(_leaves, "node_id string, attr string, v string")
     number = F.col("v").try_cast("double")

@@ -59,7 +59,7 @@ def test_leaves_of_any_depth(spark, tmp_path):
     got = {r.attr: (r.num_value, r.str_value) for r in Js.read_json_facts(spark, str(tmp_path / "*")).collect()}
     assert got == {"a.b.c.d.e": (1.5, None), "list": (None, '[1,{"x":2}]'), "none": (None, None), "text": (7.0, None), "yes": (None, "true"), "empty": (None, "{}")}
     odd = spark.createDataFrame([("n", None), ("n", ""), ("n", "[1]"), (None, "{}"), (None, '{"k":null}')], "node_id string, v string")
-    assert [(r.node_id, r.attr, r.num_value) for r in Js.json_facts(odd).collect()] == [(None, "", None), (None, "k", None)]
+    assert [(r.node_id, r.attr, r.num_value) for r in Js.json_facts(odd).collect()] == [(None, "k", None)]
 
 
 def test_all_columns_of_a_pool(spark):
