@@ -89,7 +89,7 @@ def _with_sources(rows: DataFrame, sources: DataFrame, key: str, n: int, total:
     return join_skewed(rows, sources, [key], F.col("n") > hot_limit(total)).drop("n")
 
 
-def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule], budget: float = 1.5, most: float = 2.0, bucket: int = BUCKET) -> DataFrame:
+def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule], budget: float = 1.5, most: float = 2.0, bucket: int = BUCKET, columns: Sequence[str] | None = None) -> DataFrame:
     """Add to every row of docs (doc_id, text, source, ...) what the mix takes of it and when.
 
     Sources come in code point order, null last; `schedule_of(rank, source)` gives the weight schedule, whose
@@ -98,7 +98,8 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
     source's documents are taken in the order of the MD5 of their doc_id (of their text where that is null), over and
     over; the document at which its whole-word target is reached gives only its leading words, so the taken words
     equal the target rounded down. Null texts have size 0 and are taken with 0 words. Repeated rows are mixed one by
-    one; rows that tie in every key are interchangeable. Neither sources nor documents go through the driver.
+    one; rows that tie in every key are interchangeable. Neither sources nor documents go through the driver. With
+    `columns` only these are kept, so that a plan alone shuffles no text.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     sums = materialize(docs.select(F.col("source").cast("string"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
@@ -108,7 +109,7 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
     total = sums.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("rows")).first()
     count = total["sources"], total["rows"] or 0
     h = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.md5(F.col("text").cast("binary")), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), named(F.col("source")).alias("name"), size.alias("size"), h.alias("h"))
+    rows = docs.select(F.struct(*(columns or docs.columns)).alias("row"), F.col("doc_id").alias("id"), named(F.col("source")).alias("name"), size.alias("size"), h.alias("h"))
     rows = _with_sources(rows, sources.select("name", "rank", "buckets", "n"), "name", *count).drop("name")
     part = F.floor(F.coalesce(F.conv(F.substring("h", 1, 8), 16, 10).cast("double"), F.lit(0.0)) / float(1 << 32) * F.col("buckets")).cast("int")
     rows = rows.withColumn("part", part).drop("buckets")
@@ -161,7 +162,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan as rows in training order: by the position of a document's first copy, those not taken last."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     first = F.round(F.try_element_at("mix.copies", F.lit(1))["position"], 9)
-    rows = plan_mix(docs, production_schedule).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", first.alias("first_position"), F.size("mix.copies").alias("n_copies"))
+    rows = plan_mix(docs, production_schedule, columns=["doc_id"]).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", first.alias("first_position"), F.size("mix.copies").alias("n_copies"))
     order = F.col("first_position").asc_nulls_last(), F.col("doc_id")
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
