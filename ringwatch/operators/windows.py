@@ -73,6 +73,11 @@ def _anchored(n_keys: int, frame: int):
     return run
 
 
+def _by_range(files: DataFrame, keys: Sequence[str]) -> W:
+    """Files of a key in the order of their ranges, equal ranges by path where there is one."""
+    return W.partitionBy(*keys).orderBy("used_min", "used_max", *[c for c in ("path",) if c in files.columns])
+
+
 def log_file_gaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"), gap_minutes: float = 15) -> DataFrame:
     """Each log file against the one before it: kind Duplicated, OverLapping, Normal or Gap, and the gap in minutes.
 
@@ -80,7 +85,7 @@ def log_file_gaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"
     or starts inside it, OverLapping if it starts on an edge of it (our reading of the edges), and else Normal or Gap by
     the time since the one before ended. The first file of a key is Normal with a gap of 0.
     """
-    order = W.partitionBy(*keys).orderBy("used_min", "used_max")
+    order = _by_range(files, keys)
     start, end = F.lag("used_min").over(order), F.lag("used_max").over(order)
     gap = (F.unix_micros("used_min") - F.unix_micros(end)) / 60e6
     same = (F.col("used_min") == start) & (F.col("used_max") == end)
@@ -94,7 +99,7 @@ def log_continuous_runs(files: DataFrame, keys: Sequence[str] = ("node_id", "is_
     on, DurationThresholdMet for a last run of at most two files that is shorter, else null. Duplicated and overlapping
     files neither extend nor break a run."""
     rows = log_file_gaps(files, keys, gap_minutes).filter(F.col("kind").isin("Normal", "Gap"))
-    order = W.partitionBy(*keys).orderBy("used_min", "used_max")
+    order = _by_range(files, keys)
     rows = rows.withColumn("run", F.sum(F.when(F.col("kind") == "Gap", 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
     length = (F.unix_micros("used_max") - F.unix_micros("used_min")) / 86_400e6
     runs = rows.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("files"), F.sum("items").alias("items"), F.sum(length).alias("days"), F.min("used_min").alias("run_begin"), F.max("used_max").alias("run_end"))

@@ -176,7 +176,7 @@ def gc_time_frame(spark, d):
     return rounded(Wn.gc_time_frame(D.gc_events(spark, d), frame_ms=3_600_000, least_ms=50))
 
 
-_GAPS = LF + """, g AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM lf WINDOW w AS (PARTITION BY node_id ORDER BY a, z)),
+_GAPS = LF + """, g AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM lf WINDOW w AS (PARTITION BY node_id ORDER BY a, z, path)),
 k AS (SELECT *, CASE WHEN pa IS NULL THEN 'Normal' WHEN (a = pa AND z = pz) OR (pa < a AND a < pz) THEN 'Duplicated' WHEN pa <= a AND a <= pz THEN 'OverLapping' WHEN (a - pz) / 60e6 <= 60 THEN 'Normal' ELSE 'Gap' END AS kind FROM g),
 h AS (SELECT *, CASE WHEN pa IS NULL THEN 0.0 WHEN kind IN ('Normal', 'Gap') THEN (a - pz) / 60e6 END AS gap FROM k)"""
 
@@ -186,7 +186,7 @@ def log_file_gaps(spark, d):
     return rounded(Wn.log_file_gaps(D.log_files(spark, d), gap_minutes=60).select("path", "kind", "gap_minutes"))
 
 
-@query("log_continuous_runs", f"""WITH {_GAPS}, r AS (SELECT *, sum(CASE WHEN kind = 'Gap' THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM h WHERE kind IN ('Normal', 'Gap')),
+@query("log_continuous_runs", f"""WITH {_GAPS}, r AS (SELECT *, sum(CASE WHEN kind = 'Gap' THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY a, z, path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM h WHERE kind IN ('Normal', 'Gap')),
 s AS (SELECT node_id, run, count(*)::BIGINT AS files, sum(items)::BIGINT AS items, sum((z - a) / 86400e6) AS days, min(a) AS run_begin, max(z) AS run_end FROM r GROUP BY node_id, run)
 SELECT node_id, files, items, round(days, 4) AS days, run_begin, run_end, CASE WHEN days >= 1.5 THEN 'ContinuousThresholdMet' WHEN run = max(run) OVER (PARTITION BY node_id) AND files <= 2 THEN 'DurationThresholdMet' END AS kind FROM s""")
 def log_continuous_runs(spark, d):
