@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import has_flag, prop_non_negative, prop_number, prop_positive
+from ..functions.columns import exception_path, exception_path_text, has_flag, prop_non_negative, prop_number, prop_positive
 from ..schema import EVENT_CLASSES, EVENT_TYPES, ORPHANED
 from .stats import with_one_row
 
@@ -197,8 +197,13 @@ def event_time_range(events: DataFrame, start: str | None = None, end: str | Non
 
 
 def unhandled_events(lines: DataFrame, levels: Sequence[str] = ("WARN", "ERROR", "FATAL")) -> DataFrame:
-    """Lines of these levels that no rule matched, as NotHandled single events."""
-    return lines.filter(F.col("rule").isNull() & F.col("level").isin(*levels)).withColumns({"type": F.lit(EVENT_TYPES["SingleInstance"]).cast("long"), "class": F.lit(EVENT_CLASSES["NotHandled"]).cast("long")})
+    """Lines of these levels that no rule matched, as NotHandled single events. Lines with `extra` (the lines below the header)
+    also get the path of the exceptions named there as `exception`, null where there is none."""
+    rows = lines.filter(F.col("rule").isNull() & F.col("level").isin(*levels)).withColumns({"type": F.lit(EVENT_TYPES["SingleInstance"]).cast("long"), "class": F.lit(EVENT_CLASSES["NotHandled"]).cast("long")})
+    if "extra" not in lines.columns:
+        return rows
+    path = exception_path(F.array_join(F.concat(F.array(F.coalesce("message", F.lit(""))), F.coalesce("extra", F.array().cast("array<string>"))), "\n"))
+    return rows.withColumn("exception", F.nullif(exception_path_text(path), F.lit("")))
 
 
 def drop_duplicate_lines(lines: DataFrame) -> DataFrame:

@@ -134,3 +134,11 @@ def test_lists_of_sizes(spark):
     df = spark.createDataFrame([("n", "k", "t", float(v), v * 2.0) for v in (3, 1, 3, 2)] + [(None, None, None, None, 5.0)], "node_id string, keyspace string, table_name string, partition_mib double, required_mib double")
     assert [(r.node_id, r.n, r["values"]) for r in S.partition_size_list(df).collect()] == [("n", 4, [1.0, 2.0, 3.0])]
     assert sorted((str(r.keyspace), r.n, r["values"]) for r in S.insufficient_space_list(df).collect()) == [("None", 1, [5.0]), ("k", 4, [2.0, 4.0, 6.0])]
+
+
+def test_unhandled_lines_name_their_exceptions(spark):
+    extra = ["java.lang.RuntimeException: boom", "\tat a.B.c(B.java:1)", "Caused by: java.io.IOException: disk"]
+    rows = [(None, "ERROR", "boom", extra), (None, "WARN", "odd", []), (None, "WARN", None, None), (None, "INFO", "x", extra), (3, "ERROR", "x", extra)]
+    lines = spark.createDataFrame(rows, "rule int, level string, message string, extra array<string>")
+    assert [(r.message, r.exception) for r in E.unhandled_events(lines).collect()] == [("boom", "RuntimeException=>IOException"), ("odd", None), (None, None)]
+    assert "exception" not in E.unhandled_events(lines.drop("extra")).columns
