@@ -1,12 +1,13 @@
 """Structured Streaming variants: tumbling aggregation, session pairing, bursts, frames, deltas, duplicates.
 
-The stateful ones keep one small tuple per key. Rows of a key are processed in time order within a micro-batch; rows
-that arrive in a later batch but are older than the state's last time count when they arrive.
+The stateful ones (T2 to T5) hold a key's rows back until the watermark has passed them and fold them in the order of
+time then, so rows that arrive late, but within the watermark, give the rows of the batch operators. A key's state is the
+rows of the time `late` and one small tuple. Rows without a time are left out; rows later than the watermark are dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import item_stats
+from ..schema import EVENT_TYPES
 
 
 def stream_log_aggregation(events: DataFrame, keys: Sequence[str], period: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -22,108 +24,131 @@ def stream_log_aggregation(events: DataFrame, keys: Sequence[str], period: str =
     return rows.agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *item_stats(F.col("duration_ms"), "duration")).select(F.col("window.start").alias("bucket"), *keys, "count", "first_ts", "last_ts", *[f"duration_{k}" for k in ("max", "min", "mean", "std", "sum")])
 
 
-def _micros(t: pd.Timestamp) -> int:
-    return t.value // 1000
+PYTHON = {"long": int, "double": float, "string": str}
 
 
-def _time(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us, unit="us")
+def _in_order(events: DataFrame, keys: Sequence[str], columns: Mapping[str, str], late: str, memory: str, out: str, step: Callable, until: Callable, close: Callable) -> DataFrame:
+    """The rows of each key, as tuples of `columns` (names and kinds, the time in microseconds first), folded in their order.
 
+    step(memory, row) gives the next memory and the rows that come out; until(memory) is the last time of a row that the
+    memory may still take, None for ever; close(memory) gives the rows that come out once that time is past."""
+    casts = [PYTHON[k] for k in columns.values()]
 
-def _wait(state: GroupState, last_us: int, seconds: float) -> None:
-    """Time out once the watermark is `seconds` past the key's last time."""
-    state.setTimeoutTimestamp(max(last_us // 1000 + int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
-
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending, held = state.get if state.exists else ([], None)
+        pending, held, done = [tuple(r) for r in pending or []], tuple(held) if held is not None else None, []
+        for batch in batches:
+            each = ([None if pd.isna(x) else cast(x) for x in batch[c]] for c, cast in zip(columns, casts, strict=True))
+            pending += zip(*each, strict=True)
+        passed = state.getCurrentWatermarkMs()
+        pending.sort(key=lambda row: [(x is not None, x) for x in row])
+        ready = sum(row[0] <= passed * 1000 for row in pending)
+        for row in pending[:ready]:
+            held, rows = step(held, row)
+            done += rows
+        pending = pending[ready:]
+        if held is not None and until(held) is not None and until(held) <= passed * 1000:
+            done, held = done + close(held), None
+        waits = [row[0] for row in pending[:1]] + ([until(held)] if held is not None and until(held) is not None else [])
+        if pending or held is not None:
+            state.update((pending, held))
+            if waits:
+                state.setTimeoutTimestamp(max(-(-min(waits) // 1000), passed + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(*key, *row) for row in done], columns=names, dtype=object)
 
-def stream_sessions(events: DataFrame, late: str = "10 minutes", orphan_after: float = 3600) -> DataFrame:
-    """T2: session ends with their begin; events (node_id, session_key, event_id, ts, kind 'begin' or 'end').
+    kinds = {c: k for c, k in events.dtypes if c in keys}
+    whole = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], out])
+    names = [*keys, *[part.split()[0] for part in out.split(", ")]]
+    held_kind = f"pending array<struct<{', '.join(f'{c}: {k}' for c, k in columns.items())}>>, memory struct<{memory}>"
+    return events.filter("ts is not null").withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, whole, held_kind, "append", GroupStateTimeout.EventTimeTimeout)
 
-    A begin that another begin follows, that stays open `orphan_after` seconds, and an end without a begin are orphaned."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        begin = state.get if state.exists else None
-        if state.hasTimedOut:
-            if begin:
-                out.append((begin[0], None, _time(begin[1]), None, True))
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            for r in rows.itertuples():
-                if r.kind == "begin":
-                    if begin:
-                        out.append((begin[0], None, _time(begin[1]), None, True))
-                    begin = (str(r.event_id), _micros(r.ts))
-                elif begin:
-                    out.append((begin[0], str(r.event_id), _time(begin[1]), (_micros(r.ts) - begin[1]) / 1000.0, False))
-                    begin = None
-                else:
-                    out.append((None, str(r.event_id), r.ts, None, True))
-            if begin:
-                state.update(begin)
-                _wait(state, begin[1], orphan_after)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame([(*key, *o) for o in out], columns=["node_id", "session_key", "begin_id", "end_id", "ts_begin", "duration_ms", "orphaned"])
-
-    kinds = "node_id string, session_key string, begin_id string, end_id string, ts_begin timestamp, duration_ms double, orphaned boolean"
-    return events.withWatermark("ts", late).groupBy("node_id", "session_key").applyInPandasWithState(run, kinds, "id string, us long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-RUN = "node_id string, run_begin timestamp, run_end timestamp, occurrences long, duration_sum double, duration_max double"
-
-
-def _runs(events: DataFrame, late: str, reach_us: int, anchored: bool, least_ms: float) -> DataFrame:
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        now = list(state.get) if state.exists else None  # begin of the run, last begin, anchor end, last end, n, sum, max
+def _times(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """rows with columns of microseconds as times under new names."""
+    return rows.select(*[F.timestamp_micros(c).alias(names[c]) if c in names else F.col(c) for c in rows.columns])
 
-        def close() -> None:
-            if now and now[4] > 1 and now[5] >= least_ms:
-                out.append((key[0], _time(now[0]), _time(now[3]), now[4], now[5], now[6]))
 
-        if state.hasTimedOut:
-            close()
-            state.remove()
-        else:
-            for r in pd.concat(list(batches)).sort_values(["ts", "ts_end"]).itertuples():
-                b, e, d = _micros(r.ts), _micros(r.ts_end), float(r.duration_ms)
-                if now and (now[0] if anchored else now[1]) < b <= (now[2] if anchored else now[3]) + reach_us:
-                    now = [now[0], b, now[2], e, now[4] + 1, now[5] + d, max(now[6], d)]
-                else:
-                    close()
-                    now = [b, b, e, e, 1, d, d]
-            state.update(tuple(now))
-            _wait(state, now[2] if anchored else now[3], reach_us / 1e6)
-        yield pd.DataFrame(out, columns=["node_id", "run_begin", "run_end", "occurrences", "duration_sum", "duration_max"])
-
-    kinds = "run_begin long, last_begin long, anchor_end long, last_end long, n long, total double, high double"
-    return events.withWatermark("ts", late).groupBy("node_id").applyInPandasWithState(run, RUN, kinds, "append", GroupStateTimeout.EventTimeTimeout)
+def stream_sessions(events: DataFrame, late: str = "10 minutes", orphan_after: float = 3600) -> DataFrame:
+    """T2: begins, items and ends of sessions, as pair_sessions gives them; events (node_id, session_key, event_id, ts, type).
+
+    A begin comes out once its end, another begin, or `orphan_after` seconds have passed; what comes later than that finds
+    no open session (the batch operator has no such limit)."""
+    id_kind = "long" if dict(events.dtypes)["event_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
+    begin_bit, end_bit, wait = EVENT_TYPES["SessionBegin"], EVENT_TYPES["SessionEnd"], round(orphan_after * 1_000_000)
+
+    def begun(held: tuple, orphan: bool) -> tuple:
+        return held[1], held[0], held[2], str(held[1]), held[0], None, orphan
+
+    def step(held: tuple | None, row: tuple) -> tuple:
+        us, event, kind = row
+        begin, end = bool((kind or 0) & begin_bit), bool((kind or 0) & end_bit)
+        lost = [begun(held, True)] if held and (begin or us > held[0] + wait) else []
+        held = None if lost else held
+        if begin:
+            return (us, event, kind), lost
+        if not held:
+            return None, [*lost, (event, us, kind, None, None, None, True)]
+        if end:
+            return None, [begun(held, False), (event, us, kind, str(held[1]), held[0], (us - held[0]) / 1000.0, False)]
+        return held, [(event, us, kind, str(held[1]), held[0], None, False)]
+
+    rows = events.select("node_id", "session_key", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast(id_kind).alias("event"), F.col("type").cast("long").alias("kind"))
+    out = f"event_id {id_kind}, us long, type long, session_id string, begin_us long, duration_ms double, orphaned boolean"
+    rows = _in_order(rows, ["node_id", "session_key"], {"us": "long", "event": id_kind, "kind": "long"}, late, f"us: long, event: {id_kind}, kind: long", out, step, lambda held: held[0] + wait, lambda held: [begun(held, True)])
+    return _times(rows, {"us": "ts", "begin_us": "ts_begin"})
+
+
+def _runs(events: DataFrame, late: str, reach: int, anchored: bool, least_ms: float) -> DataFrame:
+    # The memory: begin of the run, last begin, the end that counts for the reach, last end, number, sum and maximum of durations.
+    def add(a: float | None, b: float | None) -> float | None:
+        return (None if anchored else b if a is None else a) if a is None or b is None else a + b
+
+    def close(held: tuple) -> list[tuple]:
+        begin, _, _, end, n, total, high = held
+        return [(begin, end, n, total, high)] if n > 1 and (not anchored or (total is not None and total >= least_ms)) else []
+
+    def step(held: tuple | None, row: tuple) -> tuple:
+        b, e, d = row
+        if held and held[2] is not None and (held[0] if anchored else held[1]) < b <= held[2] + reach:
+            begin, _, counts, _, n, total, high = held
+            return (begin, b, counts if anchored else e, e, n + 1, add(total, d), max((x for x in (high, d) if x is not None), default=None)), []
+        return (b, b, e, e, 1, d, d), close(held) if held else []
+
+    rows = events.select("node_id", "ts", F.unix_micros("ts").alias("us"), F.unix_micros("ts_end").alias("end_us"), F.col("duration_ms").cast("double").alias("ms"))
+    memory = "begin: long, last: long, reach: long, end: long, n: long, total: double, high: double"
+    out = "begin_us long, end_us long, occurrences long, duration_sum double, duration_max double"
+    until = lambda held: held[1] if held[2] is None else held[2] + reach
+    rows = _in_order(rows, ["node_id"], {"us": "long", "end_us": "long", "ms": "double"}, late, memory, out, step, until, close)
+    return _times(rows, {"begin_us": "run_begin", "end_us": "run_end"})
 
 
 def stream_back_to_back(events: DataFrame, late: str = "10 minutes", tolerance_ms: float = 150) -> DataFrame:
     """T3: runs of events (node_id, ts, ts_end, duration_ms) that begin at most `tolerance_ms` after the one before ended."""
-    return _runs(events, late, int(tolerance_ms * 1000), anchored=False, least_ms=0.0)
+    return _runs(events, late, round(tolerance_ms * 1000), anchored=False, least_ms=0.0)
 
 
 def stream_time_frame(events: DataFrame, late: str = "10 minutes", frame_ms: float = 300_000, least_ms: float = 75_000) -> DataFrame:
     """T4: windows anchored at their first event."""
-    return _runs(events, late, int(frame_ms * 1000), anchored=True, least_ms=least_ms)
+    return _runs(events, late, round(frame_ms * 1000), anchored=True, least_ms=least_ms)
 
 
-def stream_deltas(counters: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """T5: a cumulative counter (node_id, name, ts, value) as differences; a smaller value counts as it is, the first has none."""
+def stream_deltas(counters: DataFrame, late: str = "10 minutes", forget_after: float = 30 * 86_400) -> DataFrame:
+    """T5: a cumulative counter (node_id, name, ts, value) as differences; a smaller value counts as it is, the first has none.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("ts")
-        last, out = state.get[0] if state.exists else None, []
-        for r in rows.itertuples():
-            out.append((*key, r.ts, None if last is None else r.value - last if r.value >= last else r.value))
-            last = float(r.value)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["node_id", "name", "ts", "delta"])
-
-    return counters.withWatermark("ts", late).groupBy("node_id", "name").applyInPandasWithState(run, "node_id string, name string, ts timestamp, delta double", "value double", "append", GroupStateTimeout.NoTimeout)
+    A counter that is silent for `forget_after` seconds is forgotten and starts anew, so that state ends."""
+    wait = round(forget_after * 1_000_000)
+
+    def step(held: tuple | None, row: tuple) -> tuple:
+        us, value = row
+        last = held[1] if held and us <= held[0] + wait else None
+        delta = None if last is None or value is None else value - last if value >= last else value
+        return (us, value), [(us, delta)]
+
+    rows = counters.select("node_id", "name", "ts", F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
+    rows = _in_order(rows, ["node_id", "name"], {"us": "long", "value": "double"}, late, "us: long, value: double", "us long, delta double", step, lambda held: held[0] + wait, lambda held: [])
+    return _times(rows, {"us": "ts"})
 
 
 def stream_distinct_lines(lines: DataFrame, late: str = "10 minutes") -> DataFrame:
