@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,17 +13,30 @@ from ..functions.columns import config_property, config_value_normalize
 from ..schema import EVENT_TYPES, ORPHANED
 
 
-def resolve_names(events: DataFrame, names: DataFrame, raw: str = "raw_name") -> DataFrame:
+def resolve_names(events: DataFrame, names: DataFrame, raw: str = "raw_name", objects: DataFrame | None = None) -> DataFrame:
     """Attach keyspace and table to a raw name: 'table', 'keyspace.table' or an id. names (keyspace, table_name, id).
 
-    A bare table name resolves only if one keyspace has it. Unknown names get nulls."""
+    With objects (keyspace, name, kind, base_table) the names of indexes and views, also as 'keyspace.name', 'table.name' and
+    'keyspace.table.name', give their base table, and the columns object_found and kind_found. Tables come before objects. A
+    name without its keyspace resolves only if one keyspace has it. Unknown names get nulls."""
     clean = lambda c: F.lower(F.regexp_replace(c, r"[\"']", ""))
-    full = names.select(F.lower(F.concat_ws(".", "keyspace", "table_name")).alias("name"), "keyspace", "table_name")
-    ids = names.filter("id is not null").select(F.lower("id").alias("name"), "keyspace", "table_name")
-    bare = names.groupBy(F.lower("table_name").alias("name")).agg(F.min("keyspace").alias("keyspace"), F.min("table_name").alias("table_name"), F.count_distinct("keyspace").alias("n")).filter("n = 1").drop("n")
-    known = full.unionByName(ids).unionByName(bare).dropDuplicates(["name"])
-    known = known.select(F.col("name").alias("_name"), F.col("keyspace").alias("keyspace_found"), F.col("table_name").alias("table_found"))
-    return events.drop("keyspace_found", "table_found").join(known, clean(F.col(raw)) == F.col("_name"), "left").drop("_name")
+    found = ["keyspace_found", "table_found", *(["object_found", "kind_found"] if objects is not None else [])]
+    all_ = [F.col("keyspace").alias("keyspace_found"), F.col("table_name").alias("table_found"), F.lit(None).cast("string").alias("object_found"), F.lit(None).cast("string").alias("kind_found")]
+    tables = names.select(*all_, "id")
+    whole = lambda rows, rank, *parts: rows.select(F.lit(rank).alias("_rank"), F.lower(F.concat_ws(".", *parts)).alias("_name"), *found)
+    alone = lambda rows, rank, *parts: _unique(rows.select(F.lit(rank).alias("_rank"), F.lower(F.concat_ws(".", *parts)).alias("_name"), *found), found)
+    known = [whole(tables, 0, "keyspace_found", "table_found"), whole(tables.filter("id is not null"), 1, "id"), alone(tables, 2, "table_found")]
+    if objects is not None:
+        own = objects.filter("base_table is not null").select(F.col("keyspace").alias("keyspace_found"), F.col("base_table").alias("table_found"), F.col("name").alias("object_found"), F.col("kind").alias("kind_found"))
+        known += [whole(own, 3, "keyspace_found", "object_found"), whole(own, 4, "keyspace_found", "table_found", "object_found"), alone(own, 5, "table_found", "object_found"), alone(own, 6, "object_found")]
+    each = reduce(DataFrame.unionByName, known).groupBy("_name").agg(F.min(F.struct("_rank", *found)).alias("_best")).select("_name", *[F.col(f"_best.{c}").alias(c) for c in found])
+    return events.drop(*found).join(each, clean(F.col(raw)) == F.col("_name"), "left").drop("_name")
+
+
+def _unique(rows: DataFrame, found: Sequence[str]) -> DataFrame:
+    """The names that one keyspace only has."""
+    one = rows.groupBy("_rank", "_name").agg(F.min(F.struct(*found)).alias("_one"), F.count_distinct("keyspace_found").alias("_n")).filter("_n = 1")
+    return one.select("_rank", "_name", *[F.col(f"_one.{c}").alias(c) for c in found])
 
 
 def resolve_nodes(events: DataFrame, hosts: DataFrame, raw: str = "address") -> DataFrame:
@@ -140,21 +153,39 @@ def trim_overlaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"
     return rows.select(*columns, status.alias("status"), F.when(used, F.coalesce(after, "file_min")).alias("used_min"), F.when(used, F.coalesce(until, "file_max")).alias("used_max"))
 
 
-def tokens_containing(tokens: DataFrame, ranges: DataFrame, cells: int = 256) -> DataFrame:
-    """Tokens (token) with the ring range (dc, node_id, start, end) they lie in: start < token <= end.
-
-    Ranges that wrap are split at the ring's ends; both sides are bucketed into cells of the ring, so the join is an
-    equi-join on the cell and a filter, never a nested loop over all pairs."""
+def _ring_cells(ranges: DataFrame, cells: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Ring ranges (start, end], those that wrap split at the ring's ends, once per cell of the ring that they touch; and the cell
+    of a token."""
     low, high = F.lit("-9223372036854775808").cast("decimal(20,0)"), F.lit("9223372036854775807").cast("decimal(20,0)")
     width = F.lit(str((1 << 64) // cells)).cast("decimal(20,0)")
     cell = lambda c: F.floor((c.cast("decimal(21,0)") - low) / width).cast("int")
     s, e = F.col("start").cast("decimal(20,0)"), F.col("end").cast("decimal(20,0)")
     parts = F.when(s < e, F.array(F.struct(s.alias("s"), e.alias("e")))).otherwise(F.array(F.struct(s.alias("s"), high.alias("e")), F.struct((low - 1).cast("decimal(20,0)").alias("s"), e.alias("e"))))
     cut = ranges.withColumn("_part", F.explode(parts))
-    cut = cut.withColumn("_cell", F.explode(F.sequence(F.greatest(F.lit(0), cell(F.col("_part.s"))), cell(F.col("_part.e")))))
-    t = tokens.withColumn("_cell", cell(F.col("token")))
+    return cut.withColumn("_cell", F.explode(F.sequence(F.greatest(F.lit(0), cell(F.col("_part.s"))), cell(F.col("_part.e"))))), cell
+
+
+def tokens_containing(tokens: DataFrame, ranges: DataFrame, cells: int = 256) -> DataFrame:
+    """Tokens (token) with the ring range (dc, node_id, start, end) they lie in: start < token <= end.
+
+    Both sides are bucketed into cells of the ring, so the join is an equi-join on the cell and a filter, never a nested loop
+    over all pairs."""
+    cut, cell = _ring_cells(ranges, cells)
     inside = (F.col("token") > F.col("_part.s")) & (F.col("token") <= F.col("_part.e"))
-    return t.join(cut, "_cell").filter(inside).drop("_cell", "_part")
+    return tokens.withColumn("_cell", cell(F.col("token"))).join(cut, "_cell").filter(inside).drop("_cell", "_part")
+
+
+def ranges_containing(checks: DataFrame, ranges: DataFrame, cells: int = 256) -> DataFrame:
+    """Token ranges (check_start, check_end) with each ring range (dc, node_id, start, end) that takes their end (start < end of
+    the check <= end) or their start (start < start of the check < end). A range of the ring that lies whole inside a check
+    takes neither. Each pair comes once. The two ends look into their cells: an equi-join, as in tokens_containing."""
+    cut, cell = _ring_cells(ranges, cells)
+    ends = F.array(F.struct(F.lit(True).alias("last"), F.col("check_end").alias("at")), F.struct(F.lit(False).alias("last"), F.col("check_start").alias("at")))
+    points = checks.withColumn("_point", F.explode(ends)).withColumn("_cell", cell(F.col("_point.at")))
+    at, last, x = F.col("_point.at"), F.col("_point.last"), F.col("check_end")
+    inside = (at > F.col("_part.s")) & (at <= F.col("_part.e")) & (last | (at != F.col("end")))
+    whole = F.when(F.col("start") < F.col("end"), (x > F.col("start")) & (x <= F.col("end"))).otherwise((x > F.col("start")) | (x <= F.col("end")))
+    return points.join(cut, "_cell").filter(inside & (last | ~F.coalesce(whole, F.lit(False)))).drop("_cell", "_part", "_point")
 
 
 def flagged_tables_semi(rows: DataFrame, flag: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import THRESHOLDS, attr_weight, config_property, config_value_normalize, has_flag, lcs_parse, weigh
-from ..schema import EVENT_CLASSES
+from ..schema import EVENT_CLASSES, INSTANCE_KINDS, NODE_STATES
 
 
 def with_one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
@@ -50,19 +50,45 @@ def node_measures(stats: DataFrame, measures: Mapping[str, str] = MEASURES, user
     return stats.filter(F.col("attr").isin(*measures.values())).groupBy("dc", "node_id").agg(*each)
 
 
-def datacenter_summary(nodes: DataFrame, stats: DataFrame, events: DataFrame, measures: Mapping[str, str] = MEASURES, user: Column | None = None) -> DataFrame:
-    """Per data center: nodes and those up, event totals, and for each measure max, min, mean, standard deviation, total,
-    share of user keyspaces and the nodes with the extremes. Flush and compaction counts need a keyspace, GC and repair
-    counts don't."""
+#: Counts of node states: a state counts where it has all bits of the first mask and none of the second.
+STATE_COUNTS = {
+    "starts": (NODE_STATES["Started"], NODE_STATES["Restarted"]), "restarts": (NODE_STATES["Restarted"], 0), "long_pauses": (NODE_STATES["LongPause"], 0),
+    "not_responding": (NODE_STATES["NotResponding"], 0), "dead": (NODE_STATES["Dead"], 0), "network_events": (NODE_STATES["NetworkEvent"], 0),
+}
+
+
+def node_state_counts(states: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
+    """State changes (keys, state) as counts of starts, restarts, long pauses, nodes not responding or dead and network events."""
+    bits = F.col("state")
+    each = [F.count_if((bits.bitwiseAND(F.lit(has)) == has) & (bits.bitwiseAND(F.lit(hasnt)) == 0)).alias(name) for name, (has, hasnt) in STATE_COUNTS.items()]
+    return states.groupBy(*keys).agg(*each)
+
+
+def datacenter_summary(nodes: DataFrame, stats: DataFrame, events: DataFrame, measures: Mapping[str, str] = MEASURES, user: Column | None = None, states: DataFrame | None = None) -> DataFrame:
+    """Per data center: nodes, those up, down and unknown, event totals, and for each measure max, min, mean, standard
+    deviation, total, its share of the cluster's, share of user keyspaces and the nodes with the extremes. Flush and compaction
+    counts need a keyspace, GC and repair counts don't.
+
+    nodes (dc, node_id, status) with `kinds`, an array, also give the number of nodes of each instance kind and of those
+    without any; with data_used_pct the extremes and mean of the data devices and their nodes. states (dc, state) give the
+    counts of node_state_counts. Equal extremes name the larger node for max, the smaller for min."""
+    extremes = lambda c: [F.max(c).alias(f"{c}_max"), F.max_by("node_id", F.when(F.col(c).isNotNull(), F.struct(c, "node_id"))).alias(f"{c}_max_node"), F.min(c).alias(f"{c}_min"), F.min_by("node_id", F.when(F.col(c).isNotNull(), F.struct(c, "node_id"))).alias(f"{c}_min_node"), F.avg(c).alias(f"{c}_avg")]
     per = node_measures(stats, measures, user)
-    each = [e for m in measures for e in (
-        F.max(m).alias(f"{m}_max"), F.max_by("node_id", F.struct(m, "node_id")).alias(f"{m}_max_node"), F.min(m).alias(f"{m}_min"), F.min_by("node_id", F.struct(m, "node_id")).alias(f"{m}_min_node"),
-        F.avg(m).alias(f"{m}_avg"), F.stddev_pop(m).alias(f"{m}_std"), F.sum(m).alias(f"{m}_total"), F.try_divide(F.sum(f"user_{m}"), F.sum(m)).alias(f"{m}_user_pct"),
-    )]
+    each = [e for m in measures for e in (*extremes(m), F.stddev_pop(m).alias(f"{m}_std"), F.sum(m).alias(f"{m}_total"), F.try_divide(F.sum(f"user_{m}"), F.sum(m)).alias(f"{m}_user_pct"))]
     named = F.col("keyspace").isNotNull()
     counts = events.groupBy("dc").agg(F.count(F.lit(1)).alias("events"), F.count_if(_class("MemtableFlush") & named).alias("flushes"), F.count_if(_class("Compaction") & named).alias("compactions"), F.count_if(_class("GC")).alias("gcs"), F.count_if(_class("Repair")).alias("repairs"))
-    base = nodes.groupBy("dc").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("status") == "Up").alias("nodes_up"))
-    return base.join(per.groupBy("dc").agg(*each), "dc", "left").join(counts, "dc", "left")
+    up, down = F.col("status") == "Up", F.col("status") == "Down"
+    facts = [F.count(F.lit(1)).alias("nodes"), F.count_if(up).alias("nodes_up"), F.count_if(down).alias("nodes_down"), F.count_if(~F.coalesce(up | down, F.lit(False))).alias("nodes_unknown")]
+    if "kinds" in nodes.columns:
+        has = lambda k: F.coalesce(F.array_contains("kinds", k), F.lit(False))
+        facts += [F.count_if(has(k)).alias(f"{k.lower()}_nodes") for k in (*INSTANCE_KINDS, "MultiInstance")]
+        facts.append(F.count_if(~(has(INSTANCE_KINDS[0]) | has(INSTANCE_KINDS[1]) | has(INSTANCE_KINDS[2]) | has(INSTANCE_KINDS[3]))).alias("other_nodes"))
+    if "data_used_pct" in nodes.columns:
+        facts += extremes("data_used_pct")
+    totals = with_one_row(per.groupBy("dc").agg(*each), per.agg(*[F.sum(m).alias(f"_whole_{m}") for m in measures]))
+    totals = totals.select(*[c for c in totals.columns if not c.startswith("_whole_")], *[F.try_divide(F.col(f"{m}_total"), F.col(f"_whole_{m}")).alias(f"{m}_pct") for m in measures])
+    out = nodes.groupBy("dc").agg(*facts).join(totals, "dc", "left").join(counts, "dc", "left")
+    return out if states is None else out.join(node_state_counts(states, ["dc"]), "dc", "left").fillna(0, list(STATE_COUNTS))
 
 
 def node_summary(nodes: DataFrame, stats: DataFrame, events: DataFrame, files: DataFrame | None = None, measures: Mapping[str, str] = MEASURES) -> DataFrame:
@@ -280,15 +306,40 @@ def pool_stats_wide(stats: DataFrame, columns: Sequence[str] = POOL_COLUMNS) ->
     return rows.groupBy("node_id", "pool").agg(*wide)
 
 
+#: Kinds of indexes by the class that serves them, and compaction strategies that are counted by name: fixed values.
+INDEX_KINDS = ("secondary", "solr", "sasi", "custom")
+STRATEGIES = ("STCS", "LCS", "DTCS", "TCS", "TWCS")
+#: Column types that are built in, fixed values; a type of another name is a user's type.
+CQL_TYPES = "ascii bigint blob boolean counter date decimal double duration float frozen inet int list map set smallint text time timestamp timeuuid tinyint tuple uuid varchar varint".split()
+
+
 def keyspace_object_counts(objects: DataFrame) -> DataFrame:
-    """Per keyspace: tables, views, indexes, types, functions, and tables by compaction strategy. objects (keyspace, name, kind,
-    compaction, active)."""
-    kinds = [F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("table", "view", "index", "type", "function")]
-    plans = [F.count_if((F.col("kind") == "table") & (F.col("compaction") == s)).alias(s.lower()) for s in ("STCS", "LCS", "TWCS")]
-    active = F.try_divide(F.count_if((F.col("kind") == "table") & F.col("active")), F.count_if(F.col("kind") == "table")).alias("active_pct")
+    """Per keyspace: tables, views, indexes, types, functions, triggers, tables by compaction strategy, and the share of active
+    objects. objects (keyspace, name, kind, compaction, active).
+
+    With index_kind (INDEX_KINDS) also the indexes of each kind. The share is that of tables, views and indexes, search
+    indexes (solr) left out; null without any."""
+    kind, plan = F.col("kind"), F.col("compaction")
+    kinds = [F.count_if(kind == k).alias(f"{k}s") for k in ("table", "view", "index", "type", "function", "trigger")]
+    plans = [F.count_if((kind == "table") & (plan == s)).alias(s.lower()) for s in STRATEGIES]
+    plans.append(F.count_if((kind == "table") & ~plan.isin(*STRATEGIES)).alias("other_strategies"))
+    stored = kind.isin("table", "view", "index")
+    if "index_kind" in objects.columns:
+        kinds += [F.count_if((kind == "index") & (F.col("index_kind") == k)).alias(f"{k}_indexes") for k in INDEX_KINDS]
+        stored &= ~((kind == "index") & F.coalesce(F.col("index_kind") == "solr", F.lit(False)))
+    active = F.try_divide(F.count_if(stored & F.col("active")), F.count_if(stored)).alias("active_pct")
     return objects.groupBy("keyspace").agg(*kinds, *plans, active)
 
 
+def column_feature_counts(columns: DataFrame) -> DataFrame:
+    """Per keyspace: columns, and those that are collections, blobs, static, frozen, tuples or of a user's type; a column counts
+    for each that it has. columns (keyspace, table_name, name, cql_type, kind)."""
+    cql = F.lower("cql_type")
+    users = F.size(F.array_except(F.regexp_extract_all(F.regexp_replace(cql, "'[^']*'", ""), F.lit(r"([a-z_][a-z0-9_]*)")), F.array(*map(F.lit, CQL_TYPES)))) > 0
+    has = {"collections": cql.rlike(r"\b(?:list|set|map)\s*<"), "blobs": cql.rlike(r"\bblob\b"), "static_columns": F.lower("kind") == "static", "frozen": cql.rlike(r"\bfrozen\s*<"), "tuples": cql.rlike(r"\btuple\s*<"), "user_types": users}
+    return columns.groupBy("keyspace").agg(F.count(F.lit(1)).alias("columns"), *[F.count_if(v).alias(k) for k, v in has.items()])
+
+
 def table_derived_ratios(wide: DataFrame) -> DataFrame:
     """Tables (..., tombstones, live_cells, reads, writes, lcs text) with tombstone, read, write and level ratios.
 
@@ -359,6 +410,11 @@ def insufficient_space_list(events: DataFrame, keys: Sequence[str] = ("node_id",
     return value_lists(events, "required_mib", keys)
 
 
+def tombstone_ratio_list(events: DataFrame, keys: Sequence[str] = ("node_id", "keyspace", "table_name")) -> DataFrame:
+    """The ratios of tombstones to all cells read, per node and table: the list behind tombstone_running."""
+    return value_lists(events.withColumn("ratio", F.try_divide(F.col("tombstones"), F.col("tombstones") + F.col("live_cells"))), "ratio", keys)
+
+
 def dropped_messages(documents: DataFrame) -> DataFrame:
     """Insight documents (node_id, ts, data.groups array<struct<name,internal,cross,mean_ms>>) as a row per message group."""
     return documents.select("node_id", "ts", F.explode("data.groups").alias("g")).select("node_id", "ts", F.col("g.name").alias("message"), F.col("g.internal").alias("internal"), F.col("g.cross").alias("cross_node"), F.col("g.mean_ms").alias("mean_ms"))

@@ -62,6 +62,18 @@ def read_ring(spark, d):
     return rounded(out.select("dc", "address", "rack", "status", "state", "load_mib", F.col("token").cast("long").alias("token")))
 
 
+@query("read_workload_ring", """SELECT CASE WHEN c_custkey % 4 = 0 THEN 'A0-' || lpad((c_custkey % 90)::VARCHAR, 2, '0') END AS server_id, '10.' || (c_custkey // 62500) || '.' || (c_custkey // 250 % 250) || '.' || (c_custkey % 250) AS address, 'dc' || c_nationkey AS dc, ['Cassandra', 'Analytics', 'SearchAnalytics'][c_custkey % 3 + 1] AS workload,
+CASE WHEN c_custkey % 3 = 1 THEN 'SM' END AS role, CASE c_custkey % 3 WHEN 0 THEN 'Cassandra' WHEN 1 THEN 'Analytics' ELSE 'Analytics,Search' END || CASE WHEN c_custkey % 5 = 0 THEN ',Graph' ELSE '' END || CASE WHEN c_custkey % 4 = 0 THEN ',MultiInstance' ELSE '' END AS kinds, CASE WHEN c_custkey % 7 = 0 THEN 'Down' ELSE 'Up' END AS status,
+(c_custkey % 900 * 1024)::DOUBLE AS load_mib, CASE WHEN c_nationkey % 2 = 0 THEN 256 END AS tokens, CASE WHEN c_nationkey % 2 = 1 THEN c_custkey * 1000 END::BIGINT AS token, CASE WHEN c_nationkey % 2 = 0 THEN 0.9 END::DOUBLE AS health FROM customer""")
+def read_workload_ring(spark, d):
+    k, even = F.col("c_custkey"), F.col("c_nationkey") % 2 == 0
+    work = F.when(k % 3 == 0, "Cassandra").when(k % 3 == 1, "Analytics(SM)").otherwise("SearchAnalytics")
+    head = F.when(even, "Server ID  Address  DC  Rack  Workload  Graph  Status  State  Load  Owns  VNodes  Health [0,1]").otherwise("Address  DC  Rack  Workload  Graph  Status  State  Load  Owns  Token")
+    line = _text(F.when(k % 4 == 0, _text("=A0-", F.lpad((k % 90).cast("string"), 2, "0"), "=  ")).otherwise(""), "=10.", F.floor(k / 62500), "=.", F.floor(k / 250) % 250, "=.", k % 250, "=  dc", "c_nationkey", "=  rack1  ", work, F.when(k % 5 == 0, "  yes").otherwise("  no"), F.when(k % 7 == 0, "  Down").otherwise("  Up"), "=  Normal  ", k % 900, "= GB  ?  ", F.when(even, "256   0.90").otherwise((k * 1000).cast("string")), "=  ")
+    out = T.read_workload_ring(_lines(D.table(spark, d, "customer"), "c_nationkey", "c_custkey", head, line, F.lit("Note: you must specify a keyspace to get ownership information.")))
+    return out.select("server_id", "address", "dc", "workload", "role", F.array_join("kinds", ",").alias("kinds"), "status", "load_mib", "tokens", F.col("token").cast("long").alias("token"), "health")
+
+
 @query("read_hosts_map", """WITH h AS (SELECT '10.0.' || (c_custkey // 250) || '.' || (c_custkey % 250) AS address, c_custkey AS k FROM customer) SELECT address, 'host' || k AS name FROM h UNION ALL SELECT address, 'host' || k || '.local' FROM h WHERE k % 3 = 0""")
 def read_hosts_map(spark, d):
     k = F.col("c_custkey")

@@ -9,7 +9,7 @@ from ..operators import events as E
 from ..operators import joins as J
 from ..operators import stats as S
 from ..operators import windows as Wn
-from ..schema import EVENT_CLASSES
+from ..schema import EVENT_CLASSES, NODE_STATES
 from ..sources import text as T
 from . import driver as D
 from . import flows
@@ -40,15 +40,25 @@ def filter_keyspaces(spark, d):
     return E.filter_keyspaces(stats, ["ECONOMY"], ["STANDARD", "PROMO"], attr="tax").groupBy("keyspace").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("datacenter_summary", f"""WITH {EV}, {_NODE}, n AS (SELECT s_nationkey::VARCHAR AS dc, count(*)::BIGINT AS nodes, count(*) FILTER (s_acctbal > 0)::BIGINT AS nodes_up FROM supplier GROUP BY 1),
-c AS (SELECT (user_id % 25)::VARCHAR AS dc, count(*)::BIGINT AS events, count(*) FILTER (event_type = 'purchase' AND k % 2 = 0)::BIGINT AS flushes, count(*) FILTER (event_type = 'click' AND k % 2 = 0)::BIGINT AS compactions, count(*) FILTER (event_type = 'error')::BIGINT AS gcs, count(*) FILTER (event_type = 'signup')::BIGINT AS repairs FROM ev GROUP BY 1),
-p AS (SELECT dc, round(max(reads), 2) AS reads_max, arg_max(node_id, reads) AS reads_max_node, round(min(reads), 2) AS reads_min, round(avg(reads), 2) AS reads_avg, round(stddev_pop(reads), 2) AS reads_std, round(sum(reads), 2) AS reads_total, round(sum(user_reads) / sum(reads), 2) AS reads_user_pct, round(sum(writes), 2) AS writes_total FROM per GROUP BY dc)
-SELECT n.dc, nodes, nodes_up, events, flushes, compactions, gcs, repairs, reads_max, reads_max_node, reads_min, reads_avg, reads_std, reads_total, reads_user_pct, writes_total FROM n JOIN p USING (dc) JOIN c USING (dc)""")
+@query("datacenter_summary", f"""WITH {EV}, {_NODE}, n AS (SELECT s_nationkey::VARCHAR AS dc, count(*)::BIGINT AS nodes, count(*) FILTER (s_acctbal > 5000)::BIGINT AS nodes_up, count(*) FILTER (s_acctbal BETWEEN 0 AND 5000)::BIGINT AS nodes_down, count(*) FILTER (s_acctbal < 0)::BIGINT AS nodes_unknown,
+ count(*) FILTER (s_suppkey % 3 = 0)::BIGINT AS cassandra_nodes, count(*) FILTER (s_suppkey % 3 = 1)::BIGINT AS search_nodes, count(*) FILTER (s_suppkey % 3 < 2 AND s_suppkey % 2 = 0)::BIGINT AS multiinstance_nodes, count(*) FILTER (s_suppkey % 3 = 2)::BIGINT AS other_nodes,
+ max(u) AS data_used_pct_max, arg_max(s_suppkey::VARCHAR, (u, s_suppkey::VARCHAR)) FILTER (u IS NOT NULL) AS data_used_pct_max_node, min(u) AS data_used_pct_min, arg_min(s_suppkey::VARCHAR, (u, s_suppkey::VARCHAR)) FILTER (u IS NOT NULL) AS data_used_pct_min_node, round(avg(u), 2) AS data_used_pct_avg
+ FROM (SELECT *, CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 90)::DOUBLE END AS u FROM supplier) GROUP BY 1),
+c AS (SELECT (user_id % 25)::VARCHAR AS dc, count(*)::BIGINT AS events, count(*) FILTER (event_type = 'purchase' AND k % 2 = 0)::BIGINT AS flushes, count(*) FILTER (event_type = 'click' AND k % 2 = 0)::BIGINT AS compactions, count(*) FILTER (event_type = 'error')::BIGINT AS gcs, count(*) FILTER (event_type = 'signup')::BIGINT AS repairs,
+ count(*) FILTER (event_type = 'signup' AND k % 2 = 0)::BIGINT AS starts, count(*) FILTER (event_type = 'signup' AND k % 2 <> 0)::BIGINT AS restarts, count(*) FILTER (event_type = 'error')::BIGINT AS long_pauses, count(*) FILTER (event_type = 'view')::BIGINT AS network_events FROM ev GROUP BY 1),
+p AS (SELECT dc, round(max(reads), 2) AS reads_max, arg_max(node_id, (reads, node_id)) AS reads_max_node, round(min(reads), 2) AS reads_min, arg_min(node_id, (reads, node_id)) AS reads_min_node, round(avg(reads), 2) AS reads_avg, round(stddev_pop(reads), 2) AS reads_std, round(sum(reads), 2) AS reads_total, round(sum(reads) / (SELECT sum(reads) FROM per), 2) AS reads_pct, round(sum(user_reads) / sum(reads), 2) AS reads_user_pct, round(sum(writes), 2) AS writes_total FROM per GROUP BY dc)
+SELECT n.*, events, flushes, compactions, gcs, repairs, starts, restarts, long_pauses, network_events, p.* EXCLUDE (dc) FROM n JOIN p USING (dc) JOIN c USING (dc)""")
 def datacenter_summary(spark, d):
-    nodes = D.table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("dc"), F.when(F.col("s_acctbal") > 0, "Up").otherwise("Down").alias("status"))
+    k, balance = F.col("s_suppkey"), F.col("s_acctbal")
+    kinds = F.array_compact(F.array(F.when(k % 3 == 0, "Cassandra"), F.when(k % 3 == 1, "Search"), F.when((k % 3 < 2) & (k % 2 == 0), "MultiInstance")))
+    status = F.when(balance > 5000, "Up").when(balance >= 0, "Down")
+    nodes = D.table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("dc"), k.cast("string").alias("node_id"), status.alias("status"), kinds.alias("kinds"), F.when(k % 4 > 0, (k % 90).cast("double")).alias("data_used_pct"))
     events = D.events(spark, d).withColumns({"dc": (F.col("user_id") % 25).cast("string"), "keyspace": F.when(F.col("k") % 2 == 0, F.col("keyspace"))})
-    out = S.datacenter_summary(nodes, D.long_stats(spark, d), events, MEASURES, F.col("keyspace") != "ECONOMY").filter("reads_max is not null and events is not null")
-    columns = "dc nodes nodes_up events flushes compactions gcs repairs reads_max reads_max_node reads_min reads_avg reads_std reads_total reads_user_pct writes_total".split()
+    bit, kind = NODE_STATES, F.col("event_type")
+    state = F.when((kind == "signup") & (F.col("k") % 2 == 0), bit["Started"]).when(kind == "signup", bit["Started"] | bit["Restarted"]).when(kind == "error", bit["Paused"] | bit["LongPause"]).when(kind == "view", bit["NetworkEvent"]).otherwise(0)
+    out = S.datacenter_summary(nodes, D.long_stats(spark, d), events, MEASURES, F.col("keyspace") != "ECONOMY", states=events.select("dc", state.alias("state"))).filter("reads_max is not null and events is not null")
+    columns = """dc nodes nodes_up nodes_down nodes_unknown cassandra_nodes search_nodes multiinstance_nodes other_nodes data_used_pct_max data_used_pct_max_node data_used_pct_min data_used_pct_min_node data_used_pct_avg
+    events flushes compactions gcs repairs starts restarts long_pauses network_events reads_max reads_max_node reads_min reads_min_node reads_avg reads_std reads_total reads_pct reads_user_pct writes_total""".split()
     return rounded(out.select(*columns), 2)
 
 
@@ -170,13 +180,24 @@ def attach_dependents_count(spark, d):
     return J.attach_dependents_count(part.select(F.col("p_type").alias("keyspace"), F.col("p_brand").alias("table_name")).distinct(), objects)
 
 
-@query("keyspace_object_counts", """WITH o AS (SELECT p_type AS keyspace, CASE p_size % 6 WHEN 0 THEN 'index' WHEN 1 THEN 'view' WHEN 2 THEN 'type' WHEN 3 THEN 'function' ELSE 'table' END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'STCS' WHEN 1 THEN 'LCS' ELSE 'TWCS' END AS c, p_retailprice > 950 AS a FROM part)
-SELECT keyspace, count(*) FILTER (kind = 'table')::BIGINT AS tables, count(*) FILTER (kind = 'view')::BIGINT AS views, count(*) FILTER (kind = 'index')::BIGINT AS indexs, count(*) FILTER (kind = 'type')::BIGINT AS types, count(*) FILTER (kind = 'function')::BIGINT AS functions, count(*) FILTER (kind = 'table' AND c = 'STCS')::BIGINT AS stcs,
-count(*) FILTER (kind = 'table' AND c = 'LCS')::BIGINT AS lcs, count(*) FILTER (kind = 'table' AND c = 'TWCS')::BIGINT AS twcs, round(count(*) FILTER (kind = 'table' AND a) / count(*) FILTER (kind = 'table'), 4) AS active_pct FROM o GROUP BY keyspace""")
+@query("keyspace_object_counts", """WITH o AS (SELECT p_type AS keyspace, CASE p_size % 7 WHEN 0 THEN 'index' WHEN 1 THEN 'view' WHEN 2 THEN 'type' WHEN 3 THEN 'function' WHEN 4 THEN 'trigger' ELSE 'table' END AS kind, ['STCS', 'LCS', 'DTCS', 'TCS', 'TWCS', 'UCS'][p_partkey % 6 + 1] AS c, p_retailprice > 950 AS a, ['secondary', 'solr', 'sasi', 'custom'][p_partkey % 4 + 1] AS i FROM part)
+SELECT keyspace, count(*) FILTER (kind = 'table')::BIGINT AS tables, count(*) FILTER (kind = 'view')::BIGINT AS views, count(*) FILTER (kind = 'index')::BIGINT AS indexs, count(*) FILTER (kind = 'type')::BIGINT AS types, count(*) FILTER (kind = 'function')::BIGINT AS functions, count(*) FILTER (kind = 'trigger')::BIGINT AS triggers,
+count(*) FILTER (kind = 'index' AND i = 'secondary')::BIGINT AS secondary_indexes, count(*) FILTER (kind = 'index' AND i = 'solr')::BIGINT AS solr_indexes, count(*) FILTER (kind = 'index' AND i = 'sasi')::BIGINT AS sasi_indexes, count(*) FILTER (kind = 'index' AND i = 'custom')::BIGINT AS custom_indexes,
+count(*) FILTER (kind = 'table' AND c = 'STCS')::BIGINT AS stcs, count(*) FILTER (kind = 'table' AND c = 'LCS')::BIGINT AS lcs, count(*) FILTER (kind = 'table' AND c = 'DTCS')::BIGINT AS dtcs, count(*) FILTER (kind = 'table' AND c = 'TCS')::BIGINT AS tcs, count(*) FILTER (kind = 'table' AND c = 'TWCS')::BIGINT AS twcs, count(*) FILTER (kind = 'table' AND c = 'UCS')::BIGINT AS other_strategies,
+round(count(*) FILTER (a AND (kind IN ('table', 'view') OR (kind = 'index' AND i <> 'solr'))) / nullif(count(*) FILTER (kind IN ('table', 'view') OR (kind = 'index' AND i <> 'solr')), 0), 4) AS active_pct FROM o GROUP BY keyspace""")
 def keyspace_object_counts(spark, d):
-    size, key = F.col("p_size") % 6, F.col("p_partkey") % 3
-    rows = D.table(spark, d, "part").select(F.col("p_type").alias("keyspace"), F.when(size == 0, "index").when(size == 1, "view").when(size == 2, "type").when(size == 3, "function").otherwise("table").alias("kind"), F.when(key == 0, "STCS").when(key == 1, "LCS").otherwise("TWCS").alias("compaction"), (F.col("p_retailprice") > 950).alias("active"))
-    return rounded(S.keyspace_object_counts(rows))
+    size, key = F.col("p_size") % 7, F.col("p_partkey")
+    kind = F.when(size == 0, "index").when(size == 1, "view").when(size == 2, "type").when(size == 3, "function").when(size == 4, "trigger").otherwise("table")
+    one = lambda names: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
+    return rounded(S.keyspace_object_counts(D.table(spark, d, "part").select(F.col("p_type").alias("keyspace"), kind.alias("kind"), one([*S.STRATEGIES, "UCS"]).alias("compaction"), (F.col("p_retailprice") > 950).alias("active"), one(S.INDEX_KINDS).alias("index_kind"))))
+
+
+@query("column_feature_counts", """SELECT p_type AS keyspace, count(*)::BIGINT AS columns, count(*) FILTER (p_partkey % 8 IN (1, 2, 3))::BIGINT AS collections, count(*) FILTER (p_partkey % 8 IN (3, 4))::BIGINT AS blobs, count(*) FILTER (p_size % 5 = 0)::BIGINT AS static_columns,
+count(*) FILTER (p_partkey % 8 IN (2, 5, 6))::BIGINT AS frozen, count(*) FILTER (p_partkey % 8 = 5)::BIGINT AS tuples, count(*) FILTER (p_partkey % 8 IN (2, 6))::BIGINT AS user_types FROM part GROUP BY p_type""")
+def column_feature_counts(spark, d):
+    types = ["int", "list<text>", "map<text, frozen<address>>", "set<blob>", "blob", "frozen<tuple<int, text>>", "frozen<Phone_2>", "'org.example.Custom'"]
+    rows = D.table(spark, d, "part").select(F.col("p_type").alias("keyspace"), F.col("p_brand").alias("table_name"), F.col("p_name").alias("name"), F.element_at(F.array(*map(F.lit, types)), (F.col("p_partkey") % 8 + 1).cast("int")).alias("cql_type"), F.when(F.col("p_size") % 5 == 0, "static").otherwise("regular").alias("kind"))
+    return S.column_feature_counts(rows)
 
 
 @query("stat_value_occurrences", "SELECT s_nationkey::VARCHAR AS dc, l_suppkey::VARCHAR AS node_id, l_returnflag AS attr, l_linestatus AS str_value, count(*)::BIGINT AS num_value, 'Occurrences' AS uom FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")
@@ -262,11 +283,24 @@ def tokens_containing(spark, d):
     return J.tokens_containing(tokens, Wn.ring_to_ranges(D.ring(spark, d))).select("o_orderkey", "node_id", "end")
 
 
-@query("resolve_names", f"WITH {ST}, t AS (SELECT DISTINCT keyspace, table_name FROM base), x AS (SELECT o_orderkey, 'PROMO.Brand#' || (o_orderkey % 40) AS raw_name FROM orders) SELECT o_orderkey, t.keyspace AS keyspace_found, t.table_name AS table_found FROM x LEFT JOIN t ON lower(raw_name) = lower(t.keyspace || '.' || t.table_name)")
+_CHECK = "CAST((o_orderkey * 7000003 % 1000003 - 500000) * 18000000000001 AS BIGINT)"
+
+
+@query("ranges_containing", f"""WITH {RG}, r AS (SELECT node_id, coalesce(lag(token) OVER (ORDER BY token), max(token) OVER ()) AS s, token AS e FROM rg), t AS (SELECT o_orderkey, {_CHECK} AS a, {_CHECK} + o_orderkey % 9 * 1000000000000 AS z FROM orders)
+SELECT o_orderkey, node_id, e AS "end" FROM t JOIN r ON CASE WHEN s < e THEN (z > s AND z <= e) OR (a > s AND a < e) ELSE z > s OR z <= e OR a > s OR a < e END""")
+def ranges_containing(spark, d):
+    checks = D.table(spark, d, "orders").select("o_orderkey", F.expr(_CHECK).alias("check_start"), F.expr(f"{_CHECK} + o_orderkey % 9 * 1000000000000").alias("check_end"))
+    return J.ranges_containing(checks, Wn.ring_to_ranges(D.ring(spark, d))).select("o_orderkey", "node_id", "end")
+
+
+@query("resolve_names", f"""WITH {ST}, t AS (SELECT DISTINCT keyspace, table_name FROM base), x AS (SELECT o_orderkey, o_orderkey % 3 AS m, 'PROMO.Brand#' || (o_orderkey % 40) AS b, 'PROMO' || '.by_Brand#' || (o_orderkey % 40) AS i FROM orders)
+SELECT o_orderkey, t.keyspace AS keyspace_found, t.table_name AS table_found, CASE WHEN m > 0 AND t.keyspace IS NOT NULL THEN 'by_' || t.table_name END AS object_found FROM x LEFT JOIN t ON lower(CASE m WHEN 0 THEN b ELSE i END) = lower(CASE m WHEN 0 THEN t.keyspace || '.' || t.table_name ELSE t.keyspace || '.by_' || t.table_name END)""")
 def resolve_names(spark, d):
     names = D.long_stats(spark, d).select("keyspace", "table_name").distinct().withColumn("id", F.lit(None).cast("string"))
-    rows = D.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit('"PROMO".Brand#'), (F.col("o_orderkey") % 40).cast("string")).alias("raw_name"))
-    return J.resolve_names(rows, names).select("o_orderkey", "keyspace_found", "table_found")
+    objects = names.select("keyspace", F.concat(F.lit("by_"), "table_name").alias("name"), F.lit("index").alias("kind"), F.col("table_name").alias("base_table"))
+    k, brand = F.col("o_orderkey"), F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 40).cast("string"))
+    raw = F.when(k % 3 == 0, F.concat(F.lit('"PROMO".'), brand)).when(k % 3 == 1, F.concat(F.lit("promo.BY_"), brand)).otherwise(F.concat(F.lit("PROMO."), brand, F.lit(".by_"), brand))
+    return J.resolve_names(D.table(spark, d, "orders").select("o_orderkey", raw.alias("raw_name")), names, objects=objects).select("o_orderkey", "keyspace_found", "table_found", "object_found")
 
 
 @query("resolve_nodes", "SELECT l_orderkey, l_linenumber, s_suppkey::VARCHAR AS node_found, s_nationkey::VARCHAR AS dc_found FROM lineitem LEFT JOIN supplier ON l_suppkey + 5 = s_suppkey")

@@ -17,6 +17,9 @@ ORPHANED = EVENT_CLASSES["Orphaned"]
 #: Node states, one bit each.
 NODE_STATES = {name: 1 << k for k, name in enumerate(("Added", "Started", "Restarted", "Paused", "LongPause", "NotResponding", "Dead", "NetworkEvent", "TokenOwnershipChanged", "Removed"))}
 
+#: Kinds of work that a workload's name gives a node, fixed values.
+INSTANCE_KINDS = ("Cassandra", "Analytics", "Search", "Graph")
+
 LOG_LINE = "path string, node_id string, line_no long, line string"
 EVENT = (
     "event_id string, node_id string, dc string, ts timestamp, ts_begin timestamp, ts_end timestamp, duration_ms double, type long, class long, subclass string, "

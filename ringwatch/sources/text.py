@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_units
+from ..schema import INSTANCE_KINDS
 
 #: A node in a path: an address in a directory or file name.
 NODE = r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})"
@@ -143,6 +144,30 @@ def read_ring(lines: DataFrame) -> DataFrame:
     return rows.select("dc", g(1).alias("address"), g(2).alias("rack"), g(3).alias("status"), g(4).alias("state"), normalize_units(g(5))["value"].alias("load_mib"), normalize_units(g(6))["value"].alias("owns"), g(7).cast("decimal(20,0)").alias("token"))
 
 
+def read_workload_ring(lines: DataFrame) -> DataFrame:
+    """Node list with workloads: lines of [server id] address, dc, rack, workload, [graph], status, state, load, owns, tokens or
+    token, [health].
+
+    kinds are the instance kinds that the workload's name holds, Graph also where the graph column says yes, and
+    MultiInstance where there is a server id. The last header of the file says whether the number is a token or a number of
+    tokens; role is what the workload names in parentheses. Other lines are skipped."""
+    header = F.when(F.col("line").rlike(r"^\s*(?:Address|Server ID)\s"), F.col("line").rlike(r"\sToken\s*$"))
+    by_token = F.last(header, ignorenulls=True).over(_file_order().rowsBetween(W.unboundedPreceding, 0))
+    p = (
+        r"^\s*(?:((?:[0-9A-Fa-f]{2}-)+[0-9A-Fa-f]{2})\s+)?([0-9a-zA-Z.:_-]+)\s+(\S+)\s+(\S+)\s+([A-Za-z]+)(?:\((\w+)\))?\s+(?:(yes|no)\s+)?"
+        r"(Up|Down|\?)\s+(\S+)\s+([0-9.,]+ ?[A-Za-z]+|\?)\s+([0-9.]+%|\?)\s+(-?[0-9]+)(?:\s+([0-9.]+))?\s*$"
+    )
+    rows = lines.withColumn("_by_token", F.coalesce(by_token, F.lit(False))).filter(F.col("line").rlike(p))
+    g = lambda k: F.nullif(F.regexp_extract("line", p, k), F.lit(""))
+    graph = F.coalesce(g(7) == "yes", F.lit(False))
+    kinds = [F.when(F.lower(g(5)).contains(k.lower()) | (graph if k == "Graph" else F.lit(False)), k) for k in INSTANCE_KINDS]
+    kinds.append(F.when(g(1).isNotNull(), "MultiInstance"))
+    return rows.select(
+        g(1).alias("server_id"), g(2).alias("address"), g(3).alias("dc"), g(4).alias("rack"), g(5).alias("workload"), g(6).alias("role"), F.array_compact(F.array(*kinds)).alias("kinds"), g(8).alias("status"), g(9).alias("state"),
+        normalize_units(g(10))["value"].alias("load_mib"), normalize_units(g(11))["value"].alias("owns"), F.when(~F.col("_by_token"), g(12).try_cast("int")).alias("tokens"), F.when(F.col("_by_token"), g(12).cast("decimal(20,0)")).alias("token"), g(13).cast("double").alias("health"),
+    )
+
+
 def read_status(lines: DataFrame) -> DataFrame:
     """Node status: 'Datacenter: x' sections of 'UN address load tokens owns host-id rack' lines."""
     dc = F.last(F.nullif(F.regexp_extract("line", r"^\s*Datacenter:\s*(\S+)", 1), F.lit("")), ignorenulls=True).over(_file_order().rowsBetween(W.unboundedPreceding, 0))

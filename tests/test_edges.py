@@ -142,3 +142,58 @@ def test_unhandled_lines_name_their_exceptions(spark):
     lines = spark.createDataFrame(rows, "rule int, level string, message string, extra array<string>")
     assert [(r.message, r.exception) for r in E.unhandled_events(lines).collect()] == [("boom", "RuntimeException=>IOException"), ("odd", None), (None, None)]
     assert "exception" not in E.unhandled_events(lines.drop("extra")).columns
+
+
+def test_index_names(spark):
+    names = spark.createDataFrame([("ks", "T", "id1"), ("other", "t", None), ("ks", "solo", None)], "keyspace string, table_name string, id string")
+    objects = spark.createDataFrame([("ks", "ix", "index", "T"), ("ks", "mv", "view", "solo"), ("other", "mv", "view", "t"), ("ks", "lost", "table", None)], "keyspace string, name string, kind string, base_table string")
+    raw = ["KS.t", "t", "solo", "id1", "ix", "ks.ix", "ks.T.ix", "T.ix", "mv", "ks.mv", "other.mv", "lost", None, ""]
+    rows = J.resolve_names(spark.createDataFrame([(r, "x") for r in raw], "raw_name string, object_found string"), names, objects=objects).collect()
+    index, found = ("ks", "T", "ix", "index"), {r.raw_name: (r.keyspace_found, r.table_found, r.object_found, r.kind_found) for r in rows}
+    none = (None,) * 4
+    assert found == {
+        "KS.t": ("ks", "T", None, None), "t": none, "solo": ("ks", "solo", None, None), "id1": ("ks", "T", None, None), "ix": index, "ks.ix": index, "ks.T.ix": index, "T.ix": index, "mv": none,
+        "ks.mv": ("ks", "solo", "mv", "view"), "other.mv": ("other", "t", "mv", "view"), "lost": none, None: none, "": none,
+    }
+    assert len(rows) == len(raw)
+
+
+def test_ranges_containing(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    ranges = [("a", low, -5), ("b", -5, 5), ("c", 5, 5), ("d", 100, -100)]
+    checks = [(-6, -5), (-5, 5), (-9, 9), (5, 6), (99, 101), (high - 1, low), (0, None), (None, 0)]
+    rows = J.ranges_containing(spark.createDataFrame(checks, "check_start long, check_end long"), spark.createDataFrame(ranges, "node_id string, start long, end long")).collect()
+
+    def holds(s, e, a, z):
+        inside = lambda x: x is not None and (s < x <= e if s < e else x > s or x <= e)
+        return inside(z) or (inside(a) and a != e)
+
+    want = sorted((str(c), n) for c in checks for n, s, e in ranges if holds(s, e, *c))
+    assert sorted((str((r.check_start, r.check_end)), r.node_id) for r in rows) == want
+
+
+def test_workload_ring(spark):
+    text = (
+        "Note: Ownership information does not include topology\nAddress  DC  Rack  Workload  Status  State  Load  Owns  Token\n   3074457345618258602\n10.0.0.1  d  r1  Analytics(JT)  Up  Normal  316.61 GB  16.67%  -9223372036854775808   \n"
+        "Server ID  Address  DC  Rack  Workload  Graph  Status  State  Load  Owns  VNodes  Health [0,1]\n 3C-A8-2A-17-08-08  10.0.0.2  d  r1  Search  yes  Down  Normal  1 GB  ?  32  0.90  \n10.0.0.3 d r1 Other no Up Normal ? ? 1 0.2\nbroken line"
+    )
+    lines = spark.createDataFrame([("/x", "n", 0, k, line) for k, line in enumerate(text.split("\n"))], "path string, node_id string, block long, seq long, line string")
+    rows = {r.address: r for r in T.read_workload_ring(lines).collect()}
+    assert sorted(rows) == ["10.0.0.1", "10.0.0.2", "10.0.0.3"]
+    one, two, three = (rows[f"10.0.0.{k}"] for k in (1, 2, 3))
+    assert (one.kinds, one.role, int(one.token), one.tokens, one.health, one.server_id) == (["Analytics"], "JT", -(1 << 63), None, None, None)
+    assert (two.kinds, two.status, two.tokens, two.token, two.health) == (["Search", "Graph", "MultiInstance"], "Down", 32, None, 0.9)
+    assert (three.kinds, three.load_mib, three.owns) == ([], None, None)
+
+
+def test_summaries_of_nothing(spark):
+    stats = spark.createDataFrame([], "dc string, node_id string, keyspace string, table_name string, attr string, num_value double")
+    events = spark.createDataFrame([], "dc string, node_id string, keyspace string, class long, state long")
+    nodes = spark.createDataFrame([("d", "n1", None, None, None), ("d", "n2", "Up", ["Graph"], 0.5)], "dc string, node_id string, status string, kinds array<string>, data_used_pct double")
+    row = S.datacenter_summary(nodes, stats, events, states=events.select("dc", "state")).first()
+    assert (row.nodes, row.nodes_up, row.nodes_unknown, row.graph_nodes, row.other_nodes, row.starts) == (2, 1, 1, 1, 2 - 1, 0)
+    assert (row.data_used_pct_max_node, row.data_used_pct_min_node, row.reads_total) == ("n2", "n2", None)
+    columns = spark.createDataFrame([("k", "t", "c", None, None), ("k", "t", "d", "map<text, frozen<my_type>>", "static")], "keyspace string, table_name string, name string, cql_type string, kind string")
+    assert S.column_feature_counts(columns).first().asDict() == {"keyspace": "k", "columns": 2, "collections": 1, "blobs": 0, "static_columns": 1, "frozen": 1, "tuples": 0, "user_types": 1}
+    cells = spark.createDataFrame([("n", "k", "t", 1, 3), ("n", "k", "t", 0, 0), ("n", "k", "t", 2, 2)], "node_id string, keyspace string, table_name string, tombstones long, live_cells long")
+    assert [(r.n, r["values"]) for r in S.tombstone_ratio_list(cells).collect()] == [(2, [0.25, 0.5])]
