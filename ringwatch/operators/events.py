@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,12 +118,60 @@ def log_aggregation(events: DataFrame, keys: Sequence[str], minutes: int = 30, g
     return rows.groupBy("bucket", *keys).agg(*head, *extra, *analytics_groups()[group])
 
 
+def _more(props: Column, rule: Mapping) -> Column:
+    """props with the repeated groups and the key and value pairs that the rule looks for."""
+    for name, pattern in (rule.get("repeat") or {}).items():
+        every = F.array_join(F.regexp_extract_all("message", F.lit(pattern), F.lit(1)), ",")
+        props = _added(props, F.create_map(F.lit(name), F.nullif(every, F.lit(""))))
+    if rule.get("pairs"):
+        keys, values = (F.regexp_extract_all("message", F.lit(rule["pairs"]), F.lit(k)) for k in (1, 2))
+        each = F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.element_at(values, F.array_position(keys, k).cast("int"))))
+        props = _added(props, F.map_from_entries(each))
+    return props
+
+
+def _added(props: Column, more: Column) -> Column:
+    return F.map_concat(props, F.map_filter(more, lambda k, v: v.isNotNull() & ~F.map_contains_key(props, k)))
+
+
+def expand_pattern(pattern: str, macros: Mapping[str, str]) -> str:
+    """A pattern with macros: '(?$<name>)' becomes a group of that name with the macro's pattern, '$<!name>' the macro's
+    pattern alone. Unknown names stay as they are."""
+    pattern = re.sub(r"\(\?\$<(\w+)>\)", lambda m: f"(?P<{m[1]}>{macros[m[1]]})" if m[1] in macros else m[0], pattern)
+    return re.sub(r"\$<!(\w+)>", lambda m: macros.get(m[1], m[0]), pattern)
+
+
+def read_rules(spark: SparkSession, path: str, macros: Mapping[str, str] | None = None) -> list[dict]:
+    """Rules of a JSON file (an array of rule objects, see classify_events) in the order of their `order` value, then tag, with
+    macros expanded. type and class are names of bits, joined by '|'. Rules are a plan's configuration, a handful."""
+    kind = "order int, tag string, level string, thread string, file string, message string, parse array<string>, repeat map<string,string>, pairs string, type string, class string, subclass string, analytics_group string, session_key array<string>, match_version int"
+    rows = spark.read.schema(kind).option("multiLine", True).json(path).orderBy(F.col("order").asc_nulls_last(), "tag").collect()
+    fill, bits = lambda p: expand_pattern(p, macros or {}), {"type": EVENT_TYPES, "class": EVENT_CLASSES}
+    out = []
+    for row in rows:
+        rule = {k: v for k, v in row.asDict().items() if v is not None}
+        for key in ("level", "thread", "file", "message", "pairs"):
+            if key in rule:
+                rule[key] = fill(rule[key])
+        if "parse" in rule:
+            rule["parse"] = [fill(p) for p in rule["parse"]]
+        if "repeat" in rule:
+            rule["repeat"] = {k: fill(p) for k, p in rule["repeat"].items()}
+        for key, known in bits.items():
+            if key in rule:
+                rule[key] = sum({known[name.strip()] for name in rule[key].split("|")})
+        out.append(rule)
+    return out
+
+
 def classify_events(lines: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     """Give each log line (level, thread, src_file, message, ...) its first matching rule.
 
     A rule has a tag, optional level, thread, file and message patterns, all of which must match, and parse patterns
-    with named groups, one of which must match; the named groups of the first that does become `props`. Rules come in
-    the order in which they win. Each pattern is matched once, until a rule holds. New columns: rule (position, null without a match), tag, type, class, subclass,
+    with named groups, one of which must match; the named groups of the first that does become `props`. `repeat` (property:
+    pattern with one group) adds all its matches, joined by commas; `pairs`, a pattern with two groups, adds a property for
+    each key and value that it finds, the first of equal keys; neither replaces a property that is there. session_key is an
+    SQL expression, or several of which the first that isn't null counts. Rules come in the order in which they win. Each pattern is matched once, until a rule holds. New columns: rule (position, null without a match), tag, type, class, subclass,
     analytics_group, session_key, props.
     """
     kinds = {"tag": "string", "type": "long", "class": "long", "subclass": "string", "analytics_group": "string"}
@@ -139,16 +187,17 @@ def classify_events(lines: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
             names = list(re.compile(pattern).groupindex.items())
             java = re.sub(r"\(\?P<\w+>", "(", pattern)
             pairs = [x for name, at in names for x in (F.lit(name), F.nullif(F.regexp_extract("message", java, at), F.lit("")))]
-            props = own(F.create_map(*pairs) if pairs else none)
+            props = own(_more(F.create_map(*pairs) if pairs else none, rule))
             parsed = F.when(F.col("message").rlike(java), props) if parsed is None else parsed.when(F.col("message").rlike(java), props)
-        found.append(F.when(hit, own(none) if parsed is None else parsed))
+        found.append(F.when(hit, own(_more(none, rule)) if parsed is None else parsed))
     rows = lines.withColumn("_hit", F.coalesce(*found, F.lit(None).cast("struct<rule:int,props:map<string,string>>")))
     rule, defaults = F.col("_hit.rule"), {"type": EVENT_TYPES["SingleInstance"], "class": 0}
     pick = {c: F.try_element_at(F.array(*[F.lit(r.get(c, defaults.get(c))).cast(kind) for r in rules]), rule + 1) if rules else F.lit(None).cast(kind) for c, kind in kinds.items()}
     session = F.lit(None).cast("string")
     for k, r in enumerate(rules):
         if r.get("session_key"):
-            session = F.when(rule == k, F.expr(r["session_key"]).cast("string")).otherwise(session)
+            keys = [r["session_key"]] if isinstance(r["session_key"], str) else r["session_key"]
+            session = F.when(rule == k, F.coalesce(*[F.expr(e).cast("string") for e in keys])).otherwise(session)
     rows = rows.withColumns({"rule": rule, **pick, "props": F.col("_hit.props")}).withColumn("session_key", F.when(F.col("rule").isNotNull(), session))
     return rows.drop("_hit")
 

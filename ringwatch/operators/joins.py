@@ -57,9 +57,19 @@ def pair_sessions(events: DataFrame, keys: Sequence[str] = ("node_id", "session_
     The open begin is the last one since the last end. An end takes its id and time; an end without one, and a begin that
     another begin or nothing follows instead of an end, are orphaned. A window per (node, session key): no self-join. The
     events' own columns of these four names are replaced.
+
+    A row with the bits of begin and item is an item of an open session, else a begin. An item that may also be single
+    (SingleInstance) is single, not orphaned, without an open session; one to ignore (SessionIgnore) is left out then. Their
+    `type` keeps the bits of what they are.
     """
     over = W.partitionBy(*keys).orderBy(*order)
-    begin, end = F.col("type").bitwiseAND(F.lit(EVENT_TYPES["SessionBegin"])) != 0, F.col("type").bitwiseAND(F.lit(EVENT_TYPES["SessionEnd"])) != 0
+    bit = lambda name: F.coalesce(F.col("type").bitwiseAND(F.lit(EVENT_TYPES[name])) != 0, F.lit(False))
+    either, alone, ignore = bit("SessionBegin") & bit("SessionItem"), bit("SessionItem") & bit("SingleInstance"), bit("SessionItem") & bit("SessionIgnore")
+    inside = F.coalesce(F.last(F.when(bit("SessionBegin"), True).when(bit("SessionEnd"), False), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    without = lambda *names: F.col("type").bitwiseAND(F.lit(~sum(EVENT_TYPES[n] for n in names)))
+    kind = F.when(either & inside, without("SessionBegin", "SingleInstance")).when(either, without("SessionItem", "SingleInstance")).when(alone & inside, without("SingleInstance")).when(alone, without("SessionItem")).otherwise(F.col("type"))
+    events = events.withColumn("_inside", inside).filter(~ignore | F.col("_inside") | bit("SessionBegin")).drop("_inside").withColumn("_single", alone & ~either & ~inside).withColumn("type", kind)
+    begin, end = bit("SessionBegin"), bit("SessionEnd")
     mark = F.when(begin, F.struct(F.lit(True).alias("open"), F.col("event_id").cast("string").alias("id"), F.col("ts").alias("ts"))).when(end, F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("timestamp").alias("ts")))
     rows = events.withColumn("_mark", mark)
     rows = rows.withColumn("_seen", F.last("_mark", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)))
@@ -67,9 +77,9 @@ def pair_sessions(events: DataFrame, keys: Sequence[str] = ("node_id", "session_
     open_ = F.coalesce(F.col("_seen.open"), F.lit(False))
     session = F.when(begin, F.col("event_id").cast("string")).when(open_, F.col("_seen.id"))
     started = F.when(begin, F.col("ts")).when(open_, F.col("_seen.ts"))
-    orphan = F.when(end, ~open_).when(begin, F.coalesce(F.col("_next.open"), F.lit(True))).otherwise(~open_)
+    orphan = F.when(end, ~open_).when(begin, F.coalesce(F.col("_next.open"), F.lit(True))).otherwise(~open_ & ~F.col("_single"))
     took = F.when(end & open_, (F.unix_micros("ts") - F.unix_micros("_seen.ts")) / 1000.0)
-    own = [c for c in events.columns if c not in ("session_id", "ts_begin", "duration_ms", "orphaned")]
+    own = [c for c in events.columns if c not in ("session_id", "ts_begin", "duration_ms", "orphaned", "_single")]
     return rows.select(*own, session.alias("session_id"), started.alias("ts_begin"), took.alias("duration_ms"), orphan.alias("orphaned"))
 
 

@@ -76,20 +76,28 @@ def stream_sessions(events: DataFrame, late: str = "10 minutes", orphan_after: f
     A begin comes out once its end, another begin, or `orphan_after` seconds have passed; what comes later than that finds
     no open session (the batch operator has no such limit)."""
     id_kind = "long" if dict(events.dtypes)["event_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
-    begin_bit, end_bit, wait = EVENT_TYPES["SessionBegin"], EVENT_TYPES["SessionEnd"], round(orphan_after * 1_000_000)
+    begin_bit, item_bit, end_bit, single_bit, ignore_bit = (EVENT_TYPES[k] for k in ("SessionBegin", "SessionItem", "SessionEnd", "SingleInstance", "SessionIgnore"))
+    wait = round(orphan_after * 1_000_000)
 
     def begun(held: tuple, orphan: bool) -> tuple:
         return held[1], held[0], held[2], str(held[1]), held[0], None, orphan
 
     def step(held: tuple | None, row: tuple) -> tuple:
         us, event, kind = row
+        lost, bits, single = [], kind or 0, False
+        if held and us > held[0] + wait:
+            lost, held = [begun(held, True)], None
+        if bits & begin_bit and bits & item_bit:
+            kind = bits & ~((begin_bit if held else item_bit) | single_bit)
+        elif bits & item_bit and bits & single_bit:
+            kind, single = bits & ~(single_bit if held else item_bit), not held
+        elif bits & item_bit and bits & ignore_bit and not bits & begin_bit and not held:
+            return None, lost
         begin, end = bool((kind or 0) & begin_bit), bool((kind or 0) & end_bit)
-        lost = [begun(held, True)] if held and (begin or us > held[0] + wait) else []
-        held = None if lost else held
         if begin:
-            return (us, event, kind), lost
+            return (us, event, kind), [*lost, *([begun(held, True)] if held else [])]
         if not held:
-            return None, [*lost, (event, us, kind, None, None, None, True)]
+            return None, [*lost, (event, us, kind, None, None, None, not single)]
         if end:
             return None, [begun(held, False), (event, us, kind, str(held[1]), held[0], (us - held[0]) / 1000.0, False)]
         return held, [(event, us, kind, str(held[1]), held[0], None, False)]

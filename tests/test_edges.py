@@ -197,3 +197,27 @@ def test_summaries_of_nothing(spark):
     assert S.column_feature_counts(columns).first().asDict() == {"keyspace": "k", "columns": 2, "collections": 1, "blobs": 0, "static_columns": 1, "frozen": 1, "tuples": 0, "user_types": 1}
     cells = spark.createDataFrame([("n", "k", "t", 1, 3), ("n", "k", "t", 0, 0), ("n", "k", "t", 2, 2)], "node_id string, keyspace string, table_name string, tombstones long, live_cells long")
     assert [(r.n, r["values"]) for r in S.tombstone_ratio_list(cells).collect()] == [(2, [0.25, 0.5])]
+
+
+def test_rule_file(spark, tmp_path):
+    rules = [
+        {"order": 2, "tag": "late", "message": "x"},
+        {"order": 1, "tag": "stats", "message": "^stats", "parse": ["node (?$<ip>) of $<!word>"], "repeat": {"sizes": "size=(\\d+)", "ip": "(z)"}, "pairs": "(\\w+):(\\w+)", "type": "SessionBegin|SessionItem", "class": "GC", "session_key": ["props['id']", "thread"]},
+    ]
+    (tmp_path / "rules.json").write_text(json.dumps(rules))
+    got = E.read_rules(spark, str(tmp_path / "rules.json"), {"ip": "[0-9.]+", "word": "\\w+"})
+    assert [r["tag"] for r in got] == ["stats", "late"] and got[0]["parse"] == ["node (?P<ip>[0-9.]+) of \\w+"]
+    lines = spark.createDataFrame([("stats node 1.2 of a size=3 size=4 id:7 k:a k:b ip:9", "t1"), ("stats node 5 of b", "t2"), ("x", "t3"), (None, "t4")], "message string, thread string").withColumns({c: F.lit(None).cast("string") for c in ("level", "src_file")})
+    rows = {r.thread: r for r in E.classify_events(lines, got).collect()}
+    assert rows["t1"].props == {"ip": "1.2", "sizes": "3,4", "id": "7", "k": "a"} and rows["t1"].session_key == "7"
+    assert rows["t2"].props == {"ip": "5"} and rows["t2"].session_key == "t2" and rows["t2"].type == EVENT_TYPES["SessionBegin"] | EVENT_TYPES["SessionItem"]
+    assert (rows["t3"].tag, rows["t4"].tag) == ("late", None)
+    assert E.expand_pattern("(?$<no>) $<!no>", {}) == "(?$<no>) $<!no>"
+
+
+def test_session_kinds_that_depend(spark):
+    b, i, e, one, skip = (EVENT_TYPES[k] for k in ("SessionBegin", "SessionItem", "SessionEnd", "SingleInstance", "SessionIgnore"))
+    types = [i | one, i | skip, b | i, b | i, i | one, i | skip, e, i | skip, i | one, i, b | i, e, None]
+    events = spark.createDataFrame([("n", "s", k, START + dt.timedelta(seconds=k), t) for k, t in enumerate(types)], "node_id string, session_key string, event_id long, ts timestamp, type long")
+    rows = [(r.event_id, r.type, r.session_id, r.orphaned) for r in J.pair_sessions(events).orderBy("event_id").collect()]
+    assert rows == [(0, one, None, False), (2, b, "2", False), (3, i, "2", False), (4, i, "2", False), (5, i | skip, "2", False), (6, e, "2", False), (8, one, None, False), (9, i, None, True), (10, b, "10", False), (11, e, "10", False), (12, None, None, True)]

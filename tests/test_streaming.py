@@ -39,7 +39,7 @@ def test_tumbling(spark, tmp_path):
     assert sorted((r.bucket, r["count"], r.duration_sum) for r in rows) == [(at(0), 2, 12.0), (at(1800), 1, 1.0)]
 
 
-BEGIN, ITEM, END = EVENT_TYPES["SessionBegin"], EVENT_TYPES["SessionItem"], EVENT_TYPES["SessionEnd"]
+BEGIN, ITEM, END, ONE, SKIP = (EVENT_TYPES[k] for k in ("SessionBegin", "SessionItem", "SessionEnd", "SingleInstance", "SessionIgnore"))
 
 
 def late_batches(rows, reach, far, seed):
@@ -53,10 +53,10 @@ def late_batches(rows, reach, far, seed):
 def test_sessions(spark, tmp_path):
     kind = "node_id string, session_key string, event_id long, ts timestamp, type long"
     draw = random.Random(5)
-    events = [(s, ("n", draw.choice("sq"), k, at(s), draw.choice([BEGIN, BEGIN, ITEM, END, END, None]))) for k, s in enumerate(draw.choices(range(1500), k=150))]
+    events = [(s, ("n", draw.choice("sq"), k, at(s), draw.choice([BEGIN, BEGIN, BEGIN | ITEM, ITEM, ITEM | ONE, ITEM | SKIP, END, END, END, None]))) for k, s in enumerate(draw.choices(range(1500), k=150))]
     far = [("z", "z", 900 + k, at(90_000 + 4000 * k), BEGIN) for k in range(3)]
     got = run(spark, tmp_path, kind, late_batches(events, 590, far, 7), S.stream_sessions, "t2")
-    fields = ["node_id", "session_key", "event_id", "ts", "session_id", "ts_begin", "duration_ms", "orphaned"]
+    fields = ["node_id", "session_key", "event_id", "ts", "type", "session_id", "ts_begin", "duration_ms", "orphaned"]
     key = lambda r: tuple(str(r[f]) for f in fields)
     want = J.pair_sessions(spark.createDataFrame([row for _, row in events], kind)).collect()
     assert sorted(map(key, [r for r in got if r.node_id == "n"])) == sorted(map(key, want))
