@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, language, lines, mixing, pages, pieces, quality, secrets, simhash, tokencounts, toxicity
+from . import embeddings, language, lines, mixing, pages, pieces, quality, resampling, secrets, simhash, tokencounts, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": lines.op10_quality_rules,
     "op11_token_counts": tokencounts.op11_token_counts,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
 }
 
 ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL}
