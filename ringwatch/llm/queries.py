@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, language, lines, mixing, pages, pieces, quality, resampling, secrets, simhash, tokencounts, toxicity
+from . import codes, embeddings, language, lines, mixing, pages, pieces, quality, resampling, secrets, simhash, tokencounts, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": lines.op10_quality_rules,
     "op11_token_counts": tokencounts.op11_token_counts,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
-ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL}
+ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL, "op13_vector_codes": codes.OP13_SQL}
