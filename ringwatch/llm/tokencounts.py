@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -81,56 +82,64 @@ def _encoded(path: str):
                 if size >= CHUNK or k == len(texts):
                     counts += count(texts[at:k])
                     at, size = k, 0
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("rows"), pa.array(counts, pa.int64())], ["digest", "rows", "n_tokens"])
 
     return run
 
 
-def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
-    """The stored counts (digest, n_tokens) of one tokenizer version, one row per digest; empty where there are none yet.
+def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """The stored counts (digest, n_tokens) of one tokenizer version, one row per digest; None where there are none yet.
 
     Two runs that counted the same text at the same time leave two equal rows, which become one here."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{cache}/version={version}")
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], CACHE_KIND)
+        return None
     return spark.read.schema(CACHE_KIND).parquet(str(folder)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_misses(docs: DataFrame, missing: DataFrame, n_missing: int, path: str, cache: str) -> None:
-    """Encode each distinct text of docs whose digest is in `missing` once, and append the counts to the cache.
+def encode_misses(docs: DataFrame, missing: DataFrame, n_missing: int, path: str) -> DataFrame:
+    """(digest, rows, n_tokens) of each distinct text of docs whose digest is in `missing`: encoded once, however many rows have it.
 
-    Equal texts are combined before the shuffle, so a text that fills a third of all rows moves once per task. Rows
-    are appended by Spark's file committer: a lost executor's tasks run again, and a run that stops half-way leaves
-    either nothing or whole, right rows."""
+    Equal texts are combined before the shuffle, so a text that fills a third of all rows moves once per task."""
     texts = docs.select(F.unhex(F.sha2(normalised(F.col("text"), path), 256)).alias("digest"), normalised(F.col("text"), path).alias("text"))
     few = DIGEST_BYTES * n_missing <= BROADCAST_BYTES
     if few:
         texts = texts.join(F.broadcast(missing), "digest", "left_semi")
-    texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    texts = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.first("text").alias("text"))
     if not few:
         texts = texts.join(missing, "digest", "left_semi")
-    texts.mapInArrow(_encoded(path), CACHE_KIND).write.mode("append").parquet(f"{cache}/version={tokenizer_version(path)}")
+    return texts.mapInArrow(_encoded(path), "digest binary, rows long, n_tokens long")
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs (doc_id, text), through the cache in the folder `cache`.
 
     Documents and stored counts meet by the digest of the normalised content, within the folder of the tokenizer's
-    version; texts move only where they are missing from the cache. A null text counts as empty (0 bytes, 0 tokens);
-    repeated rows and null doc_ids give a row each; other columns are ignored; no rows give no rows. over_limit is
-    n_tokens > limit."""
+    version; texts move only where they are missing from the cache, and their counts are appended to it. Spark's file
+    committer appends them: a lost executor's tasks run again, and a run that stops half-way leaves nothing or whole,
+    right rows. A null text counts as empty (0 bytes, 0 tokens); repeated rows and null doc_ids give a row each; other
+    columns are ignored; no rows give no rows. over_limit is n_tokens > limit."""
     spark, version = docs.sparkSession, tokenizer_version(path)
     digest = F.unhex(F.sha2(normalised(F.col("text"), path), 256))
     keys = materialize(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("digest")))
-    per = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("_rows"))
-    missing = materialize(per.join(read_cache(spark, cache, version), "digest", "left_anti").select("digest"))
-    if n := missing.count():
-        count_misses(docs, missing, n, path, cache)
-    stored = per.join(read_cache(spark, cache, version), "digest")
-    rows = join_skewed(keys, stored, ["digest"], F.col("_rows") > hot_limit(keys.count()))
+    found, stored = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")), read_cache(spark, cache, version)
+    found = materialize(found.withColumn("n_tokens", F.lit(None).cast("long")) if stored is None else found.join(stored, "digest", "left"))
+    n = found.agg(F.count_if(F.col("n_tokens").isNull()).alias("missing"), F.sum("rows").alias("rows")).first()
+    known = found.filter(F.col("n_tokens").isNotNull())
+    if n["missing"]:
+        fresh = materialize(encode_misses(docs, found.filter(F.col("n_tokens").isNull()).select("digest"), n["missing"], path))
+        fresh.select("digest", "n_tokens").write.mode("append").parquet(f"{cache}/version={version}")
+        known = known.unionByName(fresh)
+    rows = join_skewed(keys, known, ["digest"], F.col("rows") > hot_limit(n["rows"] or 0))
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+#: The session's setting for the folder of the query's cache.
+CACHE_SETTING = "ringwatch.tokenCache"
+
+
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents; the cache is a folder beside the other shared tables and serves later runs too."""
-    return count_tokens(table(spark, sf_dir, "documents"), model_path(), f"{shared_folder(spark)}/token-counts")
+    """Token counts of all documents, through the cache that the session's ringwatch.tokenCache names. Where that is unset the
+    cache is a new folder, so a run's time is that of all its texts and owes nothing to earlier runs."""
+    cache = spark.conf.get(CACHE_SETTING, None) or f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    return count_tokens(table(spark, sf_dir, "documents"), model_path(), cache)

@@ -66,3 +66,14 @@ def test_many_misses_meet_by_a_shuffle(spark, sf, tmp_path, monkeypatch):
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         T.token_counter("x.tiktoken")
+
+
+def test_the_query_takes_the_cache_that_the_session_names(spark, sf, tmp_path):
+    cache = str(tmp_path / "c")
+    spark.conf.set(T.CACHE_SETTING, cache)
+    try:
+        first, again = (Counter(map(tuple, T.op11_token_counts(spark, sf).collect())) for _ in range(2))
+    finally:
+        spark.conf.unset(T.CACHE_SETTING)
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("text").na.fill("").distinct().count()
+    assert first == again == Counter(map(tuple, T.op11_token_counts(spark, sf).collect())) and stored(spark, cache, MODEL) == texts
