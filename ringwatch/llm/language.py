@@ -9,15 +9,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, table
+from .common import crc_mod, materialize, table
 
 FOLDS, HELD = 3, 1
-#: Labelled documents that the tables are counted on at most; entries kept in each table at most.
-SAMPLE_DOCS, WORDS, GRAMS = 8_000, 30_000, 30_000
+#: Labelled documents of each language that the tables are counted on, about, at most; entries of each language in each table at most.
+SAMPLE_DOCS, ENTRIES = 2_000, 8_000
 LONGEST = 4
-#: Evidence that a single word gives at most, in nats; unseen grams of a language count as this often.
+#: Evidence that a single word gives at most, in nats; the frequency that stands for unseen is that of so many
+#: occurrences in the largest language, so what a language hasn't seen is no better there than elsewhere.
 MOST, SMOOTH = 6.0, 0.5
 #: Words kept with their evidence; texts predicted together.
 KEPT, CHUNK = 200_000, 256
@@ -54,11 +56,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LanguageModel:
-    """Known words (size 0) and character n-grams of each size, each with the number of its row in `logs`: the log
-    frequency by language, the largest being 0."""
+    """Known words (size 0) and character n-grams of each size, each with the number of its entry.
 
-    def __init__(self, langs: list[str], places: dict[int, dict[str, int]], logs: np.ndarray):
-        self.langs, self.places, self.logs = langs, places, logs
+    Entry k has the languages `lang[first[k] : first[k + 1]]` that have seen it, and in `gain` how far the log frequency of
+    each lies above that of unseen, which is the same in all languages."""
+
+    def __init__(self, langs: list[str], places: dict[int, dict[str, int]], first: np.ndarray, lang: np.ndarray, gain: np.ndarray):
+        self.langs, self.places, self.first, self.lang, self.gain = langs, places, first, lang, gain
         self._clear()
 
     def _clear(self) -> None:
@@ -85,11 +89,12 @@ class LanguageModel:
         as much as up to three of them; none below -MOST, and 0 where not even a single character is known."""
         rows = [self._rows_of(w) for w in words]
         size = np.fromiter(map(len, rows), np.int64, len(rows))
+        entry = np.fromiter((r for x in rows for r in x), np.int64, int(size.sum()))
+        n = self.first[entry + 1] - self.first[entry]
+        at = np.repeat(self.first[entry] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
         out = np.zeros((len(words), len(self.langs)))
-        some = size > 0
-        if some.any():
-            sums = np.add.reduceat(self.logs[np.fromiter((r for x in rows for r in x), np.int64, int(size.sum()))], np.r_[0, np.cumsum(size[some])[:-1]])
-            out[some] = sums * (np.minimum(size[some], 3) / size[some])[:, None]
+        np.add.at(out, (np.repeat(np.repeat(np.arange(len(words)), size), n), self.lang[at]), self.gain[at])
+        out *= (np.minimum(size, 3) / np.maximum(size, 1))[:, None]
         return np.maximum(out - out.max(axis=1, keepdims=True), -MOST)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -115,30 +120,35 @@ class LanguageModel:
         return out
 
 
-def train(docs: DataFrame) -> LanguageModel:
-    """A model counted on a bounded sample (SAMPLE_DOCS) of the documents with a language that aren't held out.
-
-    Counting is distributed; only the WORDS most frequent words (seen twice or more) and GRAMS most frequent n-grams
-    of each size, with one count per language, reach the driver.
-    """
+def language_sample(docs: DataFrame) -> DataFrame:
+    """(text, lang) of about SAMPLE_DOCS documents of each language, all of a rarer one, picked by a hash of doc_id: those with a
+    language that aren't held out. Written down once."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD))
-    rows = bounded_sample(known, "doc_id", SAMPLE_DOCS).select("text", "lang")
-    counts = rows.mapInArrow(_counts, "size int, gram string, lang string, n long")
-    langs = sorted(r[0] for r in known.select("lang").distinct().collect())
-    each = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"c{k}") for k, lang in enumerate(langs)]
-    if not langs:
-        return LanguageModel([], {n: {} for n in range(LONGEST + 1)}, np.zeros((0, 0)))
-    sums = counts.groupBy("size", "gram").agg(F.sum("n").alias("n"), *each).filter("n >= 2").persist()
-    places, logs, first = {}, [], 0
-    for size in range(LONGEST + 1):
-        top = sums.filter(F.col("size") == size).orderBy(F.desc("n"), "gram").limit(WORDS if size == 0 else GRAMS).toPandas()
-        freq = top[[f"c{k}" for k in range(len(langs))]].to_numpy(float) + SMOOTH
-        log = np.log(freq / freq.sum(axis=0)) if len(top) else freq
-        logs.append(log - log.max(axis=1, keepdims=True) if len(top) else log)
-        places[size] = dict(zip(top["gram"], range(first, first + len(top)), strict=True))
-        first += len(top)
-    sums.unpersist()
-    return LanguageModel(langs, places, np.concatenate(logs))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    span = float(1 << 30)
+    some = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) < F.lit(span * SAMPLE_DOCS) / F.col("n")
+    return materialize(known.join(F.broadcast(sizes), "lang").filter((F.col("n") <= SAMPLE_DOCS) | some).select("text", "lang"))
+
+
+def train(docs: DataFrame) -> LanguageModel:
+    """A model counted on a bounded sample of each language.
+
+    Counting is distributed. Of each table (words, n-grams of each size) the ENTRIES most frequent of each language are
+    kept, with the counts of all languages: one ranked pass. Languages are those with a word or a letter in the sample."""
+    counts = language_sample(docs).mapInArrow(_counts, "size int, gram string, lang string, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.withColumn("total", F.sum("n").over(W.partitionBy("size", "lang"))))
+    place = F.row_number().over(W.partitionBy("size", "lang").orderBy(F.desc("n"), "gram"))
+    kept = counts.withColumn("place", place).filter(F.col("place") <= ENTRIES).select("size", "gram").distinct()
+    rows = counts.join(kept, ["size", "gram"], "left_semi").toPandas().sort_values(["size", "gram", "lang"], ignore_index=True)
+    langs, lang = np.unique(rows["lang"].to_numpy(str), return_inverse=True)
+    unseen = SMOOTH / rows.groupby("size")["total"].transform("max")
+    gain = np.log1p(rows["n"] / rows["total"] / unseen).to_numpy(float)
+    new = ((rows["size"] != rows["size"].shift()) | (rows["gram"] != rows["gram"].shift())).to_numpy(bool)
+    first = np.flatnonzero(new)
+    places: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
+    for k, (size, gram) in enumerate(zip(rows["size"].to_numpy()[first].tolist(), rows["gram"].to_numpy()[first].tolist(), strict=True)):
+        places[size][gram] = k
+    return LanguageModel(langs.tolist(), places, np.r_[first, len(rows)], lang.astype(np.int64), gain)
 
 
 def _predict(parts):
@@ -159,9 +169,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     A text that is null or has no letter gets 'und' with score 0; ties go to the first language in order. A null
     doc_id is not held out. Whole texts are read; repeated rows get a row each and other columns are ignored. The
-    model is broadcast; its tables are bounded by WORDS and GRAMS.
+    model is broadcast; its tables have ENTRIES entries a language at most.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.places, model.logs))
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.places, model.first, model.lang, model.gain))
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_predict(sent), "doc_id long, lang_pred string, score double")
     return rows.select("doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

@@ -139,10 +139,12 @@ def test_language_held_out(spark, known):
 
 
 def test_backoff():
-    logs = np.log([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]])
-    model = language.LanguageModel(["a", "b"], {0: {"known": 0}, 1: {}, 2: {"un": 1}, 3: {}, 4: {"<unk": 2}}, logs - logs.max(axis=1, keepdims=True))
+    gain = np.log([9.0, 2.0, 3.0, 4.0])
+    model = language.LanguageModel(["a", "b"], {0: {"known": 0}, 1: {}, 2: {"un": 1}, 3: {}, 4: {"<unk": 2}}, np.array([0, 1, 3, 4]), np.array([0, 0, 1, 1]), gain)
     assert model._rows_of("known") == [0] and model._rows_of("unk") == [2, 1] and model._rows_of("zz") == [] and model._rows_of("sun") == []
     assert model.predict(["known known", "", "123", "½ ² _"]) == [("a", pytest.approx(81 / 82)), *[("und", 0.0)] * 3]
+    # an unseen word is the mean of its n-grams and counts as much as up to three of them: <unk says 4 for b, un 2 for a and 3 for b
+    assert np.allclose(model.evidence(["unk", "zz"]), [[np.log(2 / 12), 0], [0, 0]])
 
 
 def brute_language(text, docs, langs):
@@ -153,11 +155,10 @@ def brute_language(text, docs, langs):
             for n in tables:
                 for g in [w] if n == 0 else [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)]:
                     tables[n].setdefault(g, Counter())[lang] += 1
-    tables = {n: {g: c for g, c in table.items() if sum(c.values()) >= 2} for n, table in tables.items()}
-    sums = {n: [sum(c[lang] + language.SMOOTH for c in table.values()) for lang in langs] for n, table in tables.items()}
+    sums = {n: [sum(c[lang] for c in table.values()) for lang in langs] for n, table in tables.items()}
 
     def logs(n, g):
-        found = [np.log((tables[n][g][lang] + language.SMOOTH) / total) for lang, total in zip(langs, sums[n], strict=True)]
+        found = [np.log(tables[n][g][lang] / total + language.SMOOTH / max(sums[n])) for lang, total in zip(langs, sums[n], strict=True)]
         return np.array(found) - max(found)
 
     total = np.zeros(len(langs))
@@ -182,6 +183,34 @@ def test_language_against_brute_force(spark, sf, documents):
         assert got[0] == lang and got[1] == pytest.approx(score, abs=1e-6)
 
 
+def test_rare_and_many_languages(spark, monkeypatch):
+    """All documents of a rare language are learned; it doesn't win what no language has seen; fifty languages keep apart."""
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(language, "ENTRIES", 60)
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {f"l{k:02}": ["".join(r.choices(r.sample(letters, 7), k=r.randint(4, 8))) for _ in range(30)] for k in range(50)}
+    rows = [(lang, " ".join(r.choices(words, k=12))) for lang, words in kinds.items() for _ in range(3 if lang == "l07" else 30)]
+    rows += [("none", "... 12 !!")] * 3
+    r.shuffle(rows)
+    model = language.train(spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows) if not (lang == "l07" and held(k, 3, 1))] + [(10_000 + k, " ".join(kinds["l07"][k : k + 9]), "l07") for k in range(3, 30, 9)], "doc_id long, text string, lang string"))
+    assert model.langs == sorted(kinds)
+    texts = [(lang, " ".join(r.choices(words, k=10))) for lang, words in kinds.items() for _ in range(4)]
+    got = model.predict([t for _, t in texts])
+    assert sum(g[0] == lang for g, (lang, _) in zip(got, texts, strict=True)) >= 0.97 * len(texts)
+    unseen = model.evidence(["ñññ", "ååå"])
+    assert (np.abs(unseen) < 1).all()
+
+
+def test_a_small_language_has_no_advantage(spark):
+    english = [(k, "the brown fox jumps over a lazy dog and runs home again", "en") for k in range(200)]
+    german = [(1000 + k, "der braune hund springt über den faulen fuchs und läuft heim", "de") for k in range(200)]
+    small = [(3000 + k, "qqa qqe qqi", "xx") for k in range(4)]
+    model = language.train(spark.createDataFrame(english + german + small, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en", "xx"]
+    assert [g[0] for g in model.predict(["brown foxes jumping", "braune hunde springen", "qqa qqi"])] == ["en", "de", "xx"]
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
