@@ -61,6 +61,12 @@ def marks_of(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. Each row is first scaled by a power of two, which is exact, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _signatures(bits: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -71,8 +77,7 @@ def _signatures(bits: int, tables: int):
                 keys, places = np.zeros((len(vectors), tables), np.int64), np.zeros((len(vectors), LINES), np.int8)
                 for dim in {len(v) for v in vectors}:
                     rows = [k for k, v in enumerate(vectors) if len(v) == dim]
-                    u = np.array([vectors[k] for k in rows])
-                    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+                    u = unit_rows(np.array([vectors[k] for k in rows]))
                     keys[rows], places[rows] = sign(u, bits, tables, known.setdefault(dim, directions(dim, bits, tables)))
                 binary = lambda x: pa.array([row.tobytes() for row in x], pa.binary())
                 columns = [b.column("node"), b.column("n"), b.column("vec"), pa.array(list(keys), pa.list_(pa.int64())), binary(places), binary(marks_of(keys))]
@@ -245,7 +250,7 @@ def _match(count: int, threshold: float):
                 yield out.batch()
                 continue
             vec = _lists(rows, "vec", float)
-            unit = vec / np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+            unit = unit_rows(vec)
             node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy().astype(float)
             match_run(rows.column("nth")[0].as_py(), node, n, unit, _bytes(rows, "places", np.int8), _bytes(rows, "marks", np.uint16), _side(rows), count, threshold, out)
         yield out.batch()

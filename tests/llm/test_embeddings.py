@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from ringwatch.llm import embeddings
 
@@ -93,3 +94,17 @@ def test_query_on_the_driver_table(spark, sf):
 
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+@pytest.mark.parametrize("scale", [1e170, 1e-170, 1e300, 5e-324, 1.0])
+def test_extreme_magnitudes(spark, scale):
+    """Cosines don't depend on the size of the numbers: squares neither overflow nor vanish."""
+    ones = [[1.0, 2.0, 3.0, 5.0], [1.0, 2.0, 3.0, 6.0], [-1.0, 2.0, 3.0, 5.0], [5.0, 0.0, 0.0, 1.0]]
+    if scale == 5e-324:
+        ones = [[1.0, 1.0, 1.0, 1.0], [1.0, 1.0, 1.0, 2.0], [1.0, -1.0, 1.0, 1.0], [0.0, 0.0, 1.0, 0.0]]
+    df = spark.createDataFrame([(k, [x * scale for x in v]) for k, v in enumerate(ones)], "vec_id long, embedding array<double>")
+    unit = embeddings.unit_rows(np.array([[x * scale for x in v] for v in ones]))
+    assert np.allclose((unit * unit).sum(axis=1), 1)
+    cosines = unit @ unit.T
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    assert got == {k: int((cosines[k] >= 0.95).sum()) - 1 for k in range(4)}
