@@ -19,6 +19,8 @@ Schedule = Sequence[tuple[float, float]]
 BUCKET = 4_000
 #: Sources up to so many (some 300 bytes each) are broadcast to the documents.
 BROADCAST_SOURCES = 50_000
+#: Counts of files are broadcast up to this size; what Spark builds of one, at most.
+BROADCAST_BYTES, FILE_BYTES = 64 << 20, 1024
 
 
 def total_weight(schedule: Schedule) -> float:
@@ -38,7 +40,7 @@ def _segments(schedule: Schedule) -> list[tuple[float, float, float, float]]:
 
 def _position(y: Column, segments: Column) -> Column:
     """The time at which the share y of a source's demand is reached: inverts the piecewise quadratic."""
-    s = F.element_at(F.filter(segments, lambda x: (x["reached"] <= y) | (x["reached"] == 0)), -1)
+    s = F.try_element_at(F.filter(segments, lambda x: (x["reached"] <= y) | (x["reached"] == 0)), F.lit(-1))
     rest = F.greatest(y - s["reached"], F.lit(0.0))
     root = F.sqrt(F.greatest(s["weight"] * s["weight"] + 2 * s["slope"] * rest, F.lit(0.0)))
     return F.least(F.lit(1.0), s["start"] + F.when(rest > 0, 2 * rest / (s["weight"] + root)).otherwise(F.lit(0.0)))
@@ -95,9 +97,9 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
     Sources come in code point order, null last; `schedule_of(rank, source)` gives the weight schedule, whose
     integral is the source's weight. The mix has `budget` times all words. New columns in one struct `mix`:
     size (words), source_size, target, taken (words, repeats counted), copies (array of position, words). A
-    source's documents are taken in the order of the MD5 of their doc_id (of their text where that is null), over and
-    over; the document at which its whole-word target is reached gives only its leading words, so the taken words
-    equal the target rounded down. Null texts have size 0 and are taken with 0 words. Repeated rows are mixed one by
+    source's documents are taken whole, in the order of the MD5 of their doc_id (of their text where that is null), over and
+    over; the one at which its target is reached is taken if its middle lies before the target, so the taken words differ from
+    the target by half of that document at most. Null texts have size 0 and are not taken. Repeated rows are mixed one by
     one; rows that tie in every key are interchangeable. Neither sources nor documents go through the driver. With
     `columns` only these are kept, so that a plan alone shuffles no text.
     """
@@ -105,7 +107,7 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
     sums = materialize(docs.select(F.col("source").cast("string"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
     found = plan_sources(sums, schedule_of, budget, most)
     named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
-    sources = found.select(named(F.col("source")).alias("name"), "rank", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)).cast("int").alias("buckets"), F.col("size").alias("source_size"), "target", F.floor("target").alias("words"), "segments", "n")
+    sources = found.select(named(F.col("source")).alias("name"), "rank", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)).cast("int").alias("buckets"), F.col("size").alias("source_size"), "target", "segments", "n")
     total = sums.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("rows")).first()
     count = total["sources"], total["rows"] or 0
     h = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.md5(F.col("text").cast("binary")), F.lit(""))
@@ -121,9 +123,9 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
     rounds = F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1)))
 
     def copy(k: Column) -> Column:
-        start = k.cast("long") * F.col("source_size") + F.col("from")
-        words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - start)).cast("long")
-        return F.struct(_position((start + words / 2) / F.greatest(F.col("words"), F.lit(1)), F.col("segments")).alias("position"), words.alias("words"))
+        middle = k.cast("long") * F.col("source_size") + F.col("from") + F.col("size") / 2
+        words = F.when(middle < F.col("target"), F.col("size")).otherwise(F.lit(0)).cast("long")
+        return F.struct(_position(middle / F.nullif(F.col("target"), F.lit(0.0)), F.col("segments")).alias("position"), words.alias("words"))
 
     rows = rows.withColumn("copies", F.filter(F.transform(rounds, copy), lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
@@ -133,20 +135,28 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
 def mix_sources(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule], budget: float = 1.5, most: float = 2.0) -> DataFrame:
     """The training sequence: a row per taken copy with the columns of docs, range-sorted by training position.
 
-    A copy whose source's target ends inside it holds its leading words only. Documents of which nothing is
-    taken have no row.
-    """
+    Texts are whole. Documents of which nothing is taken have no row. Written as files, the sequence is that of
+    `training_order`."""
     columns = docs.columns
     rows = plan_mix(docs, schedule_of, budget, most).withColumn("copy", F.explode("mix.copies"))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), 0)
-    text = F.when(F.col("copy.words") < F.col("mix.size"), F.array_join(F.slice(words, F.lit(1), F.col("copy.words").cast("int")), "")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("copy.words") < F.col("mix.size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     rows = rows.repartitionByRange(F.col("copy.position"), F.col("doc_id")).sortWithinPartitions("copy.position", "doc_id")
     return rows.select(*columns)
 
 
+def training_order(docs: DataFrame, name: str = "position") -> DataFrame:
+    """docs with their place, from 1, in the sequence that mix_sources wrote as files, in whatever order Spark reads the files: a
+    row's number in its file behind the rows of the files before it. Null where docs aren't read from files."""
+    files = len(docs.inputFiles())
+    if not files:
+        return docs.withColumn(name, F.lit(None).cast("long"))
+    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
+    order = W.orderBy(F.length("_path"), "_path")  # a row per file
+    before = sizes.select("_path", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    before = F.broadcast(before) if FILE_BYTES * files <= BROADCAST_BYTES else before
+    return rows.join(before, "_path").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_path", "_row", "_before")
+
+
 #: The production mix: weights 3, 1, 2 repeating over the sources in code point order.
 WEIGHTS = (3, 1, 2)
 
@@ -176,11 +186,11 @@ o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
 f AS (SELECT min(nth) AS nth FROM o WHERE weight * (rest / open_weight) <= cap),
 g AS (SELECT o.rest / o.open_weight AS per, o.nth FROM o JOIN f USING (nth)),
 t AS (SELECT o.source, source_size, k, CASE WHEN o.nth >= g.nth THEN weight * g.per ELSE cap END AS target FROM o CROSS JOIN g),
-c AS (SELECT d.doc_id, size, source_size, target, k, floor(target)::BIGINT AS words,
+c AS (SELECT d.doc_id, size, source_size, target, k,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY coalesce(md5(d.doc_id::VARCHAR), md5(text), ''), d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c0
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, greatest(0, least(size, words - c0)) AS w0, greatest(0, least(size, words - source_size - c0)) AS w1, CASE k % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a, CASE k % 3 WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS b FROM c),
-q AS (SELECT *, CASE WHEN w0 > 0 THEN (c0 + w0 / 2.0::DOUBLE) / words END AS y FROM p)
+p AS (SELECT *, CASE WHEN c0 + size / 2.0::DOUBLE < target THEN size ELSE 0 END AS w0, CASE WHEN source_size + c0 + size / 2.0::DOUBLE < target THEN size ELSE 0 END AS w1, CASE k % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a, CASE k % 3 WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS b FROM c),
+q AS (SELECT *, CASE WHEN w0 > 0 THEN (c0 + size / 2.0::DOUBLE) / target END AS y FROM p)
 SELECT doc_id, size, source_size, target, (w0 + w1)::BIGINT AS taken,
   CASE WHEN w0 > 0 THEN round(least(1.0::DOUBLE, 2 * y / (a + sqrt(greatest(0.0::DOUBLE, a * a + 2 * b * y)))), 9) END AS first_position, ((w0 > 0)::INTEGER + (w1 > 0)::INTEGER)::INTEGER AS n_copies FROM q
 """

@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import table
 
@@ -256,8 +257,8 @@ def _digests(path: str):
                     ids.append(hashlib.sha256(b",".join([s[1] for s in segments])).hexdigest())
                     data = b"".join([s[2] for s in segments])
                     texts.append(hashlib.sha256(data[1:] if data[:1] == b" " else data).hexdigest())
-                columns = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), *b.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *b.schema.names[2:]])
 
     return run
 
@@ -294,15 +295,15 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(_texts(model_path), "doc_id long, text string")
 
 
-def token_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs (doc_id, text).
+def token_digests(docs: DataFrame, model_path: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs (doc_id, text), and its columns `keep`.
 
     A null text counts as empty: no ids, and both digests are those of the empty string. Rows are independent, so
     repeated rows and null doc_ids pass through and other columns are ignored. Texts are encoded whole; the memory
     of a task is bounded by a chunk of texts and the table of recent segments.
     """
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests(model_path), kinds)
+    kinds = StructType.fromDDL("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(_digests(model_path), StructType([*kinds.fields, *[docs.schema[c] for c in keep]]))
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
