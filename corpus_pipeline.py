@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringwatch.llm import mixing, pieces, quality, secrets, simhash
-from ringwatch.llm.common import materialize, table
+from ringwatch.llm.common import discard, materialize, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number of SentencePiece ids of each text, and the digests of the ids and of the decoded text."""
-    return pieces.token_digests(docs, pieces.model_path())
+    """The number of SentencePiece ids of each text, the digests of the ids and of the decoded text, and the text's place in the
+    training sequence that the mix wrote."""
+    return pieces.token_digests(mixing.training_order(docs), pieces.model_path(), ["position"])
 
 
 STAGES = [("quality classifier", keep_quality), ("SimHash near-dedup", keep_distinct), ("secret scans", hide_secrets), ("source mixing", mix), ("SentencePiece", encode)]
@@ -61,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again; a stage's table is deleted when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = materialize(stage(spark, docs, sf_dir))
+        if k:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
