@@ -107,7 +107,7 @@ def test_classes_are_those_of_brute_force_occurrence_vectors(spark):
             body = "".join(f"<{tag} class='{name}'>{'same' if same else random.randrange(10**6)}</{tag}>" * (1 if same else random.randrange(1, 3)) for tag, name, same in fixed)
             table.append((k, f"http://{host}/{k}", f"<html><body><div class='main'>{body}</div></body></html>"))
             blocks, counts = pages.parse(table[-1][2])
-            for path, role, text, _ in blocks:
+            for path, role, text, *_ in blocks:
                 counts[path + pages._mark(text)] = counts.get(path + pages._mark(text), 0) + (role != pages.DROP)
             for token, n in counts.items():
                 vectors[host][token][k] = n
@@ -122,4 +122,80 @@ def test_classes_are_those_of_brute_force_occurrence_vectors(spark):
             v = common[t]
             if t.rpartition("/")[0] in valid and sum(v) % sum(x > 0 for x in v) == 0:
                 valid.add(t)
-        assert {t for t in valid if "#" not in t} == {*found[host].slots, *found[host].links} and {t for t in valid if "#" in t} == set(found[host].fixed)
+        assert {t for t in valid if "#" not in t} == {*found[host].slots, *found[host].links} and {t for t in valid if "#" in t and sum(x > 0 for x in common[t]) >= 0.9 * 12} == set(found[host].fixed)
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+COPIED = "<html><body><div class='nav'><a href='/'>Home</a></div><article><h1>The title</h1><p>The body of the story.</p><p>seen {0} times</p></article><div class='foot'><p>All rights</p></div></body></html>"
+
+
+def test_near_copies_on_a_host_keep_their_article(spark):
+    """Half of a host's pages, or all of them, are copies of one article that differ in a counter."""
+    rows = [(k, f"http://x.y/{k}", COPIED.format(k)) for k in range(4)] + [(k, f"http://x.y/{k}", COPIED.replace("The title", f"Title {k}").replace("The body of", f"Body {k} of").format(k)) for k in range(4, 8)]
+    rows += [(20 + k, f"http://same.z/{k}", COPIED.replace("The body of the story.", "The body of the story. " * 9).format(k)) for k in range(8)]
+    got = extracted(spark, rows)
+    assert [got[k] for k in range(4)] == [f"The title The body of the story. seen {k} times" for k in range(4)]
+    assert [got[k] for k in range(4, 8)] == [f"Title {k} Body {k} of the story. seen {k} times" for k in range(4, 8)]
+    assert [got[20 + k] for k in range(8)] == [f"The title {'The body of the story. ' * 9}seen {k} times" for k in range(8)]
+
+
+def test_a_note_stays_whatever_the_number_of_pages(spark):
+    """A paragraph of the article that repeats on some pages is content on hosts of any size."""
+    page = "<html><body><article><h1>Title {0}</h1><p>Body {0} and more of it</p>{1}</article></body></html>"
+    for n in (3, 8, 20):
+        rows = [(k, f"http://x{n}.y/{k}", page.format(k, "<p>Editor note</p>" if k % 2 else "")) for k in range(n)]
+        assert extracted(spark, rows) == {k: f"Title {k} Body {k} and more of it" + (" Editor note" if k % 2 else "") for k in range(n)}
+
+
+def test_pieces_of_a_block_stay_in_page_order():
+    text = lambda x: pages.main_text(x, [], set())
+    assert text("<div>one <span class='post-title'>two</span> three</div>") == "one two three"
+    assert text("<article><p>a<span class='content'>b</span>c <i class='advert'>buy</i> d</p></article>") == "abc d"
+    assert text("<article><p>a<i class='ad'>x</i>b</p><p> c </p></article>") == "ab c"
+
+
+def test_the_template_finds_the_article_without_any_name(spark, monkeypatch, sf):
+    """Roles of elements and classes switched off: what lies where and how much of it tell the article from menu, advert and footer."""
+    real = pages.role_of
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(pages, "role_of", lambda tag, attributes, above: (real(tag, attributes, pages.UNKNOWN)[0], pages.UNKNOWN))
+    batch = pa.RecordBatch.from_pylist([{"page_id": r.page_id, "url": r.url, "html": r.html} for r in rows])
+    tokens = pd.concat([b.to_pandas() for b in pages._tokens(iter([batch]))]).groupby(["host", "token"], as_index=False).sum()
+    tokens["all"] = tokens["host"].map(tokens[tokens["token"] == "*"].set_index("host")["pages"])
+    tokens = tokens[(tokens["token"] != "*") & (tokens["pages"] >= tokens["all"] * pages.SUPPORT) & ((tokens["pages"] >= pages.PAGES) | ~tokens["token"].str.contains("#"))]
+    found = {host: pages._template(own).iloc[0] for host, own in tokens.groupby("host")}
+    right = 0
+    for r in rows:
+        t = found[pages.host_of(r.url)]
+        article = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", r.html, re.S)[1])
+        right += pages.main_text(r.html, set(t.slots), set(t.fixed), set(t.links), set(t.cards), t.region) == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article)).split())
+    assert right >= 0.9 * len(rows)
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for n, make in ((30_000, lambda n: '<a "' * n + "'>"), (30_000, lambda n: "<div>" * n + "</x>"), (30_000, lambda n: "<b>x" * n), (30_000, lambda n: "<a " * n + '"'), (20_000, lambda n: "<h1>" * n), (200_000, lambda n: "&#" + "9" * n + ";x"), (100_000, lambda n: "<!" * n), (30_000, lambda n: "<a<" * n + " '")):
+        took = []
+        for m in (n, 4 * n):
+            page, best = make(m), 9e9
+            for _ in range(2):
+                start = time.process_time()
+                pages.main_text(page, [], set())
+                best = min(best, time.process_time() - start)
+            took.append(best)
+        assert took[1] < 10 * took[0] + 0.2, (make(2), took)
+    assert pages.main_text("&#" + "9" * 5000 + "; &#0000065; &#x0041;", [], set()) == "\ufffd A A"
+
+
+def test_templates_by_a_shuffle_with_a_hot_host(spark, monkeypatch):
+    rows = [(k, "http://hot.y/1" if k % 3 else f"http://h{k}.y/1", LISTED.format(k)) for k in range(60)]
+    want = extracted(spark, rows)
+    monkeypatch.setattr(pages, "BROADCAST_BYTES", 0)
+    assert extracted(spark, rows) == want
