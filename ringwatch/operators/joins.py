@@ -63,7 +63,7 @@ def pair_sessions(events: DataFrame, keys: Sequence[str] = ("node_id", "session_
     `type` keeps the bits of what they are.
     """
     over = W.partitionBy(*keys).orderBy(*order)
-    bit = lambda name: F.coalesce(F.col("type").bitwiseAND(F.lit(EVENT_TYPES[name])) != 0, F.lit(False))
+    bit = _bit
     either, alone, ignore = bit("SessionBegin") & bit("SessionItem"), bit("SessionItem") & bit("SingleInstance"), bit("SessionItem") & bit("SessionIgnore")
     inside = F.coalesce(F.last(F.when(bit("SessionBegin"), True).when(bit("SessionEnd"), False), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
     without = lambda *names: F.col("type").bitwiseAND(F.lit(~sum(EVENT_TYPES[n] for n in names)))
@@ -73,7 +73,9 @@ def pair_sessions(events: DataFrame, keys: Sequence[str] = ("node_id", "session_
     mark = F.when(begin, F.struct(F.lit(True).alias("open"), F.col("event_id").cast("string").alias("id"), F.col("ts").alias("ts"))).when(end, F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("timestamp").alias("ts")))
     rows = events.withColumn("_mark", mark)
     rows = rows.withColumn("_seen", F.last("_mark", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)))
-    rows = rows.withColumn("_next", F.first("_mark", ignorenulls=True).over(over.rowsBetween(1, W.unboundedFollowing)))
+    # the next mark is the last one of the reversed order, whose frame only grows: linear in the rows of a key
+    back = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    rows = rows.withColumn("_next", F.last("_mark", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)))
     open_ = F.coalesce(F.col("_seen.open"), F.lit(False))
     session = F.when(begin, F.col("event_id").cast("string")).when(open_, F.col("_seen.id"))
     started = F.when(begin, F.col("ts")).when(open_, F.col("_seen.ts"))
@@ -83,13 +85,84 @@ def pair_sessions(events: DataFrame, keys: Sequence[str] = ("node_id", "session_
     return rows.select(*own, session.alias("session_id"), started.alias("ts_begin"), took.alias("duration_ms"), orphan.alias("orphaned"))
 
 
-def orphan_events(paired: DataFrame, keys: Sequence[str] = ("node_id", "session_key")) -> DataFrame:
-    """Orphaned begins and ends with the orphan class bit; an end at the very time of the session end before it, or a begin at
-    the time of its end, is not counted: such lines are written in either order."""
-    over = W.partitionBy(*keys).orderBy("ts", "event_id")
-    same = F.coalesce((F.lag("ts").over(over) == F.col("ts")) | (F.lead("ts").over(over) == F.col("ts")), F.lit(False))
-    rows = paired.withColumn("_same_tick", same).filter("orphaned and not _same_tick").drop("_same_tick")
-    return rows.withColumn("class", F.coalesce("class", F.lit(0)).cast("long").bitwiseOR(F.lit(ORPHANED))) if "class" in paired.columns else rows
+def _bit(name: str) -> Column:
+    return F.coalesce(F.col("type").bitwiseAND(F.lit(EVENT_TYPES[name])) != 0, F.lit(False))
+
+
+def repair_orphans(paired: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
+    """pair_sessions' rows with orphans repaired where they can be, and how: `repair` is same_tick, open_prefix or null.
+
+    Lines of one time are written in either order: an orphaned end or item at the very time of an end of its session key takes
+    that end's session, and an end at the very time of an orphaned begin that follows it takes that begin, which is no orphan
+    then. Any other orphaned end takes the latest session on its node (keys) that is open at its time, whose session_key starts
+    with the end's and whose table agrees: (keyspace, table_name) where the end names both, else the keyspace where it names
+    one. A repaired end has its begin's session_id, ts_begin and duration_ms. Columns keyspace and table_name are optional; a
+    column repair is replaced."""
+    given = [c for c in paired.columns if c != "repair"]
+    begin, end, orphan = _bit("SessionBegin"), _bit("SessionEnd"), F.col("orphaned")
+    tick = W.partitionBy(*keys, "session_key", "ts").orderBy("event_id")
+    session = F.struct("session_id", "ts_begin")
+    rows = paired.select(*given).withColumn("_before", F.last(F.when(end & ~orphan, session), ignorenulls=True).over(tick.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("_after", F.when(end & orphan & F.col("_before").isNull(), F.lead(F.when(begin & orphan, session)).over(tick)))
+    rows = rows.withColumn("_taken", begin & orphan & F.coalesce(F.lag("_after").over(tick).isNotNull(), F.lit(False)))
+    rows = rows.withColumn("_found", F.when(orphan & ~begin & F.col("_before").isNotNull(), F.col("_before")).otherwise(F.col("_after")))
+    return _open_prefix(_joined(rows, "same_tick", F.col("_taken")).select(*given, "repair"), keys)
+
+
+def _joined(rows: DataFrame, how: str, taken: Column) -> DataFrame:
+    """rows with the session in `_found` taken over, and `repair`."""
+    found = F.col("_found").isNotNull()
+    took = (F.unix_micros("ts") - F.unix_micros("_found.ts_begin")) / 1000.0
+    repair = F.when(found | taken, how).otherwise(F.col("repair") if "repair" in rows.columns else F.lit(None).cast("string"))
+    return rows.withColumns({
+        "session_id": F.when(found, F.col("_found.session_id")).otherwise(F.col("session_id")), "ts_begin": F.when(found, F.col("_found.ts_begin")).otherwise(F.col("ts_begin")),
+        "duration_ms": F.when(found & _bit("SessionEnd"), took).otherwise(F.col("duration_ms")), "orphaned": F.col("orphaned") & ~found & ~taken, "repair": repair,
+    })
+
+
+def _open_prefix(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Orphaned ends joined to the latest open session whose key starts with theirs.
+
+    A session is open from its begin to the next begin or end of its key. One that is closed stands in the one or two cells of
+    time, of a power of two not shorter than it, that it touches, and an orphan looks into the cell of its time at each width in
+    use: an equi-join whose pairs are the sessions open about then. Of those never closed the latest one before counts: a
+    running last value. Both by node, the key's first characters at the lengths that orphans' keys have, and what must agree."""
+    names = [f"_k{n}" for n in range(len(keys))]
+    own = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    spot, begin, end = F.struct("ts", "event_id"), _bit("SessionBegin"), _bit("SessionEnd")
+    keyspace, table = (F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("keyspace", "table_name"))
+    named = [F.lit(""), F.concat(F.lit("k"), keyspace), F.concat(F.lit("t"), keyspace, F.lit("\0"), table)]
+    back = W.partitionBy(*keys, "session_key").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(W.unboundedPreceding, -1)
+    orphans = rows.filter(end & F.col("orphaned") & F.col("session_key").isNotNull()).select(*own, F.col("session_key").alias("_prefix"), F.coalesce(*reversed(named)).alias("_agree"), spot.alias("_spot")).distinct()
+    sizes = orphans.groupBy(*names).agg(F.collect_set(F.length("_prefix")).alias("_sizes"))
+    open_ = rows.withColumn("_close", F.last(F.when(begin | end, spot), ignorenulls=True).over(back)).filter(begin & F.col("repair").isNull() & F.col("session_key").isNotNull())
+    open_ = open_.select(*own, F.col("session_key").alias("_key"), spot.alias("_from"), "_close", F.struct("session_id", "ts_begin").alias("_session"), F.explode(F.array_compact(F.array(*named))).alias("_agree"))
+    open_ = open_.join(sizes, names).withColumn("_size", F.explode("_sizes")).filter(F.col("_size") <= F.length("_key")).withColumn("_prefix", F.substring(F.col("_key"), F.lit(1), F.col("_size"))).drop("_sizes", "_size", "_key")
+    by = [*names, "_prefix", "_agree"]
+    open_ = open_.join(orphans.select(*by).distinct(), by, "left_semi")
+    # never closed: the latest before
+    every = open_.filter("_close is null").select(*by, F.col("_from").alias("_spot"), F.struct("_from", "_session").alias("_open")).unionByName(orphans.select(*by, "_spot"), allowMissingColumns=True)
+    latest = every.withColumn("_open", F.when(F.col("_open").isNull(), F.last("_open", ignorenulls=True).over(W.partitionBy(*by).orderBy("_spot", F.col("_open").isNotNull()).rowsBetween(W.unboundedPreceding, -1)))).filter("_open is not null")
+    # closed: the cells of time
+    start, stop = F.unix_micros("_from.ts"), F.unix_micros("_close.ts")
+    closed = open_.filter("_close is not null").withColumns({"_width": F.greatest(F.lit(20), F.length(F.bin(stop - start))), "_start": start, "_stop": stop})
+    closed = closed.withColumn("_cell", F.explode(F.expr("array_distinct(array(shiftright(_start, _width), shiftright(_stop, _width)))")))
+    looks = orphans.join(closed.groupBy(*by).agg(F.collect_set("_width").alias("_widths")), by).withColumn("_width", F.explode("_widths")).withColumn("_cell", F.expr("shiftright(unix_micros(_spot.ts), _width)"))
+    pairs = looks.drop("_widths").join(closed, [*by, "_width", "_cell"]).filter((F.col("_from") < F.col("_spot")) & (F.col("_close") > F.col("_spot")))
+    both = pairs.select(*by, "_spot", F.struct("_from", "_session").alias("_open")).unionByName(latest)
+    best = both.groupBy(*by, "_spot").agg(F.max("_open")["_session"].alias("_found"))
+    best = best.select(*names, F.col("_prefix").alias("_key"), F.col("_agree").alias("_same"), F.col("_spot.ts").alias("_ts"), F.col("_spot.event_id").alias("_id"), "_found")
+    on = (F.col("session_key") == F.col("_key")) & (F.col("_agree") == F.col("_same")) & (F.col("ts") == F.col("_ts")) & (F.col("event_id") == F.col("_id")) & F.col("_lost")
+    for k, n in zip(keys, names, strict=True):
+        on &= F.col(k) == F.col(n)
+    out = rows.withColumns({"_agree": F.coalesce(*reversed(named)), "_lost": end & F.col("orphaned")}).join(best, on, "left")
+    return _joined(out, "open_prefix", F.lit(False)).select(*rows.columns)
+
+
+def orphan_events(repaired: DataFrame) -> DataFrame:
+    """The begins, items and ends that stay orphans after repair_orphans, with the orphan class bit."""
+    rows = repaired.filter("orphaned")
+    return rows.withColumn("class", F.coalesce("class", F.lit(0)).cast("long").bitwiseOR(F.lit(ORPHANED))) if "class" in repaired.columns else rows
 
 
 def config_changes(seen: DataFrame, current: DataFrame) -> DataFrame:
