@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -141,15 +142,35 @@ def expand_pattern(pattern: str, macros: Mapping[str, str]) -> str:
     return re.sub(r"\$<!(\w+)>", lambda m: macros.get(m[1], m[0]), pattern)
 
 
-def read_rules(spark: SparkSession, path: str, macros: Mapping[str, str] | None = None) -> list[dict]:
-    """Rules of a JSON file (an array of rule objects, see classify_events) in the order of their `order` value, then tag, with
-    macros expanded. type and class are names of bits, joined by '|'. Rules are a plan's configuration, a handful."""
-    kind = "order int, tag string, level string, thread string, file string, message string, parse array<string>, repeat map<string,string>, pairs string, type string, class string, subclass string, analytics_group string, session_key array<string>, match_version int"
-    rows = spark.read.schema(kind).option("multiLine", True).json(path).orderBy(F.col("order").asc_nulls_last(), "tag").collect()
+def read_rules(spark: SparkSession, paths: str | Sequence[str], macros: Mapping[str, str] | None = None) -> list[dict]:
+    """Rules of JSON files (arrays of rule objects, see classify_events) in the order of their `order` value, then tag, with
+    macros expanded. type and class are names of bits, joined by '|'. Rules are a plan's configuration, a handful.
+
+    A rule with a linked_tag takes what it doesn't say itself from the rule of that tag, in whichever of the files it stands: so
+    a file can select, reorder and change another's rules. A rule with `template` set is there to be linked only. A link to no
+    rule, or in a circle, is an error."""
+    kind = (
+        "order int, tag string, linked_tag string, template boolean, level string, thread string, file string, message string, parse array<string>, repeat map<string,string>, pairs string, type string, class string, subclass string, analytics_group string,"
+        " session_key array<string>, key_action string, lookup array<string>, lookup_action string, match_version int"
+    )
+    rows = spark.read.schema(kind).option("multiLine", True).json(paths).collect()
+    given = [{k: v for k, v in row.asDict().items() if v is not None} for row in rows]
+    by_tag = {rule["tag"]: rule for rule in reversed(given) if "tag" in rule}
+
+    def linked(rule: dict, seen: tuple[str, ...] = ()) -> dict:
+        tag = rule.get("linked_tag")
+        if tag is None:
+            return rule
+        if tag in seen or tag not in by_tag:
+            raise ValueError(f"rule {rule.get('tag')!r} is linked to {tag!r}: " + ("a circle of links" if tag in seen else "no such rule"))
+        return {k: v for k, v in linked(by_tag[tag], (*seen, tag)).items() if k not in ("template", "linked_tag")} | rule
+
     fill, bits = lambda p: expand_pattern(p, macros or {}), {"type": EVENT_TYPES, "class": EVENT_CLASSES}
     out = []
-    for row in rows:
-        rule = {k: v for k, v in row.asDict().items() if v is not None}
+    for rule in map(linked, given):
+        if rule.get("template"):
+            continue
+        rule = {k: v for k, v in rule.items() if k not in ("template", "linked_tag")}
         for key in ("level", "thread", "file", "message", "pairs"):
             if key in rule:
                 rule[key] = fill(rule[key])
@@ -161,22 +182,94 @@ def read_rules(spark: SparkSession, path: str, macros: Mapping[str, str] | None
             if key in rule:
                 rule[key] = sum({known[name.strip()] for name in rule[key].split("|")})
         out.append(rule)
-    return out
-
-
-def classify_events(lines: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
+    return sorted(out, key=lambda r: ("order" not in r, r.get("order", 0), r.get("tag") or ""))
+
+
+_IN_WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+
+
+def mandatory_words(pattern: str) -> frozenset[str] | None:
+    """Words of which every text that the pattern matches has at least one, between other characters than letters, digits and
+    underscores; None where there is no such set. Of several sets the one whose shortest word is longest."""
+    try:
+        tree = re._parser.parse(pattern)
+    except re.error:
+        return None
+    return None if tree.state.flags & re.IGNORECASE else _words_of_tree(list(tree), False)
+
+
+def _words_of_tree(items: list, edge: bool) -> frozenset[str] | None:
+    """Words of a sequence: literals in a row are text; what may be absent or vary cuts it. edge tells whether no word's
+    character can stand before the sequence."""
+    found: list[frozenset[str]] = []
+    run, start = "", edge
+
+    def cut(known: bool = False) -> None:
+        nonlocal run, start
+        for m in re.finditer(r"\w\w+", run, re.ASCII):
+            if (m.start() > 0 or start) and m.end() < len(run):
+                found.append(frozenset((m[0],)))
+        run, start = "", known
+
+    for op, value in items:
+        name, before = str(op), start if not run else run[-1] not in _IN_WORD
+        if name == "LITERAL":
+            run += chr(value)
+        elif name == "SUBPATTERN" and all(str(o) == "LITERAL" for o, _ in value[3]):
+            run += "".join(chr(v) for _, v in value[3])
+        elif name == "AT" and str(value) in ("AT_BEGINNING", "AT_BEGINNING_STRING"):
+            cut(True)
+        else:
+            inner = [value[3]] if name == "SUBPATTERN" else value[1] if name == "BRANCH" else [value[2]] if name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0 else []
+            words = [_words_of_tree(list(i), before) for i in inner]
+            cut()
+            if words and all(words):
+                found.append(frozenset().union(*words))
+    cut()
+    return max(found, key=lambda w: (min(map(len, w)), -len(w)), default=None)
+
+
+def words_pattern(words: Iterable[str]) -> str:
+    """A pattern that matches any of the words as a whole word; words with the same beginning share it, so its cost at a place
+    of a text depends on how many letters the place shares with a word, not on the number of words."""
+
+    def branch(some: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in some:
+            heads.setdefault(w[:1], []).append(w[1:])
+        parts = [re.escape(h) + branch(rest) for h, rest in heads.items() if h]
+        whole = parts[0] if len(parts) == 1 and "" not in heads else f"(?:{'|'.join(parts)})" if parts else ""
+        return f"{whole}?" if "" in heads and parts and len(parts) > 1 else f"(?:{whole})?" if "" in heads and parts else whole
+
+    return rf"(?<![A-Za-z0-9_]){branch(sorted(set(words)))}(?![A-Za-z0-9_])"
+
+
+def _rule_words(rule: Mapping) -> frozenset[str] | None:
+    """Words of which a line that the rule holds for has at least one; None if there are none to name."""
+    if rule.get("message") and (words := mandatory_words(rule["message"])):
+        return words
+    parsed = [mandatory_words(p) for p in rule.get("parse") or []]
+    return frozenset().union(*parsed) if parsed and all(parsed) else None
+
+
+def classify_events(lines: DataFrame, rules: Sequence[Mapping], indexed: bool = True) -> DataFrame:
     """Give each log line (level, thread, src_file, message, ...) its first matching rule.
 
     A rule has a tag, optional level, thread, file and message patterns, all of which must match, and parse patterns
     with named groups, one of which must match; the named groups of the first that does become `props`. `repeat` (property:
     pattern with one group) adds all its matches, joined by commas; `pairs`, a pattern with two groups, adds a property for
     each key and value that it finds, the first of equal keys; neither replaces a property that is there. session_key is an
-    SQL expression, or several of which the first that isn't null counts. Rules come in the order in which they win. Each pattern is matched once, until a rule holds. New columns: rule (position, null without a match), tag, type, class, subclass,
-    analytics_group, session_key, props.
-    """
+    SQL expression, or several of which the first that isn't null counts, and so is lookup. Rules come in the order in which
+    they win. New columns: rule (position, null without a match), tag, type, class, subclass, analytics_group, session_key,
+    props; if a rule has them also key_action, lookup and lookup_action (see tie_sessions).
+
+    With `indexed` a line tries candidates only: the words that some match of a rule must hold are looked for in one pass
+    over the message, and a rule is tried where one of its words is there. Rules without such words are always tried. The hits
+    are the same."""
     kinds = {"tag": "string", "type": "long", "class": "long", "subclass": "string", "analytics_group": "string"}
-    none = F.create_map().cast("map<string,string>")
-    found = []
+    kinds |= {k: "string" for k in ("key_action", "lookup_action") if any(r.get(k) for r in rules)}
+    none, hit_type = F.create_map().cast("map<string,string>"), "struct<rule:int,props:map<string,string>>"
+    tests: list[Column] = []
     for k, rule in enumerate(rules):
         hit = F.lit(True)
         for column, key in (("level", "level"), ("thread", "thread"), ("src_file", "file"), ("message", "message")):
@@ -189,17 +282,35 @@ def classify_events(lines: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
             pairs = [x for name, at in names for x in (F.lit(name), F.nullif(F.regexp_extract("message", java, at), F.lit("")))]
             props = own(_more(F.create_map(*pairs) if pairs else none, rule))
             parsed = F.when(F.col("message").rlike(java), props) if parsed is None else parsed.when(F.col("message").rlike(java), props)
-        found.append(F.when(hit, own(_more(none, rule)) if parsed is None else parsed))
-    rows = lines.withColumn("_hit", F.coalesce(*found, F.lit(None).cast("struct<rule:int,props:map<string,string>>")))
+        tests.append(F.when(hit, own(_more(none, rule)) if parsed is None else parsed))
+    words = [_rule_words(r) if indexed else None for r in rules]
+    rows = lines
+    if any(words):
+        rows = rows.withColumn("_words", F.regexp_extract_all("message", F.lit(words_pattern(frozenset().union(*filter(None, words)))), F.lit(0)))
+    # rules in a row with the same words share the look at them
+    steps, k = [], 0
+    while k < len(rules):
+        upto = k + 1
+        while upto < len(rules) and words[upto] == words[k]:
+            upto += 1
+        step = F.coalesce(*tests[k:upto], F.lit(None).cast(hit_type))
+        if words[k]:
+            step = F.when(reduce(lambda x, y: x | y, [F.array_contains("_words", w) for w in sorted(words[k])]), step)
+        steps.append(step)
+        k = upto
+    rows = rows.withColumn("_hit", F.coalesce(*steps, F.lit(None).cast(hit_type)))
     rule, defaults = F.col("_hit.rule"), {"type": EVENT_TYPES["SingleInstance"], "class": 0}
     pick = {c: F.try_element_at(F.array(*[F.lit(r.get(c, defaults.get(c))).cast(kind) for r in rules]), rule + 1) if rules else F.lit(None).cast(kind) for c, kind in kinds.items()}
-    session = F.lit(None).cast("string")
-    for k, r in enumerate(rules):
-        if r.get("session_key"):
-            keys = [r["session_key"]] if isinstance(r["session_key"], str) else r["session_key"]
-            session = F.when(rule == k, F.coalesce(*[F.expr(e).cast("string") for e in keys])).otherwise(session)
-    rows = rows.withColumns({"rule": rule, **pick, "props": F.col("_hit.props")}).withColumn("session_key", F.when(F.col("rule").isNotNull(), session))
-    return rows.drop("_hit")
+    keyed = {}
+    for name in ("session_key", *(["lookup"] if any(r.get("lookup") for r in rules) else [])):
+        value = F.lit(None).cast("string")
+        for k, r in enumerate(rules):
+            if r.get(name):
+                keys = [r[name]] if isinstance(r[name], str) else r[name]
+                value = F.when(rule == k, F.coalesce(*[F.expr(e).cast("string") for e in keys])).otherwise(value)
+        keyed[name] = F.when(F.col("rule").isNotNull(), value)
+    rows = rows.withColumns({"rule": rule, **pick, "props": F.col("_hit.props")}).withColumns(keyed)
+    return rows.drop("_hit", "_words")
 
 
 def select_rules_for_version(rules: DataFrame, versions: DataFrame) -> DataFrame:
