@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,57 +20,177 @@ def _millis(n: float) -> Column:
     return F.make_dt_interval(secs=F.lit(n / 1000.0).cast("decimal(18,6)"))
 
 
+#: Length of a slice of time. A key's slices are worked on apart, so a busy node is spread over tasks.
+SLICE_MS = 3_600_000
+
+
+def time_slice(ts: str, slice_ms: float = SLICE_MS) -> Column:
+    """The number of the slice of a time; null times come before all others, as in an ascending order."""
+    return F.coalesce(F.floor(F.unix_micros(ts) / F.lit(int(slice_ms * 1000))).cast("long"), F.lit(-(1 << 62)))
+
+
+def _sliced(rows: DataFrame, keys: Sequence[str], order: Sequence[str], slice_ms: float) -> DataFrame:
+    """rows with their key and slice; an order that doesn't begin with a time has one slice."""
+    timed = rows.schema[order[0]].dataType.typeName().startswith("timestamp")
+    return rows.withColumns({"_key": F.struct(*keys), "_slice": time_slice(order[0], slice_ms) if timed else F.lit(0).cast("long")})
+
+
+def sliced_lag(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str, slice_ms: float = SLICE_MS) -> DataFrame:
+    """rows with a struct of the columns of the row before, by key in the given order, whose first column is a time.
+
+    Within a slice of time this is a window; the first row of a slice takes the last row of the slices before it, of which there
+    is one row per key and slice. Null keys are a key."""
+    rows = _sliced(rows, keys, order, slice_ms)
+    lasts = rows.groupBy("_key", "_slice").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
+    carried = lasts.select("_key", "_slice", F.lag("_last").over(W.partitionBy("_key").orderBy("_slice")).alias("_last"))
+    inside = F.lag(F.struct(*columns)).over(W.partitionBy("_key", "_slice").orderBy(*order))
+    return rows.withColumn(name, inside).join(carried, ["_key", "_slice"]).withColumn(name, F.coalesce(name, "_last")).drop("_last", "_key", "_slice")
+
+
+def sliced_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, slice_ms: float = SLICE_MS) -> DataFrame:
+    """rows with the running sum of a value, by key in the given order (first column a time): inside each slice of time, behind the
+    sum of the slices before it."""
+    rows = _sliced(rows, keys, order, slice_ms).withColumn("_value", value.cast("long"))
+    sums = rows.groupBy("_key", "_slice").agg(F.sum("_value").alias("_sum"))
+    before = sums.select("_key", "_slice", (F.sum("_sum").over(W.partitionBy("_key").orderBy("_slice")) - F.col("_sum")).alias("_ahead"))
+    inside = F.sum("_value").over(W.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn(name, inside).join(before, ["_key", "_slice"]).withColumn(name, F.col(name) + F.col("_ahead")).drop("_ahead", "_value", "_key", "_slice")
+
+
 def _run_stats() -> list[Column]:
     d = F.col("duration_ms")
-    return [F.count(F.lit(1)).alias("occurrences"), F.sum(d).alias("duration_sum"), F.max(d).alias("duration_max"), F.min(d).alias("duration_min"), F.avg(d).alias("duration_mean"), F.stddev_pop(d).alias("duration_std"), F.min("ts_begin").alias("run_begin"), F.max_by("ts_end", "nth").alias("run_end")]
+    end = F.max_by("ts_end", F.struct("ts_begin", "ts_end"))
+    return [F.count(F.lit(1)).alias("occurrences"), F.sum(d).alias("duration_sum"), F.max(d).alias("duration_max"), F.min(d).alias("duration_min"), F.avg(d).alias("duration_mean"), F.stddev_pop(d).alias("duration_std"), F.min("ts_begin").alias("run_begin"), end.alias("run_end")]
 
 
 def gc_back_to_back(events: DataFrame, keys: Sequence[str] = ("node_id",), tolerance_ms: float = 150) -> DataFrame:
     """Runs of more than one event in which each begins after the previous began and at most `tolerance_ms` after it
-    ended: a row per run. events (keys, ts_begin, ts_end, duration_ms); ties on ts_begin are ordered by ts_end and
-    start a new run."""
-    order = W.partitionBy(*keys).orderBy("ts_begin", "ts_end")
-    before, ended = F.lag("ts_begin").over(order), F.lag("ts_end").over(order)
-    joins = (F.col("ts_begin") > before) & (F.col("ts_begin") <= ended + _millis(tolerance_ms))
-    rows = events.select(*keys, "ts_begin", "ts_end", "duration_ms").withColumn("nth", F.row_number().over(order)).withColumn("new_run", F.when(joins, 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("new_run").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "run").agg(*_run_stats()).filter("occurrences > 1").drop("run")
+    ended: a row per run. events (keys, ts_begin, ts_end, duration_ms); ties on ts_begin are ordered by ts_end, then duration, and
+    start a new run. A node's slices of time are worked on apart."""
+    order = ("ts_begin", "ts_end", "duration_ms")
+    rows = sliced_lag(events.select(*keys, *order), keys, order, order, "_before")
+    joins = (F.col("ts_begin") > F.col("_before.ts_begin")) & (F.col("ts_begin") <= F.col("_before.ts_end") + _millis(tolerance_ms))
+    rows = sliced_sum(rows.withColumn("_new", F.when(joins, 0).otherwise(1)), keys, (*order, "_new"), F.col("_new"), "_run")
+    return rows.groupBy(*keys, "_run").agg(*_run_stats()).filter("occurrences > 1").drop("_run")
+
+
+#: Slices of the anchored frame are longer: what a slice hands on has a row per event of its last frame at most.
+FRAME_SLICE_MS = 6 * 3_600_000
 
 
-def gc_time_frame(events: DataFrame, keys: Sequence[str] = ("node_id",), frame_ms: float = 300_000, least_ms: float = 75_000) -> DataFrame:
+def gc_time_frame(events: DataFrame, keys: Sequence[str] = ("node_id",), frame_ms: float = 300_000, least_ms: float = 75_000, slice_ms: float = FRAME_SLICE_MS) -> DataFrame:
     """Windows anchored at their first event: an event belongs if it begins after the first began and at most `frame_ms`
-    after the first ended. Windows with more than one event and `least_ms` of total duration are kept.
+    after the first ended. Windows with more than one event and `least_ms` of total duration are kept, with the number, sum,
+    largest, smallest, mean and deviation of their durations. Ties on ts_begin are ordered by ts_end, then duration; a window with
+    an unknown duration has no total and isn't kept; an event without a begin is in no window.
+
+    Which event anchors a window depends on all before it, but a slice of time needs to know of the earlier ones only how far the
+    last anchor's frame reaches. First each slice gives this as a step function of what it is told: from every event it
+    could start with, pointers to the next anchor are doubled up to the last anchor in the slice. Then the steps of a node are
+    followed from slice to slice, a look-up each. Last, each slice starts with what it is told and names every event's anchor,
+    and the windows are an aggregate. No task sees all events of a node."""
+    frame = round(frame_ms * 1000)
+    rows = events.filter(F.col("ts_begin").isNotNull()).select(F.struct(*keys).alias("key"), time_slice("ts_begin", slice_ms).alias("slice"), F.unix_micros("ts_begin").alias("b"), F.unix_micros("ts_end").alias("e"), F.col("duration_ms").cast("double").alias("d"))
+    kind = rows.schema["key"].dataType.simpleString()
+    dealt = lambda df, *more: df.repartition("key", "slice").sortWithinPartitions("key", "slice", "b", "e", "d", *more)
+    steps = dealt(rows).mapInArrow(_frame_steps(frame), f"key {kind}, slice long, upto long, reach long, anchor long")
+    told = steps.repartition("key").sortWithinPartitions("key", "slice", "upto").mapInArrow(_frame_states, f"key {kind}, slice long, reach long, anchor long")
+    named = dealt(rows.join(told, ["key", "slice"])).mapInArrow(_frame_anchors(frame), f"key {kind}, anchor long, b long, e long, d double")
+    d = F.col("d")
+    out = named.groupBy("key", "anchor").agg(
+        F.max_by("e", F.struct("b", "e", "d")).alias("end"), F.count(F.lit(1)).alias("occurrences"), F.sum(d).alias("duration_sum"), F.max(d).alias("duration_max"), F.min(d).alias("duration_min"), F.avg(d).alias("duration_mean"), F.stddev_pop(d).alias("duration_std"), F.count(d).alias("_known"),
+    ).filter((F.col("occurrences") > 1) & (F.col("_known") == F.col("occurrences")) & (F.col("duration_sum") >= float(least_ms)))
+    return out.select(*[F.col("key")[k].alias(k) for k in keys], F.timestamp_micros("anchor").alias("run_begin"), F.timestamp_micros("end").alias("run_end"), "occurrences", "duration_sum", "duration_max", "duration_min", "duration_mean", "duration_std")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group, that is of equal values of the named columns, as one batch; the groups come one after the other."""
+    held: list[pa.RecordBatch] = []
+
+    def cuts(b: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(max(0, b.num_rows - 1), bool)
+        for name in names:
+            column = b.column(name)
+            for part in column.flatten() if pa.types.is_struct(column.type) else [column]:
+                code = pc.dictionary_encode(part, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new |= code[1:] != code[:-1]
+        return np.flatnonzero(new) + 1
+
+    for b in batches:
+        if held and b.num_rows:  # whether the held group goes on is seen where its last row meets the first one
+            joined = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b.slice(0, 1)]).combine_chunks().to_batches()[0]
+            if len(cuts(joined)):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        edges = [0, *cuts(b).tolist(), b.num_rows]
+        for at, upto in zip(edges, edges[1:]):
+            if upto == at:
+                continue
+            held.append(b.slice(at, upto - at))
+            if upto < b.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+_NEVER = np.iinfo(np.int64).min
+
+
+def _next_anchor(begin: np.ndarray, end: pa.Array, frame: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far the frame of each event of a slice would reach, and the position of the anchor after it (the number of events where
+    that lies beyond the slice)."""
+    known = end.is_valid().to_numpy(zero_copy_only=False)
+    reach = np.where(known, pc.fill_null(end, 0).to_numpy(zero_copy_only=False) + frame, _NEVER)
+    at = np.arange(len(begin))
+    following = np.maximum(at + 1, np.searchsorted(begin, reach, "right"))
+    tie = np.r_[begin[1:] == begin[:-1], False]
+    return reach, np.where(tie, at + 1, following)
+
+
+def _frame_steps(frame: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ("key", "slice")):
+            begin = g.column("b").to_numpy()
+            reach, following = _next_anchor(begin, g.column("e"), frame)
+            last = np.where(following < len(begin), following, np.arange(len(begin)))
+            while not (last[last] == last).all():
+                last = last[last]
+            runs = np.flatnonzero(np.r_[last[1:] != last[:-1], True])  # the last event of each run of starts with one end
+            yield pa.RecordBatch.from_arrays([g.column("key").take(pa.array(runs * 0)), g.column("slice").take(pa.array(runs * 0)), pa.array(begin[runs]), pa.array(reach[last[runs]]), pa.array(begin[last[runs]])], ["key", "slice", "upto", "reach", "anchor"])
+
+    return run
 
-    The anchor makes this a fold over ordered events. Each task reads its keys' sorted events as a stream and holds the
-    open window only, however many events follow each other; a key's events are sorted in one task."""
-    kept = [f"_{k}" for k in range(len(keys))]
-    rows = events.select(*[F.col(k).alias(c) for k, c in zip(keys, kept, strict=True)], F.unix_micros("ts_begin").alias("b"), F.unix_micros("ts_end").alias("e"), F.col("duration_ms").cast("double").alias("d"))
-    rows = rows.repartition(*kept).sortWithinPartitions(*kept, "b", "e", "d")
-    kinds = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept], "b long, e long, n long, total double, high double"])
-    rows = rows.mapInArrow(_anchored(len(keys), round(frame_ms * 1000)), kinds).filter(f"total >= {float(least_ms)}")
-    return rows.select(*[F.col(c).alias(k) for k, c in zip(keys, kept, strict=True)], F.timestamp_micros("b").alias("run_begin"), F.timestamp_micros("e").alias("run_end"), F.col("n").alias("occurrences"), F.col("total").alias("duration_sum"), F.col("high").alias("duration_max"))
 
+def _frame_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each slice of a key is told: how far the last anchor before it reaches, and that anchor's begin."""
+    own, reach, anchor = None, _NEVER, None
+    for g in _groups(batches, ("key", "slice")):
+        key = g.column("key")[0].as_py()
+        if key != own:
+            own, reach, anchor = key, _NEVER, None
+        yield pa.RecordBatch.from_arrays([g.column("key").slice(0, 1), g.column("slice").slice(0, 1), pa.array([reach]), pa.array([anchor], pa.int64())], ["key", "slice", "reach", "anchor"])
+        k = int(np.searchsorted(g.column("upto").to_numpy(), reach, "right"))
+        if k < g.num_rows:
+            reach, anchor = g.column("reach")[k].as_py(), g.column("anchor")[k].as_py()
 
-def _anchored(n_keys: int, frame: int):
-    """A fold of (keys, b, e, d), sorted, to the anchored windows of more than one event."""
 
+def _frame_anchors(frame: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = begin = reach = window = schema = None
-        for batch in batches:
-            schema = schema or pa.schema([*list(batch.schema)[:n_keys], *[pa.field(c, pa.int64()) for c in "ben"], pa.field("total", pa.float64()), pa.field("high", pa.float64())])
-            done = []
-            for *own, b, e, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if window and own == key and None not in (b, begin, reach) and begin < b <= reach:
-                    _, _, n, total, high = window
-                    window = (begin, e, n + 1, None if total is None or d is None else total + d, d if high is None else high if d is None else max(high, d))
-                    continue
-                if window and window[2] > 1:
-                    done.append((*key, *window))
-                key, begin, reach, window = own, b, None if e is None else e + frame, (b, e, 1, d, d)
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
-        if window and window[2] > 1:
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*key, *window), schema, strict=True)], schema=schema)
+        for g in _groups(batches, ("key", "slice")):
+            begin = g.column("b").to_numpy()
+            _, following = _next_anchor(begin, g.column("e"), frame)
+            k = int(np.searchsorted(begin, g.column("reach")[0].as_py(), "right"))
+            anchor, kept = np.zeros(len(begin), np.int64), np.ones(len(begin), bool)
+            if k:
+                anchor[:k] = g.column("anchor")[0].as_py()
+            while k < len(begin):
+                upto = int(following[k])
+                anchor[k:upto] = begin[k]
+                kept[k] = not (k + 1 < len(begin) and begin[k + 1] == begin[k])  # followed by a tie it is a window of its own
+                k = upto
+            some = pa.array(np.flatnonzero(kept))
+            yield pa.RecordBatch.from_arrays([g.column("key").take(some), pa.array(anchor[kept]), *(g.column(c).take(some) for c in "bed")], ["key", "anchor", "b", "e", "d"])
 
     return run
 
@@ -95,23 +217,33 @@ def log_file_gaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"
 
 
 def log_continuous_runs(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"), gap_minutes: float = 15, days: float = 4) -> DataFrame:
-    """Runs of files without a gap: duration, files and items of each, and its kind: ContinuousThresholdMet from `days`
-    on, DurationThresholdMet for a last run of at most two files that is shorter, else null. Duplicated and overlapping
-    files neither extend nor break a run."""
-    rows = log_file_gaps(files, keys, gap_minutes).filter(F.col("kind").isin("Normal", "Gap"))
+    """Runs of files without a gap that last `days` or longer: files, items, size, days and range of each, and its kind.
+
+    files (keys, used_min, used_max, items, size). A run's length is the sum of its files' lengths; duplicated and overlapping files
+    neither extend nor break it. A run that a gap ends is ContinuousThresholdMet. The last run of a key is so only if two
+    files or more, duplicated and overlapping ones included, follow its first one, else DurationThresholdMet."""
+    rows = log_file_gaps(files, keys, gap_minutes)
     order = _by_range(files, keys)
-    rows = rows.withColumn("run", F.sum(F.when(F.col("kind") == "Gap", 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("kind") == "Gap", 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    part = F.col("kind").isin("Normal", "Gap")
     length = (F.unix_micros("used_max") - F.unix_micros("used_min")) / 86_400e6
-    runs = rows.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("files"), F.sum("items").alias("items"), F.sum(length).alias("days"), F.min("used_min").alias("run_begin"), F.max("used_max").alias("run_end"))
-    last = F.max("run").over(W.partitionBy(*keys))
-    kind = F.when(F.col("days") >= days, "ContinuousThresholdMet").when((F.col("run") == last) & (F.col("files") <= 2), "DurationThresholdMet")
-    return runs.withColumn("kind", kind).drop("run")
+    mine = lambda c: F.when(part, c)
+    runs = rows.groupBy(*keys, "_run").agg(
+        F.count_if(part).alias("files"), F.sum(mine(F.col("items"))).alias("items"), F.sum(mine(F.col("size"))).alias("size"), F.sum(mine(length)).alias("days"),
+        F.min(mine(F.col("used_min"))).alias("run_begin"), F.max(mine(F.col("used_max"))).alias("run_end"), (F.count(F.lit(1)) - 1).alias("_more"),
+    )
+    last = F.col("_run") == F.max("_run").over(W.partitionBy(*keys))
+    kind = F.when(last & (F.col("_more") <= 1), "DurationThresholdMet").otherwise("ContinuousThresholdMet")
+    return runs.withColumn("kind", kind).filter(F.col("days") >= days).drop("_run", "_more")
 
 
 def delta_running_total(counters: DataFrame, value: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """A cumulative counter as differences: a smaller value means a restart and counts as it is; the first has none."""
-    before = F.lag(value).over(W.partitionBy(*keys).orderBy(*order))
-    return counters.withColumn("delta", F.when(before.isNull(), F.lit(None)).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value)))
+    """A cumulative counter as differences: a smaller value means a restart and counts as it is; the first has none. The first column
+    of the order is a time, by whose slices a busy key is spread."""
+    own = [c for c in counters.columns if c != "delta"]
+    rows = sliced_lag(counters.select(*own), keys, order, [value], "_before")
+    before = F.col("_before")[value]
+    return rows.select(*own, F.when(before.isNull(), F.lit(None)).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value)).alias("delta"))
 
 
 def split_at_restarts(files: DataFrame) -> DataFrame:
@@ -131,7 +263,7 @@ def node_state_timeline(states: DataFrame, pause_hours: float = 4) -> DataFrame:
     rows = states.drop("nth").dropDuplicates(["node_id", "ts", "state", "detected_by"])
     long = has_flag(F.col("state"), NODE_STATES["Paused"]) & (F.col("duration_ms") > pause_hours * 3.6e6)
     rows = rows.withColumn("state", F.when(long, F.col("state").bitwiseOR(F.lit(NODE_STATES["LongPause"]))).otherwise(F.col("state")))
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy("node_id").orderBy("ts", "state", F.col("detected_by").asc_nulls_first())))
+    return sliced_sum(rows, ["node_id"], ["ts", "state", "detected_by"], F.lit(1), "nth").withColumn("nth", F.col("nth").cast("int"))
 
 
 def latest_document(documents: DataFrame, as_of: str, keys: Sequence[str], ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:

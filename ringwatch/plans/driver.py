@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors see: spark.checkpoint.dir, or a fresh local one where that is unset and the master is local."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (given or tempfile.mkdtemp(prefix="ringwatch-")).rstrip("/")
+
+
 def us(column: str, name: str | None = None):
     """A time as microseconds since 1970, comparable across engines."""
     return F.unix_micros(column).alias(name or f"{column}_us")
@@ -80,11 +90,11 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per node, part of its users and half day, with whole hours as range: one part on half of the nodes, three on
     the others, so that ranges are equal, overlap, touch and leave gaps."""
     rows = events(spark, sf_dir).withColumns({"half": F.floor(F.unix_micros("ts") / 43_200_000_000), "part": F.expr("case when user_id % 8 < 4 then 0 else user_id div 8 % 3 end")})
-    rows = rows.groupBy("dc", "node_id", "half", "part").agg(F.date_trunc("hour", F.min("ts")).alias("used_min"), F.date_trunc("hour", F.max("ts")).alias("used_max"), F.count(F.lit(1)).alias("items"))
+    rows = rows.groupBy("dc", "node_id", "half", "part").agg(F.date_trunc("hour", F.min("ts")).alias("used_min"), F.date_trunc("hour", F.max("ts")).alias("used_max"), F.count(F.lit(1)).alias("items"), F.sum("event_id").alias("size"))
     return rows.withColumns({"is_debug": F.lit(False), "path": F.concat_ws("/", "node_id", "half", "part")}).drop("half", "part")
 
 
-LF = EV + """, lf AS (SELECT dc, node_id, min(us) // 3600000000 * 3600000000 AS a, max(us) // 3600000000 * 3600000000 AS z, count(*)::BIGINT AS items, node_id || '/' || half || '/' || part AS path
+LF = EV + """, lf AS (SELECT dc, node_id, min(us) // 3600000000 * 3600000000 AS a, max(us) // 3600000000 * 3600000000 AS z, count(*)::BIGINT AS items, sum(event_id)::BIGINT AS size, node_id || '/' || half || '/' || part AS path
  FROM (SELECT *, us // 43200000000 AS half, CASE WHEN user_id % 8 < 4 THEN 0 ELSE user_id // 8 % 3 END AS part FROM ev) GROUP BY dc, node_id, half, part)"""
 
 

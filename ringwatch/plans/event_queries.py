@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import events as E
 from ..operators import joins as J
+from ..operators import sessions as Se
 from ..operators import stats as S
 from ..operators import windows as Wn
 from ..schema import EVENT_CLASSES, EVENT_TYPES, NODE_STATES, ORPHANED
@@ -171,7 +172,7 @@ def gc_back_to_back(spark, d):
 w AS (SELECT node_id, n, b, e, d, b AS fb, e + 3600000000 AS reach, 1::BIGINT AS run FROM o WHERE n = 1 UNION ALL
 SELECT o.node_id, o.n, o.b, o.e, o.d, CASE WHEN o.b > w.fb AND o.b <= w.reach THEN w.fb ELSE o.b END, CASE WHEN o.b > w.fb AND o.b <= w.reach THEN w.reach ELSE o.e + 3600000000 END, CASE WHEN o.b > w.fb AND o.b <= w.reach THEN w.run ELSE w.run + 1 END
 FROM w JOIN o ON o.node_id = w.node_id AND o.n = w.n + 1)
-SELECT node_id, min(b) AS run_begin, arg_max(e, n) AS run_end, count(*)::BIGINT AS occurrences, round(sum(d), 4) AS duration_sum, round(max(d), 4) AS duration_max FROM w GROUP BY node_id, run HAVING count(*) > 1 AND sum(d) >= 50""")
+SELECT node_id, min(b) AS run_begin, arg_max(e, n) AS run_end, count(*)::BIGINT AS occurrences, round(sum(d), 4) AS duration_sum, round(max(d), 4) AS duration_max, round(min(d), 4) AS duration_min, round(avg(d), 4) AS duration_mean, round(stddev_pop(d), 4) AS duration_std FROM w GROUP BY node_id, run HAVING count(*) > 1 AND sum(d) >= 50""")
 def gc_time_frame(spark, d):
     return rounded(Wn.gc_time_frame(D.gc_events(spark, d), frame_ms=3_600_000, least_ms=50))
 
@@ -186,9 +187,11 @@ def log_file_gaps(spark, d):
     return rounded(Wn.log_file_gaps(D.log_files(spark, d), gap_minutes=60).select("path", "kind", "gap_minutes"))
 
 
-@query("log_continuous_runs", f"""WITH {_GAPS}, r AS (SELECT *, sum(CASE WHEN kind = 'Gap' THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY a, z, path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM h WHERE kind IN ('Normal', 'Gap')),
-s AS (SELECT node_id, run, count(*)::BIGINT AS files, sum(items)::BIGINT AS items, sum((z - a) / 86400e6) AS days, min(a) AS run_begin, max(z) AS run_end FROM r GROUP BY node_id, run)
-SELECT node_id, files, items, round(days, 4) AS days, run_begin, run_end, CASE WHEN days >= 1.5 THEN 'ContinuousThresholdMet' WHEN run = max(run) OVER (PARTITION BY node_id) AND files <= 2 THEN 'DurationThresholdMet' END AS kind FROM s""")
+@query("log_continuous_runs", f"""WITH {_GAPS}, n AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY a, z, path) AS nth, count(*) OVER (PARTITION BY node_id) AS top FROM h),
+f AS (SELECT *, max(CASE WHEN nth = 1 OR kind = 'Gap' THEN nth END) OVER (PARTITION BY node_id ORDER BY nth) AS opens FROM n),
+s AS (SELECT node_id, opens, top, max(nth) AS upto, count(*) FILTER (kind IN ('Normal', 'Gap'))::BIGINT AS files, sum(items) FILTER (kind IN ('Normal', 'Gap'))::BIGINT AS items, sum(size) FILTER (kind IN ('Normal', 'Gap'))::BIGINT AS size,
+ sum((z - a) / 86400e6) FILTER (kind IN ('Normal', 'Gap')) AS days, min(a) FILTER (kind IN ('Normal', 'Gap')) AS run_begin, max(z) FILTER (kind IN ('Normal', 'Gap')) AS run_end FROM f GROUP BY node_id, opens, top)
+SELECT node_id, files, items, size, round(days, 4) AS days, run_begin, run_end, CASE WHEN upto < top OR top - opens > 1 THEN 'ContinuousThresholdMet' ELSE 'DurationThresholdMet' END AS kind FROM s WHERE days >= 1.5""")
 def log_continuous_runs(spark, d):
     return rounded(Wn.log_continuous_runs(D.log_files(spark, d), gap_minutes=60, days=1.5).drop("is_debug"))
 
@@ -278,10 +281,44 @@ def pair_sessions(spark, d):
     return rounded(J.pair_sessions(rows).select(F.col("event_id").cast("long").alias("event_id"), "session_id", F.unix_micros("ts_begin").cast("double").alias("ts_begin"), "duration_ms", "orphaned"), 3)
 
 
-@query("orphan_events", f"""WITH {_PAIR} SELECT event_id FROM (SELECT *, coalesce(lag(us) OVER w = us OR lead(us) OVER w = us, false) AS same FROM paired WHERE mark IS NOT NULL WINDOW w AS (PARTITION BY node_id, session_key ORDER BY us, event_id)) WHERE orphaned AND NOT same""")
-def orphan_events(spark, d):
+_DAY = _PAIR.replace("event_id, ts, epoch_us(ts) AS us", "event_id, date_trunc('day', ts) AS ts, epoch_us(date_trunc('day', ts)) AS us").replace("AS mark FROM ev)", "AS mark FROM ev WHERE event_type IN ('signup', 'purchase'))")
+_REPAIR = f"""{_DAY}, t AS (SELECT p.*, lead(p.us) OVER k AS close_us, lead(p.event_id) OVER k AS close_id, CASE WHEN e.k % 3 > 0 THEN e.keyspace END AS ks, CASE WHEN e.k % 2 > 0 THEN e.table_name END AS tab FROM paired p JOIN ev e USING (event_id) WINDOW k AS (PARTITION BY p.node_id, p.session_key ORDER BY p.us, p.event_id)),
+t1 AS (SELECT *, last_value(CASE WHEN mark = 0 AND NOT orphaned THEN session_id END IGNORE NULLS) OVER b AS bid, last_value(CASE WHEN mark = 0 AND NOT orphaned THEN ts_begin END IGNORE NULLS) OVER b AS bts,
+ lead(CASE WHEN mark = 1 AND orphaned THEN session_id END) OVER w AS aid, lead(CASE WHEN mark = 1 AND orphaned THEN ts_begin END) OVER w AS ats FROM t WINDOW w AS (PARTITION BY node_id, session_key, us ORDER BY event_id), b AS (PARTITION BY node_id, session_key, us ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t2 AS (SELECT *, mark = 0 AND orphaned AND bid IS NOT NULL AS late, mark = 0 AND orphaned AND bid IS NULL AND aid IS NOT NULL AS early FROM t1),
+t3 AS (SELECT *, mark = 1 AND orphaned AND coalesce(lag(early) OVER (PARTITION BY node_id, session_key, us ORDER BY event_id), false) AS taken FROM t2),
+t4 AS (SELECT event_id, node_id, session_key, us, mark, close_us, close_id, ks, tab, CASE WHEN late THEN bid WHEN early THEN aid ELSE session_id END AS session_id, CASE WHEN late THEN bts WHEN early THEN ats ELSE ts_begin END AS ts_begin,
+ orphaned AND NOT late AND NOT early AND NOT taken AS orphaned, CASE WHEN late OR early OR taken THEN 'same_tick' END AS repair FROM t3),
+f AS (SELECT o.event_id, arg_max(c.session_id, (c.us, c.event_id)) AS fid, arg_max(c.ts_begin, (c.us, c.event_id)) AS fts FROM t4 o JOIN t4 c ON c.node_id = o.node_id AND c.mark = 1 AND c.repair IS NULL AND starts_with(c.session_key, o.session_key)
+ AND (c.us, c.event_id) < (o.us, o.event_id) AND (c.close_us IS NULL OR (c.close_us, c.close_id) > (o.us, o.event_id)) AND (o.ks IS NULL OR (o.ks = c.ks AND (o.tab IS NULL OR o.tab = c.tab))) WHERE o.mark = 0 AND o.orphaned GROUP BY o.event_id),
+repaired AS (SELECT event_id, coalesce(fid, session_id) AS session_id, coalesce(fts, ts_begin) AS ts_begin, CASE WHEN mark = 0 THEN (us - coalesce(fts, ts_begin)) / 1000.0 END AS duration_ms, orphaned AND fid IS NULL AS orphaned, CASE WHEN fid IS NOT NULL THEN 'open_prefix' ELSE repair END AS repair FROM t4 LEFT JOIN f USING (event_id))"""
+
+
+def _repaired(spark, d):
+    """Sessions on times cut to the day, so that many begins and ends fall on one time; some name no table, some no keyspace."""
     rows = D.events(spark, d).drop("duration_ms").filter(F.col("type") != EVENT_TYPES["SingleInstance"])
-    return J.orphan_events(J.pair_sessions(rows)).select(F.col("event_id").cast("long").alias("event_id"))
+    rows = rows.withColumns({"ts": F.date_trunc("day", "ts"), "keyspace": F.when(F.col("k") % 3 > 0, F.col("keyspace")), "table_name": F.when(F.col("k") % 2 > 0, F.col("table_name"))})
+    return J.repair_orphans(J.pair_sessions(rows))
+
+
+@query("repair_orphans", f"WITH {_REPAIR} SELECT event_id, session_id, ts_begin::DOUBLE AS ts_begin, round(duration_ms, 3) AS duration_ms, orphaned, repair FROM repaired")
+def repair_orphans(spark, d):
+    return rounded(_repaired(spark, d).select(F.col("event_id").cast("long").alias("event_id"), "session_id", F.unix_micros("ts_begin").cast("double").alias("ts_begin"), "duration_ms", "orphaned", "repair"), 3)
+
+
+@query("orphan_events", f"WITH {_REPAIR} SELECT event_id FROM repaired WHERE orphaned")
+def orphan_events(spark, d):
+    return J.orphan_events(_repaired(spark, d)).select(F.col("event_id").cast("long").alias("event_id"))
+
+
+@query("tie_sessions")
+def tie_sessions(spark, d):
+    """Half of the events by key, the others by a label that signups push and purchases pop; held to a plain fold in the tests."""
+    rows = D.events(spark, d).drop("duration_ms").withColumn("type", F.when(F.col("event_type") == "view", EVENT_TYPES["SessionItem"]).otherwise(F.col("type")))
+    label = F.when(F.col("event_type") == "signup", "define|label|stack").when(F.col("event_type") == "purchase", "read|delete|label").otherwise("read|label")
+    rows = rows.withColumns({"session_key": F.when(F.col("k") % 2 == 0, F.col("session_key")), "lookup": F.when(F.col("k") % 2 == 1, F.col("table_name")), "lookup_action": label})
+    done = Se.tie_sessions(rows).select("event_id", "session_id", "tie_out", F.array_join("parents", ",").alias("parents"), F.unix_micros("ts_begin").alias("ts_begin"), "duration_ms", "orphaned", "repair", "type")
+    return rounded(done, 3)
 
 
 @query("late_name_resolution", f"WITH {EV} SELECT event_id, coalesce(CASE WHEN k % 3 = 0 THEN table_name END, CASE WHEN k % 10 = 0 THEN NULL ELSE last_value(CASE WHEN k % 3 = 0 AND k % 10 <> 0 THEN table_name END IGNORE NULLS) OVER (PARTITION BY CASE WHEN k % 10 <> 0 THEN session_key END ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END) AS table_name FROM ev")

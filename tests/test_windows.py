@@ -41,8 +41,43 @@ def test_runs_are_the_folds(spark, found):
     ms = lambda t: round((t - START).total_seconds() * 1000)
     got = sorted((ms(r.run_begin), ms(r.run_end), r.occurrences, r.duration_sum) for r in W.gc_back_to_back(df).collect())
     assert got == fold(pairs, 150, False)
-    got = sorted((ms(r.run_begin), ms(r.run_end), r.occurrences, r.duration_sum) for r in W.gc_time_frame(df, frame_ms=300, least_ms=100).collect())
-    assert got == fold(pairs, 300, True, 100)
+    # slices as short as a frame, so that frames reach over them
+    for slice_ms in (W.FRAME_SLICE_MS, 250):
+        got = sorted((ms(r.run_begin), ms(r.run_end), r.occurrences, r.duration_sum) for r in W.gc_time_frame(df, frame_ms=300, least_ms=100, slice_ms=slice_ms).collect())
+        assert got == fold(pairs, 300, True, 100)
+
+
+def test_slices_carry_over(spark):
+    """Lag and running sum over slices of time equal those of one window, null keys, null times and ties included."""
+    random.seed(9)
+    rows = [(random.choice(["a", "b", None]), None if k % 50 == 0 else at(random.randrange(20_000)), k, random.choice([None, 1, 5])) for k in range(600)]
+    df = spark.createDataFrame(rows, "node_id string, ts timestamp, nth long, v long")
+    key = lambda r: (str(r[0]), r[1] is not None, r[1] or START, r[2])
+    want, last, total = {}, {}, {}
+    for r in sorted(rows, key=key):
+        total[r[0]] = total.get(r[0], 0) + (r[3] or 0)
+        want[r[2]] = (last.get(r[0]), total[r[0]])
+        last[r[0]] = (r[2], r[3])
+    from pyspark.sql import functions as F
+
+    for slice_ms in (10, 700, 1e9):
+        got = W.sliced_lag(df, ["node_id"], ["ts", "nth"], ["nth", "v"], "before", slice_ms)
+        got = W.sliced_sum(got, ["node_id"], ["ts", "nth"], F.coalesce("v", F.lit(0)), "total", slice_ms)
+        assert {r.nth: (tuple(r.before) if r.before else None, r.total) for r in got.collect()} == want
+
+
+def test_continuous_runs(spark):
+    day = lambda x: START + dt.timedelta(days=x)
+    cases = {
+        "one long": ([(0, 5)], [(1, "DurationThresholdMet")]), "one short": ([(0, 1)], []), "two": ([(0, 3), (3.001, 5)], [(2, "DurationThresholdMet")]),
+        "three": ([(0, 2), (2.001, 4), (4.001, 5)], [(3, "ContinuousThresholdMet")]), "with a copy": ([(0, 5), (0, 5), (1, 2)], [(1, "ContinuousThresholdMet")]),
+        "gap": ([(0, 5), (7, 8), (8.001, 13)], [(1, "ContinuousThresholdMet"), (2, "DurationThresholdMet")]), "short, gap, long": ([(0, 1), (3, 8)], [(1, "DurationThresholdMet")]),
+    }
+    rows = [(n, False, f"{n}{k}", day(a), day(z), 10, 100) for n, (files, _) in cases.items() for k, (a, z) in enumerate(files)]
+    df = spark.createDataFrame(rows, "node_id string, is_debug boolean, path string, used_min timestamp, used_max timestamp, items long, size long")
+    got = W.log_continuous_runs(df).orderBy("node_id", "run_begin").collect()
+    assert {n: [(r.files, r.kind) for r in got if r.node_id == n] for n in cases} == {n: want for n, (_, want) in cases.items()}
+    assert all(r["items"] == 10 * r.files and r["size"] == 100 * r.files for r in got)
 
 
 def test_log_file_gaps(spark):
@@ -78,7 +113,7 @@ def test_sessions_and_orphans(spark):
     df = spark.createDataFrame([("n", "s", k, t, x) for k, t, x in rows], "node_id string, session_key string, event_id long, ts timestamp, type long")
     got = {r.event_id: (r.session_id, r.duration_ms, r.orphaned) for r in J.pair_sessions(df).collect()}
     assert got == {0: (None, None, True), 1: ("1", None, False), 2: ("1", None, False), 3: ("1", 20.0, False), 4: ("4", None, True), 5: ("5", None, False), 6: ("5", 10.0, False), 7: (None, None, True), 8: ("8", None, True)}
-    assert sorted(r.event_id for r in J.orphan_events(J.pair_sessions(df)).collect()) == [0, 4, 7, 8]
+    assert sorted(r.event_id for r in J.orphan_events(J.repair_orphans(J.pair_sessions(df))).collect()) == [0, 4, 7, 8]
 
 
 @pytest.mark.parametrize("n", [0, 1, 30])
@@ -115,6 +150,9 @@ def test_time_frame_of_a_node_without_a_pause(spark):
     ms = lambda t: round((t - START).total_seconds() * 1000)
     assert sorted((ms(r.run_begin), ms(r.run_end), r.occurrences, r.duration_sum) for r in rows.collect()) == fold(pairs, 300, True, 100)
     assert "collect_list" not in rows._jdf.queryExecution().toString()
+    got = W.gc_time_frame(df, frame_ms=300, least_ms=100, slice_ms=10_000).collect()
+    assert sorted((ms(r.run_begin), ms(r.run_end), r.occurrences, r.duration_sum) for r in got) == fold(pairs, 300, True, 100)
+    assert all((r.duration_min, r.duration_mean, r.duration_std) == (60.0, 60.0, 0.0) for r in got)
 
 
 def test_groups_are_numbered_without_one_window_over_all(spark):
