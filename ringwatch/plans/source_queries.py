@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import json as Js
+from ..sources import logs as L
 from ..sources import text as T
 from . import driver as D
 from .driver import EV, rounded
@@ -35,6 +38,19 @@ def _text(*parts) -> Column:
 _POOLS = "SELECT node_id, event_type, count(*)::BIGINT AS n, max(k) AS k FROM ev GROUP BY ALL"
 
 
+@query("read_log_range", f"""WITH {EV} SELECT event_id, node_id, us // 1000 AS ms, 1 + event_id % 2 AS lines FROM ev WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08 12:00:00'""")
+def read_log_range(spark, d):
+    """A log per node, written as a text file in the order of time, of which three and a half days are read."""
+    rows = D.events(spark, d).select("node_id", "ts", "event_id")
+    head = F.concat(F.lit("INFO  [t:1] "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" A.java:1 - event "), F.col("event_id").cast("string"))
+    rows = rows.select("node_id", "ts", "event_id", F.when(F.col("event_id") % 2 == 1, F.concat(head, F.lit("\n  at x"))).otherwise(head).alias("value"))
+    folder = f"{D.scratch(spark)}/logs-{uuid.uuid4().hex}"
+    rows.repartition("node_id").sortWithinPartitions("node_id", "ts", "event_id").select("node_id", "value").write.partitionBy("node_id").text(folder)
+    read = L.read_log_range(spark, folder, zone=spark.conf.get("spark.sql.session.timeZone"), node_pattern=r"node_id=(\w+)").filter((F.col("ts") >= F.timestamp_micros(F.lit(int(1704412800e6)))) & (F.col("ts") < F.timestamp_micros(F.lit(int(1704715200e6)))))
+    records = L.assemble_log_records(read)
+    return records.select(F.regexp_extract("line", "event ([0-9]+)$", 1).cast("long").alias("event_id"), "node_id", F.floor(F.unix_micros(F.regexp_replace(F.regexp_extract("line", r"\] (\S+ \S+)", 1), ",", ".").cast("timestamp")) / 1000).alias("ms"), (F.size("extra") + 1).cast("long").alias("lines"))
+
+
 @query("read_pool_stats", f"""WITH {EV}, g AS ({_POOLS}), a AS (SELECT node_id, event_type AS e, unnest(['Active', 'Pending', 'Completed', 'Blocked', 'All time blocked', 'Dropped']) AS c, unnest([n, k, n + k, 0, 7, k]) AS v FROM g)
 SELECT node_id, CASE c WHEN 'Dropped' THEN e || '_MSG.Dropped' ELSE 'Pool Name.' || e || ' Stage.' || c END AS attr, v::DOUBLE AS num_value FROM a""")
 def read_pool_stats(spark, d):
