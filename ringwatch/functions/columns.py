@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,16 +41,31 @@ def normalize_units(text: Column) -> Column:
     Sizes become MiB, times ms, sizes per time MiB/sec, percentages fractions; other units stay as written. NaN,
     texts without a number and versions such as 1.2.3 give a null value.
     """
-    t = F.trim(text)
-    number = F.regexp_replace(F.regexp_extract(t, r"^([+-]?[0-9][0-9,]*\.?[0-9]*(?:[eE][+-]?[0-9]+)?)", 1), ",", "").try_cast("double")
-    unit = F.lower(F.trim(F.regexp_extract(t, r"^(?:NaN|[+-]?[0-9][0-9,]*\.?[0-9]*(?:[eE][+-]?[0-9]+)?)\s*(.*)$", 1)))
-    number = F.when(~unit.startswith("."), number)
-    per = F.split(unit, "/")
-    top, low = F.trim(F.element_at(per, 1)), F.trim(F.try_element_at(per, F.lit(2)))
-    size, time = _factor(top, SIZE_MIB), _factor(unit, TIME_MS)
-    value = F.when(unit == "%", number / 100).when(low.isNotNull() & size.isNotNull(), number * size / (_factor(low, TIME_MS) / 1000.0)).when(size.isNotNull() & low.isNull(), number * size).when(time.isNotNull(), number * time).otherwise(number)
-    name = F.when(unit == "%", "%").when(low.isNotNull() & size.isNotNull(), "MiB/sec").when(size.isNotNull() & low.isNull(), "MiB").when(time.isNotNull(), "ms").otherwise(unit)
-    return F.when(text.isNotNull(), F.struct(value.alias("value"), name.alias("unit")))
+    pattern = r"^([+-]?[0-9][0-9,]*\.?[0-9]*(?:[eE][+-]?[0-9]+)?)"
+
+    def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+        """f of a value that is computed once, however often f reads it."""
+        return F.transform(F.array(value), f)[0]
+
+    def parts(x: Column) -> Column:
+        rest = F.when(x["number"] != "", F.substring(x["text"], F.length(x["number"]) + 1, F.length(x["text"]))).when(x["text"].startswith("NaN"), F.substring(x["text"], F.lit(4), F.length(x["text"]))).otherwise("")
+        return F.struct(F.regexp_replace(x["number"], ",", "").try_cast("double").alias("number"), F.lower(F.trim(F.substring_index(rest, "\n", 1))).alias("unit"))
+
+    def factors(x: Column) -> Column:
+        per = F.split(x["unit"], "/")
+        top, low = F.trim(F.element_at(per, 1)), F.trim(F.try_element_at(per, F.lit(2)))
+        number = F.when(~x["unit"].startswith("."), x["number"])
+        return F.struct(number.alias("number"), x["unit"].alias("unit"), low.isNotNull().alias("per"), _factor(top, SIZE_MIB).alias("size"), _factor(x["unit"], TIME_MS).alias("time"), _factor(low, TIME_MS).alias("low"))
+
+    def scaled(x: Column) -> Column:
+        number, unit, per, size, time = x["number"], x["unit"], x["per"], x["size"], x["time"]
+        rate, whole = per & size.isNotNull(), size.isNotNull() & ~per
+        value = F.when(unit == "%", number / 100).when(rate, number * size / (x["low"] / 1000.0)).when(whole, number * size).when(time.isNotNull(), number * time).otherwise(number)
+        name = F.when(unit == "%", "%").when(rate, "MiB/sec").when(whole, "MiB").when(time.isNotNull(), "ms").otherwise(unit)
+        return F.struct(value.alias("value"), name.alias("unit"))
+
+    matched = bound(F.trim(text), lambda t: F.struct(t.alias("text"), F.regexp_extract(t, pattern, 1).alias("number")))
+    return F.when(text.isNotNull(), bound(bound(bound(matched, parts), factors), scaled))
 
 
 def prop_number(props: Column, key: str, default: float = -1.0) -> Column:
