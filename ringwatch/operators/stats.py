@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import THRESHOLDS, attr_weight, config_property, config_value_normalize, has_flag, lcs_parse, weigh
 from ..schema import EVENT_CLASSES, INSTANCE_KINDS, NODE_STATES
+from .joins import device_utilization
 
 
 def with_one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
@@ -50,6 +51,25 @@ def node_measures(stats: DataFrame, measures: Mapping[str, str] = MEASURES, user
     return stats.filter(F.col("attr").isin(*measures.values())).groupBy("dc", "node_id").agg(*each)
 
 
+#: Tables whose writes tell lightweight transactions and batches, and whose reads and writes tell node syncs.
+SPECIAL_TABLES = {"lwt": ("system.paxos",), "batch": ("system.batchlog", "system.batches"), "node_sync": ("system_distributed.nodesync_status", "system_distributed.nodesync_user_validations")}
+#: Fixed value: the attribute of compactions that lacked space.
+NO_SPACE = "Compaction Insufficient Space"
+
+
+def special_writes(stats: DataFrame, keys: Sequence[str], reads: str = MEASURES["reads"], writes: str = MEASURES["writes"], tables: Mapping[str, Sequence[str]] = SPECIAL_TABLES, no_space: str = NO_SPACE) -> DataFrame:
+    """Per key: the share of lightweight transactions and of batches in all writes (lwt_pct, batch_pct, null without any), the number of
+    node syncs (node_sync_count, null without any), and of warnings that a compaction lacked space (no_space, null without any).
+
+    stats (keys, keyspace, table_name, attr, num_value): they are told by the writes to system tables, node syncs by reads too."""
+    attr, value = F.col("attr"), F.coalesce("num_value", F.lit(0.0))
+    of = lambda kind, *attrs: F.sum(F.when(attr.isin(*attrs) & F.concat_ws(".", "keyspace", "table_name").isin(*tables[kind]), value))
+    some = lambda c: F.when(c > 0, c)
+    whole = F.sum(F.when(attr == writes, value))
+    rows = stats.filter(attr.isin(reads, writes, no_space))
+    return rows.groupBy(*keys).agg(F.try_divide(some(of("lwt", writes)), whole).alias("lwt_pct"), F.try_divide(some(of("batch", writes)), whole).alias("batch_pct"), some(of("node_sync", reads, writes)).alias("node_sync_count"), some(F.count_if((attr == no_space) & F.col("num_value").isNotNull())).alias("no_space"))
+
+
 #: Counts of node states: a state counts where it has all bits of the first mask and none of the second.
 STATE_COUNTS = {
     "starts": (NODE_STATES["Started"], NODE_STATES["Restarted"]), "restarts": (NODE_STATES["Restarted"], 0), "long_pauses": (NODE_STATES["LongPause"], 0),
@@ -71,7 +91,9 @@ def datacenter_summary(nodes: DataFrame, stats: DataFrame, events: DataFrame, me
 
     nodes (dc, node_id, status) with `kinds`, an array, also give the number of nodes of each instance kind and of those
     without any; with data_used_pct the extremes and mean of the data devices and their nodes. states (dc, state) give the
-    counts of node_state_counts. Equal extremes name the larger node for max, the smaller for min."""
+    counts of node_state_counts. Nodes with `version` also give the version that all of them have, 'MisMatched' where they
+    differ or, with `schema_version`, have different schemas; with `uptime_hours` its mean. stats with a table_name give the shares of
+    special_writes. Equal extremes name the larger node for max, the smaller for min."""
     extremes = lambda c: [F.max(c).alias(f"{c}_max"), F.max_by("node_id", F.when(F.col(c).isNotNull(), F.struct(c, "node_id"))).alias(f"{c}_max_node"), F.min(c).alias(f"{c}_min"), F.min_by("node_id", F.when(F.col(c).isNotNull(), F.struct(c, "node_id"))).alias(f"{c}_min_node"), F.avg(c).alias(f"{c}_avg")]
     per = node_measures(stats, measures, user)
     each = [e for m in measures for e in (*extremes(m), F.stddev_pop(m).alias(f"{m}_std"), F.sum(m).alias(f"{m}_total"), F.try_divide(F.sum(f"user_{m}"), F.sum(m)).alias(f"{m}_user_pct"))]
@@ -85,16 +107,39 @@ def datacenter_summary(nodes: DataFrame, stats: DataFrame, events: DataFrame, me
         facts.append(F.count_if(~(has(INSTANCE_KINDS[0]) | has(INSTANCE_KINDS[1]) | has(INSTANCE_KINDS[2]) | has(INSTANCE_KINDS[3]))).alias("other_nodes"))
     if "data_used_pct" in nodes.columns:
         facts += extremes("data_used_pct")
+    if "version" in nodes.columns:
+        differ = F.count_distinct("version") > 1
+        if "schema_version" in nodes.columns:
+            differ |= (F.count_distinct("schema_version") > 1) & (F.count("version") > 0)
+        facts.append(F.when(differ, "MisMatched").otherwise(F.max("version")).alias("version"))
+    if "uptime_hours" in nodes.columns:
+        facts.append(F.avg("uptime_hours").alias("uptime_hours"))
     totals = with_one_row(per.groupBy("dc").agg(*each), per.agg(*[F.sum(m).alias(f"_whole_{m}") for m in measures]))
     totals = totals.select(*[c for c in totals.columns if not c.startswith("_whole_")], *[F.try_divide(F.col(f"{m}_total"), F.col(f"_whole_{m}")).alias(f"{m}_pct") for m in measures])
     out = nodes.groupBy("dc").agg(*facts).join(totals, "dc", "left").join(counts, "dc", "left")
+    if "table_name" in stats.columns and {"reads", "writes"} <= set(measures):
+        out = out.join(special_writes(stats, ["dc"], measures["reads"], measures["writes"]), "dc", "left")
     return out if states is None else out.join(node_state_counts(states, ["dc"]), "dc", "left").fillna(0, list(STATE_COUNTS))
 
 
-def node_summary(nodes: DataFrame, stats: DataFrame, events: DataFrame, files: DataFrame | None = None, measures: Mapping[str, str] = MEASURES) -> DataFrame:
-    """Per node: its facts, the sums of the measures, event totals, and the range and number of its log files."""
-    counts = events.groupBy("node_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(_class("MemtableFlush")).alias("flushes"), F.count_if(_class("Compaction")).alias("compactions"), F.count_if(_class("GC")).alias("gcs"), F.count_if(_class("Repair")).alias("repairs"))
-    out = nodes.join(node_measures(stats, measures).drop("dc"), "node_id", "left").join(counts, "node_id", "left")
+def node_summary(nodes: DataFrame, stats: DataFrame, events: DataFrame, files: DataFrame | None = None, measures: Mapping[str, str] = MEASURES, states: DataFrame | None = None, mounts: DataFrame | None = None) -> DataFrame:
+    """Per node: its facts, the sums of the measures and each one's share of the data center's, event totals, and the range and number
+    of its log files. Flush and compaction counts need a keyspace, GC and repair counts don't.
+
+    states (node_id, state) give the counts of node_state_counts; mounts (node_id, mount, used_pct) the utilisation of the
+    node's devices, as device_utilization does; stats with a table_name the shares of special_writes."""
+    named = F.col("keyspace").isNotNull()
+    counts = events.groupBy("node_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(_class("MemtableFlush") & named).alias("flushes"), F.count_if(_class("Compaction") & named).alias("compactions"), F.count_if(_class("GC")).alias("gcs"), F.count_if(_class("Repair")).alias("repairs"))
+    per = node_measures(stats, measures)
+    whole = per.groupBy("dc").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
+    per = per.join(whole, "dc", "left").select("node_id", *[c for m in measures for c in (m, f"user_{m}")], *[F.try_divide(F.col(m), F.col(f"_{m}")).alias(f"{m}_pct") for m in measures])
+    out = nodes.join(per, "node_id", "left").join(counts, "node_id", "left")
+    if "table_name" in stats.columns and {"reads", "writes"} <= set(measures):
+        out = out.join(special_writes(stats, ["node_id"], measures["reads"], measures["writes"]), "node_id", "left")
+    if states is not None:
+        out = out.join(node_state_counts(states), "node_id", "left").fillna(0, list(STATE_COUNTS))
+    if mounts is not None:
+        out = device_utilization(out, mounts)
     if files is not None:
         ranges = files.groupBy("node_id").agg(F.min("used_min").alias("log_min"), F.max("used_max").alias("log_max"), F.count(F.lit(1)).alias("log_files"))
         out = out.join(ranges, "node_id", "left")
@@ -318,7 +363,9 @@ def keyspace_object_counts(objects: DataFrame) -> DataFrame:
     objects. objects (keyspace, name, kind, compaction, active).
 
     With index_kind (INDEX_KINDS) also the indexes of each kind. The share is that of tables, views and indexes, search
-    indexes (solr) left out; null without any."""
+    indexes (solr) left out; null without any. Of these columns each that is there gives its largest value: read_repair_chance,
+    dc_read_repair_chance, gc_grace_s, ttl_s (negative ones and nulls are unknown); of order_by, compact_storage and node_sync,
+    booleans, the number of tables and views that have it."""
     kind, plan = F.col("kind"), F.col("compaction")
     kinds = [F.count_if(kind == k).alias(f"{k}s") for k in ("table", "view", "index", "type", "function", "trigger")]
     plans = [F.count_if((kind == "table") & (plan == s)).alias(s.lower()) for s in STRATEGIES]
@@ -328,7 +375,10 @@ def keyspace_object_counts(objects: DataFrame) -> DataFrame:
         kinds += [F.count_if((kind == "index") & (F.col("index_kind") == k)).alias(f"{k}_indexes") for k in INDEX_KINDS]
         stored &= ~((kind == "index") & F.coalesce(F.col("index_kind") == "solr", F.lit(False)))
     active = F.try_divide(F.count_if(stored & F.col("active")), F.count_if(stored)).alias("active_pct")
-    return objects.groupBy("keyspace").agg(*kinds, *plans, active)
+    more = [F.max(F.when(F.col(c) >= 0, F.col(c))).alias(f"{c}_max") for c in ("read_repair_chance", "dc_read_repair_chance", "gc_grace_s", "ttl_s") if c in objects.columns]
+    more += [F.count_if(kind.isin("table", "view") & F.col(c)).alias(f"{c}_tables") for c in ("order_by", "compact_storage", "node_sync") if c in objects.columns]
+    total = F.count_if(kind.isin("table", "view", "index", "type", "function", "trigger")).alias("objects")
+    return objects.groupBy("keyspace").agg(*kinds, *plans, total, F.count_if(stored & F.col("active")).alias("active"), active, *more)
 
 
 def column_feature_counts(columns: DataFrame) -> DataFrame:

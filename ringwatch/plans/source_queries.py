@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import json as Js
@@ -174,3 +175,28 @@ def read_schema_objects(spark, d):
 @query("read_schema_columns", "SELECT p_type AS keyspace, 't' || p_partkey AS table_name, 'id' AS name, p_brand AS cql_type, 'partition_key' AS kind, 0 AS position FROM part")
 def read_schema_columns(spark, d):
     return Js.read_schema_columns(_schema_documents(spark, d))
+
+
+@query("read_insights", "SELECT s_suppkey::VARCHAR AS node_id, (DATE '2024-01-01' + (s_suppkey % 3)::INTEGER)::VARCHAR AS day, s_suppkey * 1000000 AS us, s_acctbal AS value FROM supplier WHERE s_suppkey % 2 = 0")
+def read_insights(spark, d):
+    """Documents of two kinds and three days, written in their folders; one kind is read."""
+    k = F.col("s_suppkey")
+    metadata = F.struct(F.concat(F.lit("m"), (k % 2).cast("string")).alias("name"), (k * 1000).alias("timestamp"))
+    rows = D.table(spark, d, "supplier").select(metadata.alias("metadata"), F.struct(k.cast("string").alias("node"), F.col("s_acctbal").alias("value")).alias("data"), F.concat(F.lit("m"), (k % 2).cast("string")).alias("name"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 3).cast("int")).alias("day"))
+    folder = f"{D.scratch(spark)}/insights-{uuid.uuid4().hex}"
+    rows.write.partitionBy("name", "day").json(folder)
+    read = Js.read_insights(spark, folder, "metadata struct<name:string,timestamp:bigint>, data struct<node:string,value:double>", "m0")
+    return read.select(F.col("data.node").alias("node_id"), F.col("day").cast("string").alias("day"), F.unix_micros("ts").alias("us"), F.col("data.value").alias("value"))
+
+
+@query("write_results", f"""WITH {EV}, g AS (SELECT us // 1800000000 * 1800000000 AS bucket, node_id, count(*)::BIGINT AS n, min(us) AS first_ts FROM ev GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY bucket, first_ts, node_id) AS place FROM g""")
+def write_results(spark, d):
+    """A result table written twice in the order of its rows and read again, with each row's place in the files."""
+    rows = D.events(spark, d).groupBy((F.floor(F.unix_micros("ts") / 1_800_000_000) * 1_800_000_000).alias("bucket"), "node_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros("ts")).alias("first_ts"))
+    root = f"{D.scratch(spark)}/results-{uuid.uuid4().hex}"
+    for run in ("r1", "r2", "r2"):
+        Js.write_results({"log_aggregation": rows}, root, run, {"log_aggregation": ("bucket", "first_ts", "node_id")})
+    read = Js.read_history(spark, root, "log_aggregation").filter("run_id = 'r2'").select("bucket", "node_id", "n", "first_ts", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    sizes = read.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("path", (F.sum("size").over(W.orderBy("path")) - F.col("size")).alias("before"))
+    return read.join(before, "path").select("bucket", "node_id", "n", "first_ts", (F.col("before") + F.col("row") + 1).alias("place"))

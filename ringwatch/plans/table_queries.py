@@ -13,7 +13,7 @@ from ..schema import EVENT_CLASSES, NODE_STATES
 from ..sources import text as T
 from . import driver as D
 from . import flows
-from .driver import CF, EV, RG, ST, TC, rounded
+from .driver import CF, EV, LF, RG, ST, TC, rounded
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,8 +42,9 @@ def filter_keyspaces(spark, d):
 
 @query("datacenter_summary", f"""WITH {EV}, {_NODE}, n AS (SELECT s_nationkey::VARCHAR AS dc, count(*)::BIGINT AS nodes, count(*) FILTER (s_acctbal > 5000)::BIGINT AS nodes_up, count(*) FILTER (s_acctbal BETWEEN 0 AND 5000)::BIGINT AS nodes_down, count(*) FILTER (s_acctbal < 0)::BIGINT AS nodes_unknown,
  count(*) FILTER (s_suppkey % 3 = 0)::BIGINT AS cassandra_nodes, count(*) FILTER (s_suppkey % 3 = 1)::BIGINT AS search_nodes, count(*) FILTER (s_suppkey % 3 < 2 AND s_suppkey % 2 = 0)::BIGINT AS multiinstance_nodes, count(*) FILTER (s_suppkey % 3 = 2)::BIGINT AS other_nodes,
- max(u) AS data_used_pct_max, arg_max(s_suppkey::VARCHAR, (u, s_suppkey::VARCHAR)) FILTER (u IS NOT NULL) AS data_used_pct_max_node, min(u) AS data_used_pct_min, arg_min(s_suppkey::VARCHAR, (u, s_suppkey::VARCHAR)) FILTER (u IS NOT NULL) AS data_used_pct_min_node, round(avg(u), 2) AS data_used_pct_avg
- FROM (SELECT *, CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 90)::DOUBLE END AS u FROM supplier) GROUP BY 1),
+ max(u) AS data_used_pct_max, arg_max(s_suppkey::VARCHAR, (u, s_suppkey::VARCHAR)) FILTER (u IS NOT NULL) AS data_used_pct_max_node, min(u) AS data_used_pct_min, arg_min(s_suppkey::VARCHAR, (u, s_suppkey::VARCHAR)) FILTER (u IS NOT NULL) AS data_used_pct_min_node, round(avg(u), 2) AS data_used_pct_avg,
+ CASE WHEN count(DISTINCT v) > 1 THEN 'MisMatched' ELSE max(v) END AS version, round(avg(s_suppkey % 50), 2) AS uptime_hours
+ FROM (SELECT *, CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 90)::DOUBLE END AS u, CASE WHEN s_nationkey % 2 = 0 THEN '6.8.1' WHEN s_suppkey % 2 = 0 THEN '6.8.2' ELSE '6.8.3' END AS v FROM supplier) GROUP BY 1),
 c AS (SELECT (user_id % 25)::VARCHAR AS dc, count(*)::BIGINT AS events, count(*) FILTER (event_type = 'purchase' AND k % 2 = 0)::BIGINT AS flushes, count(*) FILTER (event_type = 'click' AND k % 2 = 0)::BIGINT AS compactions, count(*) FILTER (event_type = 'error')::BIGINT AS gcs, count(*) FILTER (event_type = 'signup')::BIGINT AS repairs,
  count(*) FILTER (event_type = 'signup' AND k % 2 = 0)::BIGINT AS starts, count(*) FILTER (event_type = 'signup' AND k % 2 <> 0)::BIGINT AS restarts, count(*) FILTER (event_type = 'error')::BIGINT AS long_pauses, count(*) FILTER (event_type = 'view')::BIGINT AS network_events FROM ev GROUP BY 1),
 p AS (SELECT dc, round(max(reads), 2) AS reads_max, arg_max(node_id, (reads, node_id)) AS reads_max_node, round(min(reads), 2) AS reads_min, arg_min(node_id, (reads, node_id)) AS reads_min_node, round(avg(reads), 2) AS reads_avg, round(stddev_pop(reads), 2) AS reads_std, round(sum(reads), 2) AS reads_total, round(sum(reads) / (SELECT sum(reads) FROM per), 2) AS reads_pct, round(sum(user_reads) / sum(reads), 2) AS reads_user_pct, round(sum(writes), 2) AS writes_total FROM per GROUP BY dc)
@@ -52,22 +53,43 @@ def datacenter_summary(spark, d):
     k, balance = F.col("s_suppkey"), F.col("s_acctbal")
     kinds = F.array_compact(F.array(F.when(k % 3 == 0, "Cassandra"), F.when(k % 3 == 1, "Search"), F.when((k % 3 < 2) & (k % 2 == 0), "MultiInstance")))
     status = F.when(balance > 5000, "Up").when(balance >= 0, "Down")
-    nodes = D.table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("dc"), k.cast("string").alias("node_id"), status.alias("status"), kinds.alias("kinds"), F.when(k % 4 > 0, (k % 90).cast("double")).alias("data_used_pct"))
+    nodes = D.table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("dc"), k.cast("string").alias("node_id"), status.alias("status"), kinds.alias("kinds"), F.when(k % 4 > 0, (k % 90).cast("double")).alias("data_used_pct"),
+        F.when(F.col("s_nationkey") % 2 == 0, "6.8.1").when(k % 2 == 0, "6.8.2").otherwise("6.8.3").alias("version"), (k % 50).cast("double").alias("uptime_hours"))
     events = D.events(spark, d).withColumns({"dc": (F.col("user_id") % 25).cast("string"), "keyspace": F.when(F.col("k") % 2 == 0, F.col("keyspace"))})
     bit, kind = NODE_STATES, F.col("event_type")
     state = F.when((kind == "signup") & (F.col("k") % 2 == 0), bit["Started"]).when(kind == "signup", bit["Started"] | bit["Restarted"]).when(kind == "error", bit["Paused"] | bit["LongPause"]).when(kind == "view", bit["NetworkEvent"]).otherwise(0)
     out = S.datacenter_summary(nodes, D.long_stats(spark, d), events, MEASURES, F.col("keyspace") != "ECONOMY", states=events.select("dc", state.alias("state"))).filter("reads_max is not null and events is not null")
-    columns = """dc nodes nodes_up nodes_down nodes_unknown cassandra_nodes search_nodes multiinstance_nodes other_nodes data_used_pct_max data_used_pct_max_node data_used_pct_min data_used_pct_min_node data_used_pct_avg
+    columns = """dc nodes nodes_up nodes_down nodes_unknown cassandra_nodes search_nodes multiinstance_nodes other_nodes data_used_pct_max data_used_pct_max_node data_used_pct_min data_used_pct_min_node data_used_pct_avg version uptime_hours
     events flushes compactions gcs repairs starts restarts long_pauses network_events reads_max reads_max_node reads_min reads_min_node reads_avg reads_std reads_total reads_pct reads_user_pct writes_total""".split()
     return rounded(out.select(*columns), 2)
 
 
-@query("node_summary", f"""WITH {EV}, {_NODE}, c AS (SELECT (user_id % 100)::VARCHAR AS node_id, count(*)::BIGINT AS events, count(*) FILTER (event_type = 'error')::BIGINT AS gcs FROM ev GROUP BY 1)
-SELECT per.dc, per.node_id, round(reads, 2) AS reads, round(writes, 2) AS writes, events, gcs FROM per JOIN c USING (node_id)""")
+_SPECIAL = {"lwt": ("PROMO.Brand#1",), "batch": ("ECONOMY.Brand#2", "STANDARD.Brand#3"), "node_sync": ("SMALL.Brand#4", "LARGE.Brand#1")}
+
+
+@query("special_writes", f"""WITH {ST}, x AS (SELECT dc, attr, num_value, keyspace || '.' || table_name AS t FROM (SELECT dc, attr, num_value, split_part(keyspace, ' ', 1) AS keyspace, substr(table_name, 1, 7) AS table_name FROM st))
+SELECT dc, round(nullif(sum(num_value) FILTER (attr = 'price' AND t = 'PROMO.Brand#1'), 0) / sum(num_value) FILTER (attr = 'price'), 6) AS lwt_pct, round(nullif(sum(num_value) FILTER (attr = 'price' AND t IN ('ECONOMY.Brand#2', 'STANDARD.Brand#3')), 0) / sum(num_value) FILTER (attr = 'price'), 6) AS batch_pct,
+round(nullif(sum(num_value) FILTER (attr IN ('price', 'quantity') AND t IN ('SMALL.Brand#4', 'LARGE.Brand#1')), 0), 2) AS node_sync_count, nullif(count(*) FILTER (attr = 'tax'), 0)::BIGINT AS no_space FROM x GROUP BY dc""")
+def special_writes(spark, d):
+    """The first words of keyspaces and tables, so that the special tables have rows."""
+    stats = D.long_stats(spark, d).withColumns({"keyspace": F.substring_index("keyspace", " ", 1), "table_name": F.substring("table_name", 1, 7)})
+    out = S.special_writes(stats, ["dc"], "quantity", "price", _SPECIAL, "tax")
+    return out.select("dc", F.round("lwt_pct", 6).alias("lwt_pct"), F.round("batch_pct", 6).alias("batch_pct"), F.round("node_sync_count", 2).alias("node_sync_count"), "no_space")
+
+
+@query("node_summary", f"""WITH {EV}, {_NODE}, c AS (SELECT (user_id % 100)::VARCHAR AS node_id, count(*)::BIGINT AS events, count(*) FILTER (event_type = 'purchase' AND k % 2 = 0)::BIGINT AS flushes, count(*) FILTER (event_type = 'click' AND k % 2 = 0)::BIGINT AS compactions, count(*) FILTER (event_type = 'error')::BIGINT AS gcs, count(*) FILTER (event_type = 'signup')::BIGINT AS repairs,
+ count(*) FILTER (event_type = 'signup' AND k % 2 = 0)::BIGINT AS starts, count(*) FILTER (event_type = 'signup' AND k % 2 <> 0)::BIGINT AS restarts, count(*) FILTER (event_type = 'error')::BIGINT AS dead FROM ev GROUP BY 1)
+SELECT per.dc, per.node_id, round(reads, 2) AS reads, round(user_reads, 2) AS user_reads, round(writes, 2) AS writes, round(reads / sum(reads) OVER (PARTITION BY per.dc), 2) AS reads_pct, events, flushes, compactions, gcs, repairs, starts, restarts, dead,
+ CASE WHEN per.node_id::BIGINT % 3 > 0 THEN (per.node_id::BIGINT % 70)::DOUBLE END AS data_used_pct FROM (SELECT dc, node_id, reads, reads AS user_reads, writes FROM per) per LEFT JOIN c USING (node_id) QUALIFY events IS NOT NULL""")
 def node_summary(spark, d):
-    nodes = D.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("node_id"), F.col("s_nationkey").cast("string").alias("dc"))
-    events = D.events(spark, d).withColumn("node_id", (F.col("user_id") % 100).cast("string"))
-    return rounded(S.node_summary(nodes, D.long_stats(spark, d), events, measures=MEASURES).filter("reads is not null and events is not null").select("dc", "node_id", "reads", "writes", "events", "gcs"), 2)
+    k, bit, kind = F.col("s_suppkey"), NODE_STATES, F.col("event_type")
+    suppliers = D.table(spark, d, "supplier")
+    nodes = suppliers.select(k.cast("string").alias("node_id"), F.col("s_nationkey").cast("string").alias("dc"), F.array(F.concat(F.lit("sd"), k.cast("string"))).alias("data_devices"))
+    mounts = suppliers.filter(k % 3 > 0).select(k.cast("string").alias("node_id"), F.concat(F.lit("/dev/sd"), k.cast("string")).alias("mount"), (k % 70).cast("double").alias("used_pct"))
+    events = D.events(spark, d).withColumns({"node_id": (F.col("user_id") % 100).cast("string"), "keyspace": F.when(F.col("k") % 2 == 0, F.col("keyspace"))})
+    state = F.when((kind == "signup") & (F.col("k") % 2 == 0), bit["Started"]).when(kind == "signup", bit["Started"] | bit["Restarted"]).when(kind == "error", bit["Dead"]).otherwise(0)
+    out = S.node_summary(nodes, D.long_stats(spark, d), events, measures=MEASURES, states=events.select("node_id", state.alias("state")), mounts=mounts).filter("reads is not null and events is not null")
+    return rounded(out.select("dc", "node_id", "reads", "user_reads", "writes", "reads_pct", "events", "flushes", "compactions", "gcs", "repairs", "starts", "restarts", "dead", "data_used_pct"), 2)
 
 
 @query("percent_of_total", f"WITH {TC} SELECT node_id, keyspace, table_name, round(reads / sum(reads) OVER (), 8) AS reads_pct, round(keys / sum(keys) OVER (), 8) AS keys_pct FROM tc")
@@ -180,16 +202,19 @@ def attach_dependents_count(spark, d):
     return J.attach_dependents_count(part.select(F.col("p_type").alias("keyspace"), F.col("p_brand").alias("table_name")).distinct(), objects)
 
 
-@query("keyspace_object_counts", """WITH o AS (SELECT p_type AS keyspace, CASE p_size % 7 WHEN 0 THEN 'index' WHEN 1 THEN 'view' WHEN 2 THEN 'type' WHEN 3 THEN 'function' WHEN 4 THEN 'trigger' ELSE 'table' END AS kind, ['STCS', 'LCS', 'DTCS', 'TCS', 'TWCS', 'UCS'][p_partkey % 6 + 1] AS c, p_retailprice > 950 AS a, ['secondary', 'solr', 'sasi', 'custom'][p_partkey % 4 + 1] AS i FROM part)
+@query("keyspace_object_counts", """WITH o AS (SELECT p_type AS keyspace, CASE p_size % 7 WHEN 0 THEN 'index' WHEN 1 THEN 'view' WHEN 2 THEN 'type' WHEN 3 THEN 'function' WHEN 4 THEN 'trigger' ELSE 'table' END AS kind, ['STCS', 'LCS', 'DTCS', 'TCS', 'TWCS', 'UCS'][p_partkey % 6 + 1] AS c, p_retailprice > 950 AS a, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 11 - 1 END AS g, p_size % 4 = 0 AS cs, ['secondary', 'solr', 'sasi', 'custom'][p_partkey % 4 + 1] AS i FROM part)
 SELECT keyspace, count(*) FILTER (kind = 'table')::BIGINT AS tables, count(*) FILTER (kind = 'view')::BIGINT AS views, count(*) FILTER (kind = 'index')::BIGINT AS indexs, count(*) FILTER (kind = 'type')::BIGINT AS types, count(*) FILTER (kind = 'function')::BIGINT AS functions, count(*) FILTER (kind = 'trigger')::BIGINT AS triggers,
 count(*) FILTER (kind = 'index' AND i = 'secondary')::BIGINT AS secondary_indexes, count(*) FILTER (kind = 'index' AND i = 'solr')::BIGINT AS solr_indexes, count(*) FILTER (kind = 'index' AND i = 'sasi')::BIGINT AS sasi_indexes, count(*) FILTER (kind = 'index' AND i = 'custom')::BIGINT AS custom_indexes,
 count(*) FILTER (kind = 'table' AND c = 'STCS')::BIGINT AS stcs, count(*) FILTER (kind = 'table' AND c = 'LCS')::BIGINT AS lcs, count(*) FILTER (kind = 'table' AND c = 'DTCS')::BIGINT AS dtcs, count(*) FILTER (kind = 'table' AND c = 'TCS')::BIGINT AS tcs, count(*) FILTER (kind = 'table' AND c = 'TWCS')::BIGINT AS twcs, count(*) FILTER (kind = 'table' AND c = 'UCS')::BIGINT AS other_strategies,
-round(count(*) FILTER (a AND (kind IN ('table', 'view') OR (kind = 'index' AND i <> 'solr'))) / nullif(count(*) FILTER (kind IN ('table', 'view') OR (kind = 'index' AND i <> 'solr')), 0), 4) AS active_pct FROM o GROUP BY keyspace""")
+round(count(*) FILTER (a AND (kind IN ('table', 'view') OR (kind = 'index' AND i <> 'solr'))) / nullif(count(*) FILTER (kind IN ('table', 'view') OR (kind = 'index' AND i <> 'solr')), 0), 4) AS active_pct,
+count(*)::BIGINT AS objects, count(*) FILTER (a AND (kind IN ('table', 'view') OR (kind = 'index' AND i <> 'solr')))::BIGINT AS active, max(g) FILTER (g >= 0) AS gc_grace_s_max, max(g * 2) FILTER (g >= 0) AS ttl_s_max, max(g / 10.0::DOUBLE) FILTER (g >= 0) AS read_repair_chance_max, count(*) FILTER (kind IN ('table', 'view') AND cs)::BIGINT AS compact_storage_tables FROM o GROUP BY keyspace""")
 def keyspace_object_counts(spark, d):
     size, key = F.col("p_size") % 7, F.col("p_partkey")
     kind = F.when(size == 0, "index").when(size == 1, "view").when(size == 2, "type").when(size == 3, "function").when(size == 4, "trigger").otherwise("table")
     one = lambda names: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
-    return rounded(S.keyspace_object_counts(D.table(spark, d, "part").select(F.col("p_type").alias("keyspace"), kind.alias("kind"), one([*S.STRATEGIES, "UCS"]).alias("compaction"), (F.col("p_retailprice") > 950).alias("active"), one(S.INDEX_KINDS).alias("index_kind"))))
+    grace = F.when(key % 3 > 0, key % 11 - 1)
+    return rounded(S.keyspace_object_counts(D.table(spark, d, "part").select(F.col("p_type").alias("keyspace"), kind.alias("kind"), one([*S.STRATEGIES, "UCS"]).alias("compaction"), (F.col("p_retailprice") > 950).alias("active"), one(S.INDEX_KINDS).alias("index_kind"),
+        grace.alias("gc_grace_s"), (grace * 2).alias("ttl_s"), (grace / 10).alias("read_repair_chance"), (F.col("p_size") % 4 == 0).alias("compact_storage"))))
 
 
 @query("column_feature_counts", """SELECT p_type AS keyspace, count(*)::BIGINT AS columns, count(*) FILTER (p_partkey % 8 IN (1, 2, 3))::BIGINT AS collections, count(*) FILTER (p_partkey % 8 IN (3, 4))::BIGINT AS blobs, count(*) FILTER (p_size % 5 = 0)::BIGINT AS static_columns,
@@ -449,6 +474,26 @@ def fact_table_stats(spark, d):
     return rounded(rows)
 
 
+@query("fact_machines", "SELECT s_nationkey::VARCHAR AS dc, s_suppkey::VARCHAR AS node_id, 'os' || (s_suppkey % 3) AS os, s_suppkey % 64 AS cores, NULL::VARCHAR AS memory_mib, s_acctbal AS heap_mib, NULL::VARCHAR AS timezone FROM supplier")
+def fact_machines(spark, d):
+    """Machines whose documents say nothing of memory and time zone."""
+    k = F.col("s_suppkey")
+    rows = D.table(spark, d, "supplier").select(k.cast("string").alias("node_id"), F.col("s_nationkey").cast("string").alias("dc"), (k % 64).alias("cores"), F.concat(F.lit("os"), (k % 3).cast("string")).alias("os"), F.col("s_acctbal").alias("heap_mib"), F.col("s_name").alias("name"))
+    return S.fact_tables({"machines": rows})["machines"]
+
+
+@query("fact_log_files", f"WITH {LF} SELECT dc, node_id, path, false AS is_debug, a AS used_min, z AS used_max, NULL::VARCHAR AS size_mib, items FROM lf")
+def fact_log_files(spark, d):
+    return rounded(S.fact_tables({"log_files": D.log_files(spark, d)})["log_files"])
+
+
+@query("fact_schema_objects", "SELECT p_type AS keyspace, p_name AS name, CASE WHEN p_size % 7 = 0 THEN 'view' ELSE 'table' END AS kind, CASE WHEN p_size % 7 = 0 THEN p_brand END AS base_table, NULL::VARCHAR AS compaction FROM part")
+def fact_schema_objects(spark, d):
+    view = F.col("p_size") % 7 == 0
+    rows = D.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("keyspace"), F.when(view, "view").otherwise("table").alias("kind"), F.when(view, F.col("p_brand")).alias("base_table"))
+    return S.fact_tables({"schema_objects": rows})["schema_objects"]
+
+
 @query("multi_instance_nodes", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000 AND s_nationkey % 2 = 0")
 def multi_instance_nodes(spark, d):
     rows = D.table(spark, d, "supplier").withColumns({"multi_instance": F.col("s_acctbal") > 5000, "server_id": F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name"))})

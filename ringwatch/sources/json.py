@@ -94,10 +94,25 @@ def read_insights(spark: SparkSession, root: str, schema: str, name: str, day: s
     return rows.withColumn("ts", F.timestamp_millis("metadata.timestamp"))
 
 
-def write_results(results: Mapping[str, DataFrame], root: str, run_id: str) -> None:
-    """Write each result table under root/<table>/run_id=<run>; a run that is written again replaces its own partition only."""
+#: The order of the rows of result tables, by table.
+RESULT_ORDER = {
+    "tagged": ("keyspace", "strategy", "table_name", "dc", "node_id"), "log_aggregation": ("bucket", "first_ts", "last_ts"), "common_keys": ("dc", "group_no", "keyspace", "table_name"),
+}
+
+
+def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df sorted over all its partitions by those of the columns that it has, nulls first: partitions of a range each, so no task sees
+    all rows. Written as files, their names and rows are in the order."""
+    by = [c for c in order if c in df.columns]
+    return df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+
+
+def write_results(results: Mapping[str, DataFrame], root: str, run_id: str, order: Mapping[str, Sequence[str]] = RESULT_ORDER) -> None:
+    """Write each result table under root/<table>/run_id=<run>, its rows in the table's order if it has one; a run that is written again
+    replaces its own partition only."""
     for name, df in results.items():
-        df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}")
+        rows = in_order(df, order.get(name, ()))
+        rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}")
 
 
 def read_history(spark: SparkSession, root: str, name: str) -> DataFrame:
