@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import exception_path, exception_path_text, has_flag, prop_non_negative, prop_number, prop_positive
-from ..schema import EVENT_CLASSES, EVENT_TYPES, ORPHANED
+from ..functions.columns import exception_path, exception_path_text, group_key_fields, has_flag, prop_non_negative, prop_number, prop_positive
+from ..schema import EVENT_CLASSES, EVENT_TYPES, LEVEL_MASK, ORPHANED
 from .stats import with_one_row
 
 
@@ -119,6 +119,28 @@ def log_aggregation(events: DataFrame, keys: Sequence[str], minutes: int = 30, g
     return rows.groupBy("bucket", *keys).agg(*head, *extra, *analytics_groups()[group])
 
 
+#: The columns that rows of the same kind of event have in common, besides bucket, data center and node.
+GROUP_KEY = ("keyspace", "table_name", "kind", "related", "exception", "exception_at")
+#: Properties that tell events of a class apart.
+BAGS = {"Tag": "tag", "Tag1": "tag1", "options": "options"}
+
+
+def with_group_key(events: DataFrame) -> DataFrame:
+    """events with the columns of GROUP_KEY: `kind`, the class without bits of level and orphan, `related`, the text of class, subclass, associated nodes, token ranges and tags that
+    group_key_fields makes, `exception`, the outermost exception, and `exception_at`, the path of the exceptions in each other.
+
+    A column that the events lack (keyspace, table_name, subclass, assoc_nodes, token_ranges, props, exception_path, exception) is null."""
+    kinds = {"keyspace": "string", "table_name": "string", "subclass": "string", "assoc_nodes": "array<string>", "token_ranges": "array<struct<start:string,end:string>>", "exception": "string", "exception_path": "array<string>", "props": "map<string,string>"}
+    rows = events.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in events.columns})
+    ranges = F.transform("token_ranges", lambda r: F.concat(F.lit("("), r["start"], F.lit(","), r["end"], F.lit("]")))
+    bags = {name: F.filter(F.array(F.try_element_at("props", F.lit(p))), lambda v: v.isNotNull()) for name, p in BAGS.items()}
+    known = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    related = group_key_fields(F.col("class"), F.col("subclass"), known(F.col("assoc_nodes")), known(ranges), {k: known(v) for k, v in bags.items()})
+    path = F.nullif(exception_path_text("exception_path"), F.lit(""))
+    own = F.col("class").bitwiseAND(F.lit(~(LEVEL_MASK | ORPHANED)))
+    return rows.withColumns({"related": related, "exception_at": path, "exception": F.coalesce("exception", F.try_element_at("exception_path", F.lit(1))), "kind": own}).select(*events.columns, *[c for c in GROUP_KEY if c not in events.columns])
+
+
 def _more(props: Column, rule: Mapping) -> Column:
     """props with the repeated groups and the key and value pairs that the rule looks for."""
     for name, pattern in (rule.get("repeat") or {}).items():

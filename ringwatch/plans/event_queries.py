@@ -386,6 +386,18 @@ def event_group_keys(spark, d):
     return D.events(spark, d).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("count"))
 
 
+@query("log_aggregation_by_key", f"""WITH {EV}, x AS (SELECT *, CASE WHEN event_type = 'error' AND k % 2 = 0 THEN ['AException', 'BError'] WHEN event_type = 'error' THEN ['AException'] END AS path, CASE WHEN k % 5 = 0 THEN 'tag' || (k % 2) END AS tag, CASE WHEN k % 3 = 0 THEN 'young' END AS sub FROM ev)
+SELECT {BUCKET_SQL} AS bucket, node_id, keyspace, table_name, class AS kind, CASE event_type WHEN 'error' THEN 'GC' WHEN 'click' THEN 'Compaction' WHEN 'purchase' THEN 'MemtableFlush' WHEN 'signup' THEN 'Repair' ELSE 'Tombstone' END || CASE WHEN sub IS NULL THEN '' ELSE '(' || sub || ')' END || CASE WHEN k % 4 = 0 THEN ' [' || dc || ']' ELSE '' END || CASE WHEN tag IS NULL THEN '' ELSE ' Tag{{' || tag || '}}' END AS related,
+ path[1] AS exception, array_to_string(path, '=>') AS exception_at, count(*)::BIGINT AS count, min(us) AS first_ts, max(us) AS last_ts, bool_or(k % 11 = 0) AS has_orphan, {stats_sql("duration_ms", "duration")} FROM x GROUP BY ALL""")
+def log_aggregation_by_key(spark, d):
+    k, error = F.col("k"), F.col("event_type") == "error"
+    rows = D.orphans(D.events(spark, d)).withColumns({
+        "subclass": F.when(k % 3 == 0, "young"), "assoc_nodes": F.when(k % 4 == 0, F.array("dc")), "props": F.when(k % 5 == 0, F.create_map(F.lit("tag"), F.concat(F.lit("tag"), (k % 2).cast("string")))),
+        "exception_path": F.when(error & (k % 2 == 0), F.array(F.lit("AException"), F.lit("BError"))).when(error, F.array(F.lit("AException"))),
+    })
+    return rounded(E.log_aggregation(E.with_group_key(rows), ["node_id", *E.GROUP_KEY]))
+
+
 @query("localize_time", f"WITH {EV} SELECT event_id, us - 19800000000 AS utc FROM ev")
 def localize_time(spark, d):
     return D.events(spark, d).select("event_id", F.unix_micros(C.localize_time(F.col("ts"), "Asia/Kolkata")).alias("utc"))

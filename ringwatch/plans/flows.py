@@ -42,12 +42,13 @@ def log_flow(lines: DataFrame, layout: str = T.DEFAULT_LAYOUT, rules: Sequence[M
 
 
 def log_to_aggregation(lines: DataFrame, minutes: int = 30, **settings) -> DataFrame:
-    """Log lines to counts and pair durations per bucket, node and class: one shuffle by record, one by session, one by key."""
+    """Log lines to counts and pair durations per bucket, node and kind of event (GROUP_KEY): one shuffle by record, one by session,
+    one by key."""
     rows = log_flow(lines, **settings).filter("rule is not null").withColumn("event_id", F.concat_ws(":", "path", F.lpad("line_no", 12, "0")))
     single = rows.filter("session_key is null").withColumn("duration_ms", F.lit(None).cast("double"))
     paired = J.repair_orphans(J.pair_sessions(rows.filter("session_key is not null").drop("duration_ms"), ["node_id", "session_key"])).filter(~F.col("orphaned") & F.col("type").bitwiseAND(F.lit(EVENT_TYPES["SessionEnd"])).cast("boolean"))
     every = single.unionByName(paired.select(*single.columns), allowMissingColumns=True)
-    return E.log_aggregation(every, ["node_id", "class"], minutes)
+    return E.log_aggregation(E.with_group_key(every), ["node_id", *E.GROUP_KEY], minutes)
 
 
 def tagged_flow(stats: DataFrame, attrs: Mapping[str, str], trigger: float = 0.9) -> tuple[DataFrame, dict[str, DataFrame]]:
