@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import config_property, config_value_normalize
+from ..functions.wide import wide_token
 from ..schema import EVENT_TYPES, ORPHANED
 
 
@@ -236,39 +237,66 @@ def trim_overlaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"
     return rows.select(*columns, status.alias("status"), F.when(used, F.coalesce(after, "file_min")).alias("used_min"), F.when(used, F.coalesce(until, "file_max")).alias("used_max"))
 
 
-def _ring_cells(ranges: DataFrame, cells: int) -> tuple[DataFrame, Callable[[Column], Column]]:
-    """Ring ranges (start, end], those that wrap split at the ring's ends, once per cell of the ring that they touch; and the cell
-    of a token."""
-    low, high = F.lit("-9223372036854775808").cast("decimal(20,0)"), F.lit("9223372036854775807").cast("decimal(20,0)")
-    width = F.lit(str((1 << 64) // cells)).cast("decimal(20,0)")
-    cell = lambda c: F.floor((c.cast("decimal(21,0)") - low) / width).cast("int")
-    s, e = F.col("start").cast("decimal(20,0)"), F.col("end").cast("decimal(20,0)")
-    parts = F.when(s < e, F.array(F.struct(s.alias("s"), e.alias("e")))).otherwise(F.array(F.struct(s.alias("s"), high.alias("e")), F.struct((low - 1).cast("decimal(20,0)").alias("s"), e.alias("e"))))
-    cut = ranges.withColumn("_part", F.explode(parts))
-    return cut.withColumn("_cell", F.explode(F.sequence(F.greatest(F.lit(0), cell(F.col("_part.s"))), cell(F.col("_part.e"))))), cell
+def _ring_key(rows: DataFrame, column: str) -> Column:
+    """A token column as something that sorts as tokens do: whole numbers of 64 bits, and digits as wide tokens."""
+    return wide_token(F.col(column)) if rows.schema[column].dataType.typeName() == "string" else F.col(column).cast("long")
 
 
-def tokens_containing(tokens: DataFrame, ranges: DataFrame, cells: int = 256) -> DataFrame:
-    """Tokens (token) with the ring range (dc, node_id, start, end) they lie in: start < token <= end.
+def _coarse(key: Column, wide: bool) -> Column:
+    return key["hi"] if wide else key
 
-    Both sides are bucketed into cells of the ring, so the join is an equi-join on the cell and a filter, never a nested loop
-    over all pairs."""
-    cut, cell = _ring_cells(ranges, cells)
-    inside = (F.col("token") > F.col("_part.s")) & (F.col("token") <= F.col("_part.e"))
-    return tokens.withColumn("_cell", cell(F.col("token"))).join(cut, "_cell").filter(inside).drop("_cell", "_part")
 
+def _ring_cells(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ring ranges (start, end], those that wrap split at the ring's ends, once per cell that they touch: the one or two cells of the
+    smallest power of two of tokens that isn't shorter than the range; and the widths in use, a row. A range that begins at the
+    ring's end has no lower bound."""
+    wide = ranges.schema["start"].dataType.typeName() == "string"
+    low, high = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    top = F.struct(high.alias("hi"), F.lit(str((1 << 64) - 1)).cast("decimal(20,0)").alias("lo")) if wide else high
+    rows = ranges.withColumns({"_start": _ring_key(ranges, "start"), "_end": _ring_key(ranges, "end")})
+    s, e = F.col("_start"), F.col("_end")
+    part = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
+    rows = rows.withColumn("_part", F.explode(F.when(s < e, F.array(part(s, e))).otherwise(F.array(part(s, top), part(F.nullif(s, s), e)))))
+    first, last = F.coalesce(_coarse(F.col("_part.s"), wide), low), _coarse(F.col("_part.e"), wide)
+    length = last.cast("double") - first.cast("double")
+    width = F.least(F.lit(63), F.ceil(F.log2(length + 2)) + 1).cast("int")  # a double may be short by rounding; one bit more covers it
+    rows = rows.withColumn("_width", width).withColumns({"_first": first, "_last": last})
+    cut = rows.withColumn("_cell", F.explode(F.expr("array_distinct(array(shiftright(_first, _width), shiftright(_last, _width)))"))).drop("_first", "_last")
+    return cut, cut.agg(F.collect_set("_width").alias("_widths"))
 
-def ranges_containing(checks: DataFrame, ranges: DataFrame, cells: int = 256) -> DataFrame:
+
+def _looking(points: DataFrame, key: str, wide: bool, widths: DataFrame) -> DataFrame:
+    """points once per width in use, with the cell of the token in `key`."""
+    rows = points.withColumn("_one", F.lit(1)).join(F.broadcast(widths.withColumn("_one", F.lit(1))), "_one").withColumn("_width", F.explode("_widths")).drop("_one", "_widths")
+    return rows.withColumn("_at", _coarse(F.col(key), wide)).withColumn("_cell", F.expr("shiftright(_at, _width)")).drop("_at")
+
+
+def tokens_containing(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Tokens (token) with the ring range (dc, node_id, start, end) they lie in: start < token <= end. Tokens and ends are whole
+    numbers of 64 bits, or the digits of 128-bit ones in strings.
+
+    A range stands in one or two cells of its own size, and a token looks into its cell of each size in use: an equi-join on size and
+    cell and a filter, never a nested loop. A token meets a few ranges of each size, however many there are in the ring."""
+    wide = ranges.schema["start"].dataType.typeName() == "string"
+    cut, widths = _ring_cells(ranges)
+    rows = _looking(tokens.withColumn("_token", _ring_key(tokens, "token")), "_token", wide, widths)
+    inside = (F.col("_part.s").isNull() | (F.col("_token") > F.col("_part.s"))) & (F.col("_token") <= F.col("_part.e"))
+    return rows.join(cut, ["_width", "_cell"]).filter(inside).drop("_width", "_cell", "_part", "_token", "_start", "_end")
+
+
+def ranges_containing(checks: DataFrame, ranges: DataFrame) -> DataFrame:
     """Token ranges (check_start, check_end) with each ring range (dc, node_id, start, end) that takes their end (start < end of
     the check <= end) or their start (start < start of the check < end). A range of the ring that lies whole inside a check
     takes neither. Each pair comes once. The two ends look into their cells: an equi-join, as in tokens_containing."""
-    cut, cell = _ring_cells(ranges, cells)
-    ends = F.array(F.struct(F.lit(True).alias("last"), F.col("check_end").alias("at")), F.struct(F.lit(False).alias("last"), F.col("check_start").alias("at")))
-    points = checks.withColumn("_point", F.explode(ends)).withColumn("_cell", cell(F.col("_point.at")))
-    at, last, x = F.col("_point.at"), F.col("_point.last"), F.col("check_end")
-    inside = (at > F.col("_part.s")) & (at <= F.col("_part.e")) & (last | (at != F.col("end")))
-    whole = F.when(F.col("start") < F.col("end"), (x > F.col("start")) & (x <= F.col("end"))).otherwise((x > F.col("start")) | (x <= F.col("end")))
-    return points.join(cut, "_cell").filter(inside & (last | ~F.coalesce(whole, F.lit(False)))).drop("_cell", "_part", "_point")
+    wide = ranges.schema["start"].dataType.typeName() == "string"
+    cut, widths = _ring_cells(ranges)
+    points = checks.withColumn("_x", _ring_key(checks, "check_end"))
+    ends = F.array(F.struct(F.lit(True).alias("last"), F.col("_x").alias("at")), F.struct(F.lit(False).alias("last"), _ring_key(checks, "check_start").alias("at")))
+    points = _looking(points.withColumn("_point", F.explode(ends)), "_point.at", wide, widths)
+    at, last, x, s, e = F.col("_point.at"), F.col("_point.last"), F.col("_x"), F.col("_start"), F.col("_end")
+    inside = (F.col("_part.s").isNull() | (at > F.col("_part.s"))) & (at <= F.col("_part.e")) & (last | (at != e))
+    whole = F.when(s < e, (x > s) & (x <= e)).otherwise((x > s) | (x <= e))
+    return points.join(cut, ["_width", "_cell"]).filter(inside & (last | ~F.coalesce(whole, F.lit(False)))).drop("_width", "_cell", "_part", "_point", "_x", "_start", "_end")
 
 
 def flagged_tables_semi(rows: DataFrame, flag: Column) -> DataFrame:

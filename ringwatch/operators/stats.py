@@ -428,15 +428,32 @@ def tombstone_running(events: DataFrame, keys: Sequence[str] = ("node_id", "keys
     return events.groupBy(*keys).agg(F.sum("tombstones").alias("tombstones"), F.sum("live_cells").alias("live_cells"), F.count(ratio).alias("n"), F.avg(ratio).alias("ratio_avg"), F.max(ratio).alias("ratio_max"), F.min(ratio).alias("ratio_min"))
 
 
+#: Slices of a value's range, each with about as many distinct values, in which ranks are counted.
+VALUE_SLICES = 64
+
+
+def _value_slice(counts: DataFrame, value: str) -> Column:
+    """The number of the slice of a value, by approximate quantiles over all keys; which values they are doesn't matter for ranks."""
+    if counts.schema[value].dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+        return F.lit(0)
+    cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), [k / VALUE_SLICES for k in range(1, VALUE_SLICES)])).first()[0] or []
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col(value).cast("double"))) if cuts else F.lit(0)
+
+
 def bounded_value_sample(values: DataFrame, value: str, keys: Sequence[str], limit: int = 5000, band: int = 100) -> DataFrame:
     """The distinct values of each key, or for keys with `limit` rows or more those among the lowest, middle and highest `band`
     rows, with the number of rows. Ranks come from running counts of distinct values, so a key's rows are combined before
-    the shuffle."""
+    the shuffle; they are counted in slices of the values' range, behind the rows of the slices before, so a key with any number
+    of distinct values is spread over VALUE_SLICES tasks. Null keys are a key."""
     counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    order = W.partitionBy(*keys).orderBy(value)
-    last = F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("c").over(W.partitionBy(*keys))
-    rows = counts.withColumns({"to": last, "from": last - F.col("c") + 1, "n": total})
+    rows = counts.withColumns({"_key": F.struct(*keys), "_slice": _value_slice(counts, value)})
+    sums = rows.groupBy("_key", "_slice").agg(F.sum("c").alias("_sum"))
+    over = W.partitionBy("_key")
+    before = sums.select("_key", "_slice", (F.sum("_sum").over(over.orderBy("_slice")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(over).alias("n"))
+    inside = F.sum("c").over(W.partitionBy("_key", "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_to", inside).join(before, ["_key", "_slice"])
+    last = F.col("_before") + F.col("_to")
+    rows = rows.withColumns({"to": last, "from": last - F.col("c") + 1})
     middle = F.floor((F.col("n") - band) / 2)
     touches = lambda a, b: (F.col("from") <= b) & (F.col("to") >= a)
     keep = (F.col("n") < limit) | touches(F.lit(1), F.lit(band)) | touches(middle + 1, middle + band) | touches(F.col("n") - band + 1, F.col("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import wide as Wd
 from ..operators import events as E
 from ..operators import joins as J
 from ..operators import stats as S
@@ -308,6 +309,30 @@ def tokens_containing(spark, d):
     return J.tokens_containing(tokens, Wn.ring_to_ranges(D.ring(spark, d))).select("o_orderkey", "node_id", "end")
 
 
+_WIDE = f"""{RG}, r AS (SELECT node_id, coalesce(lag(token) OVER (ORDER BY token), max(token) OVER ()) AS a, token AS z FROM rg),
+w AS (SELECT node_id, sign(a)::HUGEINT * (abs(a)::HUGEINT * 1000000000000000000::HUGEINT + 12345) AS s, sign(z)::HUGEINT * (abs(z)::HUGEINT * 1000000000000000000::HUGEINT + 12345) AS e FROM r)"""
+
+
+def _wide_ring(spark, d):
+    """The ring with eighteen more digits, that is 128-bit tokens in strings."""
+    more = lambda c: F.concat(F.col(c).cast("string"), F.lit("000000000000012345"))
+    return Wn.ring_to_ranges(D.ring(spark, d)).withColumns({"start": more("start"), "end": more("end")})
+
+
+@query("wide_tokens_containing", f"""WITH {_WIDE}, t AS (SELECT o_orderkey, sign(t)::HUGEINT * (abs(t)::HUGEINT * 1000000000000000000::HUGEINT + 500000000000000000::HUGEINT) AS token FROM (SELECT o_orderkey, ((o_orderkey * 7000003 % 1000003 - 500000) * 18000000000001)::BIGINT AS t FROM orders) WHERE t <> 0)
+SELECT o_orderkey, node_id, e::VARCHAR AS "end" FROM t JOIN w ON (s < e AND token > s AND token <= e) OR (s >= e AND (token > s OR token <= e))""")
+def wide_tokens_containing(spark, d):
+    tokens = D.table(spark, d, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7_000_003 % 1_000_003 - 500_000) * 18_000_000_000_001).alias("token")).filter("token <> 0")
+    tokens = tokens.withColumn("token", F.concat(F.col("token").cast("string"), F.lit("500000000000000000")))
+    return J.tokens_containing(tokens, _wide_ring(spark, d)).select("o_orderkey", "node_id", "end")
+
+
+@query("wide_token_slots", f"""WITH {_WIDE} SELECT e::VARCHAR AS "end", CASE WHEN s < e THEN (e - s)::VARCHAR WHEN s = e THEN '170141183460469231731687303715884105727' ELSE (340282366920938463463374607431768211455::UHUGEINT - (s - e)::UHUGEINT)::VARCHAR END AS slots FROM w""")
+def wide_token_slots(spark, d):
+    rows = _wide_ring(spark, d).withColumns({"s": Wd.wide_token(F.col("start")), "e": Wd.wide_token(F.col("end"))})
+    return rows.select(Wd.wide_text(F.col("e")).alias("end"), Wd.wide_text(Wd.wide_slots(F.col("s"), F.col("e"))).alias("slots"))
+
+
 _CHECK = "CAST((o_orderkey * 7000003 % 1000003 - 500000) * 18000000000001 AS BIGINT)"
 
 

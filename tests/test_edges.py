@@ -221,3 +221,21 @@ def test_session_kinds_that_depend(spark):
     events = spark.createDataFrame([("n", "s", k, START + dt.timedelta(seconds=k), t) for k, t in enumerate(types)], "node_id string, session_key string, event_id long, ts timestamp, type long")
     rows = [(r.event_id, r.type, r.session_id, r.orphaned) for r in J.pair_sessions(events).orderBy("event_id").collect()]
     assert rows == [(0, one, None, False), (2, b, "2", False), (3, i, "2", False), (4, i, "2", False), (5, i | skip, "2", False), (6, e, "2", False), (8, one, None, False), (9, i, None, True), (10, b, "10", False), (11, e, "10", False), (12, None, None, True)]
+
+
+def test_value_samples_of_a_hot_key(spark):
+    """Ranks counted in slices of the values equal those of one sorted list, ties, null keys and a key of one value included."""
+    import random
+    from collections import Counter
+
+    r = random.Random(8)
+    rows = [("hot", r.choice([r.gauss(0, 9), float(r.randrange(40))])) for _ in range(4000)] + [(None, float(k % 7)) for k in range(500)] + [("one", 5.0)] * 300 + [("few", 1.0), ("few", None), ("hot", float("inf"))]
+    got: dict = {}
+    for x in S.bounded_value_sample(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], limit=200, band=30).collect():
+        got.setdefault(x.k, []).append((x.v, x.n))
+    for key in ("hot", None, "one", "few"):
+        mine = sorted(v for k, v in rows if k == key and v is not None)
+        n = len(mine)
+        middle = (n - 30) // 2
+        want = set(mine) if n < 200 else {*mine[:30], *mine[middle : middle + 30], *mine[-30:]}
+        assert Counter(got[key]) == Counter((v, n) for v in want)
