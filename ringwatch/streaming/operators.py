@@ -2,7 +2,7 @@
 
 The stateful ones (T2 to T5) hold a key's rows back until the watermark has passed them and fold them in the order of
 time then, so rows that arrive late, but within the watermark, give the rows of the batch operators. A key's state is the
-rows of the time `late` and one small tuple. Rows without a time are left out; rows later than the watermark are dropped.
+rows of the time `late`, in lists by slices of time to which a batch appends, and one small value; timers wake it. Rows without a time are left out; rows later than the watermark are dropped.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.events import item_stats
 from ..schema import EVENT_TYPES
@@ -25,44 +25,100 @@ def stream_log_aggregation(events: DataFrame, keys: Sequence[str], period: str =
 
 
 PYTHON = {"long": int, "double": float, "string": str}
+#: A key's waiting rows stand in so many lists, by slices of time that go round; a slice is an eighth of the time `late`.
+LISTS, SLICES = 16, 8
+#: The state store that lists, maps and timers need.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_NEVER = (1 << 63) - 1
+
+
+class _InOrder(StatefulProcessor):
+    """Folds a key's rows in the order of time, once the watermark has passed them.
+
+    A row that comes in is appended to the list of its slice of time; what a batch writes is its new rows, not those that wait. When
+    the watermark passes rows of a slice, its list alone is read, and what still waits of it is put back. The smallest time of each
+    list, the timer that is set and the memory of the fold are one small value."""
+
+    def __init__(self, keys: Sequence[str], columns: Mapping[str, str], memory: Sequence[tuple[str, str]], out: Sequence[str], late_us: int, step: Callable, until: Callable, close: Callable):
+        self.keys, self.columns, self.memory, self.out = list(keys), dict(columns), list(memory), list(out)
+        self.width, self.step, self.until, self.close_rows = max(1, late_us // SLICES), step, until, close
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        small = ", ".join([*[f"m{k} bigint" for k in range(LISTS)], "timer bigint", "open boolean", *[f"h_{c} {k}" for c, k in self.memory]])
+        self.meta = handle.getValueState("meta", small)
+        self.lists = [handle.getListState(f"rows{k}", ", ".join(f"{c} {k2}" for c, k2 in self.columns.items())) for k in range(LISTS)]
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        casts, new = [PYTHON[k] for k in self.columns.values()], []
+        for batch in rows:
+            each = ([None if pd.isna(x) else cast(x) for x in batch[c]] for c, cast in zip(self.columns, casts, strict=True))
+            new += zip(*each, strict=True)
+        yield self._pass(key, timerValues, new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._pass(key, timerValues, [])
+
+    def _pass(self, key: tuple, times, new: list[tuple]) -> pd.DataFrame:
+        found = self.meta.get()
+        least, timer, held = [_NEVER] * LISTS, None, None
+        if found is not None:
+            least, timer = [_NEVER if m is None else m for m in found[:LISTS]], found[LISTS]
+            held = tuple(found[LISTS + 2 :]) if found[LISTS + 1] else None
+        passed = times.getCurrentWatermarkInMs()
+        waiting: dict[int, list[tuple]] = {}
+        ready = [row for row in new if row[0] <= passed * 1000]
+        for row in new:
+            if row[0] > passed * 1000:
+                waiting.setdefault(row[0] // self.width % LISTS, []).append(row)
+        for k in range(LISTS):
+            if least[k] <= passed * 1000:
+                rows = [tuple(r) for r in self.lists[k].get()]
+                ready += [r for r in rows if r[0] <= passed * 1000]
+                rest = [r for r in rows if r[0] > passed * 1000]
+                least[k] = min((r[0] for r in rest), default=_NEVER)
+                if rest:
+                    self.lists[k].put(rest)
+                else:
+                    self.lists[k].clear()
+        for k, rows in waiting.items():
+            self.lists[k].appendList(rows)
+            least[k] = min(least[k], *(r[0] for r in rows))
+        done: list[tuple] = []
+        for row in sorted(ready, key=lambda row: [(x is not None, x) for x in row]):
+            held, rows = self.step(held, row)
+            done += rows
+        if held is not None and self.until(held) is not None and self.until(held) <= passed * 1000:
+            done, held = done + self.close_rows(held), None
+        due = min([*least, *([self.until(held)] if held is not None and self.until(held) is not None else [])])
+        wanted = max(-(-due // 1000), passed + 1) if due < _NEVER else None
+        if wanted != timer:
+            if timer is not None and timer > passed:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if held is None and all(m == _NEVER for m in least):
+            self.meta.clear()
+        else:
+            self.meta.update((*[None if m == _NEVER else m for m in least], wanted, held is not None, *(held if held is not None else [None] * len(self.memory))))
+        return pd.DataFrame([(*key, *row) for row in done], columns=[*self.keys, *self.out], dtype=object)
 
 
 def _in_order(events: DataFrame, keys: Sequence[str], columns: Mapping[str, str], late: str, memory: str, out: str, step: Callable, until: Callable, close: Callable) -> DataFrame:
     """The rows of each key, as tuples of `columns` (names and kinds, the time in microseconds first), folded in their order.
 
     step(memory, row) gives the next memory and the rows that come out; until(memory) is the last time of a row that the
-    memory may still take, None for ever; close(memory) gives the rows that come out once that time is past."""
-    casts = [PYTHON[k] for k in columns.values()]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, held = state.get if state.exists else ([], None)
-        pending, held, done = [tuple(r) for r in pending or []], tuple(held) if held is not None else None, []
-        for batch in batches:
-            each = ([None if pd.isna(x) else cast(x) for x in batch[c]] for c, cast in zip(columns, casts, strict=True))
-            pending += zip(*each, strict=True)
-        passed = state.getCurrentWatermarkMs()
-        pending.sort(key=lambda row: [(x is not None, x) for x in row])
-        ready = sum(row[0] <= passed * 1000 for row in pending)
-        for row in pending[:ready]:
-            held, rows = step(held, row)
-            done += rows
-        pending = pending[ready:]
-        if held is not None and until(held) is not None and until(held) <= passed * 1000:
-            done, held = done + close(held), None
-        waits = [row[0] for row in pending[:1]] + ([until(held)] if held is not None and until(held) is not None else [])
-        if pending or held is not None:
-            state.update((pending, held))
-            if waits:
-                state.setTimeoutTimestamp(max(-(-min(waits) // 1000), passed + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(*key, *row) for row in done], columns=names, dtype=object)
-
+    memory may still take, None for ever; close(memory) gives the rows that come out once that time is past. The session's state
+    stores are those of RocksDB from here on, which lists and timers need."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     kinds = {c: k for c, k in events.dtypes if c in keys}
     whole = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], out])
-    names = [*keys, *[part.split()[0] for part in out.split(", ")]]
-    held_kind = f"pending array<struct<{', '.join(f'{c}: {k}' for c, k in columns.items())}>>, memory struct<{memory}>"
-    return events.filter("ts is not null").withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, whole, held_kind, "append", GroupStateTimeout.EventTimeTimeout)
+    fields = [tuple(part.split(": ")) for part in memory.split(", ")]
+    processor = _InOrder(keys, columns, fields, [part.split()[0] for part in out.split(", ")], round(pd.Timedelta(late).total_seconds() * 1e6), step, until, close)
+    return events.filter("ts is not null").withWatermark("ts", late).groupBy(*keys).transformWithStateInPandas(processor, outputStructType=whole, outputMode="Append", timeMode="EventTime")
 
 
 def _times(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:
