@@ -112,3 +112,21 @@ def test_deltas_and_duplicates(spark, tmp_path):
     line = ("n", "A", 1, "m", at(0))
     rows = run(spark, tmp_path, kind, [[line, line], [line, ("n", "A", 1, "other", at(1))]], S.stream_distinct_lines, "t6")
     assert sorted(r.message for r in rows) == ["m", "other"]
+
+
+def test_a_batch_writes_its_new_rows_only(spark, tmp_path):
+    """Forty batches of one key within the watermark's delay: what a batch writes to the state doesn't grow with what waits."""
+    kind, source = "node_id string, name string, ts timestamp, value double", tmp_path / "many"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    for k in range(12):
+        spark.createDataFrame([("n", "c", at(10 * k + j / 20), float(j)) for j in range(100)], kind).coalesce(1).write.mode("append").parquet(str(source / f"b{k:02}"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(source / "*"))
+    query = S.stream_deltas(stream, late="1 hour").writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+        metrics = [dict(p["stateOperators"][0]["customMetrics"]) for p in query.recentProgress if p["numInputRows"]]
+    finally:
+        query.stop()
+        spark.conf.unset("spark.sql.shuffle.partitions")
+    written = [m["rocksdbTotalBytesWritten"] for m in metrics]
+    assert len(written) == 12 and max(written[6:]) < 2 * max(written[1:6]), metrics[-1]
