@@ -57,6 +57,7 @@ def test_the_cache_serves_known_texts_and_takes_only_new_ones(spark, tmp_path):
 def test_many_misses_meet_by_a_shuffle(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "BROADCAST_BYTES", 0)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    T.count_tokens(docs.filter("doc_id % 9 = 0"), MODEL, str(tmp_path / "c")).collect()
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in T.count_tokens(docs, MODEL, str(tmp_path / "c")).collect()}
     count = library(MODEL)
     assert got == {r.doc_id: (len((r.text or "").encode()), count(r.text), count(r.text) > 4096) for r in docs.collect()}
