@@ -2,46 +2,39 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import NODE
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per leaf of each document: (node_id, attr, v), attr being the path with dots."""
-
-    def walk(path: str, v: object) -> Iterator[tuple[str, str | None]]:
-        if isinstance(v, dict) and (v or not path):
-            for k, x in v.items():
-                yield from walk(f"{path}.{k}" if path else k, x)
-        else:
-            yield path, v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
-
-    for b in batches:
-        out: list[tuple[str | None, str, str | None]] = []
-        for node, text in zip(b.column("node_id").to_pylist(), b.column("v").to_pylist(), strict=True):
-            try:
-                document = json.loads(text or "null")
-            except ValueError:
-                continue
-            if isinstance(document, dict):
-                out += [(node, path, v) for path, v in walk("", document)]
-        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["node_id", "attr", "v"])
+def _object(value: Column) -> Column:
+    """Whether a variant is an object with a field."""
+    text = F.to_json(value)
+    return text.startswith("{") & (text != "{}")
 
 
 def json_facts(documents: DataFrame, source: str = "facts") -> DataFrame:
     """Documents (node_id, v) as long statistics: a row per leaf, however deep, named by its path. Lists are leaves and
-    stay JSON text, so does an empty object inside another; null leaves have neither number nor text. A text that is no JSON object
-    gives no row."""
-    rows = documents.select(F.col("node_id").cast("string"), F.col("v").cast("string")).mapInArrow(_leaves, "node_id string, attr string, v string")
-    number = F.col("v").try_cast("double")
-    return rows.select(F.lit(source).alias("source"), "node_id", "attr", number.alias("num_value"), F.when(number.isNull(), F.col("v")).alias("str_value"))
+    stay JSON text, so does an empty object inside another; null leaves have neither number nor text. A text that is no JSON object, or
+    an object that has a key twice, gives no row.
+
+    Documents are parsed to variants, whose fields are taken apart level by level, in one pass for all levels, until no value is an
+    object; how many levels there are is looked up on the way, a job each that ends at the first object it finds."""
+    spark = documents.sparkSession
+    rows = documents.select(F.col("node_id").cast("string"), F.lit(None).cast("string").alias("attr"), F.try_parse_json(F.col("v").cast("string")).alias("leaf")).filter(_object(F.col("leaf")))
+    while True:
+        rows = rows.withColumn("_whole", F.when(_object(F.col("leaf")), F.col("leaf")))
+        rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("_whole").outer()))
+        taken = F.col("_whole").isNotNull()
+        rows = rows.select("node_id", F.when(taken, F.concat_ws(".", "attr", "key")).otherwise(F.col("attr")).alias("attr"), F.when(taken, F.col("value")).otherwise(F.col("leaf")).alias("leaf"))
+        if rows.filter(_object(F.col("leaf"))).isEmpty():
+            break
+    text = F.when(~F.is_variant_null("leaf"), F.variant_get("leaf", "$", "string"))
+    number = text.try_cast("double")
+    return rows.select(F.lit(source).alias("source"), "node_id", "attr", number.alias("num_value"), F.when(number.isNull(), text).alias("str_value"))
 
 
 def read_json_facts(spark: SparkSession, paths: str | Sequence[str], source: str = "facts", node_pattern: str = NODE) -> DataFrame:
