@@ -97,16 +97,17 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | Non
     return spark.read.schema(CACHE_KIND).parquet(str(folder)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def encode_misses(docs: DataFrame, missing: DataFrame, n_missing: int, path: str) -> DataFrame:
-    """(digest, rows, n_tokens) of each distinct text of docs whose digest is in `missing`: encoded once, however many rows have it.
+def encode_misses(docs: DataFrame, missing: DataFrame | None, n_missing: int, path: str) -> DataFrame:
+    """(digest, rows, n_tokens) of each distinct text of docs whose digest is in `missing` (of all if that is None): encoded once,
+    however many rows have it.
 
     Equal texts are combined before the shuffle, so a text that fills a third of all rows moves once per task."""
     texts = docs.select(F.unhex(F.sha2(normalised(F.col("text"), path), 256)).alias("digest"), normalised(F.col("text"), path).alias("text"))
-    few = DIGEST_BYTES * n_missing <= BROADCAST_BYTES
+    few = missing is not None and DIGEST_BYTES * n_missing <= BROADCAST_BYTES
     if few:
         texts = texts.join(F.broadcast(missing), "digest", "left_semi")
     texts = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.first("text").alias("text"))
-    if not few:
+    if missing is not None and not few:
         texts = texts.join(missing, "digest", "left_semi")
     return texts.mapInArrow(_encoded(path), "digest binary, rows long, n_tokens long")
 
@@ -124,10 +125,11 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     keys = materialize(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("digest")))
     found, stored = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")), read_cache(spark, cache, version)
     found = materialize(found.withColumn("n_tokens", F.lit(None).cast("long")) if stored is None else found.join(stored, "digest", "left"))
-    n = found.agg(F.count_if(F.col("n_tokens").isNull()).alias("missing"), F.sum("rows").alias("rows")).first()
+    n = found.agg(F.count_if(F.col("n_tokens").isNull()).alias("missing"), F.count("n_tokens").alias("hits"), F.sum("rows").alias("rows")).first()
     known = found.filter(F.col("n_tokens").isNotNull())
     if n["missing"]:
-        fresh = materialize(encode_misses(docs, found.filter(F.col("n_tokens").isNull()).select("digest"), n["missing"], path))
+        missing = found.filter(F.col("n_tokens").isNull()).select("digest") if n["hits"] else None
+        fresh = materialize(encode_misses(docs, missing, n["missing"], path))
         fresh.select("digest", "n_tokens").write.mode("append").parquet(f"{cache}/version={version}")
         known = known.unionByName(fresh)
     rows = join_skewed(keys, known, ["digest"], F.col("rows") > hot_limit(n["rows"] or 0))
