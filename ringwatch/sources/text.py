@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -101,8 +101,18 @@ def log_file_inventory(events: DataFrame) -> DataFrame:
     return rows.withColumn("is_debug", F.col("path").rlike(r"(?i)debug"))
 
 
-def _file_order() -> W:
-    return W.partitionBy("path").orderBy("block", "seq")
+def running_last(rows: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """rows (path, block, seq, ...) with the last value so far of each column of `values` that isn't null, in file order: inside each
+    block, or else the last one of the blocks before it, so a file of any size is spread over tasks."""
+    rows = rows.withColumns({f"_v{n}": c for n, c in enumerate(values.values())})
+    known = lambda n, c: F.when(F.col(f"_v{n}").isNotNull(), F.col(c))
+    lasts = rows.groupBy("path", "block").agg(*[F.max_by(known(n, f"_v{n}"), known(n, "seq")).alias(f"_l{n}") for n in range(len(values))])
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = lasts.select("path", "block", *[F.last(f"_l{n}", ignorenulls=True).over(earlier).alias(f"_b{n}") for n in range(len(values))])
+    inside = W.partitionBy("path", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_v{n}": F.last(f"_v{n}", ignorenulls=True).over(inside) for n in range(len(values))}).join(before, ["path", "block"])
+    out = rows.withColumns({name: F.coalesce(f"_v{n}", f"_b{n}") for n, name in enumerate(values)})
+    return out.drop(*[f"_{k}{n}" for k in "vb" for n in range(len(values))])
 
 
 def _long(rows: DataFrame, source: str, keys: Sequence[str], attr: Column, value: Column) -> DataFrame:
@@ -113,11 +123,9 @@ def _long(rows: DataFrame, source: str, keys: Sequence[str], attr: Column, value
 
 def read_table_stats(lines: DataFrame) -> DataFrame:
     """Table statistics: 'Keyspace : x' and 'Table: y' sections with 'attribute: value unit' lines, as long statistics."""
-    fill = _file_order().rowsBetween(W.unboundedPreceding, 0)
     rows = lines.withColumns({"k": F.nullif(F.regexp_extract("line", r"^\s*Keyspace\s*:\s*(\S+)", 1), F.lit("")), "t": F.nullif(F.regexp_extract("line", r"^\s*Table(?: \(index\))?\s*:\s*(\S+)", 1), F.lit(""))})
-    rows = rows.withColumn("keyspace", F.last("k", ignorenulls=True).over(fill))
     mark = F.when(F.col("k").isNotNull(), F.struct(F.lit(None).cast("string").alias("t"))).when(F.col("t").isNotNull(), F.struct("t"))
-    rows = rows.withColumn("table_name", F.last(mark, ignorenulls=True).over(fill)["t"])
+    rows = running_last(rows, {"keyspace": F.col("k"), "table_name": mark}).withColumn("table_name", F.col("table_name.t"))
     rows = rows.filter("k is null and t is null and keyspace is not null").filter(F.col("line").rlike(r"^\s*[^:]+:\s*\S"))
     return _long(rows, "tablestats", ["node_id", "keyspace", "table_name"], strip(F.substring_index("line", ":", 1)), strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)))
 
@@ -137,9 +145,9 @@ def read_pool_stats(lines: DataFrame) -> DataFrame:
 
 def read_ring(lines: DataFrame) -> DataFrame:
     """Token ring: 'Datacenter: x' sections of address, rack, status, state, load, owns, token lines."""
-    dc = F.last(F.nullif(F.regexp_extract("line", r"^\s*Datacenter:\s*(\S+)", 1), F.lit("")), ignorenulls=True).over(_file_order().rowsBetween(W.unboundedPreceding, 0))
+    dc = F.nullif(F.regexp_extract("line", r"^\s*Datacenter:\s*(\S+)", 1), F.lit(""))
     p = r"^\s*([0-9a-fA-F.:]+)\s+(\S+)\s+(Up|Down)\s+(\S+)\s+([0-9.,]+ ?\S+)\s+([0-9.]+%|\?)\s+(-?[0-9]+)\s*$"
-    rows = lines.withColumn("dc", dc).filter(F.col("line").rlike(p))
+    rows = running_last(lines, {"dc": dc}).filter(F.col("line").rlike(p))
     g = lambda k: F.regexp_extract("line", p, k)
     return rows.select("dc", g(1).alias("address"), g(2).alias("rack"), g(3).alias("status"), g(4).alias("state"), normalize_units(g(5))["value"].alias("load_mib"), normalize_units(g(6))["value"].alias("owns"), g(7).cast("decimal(20,0)").alias("token"))
 
@@ -152,12 +160,11 @@ def read_workload_ring(lines: DataFrame) -> DataFrame:
     MultiInstance where there is a server id. The last header of the file says whether the number is a token or a number of
     tokens; role is what the workload names in parentheses. Other lines are skipped."""
     header = F.when(F.col("line").rlike(r"^\s*(?:Address|Server ID)\s"), F.col("line").rlike(r"\sToken\s*$"))
-    by_token = F.last(header, ignorenulls=True).over(_file_order().rowsBetween(W.unboundedPreceding, 0))
     p = (
         r"^\s*(?:((?:[0-9A-Fa-f]{2}-)+[0-9A-Fa-f]{2})\s+)?([0-9a-zA-Z.:_-]+)\s+(\S+)\s+(\S+)\s+([A-Za-z]+)(?:\((\w+)\))?\s+(?:(yes|no)\s+)?"
         r"(Up|Down|\?)\s+(\S+)\s+([0-9.,]+ ?[A-Za-z]+|\?)\s+([0-9.]+%|\?)\s+(-?[0-9]+)(?:\s+([0-9.]+))?\s*$"
     )
-    rows = lines.withColumn("_by_token", F.coalesce(by_token, F.lit(False))).filter(F.col("line").rlike(p))
+    rows = running_last(lines, {"_by_token": header}).withColumn("_by_token", F.coalesce("_by_token", F.lit(False))).filter(F.col("line").rlike(p))
     g = lambda k: F.nullif(F.regexp_extract("line", p, k), F.lit(""))
     graph = F.coalesce(g(7) == "yes", F.lit(False))
     kinds = [F.when(F.lower(g(5)).contains(k.lower()) | (graph if k == "Graph" else F.lit(False)), k) for k in INSTANCE_KINDS]
@@ -170,9 +177,9 @@ def read_workload_ring(lines: DataFrame) -> DataFrame:
 
 def read_status(lines: DataFrame) -> DataFrame:
     """Node status: 'Datacenter: x' sections of 'UN address load tokens owns host-id rack' lines."""
-    dc = F.last(F.nullif(F.regexp_extract("line", r"^\s*Datacenter:\s*(\S+)", 1), F.lit("")), ignorenulls=True).over(_file_order().rowsBetween(W.unboundedPreceding, 0))
+    dc = F.nullif(F.regexp_extract("line", r"^\s*Datacenter:\s*(\S+)", 1), F.lit(""))
     p = r"^\s*([UD])([NLJM])\s+(\S+)\s+([0-9.,]+ ?\S+|\?)\s+([0-9]+)\s+([0-9.]+%|\?)\s+(\S+)\s+(\S+)\s*$"
-    rows = lines.withColumn("dc", dc).filter(F.col("line").rlike(p))
+    rows = running_last(lines, {"dc": dc}).filter(F.col("line").rlike(p))
     g = lambda k: F.regexp_extract("line", p, k)
     return rows.select("dc", g(3).alias("address"), F.when(g(1) == "U", "Up").otherwise("Down").alias("status"), g(2).alias("state"), normalize_units(g(4))["value"].alias("load_mib"), g(5).try_cast("int").alias("tokens"), normalize_units(g(6))["value"].alias("owns"), g(7).alias("host_id"), g(8).alias("rack"))
 

@@ -72,7 +72,7 @@ def test_pool_stats(spark):
 
 def test_ring_status_hosts_cluster(spark):
     ring = T.read_ring(lines_of(spark, "Datacenter: dc1\n==========\n10.0.0.1  rack1  Up  Normal  1.5 GB  33.3%  -9223372036854775808\n10.0.0.2  rack1  Down  Normal  20 MB  ?  5")).collect()
-    assert [(r.dc, r.address, r.status, r.load_mib, int(r.token)) for r in ring] == [("dc1", "10.0.0.1", "Up", 1536.0, -(1 << 63)), ("dc1", "10.0.0.2", "Down", 20.0, 5)]
+    assert [(r.dc, r.address, r.status, r.load_mib, int(r.token)) for r in sorted(ring, key=lambda r: r.address)] == [("dc1", "10.0.0.1", "Up", 1536.0, -(1 << 63)), ("dc1", "10.0.0.2", "Down", 20.0, 5)]
     status = T.read_status(lines_of(spark, "Datacenter: dc1\nUN  10.0.0.1  1.5 GB  256  33.3%  0a-1  rack1")).collect()
     assert [(r.address, r.status, r.tokens, r.rack) for r in status] == [("10.0.0.1", "Up", 256, "rack1")]
     assert [tuple(r) for r in T.read_hosts_map(lines_of(spark, "# c\n10.0.0.1 a b # x\n\n")).collect()] == [("10.0.0.1", "a"), ("10.0.0.1", "b")]
@@ -121,3 +121,20 @@ def test_hosts_line_with_many_names(spark):
     line = "10.0.0.1 " + " ".join(f"h{k}" for k in range(250)) + " # end"
     got = T.read_hosts_map(spark.createDataFrame([(line,), ("# none",), ("10.0.0.2",)], "line string")).collect()
     assert sorted(r["name"] for r in got) == sorted(f"h{k}" for k in range(250)) and {r.address for r in got} == {"10.0.0.1"}
+
+
+def test_headers_reach_over_blocks(spark, tmp_path):
+    """A file that Spark reads in many pieces: each line has the header above it, however many blocks lie between."""
+    rows = [x for k in range(40) for x in [f"Keyspace : ks{k}", "\tRead Count: 1", *[y for t in range(k % 3) for y in [f"\t\tTable: t{t}", *[f"\t\tattr {j}: {j} ms" for j in range(k * 3 % 50)]]]]]
+    (tmp_path / "10.0.0.1").mkdir()
+    (tmp_path / "10.0.0.1/cfstats").write_text("\n".join(rows))
+    got = {}
+    for size in ("64", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = T.read_lines(spark, str(tmp_path / "10.0.0.1/cfstats"))
+            got[size] = sorted(map(str, T.read_table_stats(lines).collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sum((1 + (k % 3) * (k * 3 % 50)) for k in range(40))
+    assert got["64"] == got["128m"] and len(got["64"]) == want
