@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, table
+from .common import bounded_sample, crc_mod, discard, materialize, table
 from .quality import known_labels
 
 FOLDS, HELD = 5, 0
@@ -285,9 +285,10 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     labels the model is the fixed insults' voters with a prior against toxicity."""
     known = known_labels(labels, "toxic").filter(crc_mod("doc_id", FOLDS) != HELD)
     known = F.broadcast(bounded_sample(known, "doc_id", SAMPLE_DOCS))
-    sample = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    sample = materialize(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id"))  # read once, used thrice
     stems = lexicon(sample)
     rows = sample.select("doc_id", "label", "text").mapInArrow(_measure(stems), "doc_id long, label int, n long, hits array<long>, patterns array<long>").toPandas().sort_values("doc_id", kind="stable")
+    discard(sample)
     y = rows["label"].to_numpy(float)
     x = rates([(n, Counter(dict(zip(h[::2], h[1::2], strict=True))), list(p)) for n, h, p in zip(rows["n"], map(list, rows["hits"]), rows["patterns"], strict=True)], len(stems))
     if not len(y) or y.min() == y.max():
