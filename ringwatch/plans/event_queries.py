@@ -311,13 +311,17 @@ def orphan_events(spark, d):
     return J.orphan_events(_repaired(spark, d)).select(F.col("event_id").cast("long").alias("event_id"))
 
 
-@query("tie_sessions")
-def tie_sessions(spark, d):
-    """Half of the events by key, the others by a label that signups push and purchases pop; held to a plain fold in the tests."""
+def tied_events(spark, d):
+    """Half of the events by key, the others by a label that signups push and purchases pop."""
     rows = D.events(spark, d).drop("duration_ms").withColumn("type", F.when(F.col("event_type") == "view", EVENT_TYPES["SessionItem"]).otherwise(F.col("type")))
     label = F.when(F.col("event_type") == "signup", "define|label|stack").when(F.col("event_type") == "purchase", "read|delete|label").otherwise("read|label")
-    rows = rows.withColumns({"session_key": F.when(F.col("k") % 2 == 0, F.col("session_key")), "lookup": F.when(F.col("k") % 2 == 1, F.col("table_name")), "lookup_action": label})
-    done = Se.tie_sessions(rows).select("event_id", "session_id", "tie_out", F.array_join("parents", ",").alias("parents"), F.unix_micros("ts_begin").alias("ts_begin"), "duration_ms", "orphaned", "repair", "type")
+    return rows.withColumns({"session_key": F.when(F.col("k") % 2 == 0, F.col("session_key")), "lookup": F.when(F.col("k") % 2 == 1, F.col("table_name")), "lookup_action": label})
+
+
+@query("tie_sessions")
+def tie_sessions(spark, d):
+    """Held to a plain fold over all its rows in the tests."""
+    done = Se.tie_sessions(tied_events(spark, d)).select("event_id", "session_id", "tie_out", F.array_join("parents", ",").alias("parents"), F.unix_micros("ts_begin").alias("ts_begin"), "duration_ms", "orphaned", "repair", "type")
     return rounded(done, 3)
 
 

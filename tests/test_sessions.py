@@ -196,6 +196,27 @@ def test_random_logs_equal_a_plain_fold(spark, seed):
     assert "open_prefix" in {x[7] for x in got.values()}
 
 
+def test_the_query_equals_the_plain_fold(spark):
+    from pathlib import Path
+
+    from ringwatch.plans import event_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("the driver's tables are not here")
+    rows = Q.tied_events(spark, sf).collect()
+    want, closed = {}, {}
+    for node in sorted({r.node_id for r in rows}):
+        plain = Plain()
+        for r in sorted((r for r in rows if r.node_id == node), key=lambda r: (r.ts, r.event_id)):
+            e = plain.step(str(r.event_id), r.ts, r.type, r.session_key, None, r.lookup, r.lookup_action, r.keyspace, r.table_name)
+            want[r.event_id] = (e["session"], e["tie"], ",".join(e["parents"]), e["orphan"], e["kind"])
+            if e["kind"] & X:
+                closed |= {int(p): True for p in (e["parents"][:1] + e["parents"][-1:])}
+    got = {r.event_id: (r.session_id, r.tie_out, r.parents, r.orphaned, r.type) for r in Q.QUERIES["tie_sessions"](spark, sf).collect()}
+    assert got == {k: (*w[:3], w[3] or bool(w[4] & B and k not in closed), w[4]) for k, w in want.items()} and len(got) == len(rows)
+
+
 def test_an_item_at_the_time_of_its_end_is_of_that_session(spark):
     rows = [("n", "1", at(0), B, "a"), ("n", "2", at(10), X, "a"), ("n", "3", at(10), I, "a"), ("n", "4", at(11), I, "a")]
     got = {r.event_id: (r.session_id, r.orphaned, r.repair) for r in S.tie_sessions(spark.createDataFrame(rows, "node_id string, event_id string, ts timestamp, type long, session_key string")).collect()}
