@@ -92,8 +92,8 @@ class LanguageModel:
         entry = np.fromiter((r for x in rows for r in x), np.int64, int(size.sum()))
         n = self.first[entry + 1] - self.first[entry]
         at = np.repeat(self.first[entry] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        out = np.zeros((len(words), len(self.langs)))
-        np.add.at(out, (np.repeat(np.repeat(np.arange(len(words)), size), n), self.lang[at]), self.gain[at])
+        place = np.repeat(np.repeat(np.arange(len(words)) * len(self.langs), size), n) + self.lang[at]
+        out = np.bincount(place, self.gain[at], len(words) * len(self.langs)).reshape(len(words), len(self.langs))
         out *= (np.minimum(size, 3) / np.maximum(size, 1))[:, None]
         return np.maximum(out - out.max(axis=1, keepdims=True), -MOST)
 
