@@ -305,22 +305,26 @@ def classify_events(lines: DataFrame, rules: Sequence[Mapping], indexed: bool =
             props = own(_more(F.create_map(*pairs) if pairs else none, rule))
             parsed = F.when(F.col("message").rlike(java), props) if parsed is None else parsed.when(F.col("message").rlike(java), props)
         tests.append(F.when(hit, own(_more(none, rule)) if parsed is None else parsed))
-    words = [_rule_words(r) if indexed else None for r in rules]
     rows = lines
-    if any(words):
-        rows = rows.withColumn("_words", F.regexp_extract_all("message", F.lit(words_pattern(frozenset().union(*filter(None, words)))), F.lit(0)))
-    # rules in a row with the same words share the look at them
-    steps, k = [], 0
-    while k < len(rules):
-        upto = k + 1
-        while upto < len(rules) and words[upto] == words[k]:
-            upto += 1
-        step = F.coalesce(*tests[k:upto], F.lit(None).cast(hit_type))
-        if words[k]:
-            step = F.when(reduce(lambda x, y: x | y, [F.array_contains("_words", w) for w in sorted(words[k])]), step)
-        steps.append(step)
-        k = upto
-    rows = rows.withColumn("_hit", F.coalesce(*steps, F.lit(None).cast(hit_type)))
+    if indexed and rules:
+        at: dict[str, list[int]] = {}
+        always = []
+        for k, rule in enumerate(rules):
+            for w in sorted(_rule_words(rule) or ()):
+                at.setdefault(w, []).append(k)
+            if not _rule_words(rule):
+                always.append(k)
+        tried = F.array(*map(F.lit, always)).cast("array<int>")
+        if at:
+            found = F.regexp_extract_all("message", F.lit(words_pattern(at)), F.lit(0))
+            numbers = F.create_map(*[x for w, ks in at.items() for x in (F.lit(w), F.array(*map(F.lit, ks)))])
+            tried = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda w: F.element_at(numbers, w))), tried)))
+        # one case a candidate; in a lambda, since the code of many rules in one generated method would be too long to be compiled
+        pick_test = lambda k: reduce(lambda c, n: c.when(k == n, tests[n]), range(1, len(tests)), F.when(k == 0, tests[0]))
+        hits = F.filter(F.transform(tried, pick_test), lambda h: h.isNotNull())
+        rows = rows.withColumn("_hit", F.try_element_at(hits, F.lit(1)))
+    else:
+        rows = rows.withColumn("_hit", F.coalesce(*tests, F.lit(None).cast(hit_type)))
     rule, defaults = F.col("_hit.rule"), {"type": EVENT_TYPES["SingleInstance"], "class": 0}
     pick = {c: F.try_element_at(F.array(*[F.lit(r.get(c, defaults.get(c))).cast(kind) for r in rules]), rule + 1) if rules else F.lit(None).cast(kind) for c, kind in kinds.items()}
     keyed = {}
@@ -332,7 +336,7 @@ def classify_events(lines: DataFrame, rules: Sequence[Mapping], indexed: bool =
                 value = F.when(rule == k, F.coalesce(*[F.expr(e).cast("string") for e in keys])).otherwise(value)
         keyed[name] = F.when(F.col("rule").isNotNull(), value)
     rows = rows.withColumns({"rule": rule, **pick, "props": F.col("_hit.props")}).withColumns(keyed)
-    return rows.drop("_hit", "_words")
+    return rows.drop("_hit")
 
 
 def select_rules_for_version(rules: DataFrame, versions: DataFrame) -> DataFrame:
