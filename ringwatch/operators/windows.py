@@ -274,33 +274,75 @@ def latest_document(documents: DataFrame, as_of: str, keys: Sequence[str], ts: s
     return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*")
 
 
+#: Rows of the busiest key in a slice of time on average, the copies a row may have in later slices on average, and how many comparisons
+#: a block of events makes at once.
+CHAIN_ROWS, CHAIN_COPIES, CHAIN_BLOCK = 1000, 4, 1 << 22
+
+
+def touched_slices(rows: DataFrame, key: str, begin: str, end: str, per_slice: int = CHAIN_ROWS) -> DataFrame:
+    """rows (key, begin and end in microseconds) with `_first` and `_last`, the slices of time in which they begin and end; no slice
+    lies beyond the last begin or end that is known. The slices are so long that the busiest key has `per_slice` rows in one on
+    average, and that rows touch at most CHAIN_COPIES slices more than one on average: copies grow as the rows do."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(begin).alias("b"), F.max(begin).alias("z"))
+    n = n.agg(F.max("n").alias("_most"), F.sum("n").alias("_n"), F.min("b").alias("_low"), F.max("z").alias("_high")).withColumn("_one", F.lit(1))
+    rows = rows.withColumn("_one", F.lit(1))
+    length = F.greatest(F.lit(0), F.least(end, "_high") - F.col(begin)).cast("double")
+    sums = rows.join(F.broadcast(n), "_one").agg(F.sum(length).alias("_sum"), F.first("_most").alias("_most"), F.first("_n").alias("_n"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
+    wide = F.greatest(F.lit(1.0), (F.col("_high") - F.col("_low")) * float(per_slice) / F.col("_most"), F.col("_sum") / (F.col("_n") * CHAIN_COPIES))
+    sums = sums.select(F.ceil(wide).cast("long").alias("_long"), "_low", "_high").withColumn("_one", F.lit(1))
+    at = lambda c: F.expr(f"({c} - _low) div _long")
+    out = rows.join(F.broadcast(sums), "_one").withColumns({"_first": at(begin), "_last": at(f"greatest({begin}, least({end}, _high))")})
+    return out.drop("_one", "_long", "_low", "_high")
+
+
 def session_parent_chain(events: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
     """Events with the array of sessions that were open when they began, outermost first.
 
     events (keys, event_id, session_id, ts_begin, ts_end). A parent comes before in the order of begin, latest end and
     event_id, and ended no earlier, however many sessions lie between; a session that ends before it begins is no
-    parent. A session stands in the one or two cells of time, of a power of two not shorter than it, that it touches;
-    an event looks into the cell of its begin at each such width in use on its node: an equi-join on the cell and a
-    filter."""
-    order = lambda e: F.struct(F.col("ts_begin").alias("b"), (-F.unix_micros("ts_end")).alias("e"), F.col(e).alias("i"))
-    begin, length = F.unix_micros("ts_begin"), F.unix_micros("ts_end") - F.unix_micros("ts_begin")
-    width = F.when(length >= 0, F.greatest(F.lit(20), F.length(F.bin(length))))
-    ids = [*keys, "event_id", "ts_begin", "ts_end"]
-    open_ = events.filter(width.isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], "session_id", F.col("ts_end").alias("_end"), order("event_id").alias("_at"), width.alias("_width"), begin.alias("_from"), F.unix_micros("ts_end").alias("_to"))
-    open_ = open_.withColumn("_cell", F.explode(F.expr("array_distinct(array(shiftright(_from, _width), shiftright(_to, _width)))")))
-    same = lambda left, right: [F.col(left + k).eqNullSafe(F.col(right + k)) for k in keys]
-    every = lambda parts: reduce(lambda x, y: x & y, parts, F.lit(True))
-    widths = open_.groupBy(*[F.col(f"_{k}").alias(f"__{k}") for k in keys]).agg(F.collect_set("_width").alias("_widths"))
-    rows = events.filter("ts_begin is not null and ts_end is not null").select(*ids).distinct().join(widths, every(same("", "__")))
-    rows = rows.select(*ids, order("event_id").alias("_own"), begin.alias("_begin"), F.explode("_widths").alias("_wide"))
-    rows = rows.withColumn("_place", F.expr("shiftright(_begin, _wide)"))
-    holds = (F.col("_wide") == F.col("_width")) & (F.col("_place") == F.col("_cell")) & (F.col("_at") < F.col("_own")) & (F.col("_end") >= F.greatest("ts_begin", "ts_end"))
-    pairs = rows.join(open_, every([*same("", "_"), holds]))
-    found = pairs.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_at", "session_id"))).alias("_parents"))
-    found = found.select(*[F.col(c).alias(f"_{c}") for c in ids], F.transform("_parents", lambda x: x["session_id"]).alias("_parents"))
-    out = events.join(found, every([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]), "left")
-    empty = F.filter(F.array("session_id"), lambda _: F.lit(False))
-    return out.select(*events.columns, F.coalesce("_parents", empty).alias("parents"))
+    parent. A key's slices of time are worked on apart. A session is copied to the later slices that it touches, a few on
+    average; inside a slice an event is compared with the sessions that are still open, and its parents are put together
+    there: pairs are neither shuffled nor sorted, so what is written to disk grows as the events do, not as the pairs."""
+    timed = events.filter("ts_begin is not null and ts_end is not null")
+    rows = timed.select(F.struct(*keys).alias("key"), F.unix_micros("ts_begin").alias("b"), F.unix_micros("ts_end").alias("e"), F.col("event_id").alias("i"), F.col("session_id").alias("s"), F.struct(*events.columns).alias("row"))
+    rows = touched_slices(rows, "key", "b", "e")
+    copies = rows.filter("_last > _first").select("key", F.explode(F.sequence(F.col("_first") + 1, "_last")).alias("slice"), "b", "e", "i", "s", F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    dealt = rows.select("key", F.col("_first").alias("slice"), "b", "e", "i", "s", "row").unionByName(copies).repartition("key", "slice")
+    dealt = dealt.sortWithinPartitions("key", "slice", "b", F.desc("e"), "i", "s")
+    kind = events.schema["session_id"].dataType.simpleString()
+    found = dealt.mapInArrow(_open_sessions, f"row {rows.schema['row'].dataType.simpleString()}, parents array<{kind}>")
+    untimed = events.filter("ts_begin is null or ts_end is null").select("*", F.array().cast(f"array<{kind}>").alias("parents"))
+    return found.select(*[F.col("row")[c].alias(c) for c in events.columns], "parents").unionByName(untimed)
+
+
+def _open_sessions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The events of each slice with their parents: rows in the order of parents, events of earlier slices without a row of their own."""
+    for g in _groups(batches, ("key", "slice")):
+        begin, end = g.column("b").to_numpy(), g.column("e").to_numpy()
+        mine = g.column("row").is_valid().to_numpy(zero_copy_only=False)
+        code = pc.dictionary_encode(g.column("i"), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        at = np.arange(g.num_rows)
+        new = np.r_[True, (begin[1:] != begin[:-1]) | (end[1:] != end[:-1]) | (code[1:] != code[:-1])]
+        before = np.maximum.accumulate(np.where(new, at, 0))  # rows before this one come before in the order; equal ones don't
+        own, session = np.flatnonzero(mine), end >= begin
+        far = np.maximum(begin, end)
+        seen, open_, k = 0, np.zeros(0, np.int64), 0
+        while k < len(own):
+            # sessions that ended before the next event begins are no parents of it or of any later one
+            first = own[k]
+            fresh = np.arange(seen, first)
+            open_ = np.r_[open_, fresh[session[fresh]]]
+            open_, seen = open_[end[open_] >= begin[first]], first
+            upto = min(len(own), k + max(1, CHAIN_BLOCK // (len(open_) + 2048)), k + 2048)
+            events = own[k:upto]
+            inside = np.arange(first, events[-1] + 1)
+            able = np.r_[open_, inside[session[inside]]]
+            holds = (end[able][None, :] >= far[events][:, None]) & (able[None, :] < before[events][:, None])
+            row, column = np.nonzero(holds)
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(events)))]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), g.column("s").take(pa.array(able[column])))
+            yield pa.RecordBatch.from_arrays([g.column("row").take(pa.array(events)), lists], ["row", "parents"])
+            k = upto
 
 
 #: Fixed value: exceptions about the network.

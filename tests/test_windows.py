@@ -162,3 +162,18 @@ def test_groups_are_numbered_without_one_window_over_all(spark):
     rows = S.lcs_levels_report(df)
     assert sorted((r.keyspace, r.table_name, r.group_no) for r in rows.collect()) == [("a", "x", 1), ("a", "x", 1), ("a", "y", 2), ("b", "x", 3)]
     assert "dense_rank" not in rows._jdf.queryExecution().toString()
+
+
+def test_parents_are_put_together_without_shuffling_pairs(spark):
+    """Sessions open in layers and many times over: the list of an event is made in its slice, pairs aren't collected by a shuffle."""
+    rows = [("n" if k % 3 else None, k, (k // 40) * 500, (k // 40) * 500 + (k % 7) * 20_000 - 300) for k in range(3_000)]
+    df = spark.createDataFrame([(n, k, f"s{k}", at(a), at(z)) for n, k, a, z in rows], "node_id string, event_id long, session_id string, ts_begin timestamp, ts_end timestamp")
+    out = W.session_parent_chain(df)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = {r.event_id: r.parents for r in out.collect()}
+    key = lambda r: (r[2], -r[3], r[1])
+    for node in ("n", None):
+        own = sorted((r for r in rows if r[0] == node), key=key)
+        for k, x in enumerate(own):
+            assert got[x[1]] == [f"s{y[1]}" for y in own[:k] if y[3] >= max(y[2], x[2], x[3])]
+    assert W.session_parent_chain(df.limit(0)).collect() == []
