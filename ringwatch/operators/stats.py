@@ -440,12 +440,17 @@ def _value_slice(counts: DataFrame, value: str) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col(value).cast("double"))) if cuts else F.lit(0)
 
 
+def _value_counts(values: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """The distinct values of each key with their number of rows (c)."""
+    return values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+
+
 def bounded_value_sample(values: DataFrame, value: str, keys: Sequence[str], limit: int = 5000, band: int = 100) -> DataFrame:
     """The distinct values of each key, or for keys with `limit` rows or more those among the lowest, middle and highest `band`
     rows, with the number of rows. Ranks come from running counts of distinct values, so a key's rows are combined before
     the shuffle; they are counted in slices of the values' range, behind the rows of the slices before, so a key with any number
     of distinct values is spread over VALUE_SLICES tasks. Null keys are a key."""
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    counts = _value_counts(values, value, keys)
     rows = counts.withColumns({"_key": F.struct(*keys), "_slice": _value_slice(counts, value)})
     sums = rows.groupBy("_key", "_slice").agg(F.sum("c").alias("_sum"))
     over = W.partitionBy("_key")
@@ -460,11 +465,12 @@ def bounded_value_sample(values: DataFrame, value: str, keys: Sequence[str], lim
     return rows.filter(keep).select(*keys, value, "n")
 
 
-def value_lists(events: DataFrame, value: str, keys: Sequence[str], limit: int = 5000) -> DataFrame:
-    """Per key the sorted list of its values, bounded by bounded_value_sample, and the number of rows: large partition sizes,
-    or the space that compactions lacked."""
-    rows = bounded_value_sample(events, value, keys, limit)
-    return rows.groupBy(*keys).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(value)).alias("values"))
+def value_lists(events: DataFrame, value: str, keys: Sequence[str], limit: int | None = 5000) -> DataFrame:
+    """Per key the sorted list of its distinct values and the number of rows: large partition sizes, or the space that compactions
+    lacked. From `limit` rows on a key's list is bounded by bounded_value_sample; without a limit every list is whole."""
+    rows = _value_counts(events, value, keys) if limit is None else bounded_value_sample(events, value, keys, limit)
+    n = F.sum("c") if limit is None else F.first("n")
+    return rows.groupBy(*keys).agg(n.alias("n"), F.array_sort(F.collect_list(value)).alias("values"))
 
 
 def partition_size_list(events: DataFrame, keys: Sequence[str] = ("node_id", "keyspace", "table_name")) -> DataFrame:
