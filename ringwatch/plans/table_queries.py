@@ -314,8 +314,8 @@ w AS (SELECT node_id, sign(a)::HUGEINT * (abs(a)::HUGEINT * 1000000000000000000:
 
 
 def _wide_ring(spark, d):
-    """The ring with eighteen more digits, that is 128-bit tokens in strings."""
-    more = lambda c: F.concat(F.col(c).cast("string"), F.lit("000000000000012345"))
+    """The ring with eighteen more digits, that is 128-bit tokens in strings; the token 0 stays 0."""
+    more = lambda c: F.when(F.col(c) == 0, "0").otherwise(F.concat(F.col(c).cast("string"), F.lit("000000000000012345")))
     return Wn.ring_to_ranges(D.ring(spark, d)).withColumns({"start": more("start"), "end": more("end")})
 
 
