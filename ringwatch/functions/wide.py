@@ -54,6 +54,19 @@ def wide_token(text: Column) -> Column:
     return F.when(t.rlike(r"^[+-]?0*[0-9]{1,39}$"), _bound(_bound(_bound(digits, limbs), joined), signed))
 
 
+def wide_order(text: Column) -> Column:
+    """A token's decimal digits as struct(hi, mid, lo) of whole numbers that sorts as the tokens do: the first 19, next 10 and last 10 of
+    39 digits, each with the token's sign. Text that is no whole number of the 128-bit ring is null. Where tokens are only
+    compared this is enough, and much cheaper than limbs of 64 bits: no decimals, no lambdas."""
+    t = F.trim(text.cast("string"))
+    digits = F.lpad(F.regexp_replace(t, "^[+-]?0*", ""), 39, "0")
+    sign = F.when(t.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    limbs = F.struct(*[(F.substring(digits, at, n).cast("long") * sign).alias(name) for name, at, n in (("hi", 1, 19), ("mid", 20, 10), ("lo", 30, 10))])
+    # of 39 digits, which text of this form has, order is that of numbers
+    least, most = (F.lit(str(abs(v))) for v in (WIDE_MIN, WIDE_MAX))
+    return F.when(t.rlike(r"^[+-]?0*[0-9]{1,39}$") & (digits <= F.when(t.startswith("-"), least).otherwise(most)), limbs)
+
+
 def wide_slots(start: Column, end: Column) -> Column:
     """Tokens in the range (start, end] of two wide tokens, as struct(hi, lo) without a sign. A range that wraps counts as
     token_slots counts it; equal ends are 2**127 - 1, the largest token."""

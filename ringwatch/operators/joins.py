@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import config_property, config_value_normalize
-from ..functions.wide import wide_token
+from ..functions.wide import WIDE_MAX, wide_order
 from ..schema import EVENT_TYPES, ORPHANED
 
 
@@ -238,8 +238,8 @@ def trim_overlaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"
 
 
 def _ring_key(rows: DataFrame, column: str) -> Column:
-    """A token column as something that sorts as tokens do: whole numbers of 64 bits, and digits as wide tokens."""
-    return wide_token(F.col(column)) if rows.schema[column].dataType.typeName() == "string" else F.col(column).cast("long")
+    """A token column as something that sorts as tokens do: whole numbers of 64 bits, and digits as limbs of digits."""
+    return wide_order(F.col(column)) if rows.schema[column].dataType.typeName() == "string" else F.col(column).cast("long")
 
 
 def _coarse(key: Column, wide: bool) -> Column:
@@ -252,7 +252,7 @@ def _ring_cells(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     ring's end has no lower bound."""
     wide = ranges.schema["start"].dataType.typeName() == "string"
     low, high = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
-    top = F.struct(high.alias("hi"), F.lit(str((1 << 64) - 1)).cast("decimal(20,0)").alias("lo")) if wide else high
+    top = wide_order(F.lit(str(WIDE_MAX))) if wide else high
     rows = ranges.withColumns({"_start": _ring_key(ranges, "start"), "_end": _ring_key(ranges, "end")})
     s, e = F.col("_start"), F.col("_end")
     part = lambda a, b: F.struct(a.alias("s"), b.alias("e"))

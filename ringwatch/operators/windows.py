@@ -367,7 +367,8 @@ def state_counts(states: DataFrame, keys: Sequence[str] = ("dc",)) -> DataFrame:
 
 
 def ring_to_ranges(ring: DataFrame) -> DataFrame:
-    """Ring tokens (dc, node_id, token) as ranges (start, end]; the first of a ring wraps from its last token."""
+    """Ring tokens (dc, node_id, token) as ranges (start, end]; the first of a ring wraps from its last token. The window is one task a
+    ring; its ranges are spread over tasks again."""
     order = W.partitionBy("dc").orderBy("token")
     last = F.max("token").over(W.partitionBy("dc"))
-    return ring.select("dc", "node_id", F.coalesce(F.lag("token").over(order), last).alias("start"), F.col("token").alias("end"))
+    return ring.select("dc", "node_id", F.coalesce(F.lag("token").over(order), last).alias("start"), F.col("token").alias("end")).repartition("end")

@@ -64,3 +64,15 @@ def test_a_large_ring_meets_few_ranges_a_token(spark):
         pairs[n] = looks.join(cut, ["_width", "_cell"]).count()
         assert J.tokens_containing(tokens, ranges).count() == 500
     assert pairs[100_000] < 2 * pairs[1_000] < 500 * 40
+
+
+def test_wide_tokens_are_compared_without_lambdas(spark):
+    r = random.Random(3)
+    numbers = sorted(set(randoms(r, 300)))
+    df = spark.createDataFrame([(str(x),) for x in numbers], "a string")
+    assert [int(row.a) for row in df.orderBy(Wd.wide_order(F.col("a"))).collect()] == numbers
+    odd = spark.createDataFrame([(x,) for x in [None, "", "x", "1.5", "--1", str(Wd.WIDE_MAX + 1), str(Wd.WIDE_MIN - 1), "9" * 39, " +007 ", "-0"]], "a string")
+    assert [row[0] and tuple(row[0]) for row in odd.select(Wd.wide_order(F.col("a"))).collect()] == [None] * 8 + [(0, 0, 7), (0, 0, 0)]
+    ranges = spark.createDataFrame([("d", "n", "-5", "10")], "dc string, node_id string, start string, end string")
+    found = J.tokens_containing(spark.createDataFrame([("7",), ("-5",), ("0",)], "token string"), ranges)
+    assert sorted(row.token for row in found.collect()) == ["0", "7"] and "lambda" not in found._jdf.queryExecution().toString()
