@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import config_property, config_value_normalize
 from ..functions.wide import WIDE_MAX, wide_order
 from ..schema import EVENT_TYPES, ORPHANED
+from .windows import _groups, touched_slices
 
 
 def resolve_names(events: DataFrame, names: DataFrame, raw: str = "raw_name", objects: DataFrame | None = None) -> DataFrame:
@@ -217,26 +221,88 @@ def trim_overlaps(files: DataFrame, keys: Sequence[str] = ("node_id", "is_debug"
     within: one file before it covers its range, so it is skipped. error: its start lies in one file before it and its end
     in another, so it spans them and is skipped too. trimmed: only its start, or only its end, lies in a file before it,
     and the rest counts. new: neither does, even if it holds whole files. A start on an edge lies in the file, an end on an
-    edge doesn't (our reading). A file stands in each day that it touches, and its ends look into their day: an equi-join."""
-    day = lambda c: F.floor(F.unix_micros(c) / 86_400_000_000)
+    edge doesn't (our reading). A file stands in each slice of time that it touches, a few on average, and its ends look into
+    theirs. In a slice pairs aren't formed: the furthest end before a start, and the first begin before an end, are
+    running extremes in halves of halves, so the work is n log² n."""
     ids = [*keys, "file_min", "file_max", *[c for c in order if c not in ("file_min", "file_max", *keys)]]
     one = files.select(*ids).filter("file_min is not null and file_max is not null and file_min <= file_max").distinct()
-    before = one.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*order).alias("_rank"), F.col("file_min").alias("_min"), F.col("file_max").alias("_max"), F.explode(F.sequence(day("file_min"), day("file_max"))).alias("_day"))
-    ends = F.array(F.struct(F.lit(True).alias("start"), F.col("file_min").alias("at")), F.struct(F.lit(False).alias("start"), F.col("file_max").alias("at")))
-    own = one.select(*ids, F.struct(*order).alias("_own"), F.explode(ends).alias("_end")).withColumn("_at", day("_end.at"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    held = reduce(lambda x, y: x & y, [*same, F.col("_at") == F.col("_day"), F.col("_rank") < F.col("_own"), F.col("_min") <= F.col("_end.at"), F.col("_end.at") <= F.col("_max")])
-    start, inner = F.col("_end.start"), ~F.col("_end.start") & (F.col("_min") < F.col("_end.at")) & (F.col("_end.at") < F.col("_max"))
-    found = own.join(before, held).groupBy(*ids).agg(F.bool_or(start & (F.col("_max") >= F.col("file_max"))).alias("_whole"), F.max(F.when(start, F.col("_max"))).alias("_after"), F.min(F.when(inner, F.col("_min"))).alias("_before"))
-    found = found.select(*[F.col(c).alias(f"_{c}") for c in ids], "_whole", "_after", F.col("_before").alias("_until"))
+    rank = [f"r{k}" for k in range(len(order))]
+    one = one.select(F.struct(*keys).alias("key"), F.unix_micros("file_min").alias("a"), F.unix_micros("file_max").alias("z"), *[F.col(c).alias(r) for c, r in zip(order, rank, strict=True)], F.struct(*ids).alias("id"))
+    one = touched_slices(one, "key", "a", "z")
+    none = F.lit(None).cast(one.schema["id"].dataType)
+    stands = one.select("key", F.explode(F.sequence("_first", "_last")).alias("slice"), F.lit(0).alias("what"), "a", "z", *rank, none.alias("id"))
+    look = lambda what, at: one.select("key", F.col(at).alias("slice"), F.lit(what).alias("what"), "a", "z", *rank, "id")
+    dealt = stands.unionByName(look(1, "_first")).unionByName(look(2, "_last")).repartition("key", "slice").sortWithinPartitions("key", "slice", *rank)
+    found = dealt.mapInArrow(_covering_ends(rank), f"id {one.schema['id'].dataType.simpleString()}, after long, until long")
+    found = found.groupBy("id").agg(F.timestamp_micros(F.max("after")).alias("_after"), F.timestamp_micros(F.min("until")).alias("_until"))
+    found = found.select(*[F.col("id")[c].alias(f"_{c}") for c in ids], "_after", "_until")
     columns = [c for c in files.columns if c not in ("status", "used_min", "used_max")]
     rows = files.join(found, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]), "left")
     after, until = F.col("_after"), F.col("_until")
-    status = F.when(F.col("_whole"), "within").when(after.isNotNull() & until.isNotNull(), "error").when(after.isNotNull() | until.isNotNull(), "trimmed").otherwise("new")
+    status = F.when(after >= F.col("file_max"), "within").when(after.isNotNull() & until.isNotNull(), "error").when(after.isNotNull() | until.isNotNull(), "trimmed").otherwise("new")
     used = status.isin("new", "trimmed")
     return rows.select(*columns, status.alias("status"), F.when(used, F.coalesce(after, "file_min")).alias("used_min"), F.when(used, F.coalesce(until, "file_max")).alias("used_max"))
 
 
+def _largest_before(place: np.ndarray, rank: np.ndarray, value: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """For each row that asks the largest value among the others with a smaller place and a smaller rank, 0 where there is none. Places
+    are distinct, values above 0. The places are halved again and again: the left half of each pair of halves gives the
+    right one its largest values so far by rank."""
+    n = len(place)
+    best, by_rank = np.zeros(n, np.int64), np.lexsort((~asks, rank))  # of equal ranks those that ask come first
+    place, rank, value, asks = place[by_rank], rank[by_rank], value[by_rank], asks[by_rank]
+    top = int(value.max(initial=0)) + 1
+    half = 1
+    while half < n:
+        pair = place // (2 * half)
+        to = np.argsort(pair, kind="stable")
+        left = (place[to] // half) % 2 == 0
+        base = pair[to] * top
+        so_far = np.maximum.accumulate(base + np.where(left & ~asks[to], value[to], 0)) - base
+        mine = ~left & asks[to]
+        best[to[mine]] = np.maximum(best[to[mine]], so_far[mine])
+        half *= 2
+    out = np.zeros(n, np.int64)
+    out[by_rank] = best
+    return out
+
+
+def _covering_ends(rank: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ("key", "slice")):
+            n, what = g.num_rows, g.column("what").to_numpy()
+            new = np.r_[True, np.zeros(n - 1, bool)]
+            for name in rank:
+                code = pc.dictionary_encode(g.column(name), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            nth, a, z = np.cumsum(new), g.column("a").to_numpy(), g.column("z").to_numpy()
+
+            def extreme(asked: int, at: np.ndarray, first: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Whether each row finds a value, and the largest one that it finds."""
+                some = np.flatnonzero((what == 0) | (what == asked))
+                asks = what[some] == asked
+                place = np.empty(len(some), np.int64)
+                place[np.lexsort((np.where(asks, first[1], first[0]), at[some]))] = np.arange(len(some))
+                kinds, codes = np.unique(value[some], return_inverse=True)
+                best = _largest_before(place, nth[some], codes + 1, asks)
+                out, hit = np.zeros(n, np.int64), best > 0
+                known = np.zeros(n, bool)
+                known[some[hit]], out[some[hit]] = True, kinds[best[hit] - 1]
+                return known, out
+
+            # files that begin at a start or before it, and the furthest of their ends; it counts if it lies at the start or behind it
+            known, after = extreme(1, a, (0, 1), z)
+            after_known = known & (after >= a)
+            # files that end behind an end, and the first of their begins; it counts if it lies before the end
+            known, until = extreme(2, -z, (1, 0), -a)
+            until = -until
+            until_known = known & (until < z)
+            asking = np.flatnonzero(what > 0)
+            yield pa.RecordBatch.from_arrays([g.column("id").take(pa.array(asking)), pa.array(after[asking], mask=~after_known[asking]), pa.array(until[asking], mask=~until_known[asking])], ["id", "after", "until"])
+
+    return run
+
+
 def _ring_key(rows: DataFrame, column: str) -> Column:
     """A token column as something that sorts as tokens do: whole numbers of 64 bits, and digits as limbs of digits."""
     return wide_order(F.col(column)) if rows.schema[column].dataType.typeName() == "string" else F.col(column).cast("long")

@@ -239,3 +239,25 @@ def test_value_samples_of_a_hot_key(spark):
         middle = (n - 30) // 2
         want = set(mine) if n < 200 else {*mine[:30], *mine[middle : middle + 30], *mine[-30:]}
         assert Counter(got[key]) == Counter((v, n) for v in want)
+
+
+def test_overlaps_are_found_without_pairs(spark):
+    """Files that all lie over each other, some equal, against each other one by one; no join of files with files."""
+    r = random.Random(5)
+    files = [(r.choice(["n", "m", None]), f"p{k % 150:03}", a := r.randrange(60), a + r.choice([0, 1, 2, 5, 40, 400])) for k in range(400)]
+    df = spark.createDataFrame([(n, p, START + dt.timedelta(hours=a), START + dt.timedelta(hours=z)) for n, p, a, z in files], "node_id string, path string, file_min timestamp, file_max timestamp")
+    hours = lambda t: t and (t - START).total_seconds() / 3600
+    for order in (["path", "file_min"], ["file_min", "path"]):
+        out = J.trim_overlaps(df, ["node_id"], order)
+        got = sorted((str(x.node_id), x.path, hours(x.file_min), hours(x.file_max), x.status, hours(x.used_min), hours(x.used_max)) for x in out.collect())
+        expected = []
+        rank = lambda f: (f[1], f[2]) if order[0] == "path" else (f[2], f[1])
+        for n, p, a, z in files:
+            before = [e for e in files if e[0] == n and rank(e) < rank((n, p, a, z))]
+            after = max((e[3] for e in before if e[2] <= a <= e[3]), default=None)
+            until = min((e[2] for e in before if e[2] < z < e[3]), default=None)
+            status = "within" if after is not None and after >= z else "error" if None not in (after, until) else "new" if after is until is None else "trimmed"
+            used = (a if after is None else after, z if until is None else until) if status in ("new", "trimmed") else (None, None)
+            expected.append((str(n), p, a, z, status, *used))
+        assert got == sorted(expected, key=lambda x: x[:5])
+        assert "_day" not in out._jdf.queryExecution().toString()
