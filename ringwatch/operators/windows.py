@@ -95,7 +95,11 @@ def gc_time_frame(events: DataFrame, keys: Sequence[str] = ("node_id",), frame_m
     dealt = lambda df, *more: df.repartition("key", "slice").sortWithinPartitions("key", "slice", "b", "e", "d", *more)
     steps = dealt(rows).mapInArrow(_frame_steps(frame), f"key {kind}, slice long, upto long, reach long, anchor long")
     told = steps.repartition("key").sortWithinPartitions("key", "slice", "upto").mapInArrow(_frame_states, f"key {kind}, slice long, reach long, anchor long")
-    named = dealt(rows.join(told, ["key", "slice"])).mapInArrow(_frame_anchors(frame), f"key {kind}, anchor long, b long, e long, d double")
+    # what a slice is told comes as its first row, not by a join: behind one, Spark takes the rows as dealt already, and an adaptive
+    # broadcast then reads them by the task that wrote them, which cuts slices apart
+    first = told.select("key", "slice", *[F.lit(None).cast(t).alias(c) for c, t in (("b", "long"), ("e", "long"), ("d", "double"))], "reach", "anchor")
+    blank = F.lit(None).cast("long")
+    named = dealt(rows.select("*", blank.alias("reach"), blank.alias("anchor")).unionByName(first)).mapInArrow(_frame_anchors(frame), f"key {kind}, anchor long, b long, e long, d double")
     d = F.col("d")
     out = named.groupBy("key", "anchor").agg(
         F.max_by("e", F.struct("b", "e", "d")).alias("end"), F.count(F.lit(1)).alias("occurrences"), F.sum(d).alias("duration_sum"), F.max(d).alias("duration_max"), F.min(d).alias("duration_min"), F.avg(d).alias("duration_mean"), F.stddev_pop(d).alias("duration_std"), F.count(d).alias("_known"),
@@ -178,12 +182,13 @@ def _frame_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _frame_anchors(frame: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ("key", "slice")):
+            told, g = g.slice(0, 1), g.slice(1)
             begin = g.column("b").to_numpy()
             _, following = _next_anchor(begin, g.column("e"), frame)
-            k = int(np.searchsorted(begin, g.column("reach")[0].as_py(), "right"))
+            k = int(np.searchsorted(begin, told.column("reach")[0].as_py(), "right"))
             anchor, kept = np.zeros(len(begin), np.int64), np.ones(len(begin), bool)
             if k:
-                anchor[:k] = g.column("anchor")[0].as_py()
+                anchor[:k] = told.column("anchor")[0].as_py()
             while k < len(begin):
                 upto = int(following[k])
                 anchor[k:upto] = begin[k]

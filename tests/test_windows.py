@@ -177,3 +177,11 @@ def test_parents_are_put_together_without_shuffling_pairs(spark):
         for k, x in enumerate(own):
             assert got[x[1]] == [f"s{y[1]}" for y in own[:k] if y[3] >= max(y[2], x[2], x[3])]
     assert W.session_parent_chain(df.limit(0)).collect() == []
+
+
+def test_time_frame_of_events_written_by_many_tasks(spark):
+    """What slices are told is so little that Spark broadcasts it; a slice's events still meet in one task."""
+    df = spark.range(20_000).selectExpr("'n' as node_id", "timestamp_micros(1704067200000000 + id div 3 * 100000) as ts_begin", "timestamp_micros(1704067200060000 + id div 3 * 100000) as ts_end", "60.0D as duration_ms")
+    ms = lambda t: round((t - START).total_seconds() * 1000)
+    got = W.gc_time_frame(df.repartition(7), frame_ms=300, least_ms=100, slice_ms=50_000).collect()
+    assert sorted((ms(r.run_begin), ms(r.run_end), r.occurrences, r.duration_sum) for r in got) == fold([(k // 3 * 100, k // 3 * 100 + 60) for k in range(20_000)], 300, True, 100)
