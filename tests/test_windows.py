@@ -183,5 +183,13 @@ def test_time_frame_of_events_written_by_many_tasks(spark):
     """What slices are told is so little that Spark broadcasts it; a slice's events still meet in one task."""
     df = spark.range(20_000).selectExpr("'n' as node_id", "timestamp_micros(1704067200000000 + id div 3 * 100000) as ts_begin", "timestamp_micros(1704067200060000 + id div 3 * 100000) as ts_end", "60.0D as duration_ms")
     ms = lambda t: round((t - START).total_seconds() * 1000)
-    got = W.gc_time_frame(df.repartition(7), frame_ms=300, least_ms=100, slice_ms=50_000).collect()
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}  # broadcast when sizes are known, as with large tables
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        got = W.gc_time_frame(df.repartition(7), frame_ms=300, least_ms=100, slice_ms=50_000).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sorted((ms(r.run_begin), ms(r.run_end), r.occurrences, r.duration_sum) for r in got) == fold([(k // 3 * 100, k // 3 * 100 + 60) for k in range(20_000)], 300, True, 100)
