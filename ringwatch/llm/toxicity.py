@@ -24,6 +24,9 @@ OFTEN = 3
 FALSE_COST = 6
 #: Two voters depend on each other from this share of the smaller one's entropy on.
 LEAST_SHARED = 0.1
+#: Kinds of toxic texts (languages, say) that the label model tells apart at most. A kind starts with so many texts and with
+#: this share of the toxic ones at least: smaller ones gather voters that were right by chance.
+KINDS, KIND_TEXTS, KIND_SHARE = 12, 5, 0.04
 KEPT, CHUNK = 200_000, 256
 _WORD = re.compile(r"[^\W\d_]+")
 #: Insults that every lexicon holds, besides what the labelled documents teach.
@@ -160,10 +163,15 @@ def votes_of(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.concatenate([votes[:, :-1], -(votes[:, :-1].sum(axis=1, keepdims=True) == 0).astype(np.int8)], axis=1)
 
 
+def shares(p: np.ndarray) -> np.ndarray:
+    """Posteriors with a column per class, from those or from the posterior of class 1 of two."""
+    return p if p.ndim == 2 else np.stack([1 - p, p], axis=1)
+
+
 def dependence(said: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The mutual information (nats) of each pair of voters given the class, with the posterior p of class 1."""
+    """The mutual information (nats) of each pair of voters given the class, with the posterior p of class 1 or of all."""
     out, n = np.zeros((said.shape[1], said.shape[1])), max(len(p), 1)
-    for w in (1 - p, p):
+    for w in shares(p).T:
         mass = max(w.sum(), 1e-9)
         both = (said * w[:, None]).T @ said / mass
         one = np.clip(both.diagonal(), 1e-9, 1 - 1e-9)
@@ -177,7 +185,7 @@ def dependence(said: np.ndarray, p: np.ndarray) -> np.ndarray:
 def information(said: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The entropy (nats) of each voter given the class."""
     out = np.zeros(said.shape[1])
-    for w in (1 - p, p):
+    for w in shares(p).T:
         one = np.clip(w @ said / max(w.sum(), 1e-9), 1e-12, 1 - 1e-12)
         out -= w.sum() / max(len(p), 1) * (one * np.log(one) + (1 - one) * np.log(1 - one))
     return out
@@ -198,7 +206,7 @@ def spanning_forest(gain: np.ndarray, least: float) -> np.ndarray:
 def vote_rates(said: np.ndarray, p: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class masses, rates): the chance that voter k votes given the class c and whether its parent voted (a), as rates[k,
     a, c]; the same for both a where it has no parent. Rare combinations lean on the chance given the class alone."""
-    w = np.stack([1 - p, p], axis=1)
+    w = shares(p)
     mass = w.sum(axis=0) + 1.0
     alone = (said.T @ w + 0.02) / (mass + 0.04)
     rates = np.repeat(alone[:, None, :], 2, axis=1)
@@ -209,13 +217,36 @@ def vote_rates(said: np.ndarray, p: np.ndarray, parent: np.ndarray) -> tuple[np.
     return mass, np.clip(rates, 1e-4, 1 - 1e-4)
 
 
-def log_odds(said: np.ndarray, mass: np.ndarray, rates: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """The log odds of class 1 of each row of votes: the prior's, and those of each vote given the parent's."""
-    odds = np.full(len(said), np.log(mass[1] / mass[0]))
+def log_chances(said: np.ndarray, mass: np.ndarray, rates: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The log chance, up to a constant, of each class with each row of votes: the prior's, and those of each vote given the
+    parent's."""
+    spoke, none = said.astype(int), np.zeros(len(said), int)
+    out = np.tile(np.log(mass), (len(said), 1))
     for k, q in enumerate(parent):
-        r = rates[k, said[:, q].astype(int) if q >= 0 else np.zeros(len(said), int)]
-        odds += np.where(said[:, k] == 1, np.log(r[:, 1] / r[:, 0]), np.log((1 - r[:, 1]) / (1 - r[:, 0])))
-    return odds
+        chance = np.log(np.stack([1 - rates[k], rates[k]]))
+        out += chance[spoke[:, k], spoke[:, q] if q >= 0 else none]
+    return out
+
+
+def log_odds(said: np.ndarray, mass: np.ndarray, rates: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The log odds of any class but 0 of each row of votes."""
+    chances = log_chances(said, mass, rates, parent)
+    return np.logaddexp.reduce(chances[:, 1:], axis=1) - chances[:, 0]
+
+
+def first_kinds(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The kind (1, 2, ...) that each text would be of if it were toxic, to start with: again and again the voter with the most
+    votes on toxic texts without a kind, if most of its votes on texts without a kind are right, makes its texts a kind. All
+    others are of the largest, the first."""
+    said, kind = (votes > 0).astype(float), np.zeros(len(votes), int)
+    for k in range(1, KINDS + 1):
+        right, every = said[(kind == 0) & toxic].sum(axis=0), said[kind == 0].sum(axis=0)
+        right = np.where(2 * right > every, right, 0)
+        best = int(right.argmax())
+        if right[best] < max(KIND_TEXTS, KIND_SHARE * toxic.sum()):
+            break
+        kind[(kind == 0) & (said[:, best] > 0)] = k
+    return np.maximum(kind, 1)
 
 
 def label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,16 +254,24 @@ def label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 10) -> tupl
 
     A vote depends on the class and on one other vote: the pairs that still depend on each other once the class is
     known, by the largest mutual information, form a forest that is estimated anew in each round, together with the
-    votes' chances. The known labels (anchor) only say which class is which, where the rounds start; they have no vote.
+    votes' chances. Toxic texts are of several kinds, each a class with chances of its own: with one class for all of them
+    the silence of the most frequent kind's voters (one language's insults, say) would be taken as evidence that texts of
+    other kinds aren't toxic. The known labels (anchor) only say which classes are which, where the rounds start; they have
+    no vote.
     """
     said, p = (votes != 0).astype(float), np.clip(anchor, 0.05, 0.95)
+    kind = first_kinds(votes, anchor > 0.5)
+    classes = np.zeros((len(p), kind.max(initial=1) + 1))
+    classes[:, 0] = 1 - p
+    classes[np.arange(len(p)), kind] = p
     parent = np.full(said.shape[1], -1)
     for _ in range(rounds):
-        gain = dependence(said, p)
-        own = np.maximum(information(said, p), 1e-12)
+        gain = dependence(said, classes)
+        own = np.maximum(information(said, classes), 1e-12)
         parent = spanning_forest(np.where(gain >= LEAST_SHARED * np.minimum(own[:, None], own[None, :]), gain, 0.0), 2.0 / max(len(p), 1))
-        odds = log_odds(said, *vote_rates(said, p, parent), parent)
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        chances = log_chances(said, *vote_rates(said, classes, parent), parent)
+        classes = np.exp(chances - np.logaddexp.reduce(chances, axis=1, keepdims=True))
+    p = classes[:, 1:].sum(axis=1)
     accuracy = np.where(votes.sum(axis=0) >= 0, p @ said, (1 - p) @ said) / np.maximum(said.sum(axis=0), 1)
     return p, accuracy, parent
 

@@ -85,6 +85,19 @@ def test_label_model_counts_copies_of_a_voter_once():
     assert len(copies) == 4 and not any(parent[k] >= 0 for k in range(3))
 
 
+def test_label_model_keeps_kinds_whose_voters_exclude_each_other():
+    """One language with most of the toxic texts and voters, three with few: none of them counts as not toxic."""
+    r = np.random.default_rng(6)
+    kind = r.choice(5, size=4000, p=[0.88, 0.066, 0.018, 0.018, 0.018])
+    mine = np.repeat([1, 2, 3, 4], [10, 8, 8, 8])
+    votes = r.random((4000, len(mine))) < np.where(kind[:, None] == mine, np.where(mine == 1, 0.5, 0.35), 0.0001)
+    votes = np.concatenate([votes, -(~votes.any(axis=1, keepdims=True)).astype(int)], axis=1).astype(np.int8)
+    p, _, _ = toxicity.label_model(votes, (kind > 0).astype(float))
+    assert all((p > 0.5)[kind == k].mean() > 0.9 for k in (1, 2, 3, 4)) and (p > 0.5)[kind == 0].mean() < 0.01
+    p, accuracy, parent = toxicity.label_model(votes[:0], np.zeros(0))
+    assert len(p) == 0 and len(accuracy) == len(parent) == len(mine) + 1
+
+
 def test_parts_of_the_label_model_against_brute_force():
     """Small vote tables: mutual information, spanning forest, vote chances and posterior, each by plain enumeration."""
     r = random.Random(2)
